@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brontide.llm import bpe, cotraining, mixing, quality_rules, simhash
+from brontide.llm import bpe, cotraining, embedding_dedup, html_extraction, licenses, mixing, quality_rules, simhash, toxicity, url_filters
 from brontide.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -39,11 +39,38 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = embedding_dedup.embedding_groups(table(spark, sf_dir, "embeddings"))
+    return groups.select("vec_id", "n_links", "component_id", "kept")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), allowed=~held_out)
+    scored = toxicity.toxicity(docs, model, keep_text=False)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "threshold", "flagged")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), codec(), digest=True)
     return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filters.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = licenses.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    return scanned.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 _OP1 = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
@@ -102,9 +129,31 @@ SELECT doc_id, size, source_size, target, (epochs * size + least(size, greatest(
 """
 
 
+_OP5 = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM v WHERE list_inner_product(e, e) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_inner_product(a.e, b.e) >= 0.9),
+r AS (WITH RECURSIVE r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a, min(b) AS c FROM r GROUP BY a)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id)::BIGINT AS n_links, r.c AS component_id, v.vec_id = r.c AS kept FROM v JOIN r ON r.a = v.vec_id
+"""
+
+
+def _op8_sql() -> str:
+    rules = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in url_filters.RULES)
+    return rf"""
+WITH rules(rh, rp, rv) AS (VALUES {rules}),
+s AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS t FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(t, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(substr(t, length(regexp_extract(t, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM s),
+f AS (SELECT page_id, rh || rp AS rule, rv, row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC) AS k
+      FROM h JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+SELECT h.page_id, host, path, f.rule, coalesce(rv, 'allow') AS verdict FROM h LEFT JOIN f ON f.page_id = h.page_id AND f.k = 1
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _op1_sql(), "op4_mixing": _OP4}
+    return {"op1_quality_rules": _op1_sql(), "op4_mixing": _OP4, "op5_embedding_dedup": _OP5, "op8_url_filters": _op8_sql()}
