@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from brontide import queries_catalog, queries_search  # noqa: F401  they register their queries
+from brontide.registry_of_queries import QUERIES, SQL
 
 
-def oracle_sql() -> dict:
-    return {}
+def queries() -> dict[str, Callable]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
