@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brontide.llm.common import small_batches, stored, with_columns
+from brontide.llm.common import least_by_hash, small_batches, stored, with_columns
 
 #: Labelled rows that are fitted on, at most.
 SAMPLE = 20_000
@@ -207,7 +207,9 @@ def fit_cotraining(
     views = stored(slim.mapInArrow(run, "id string, x array<float>, m array<float>"))
     known = labels.select(F.col(f"`{id}`").cast("string").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).filter("id is not null and y is not null")
     known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).filter("y = y2").select("id", (F.col("y") > 0).cast("int").alias("y"), F.md5(F.col("id").cast("binary")).alias("h"))
-    rows = views.join(known, "id").orderBy("h").limit(sample).collect()
+    picked = least_by_hash(known.join(views.select("id"), "id", "left_semi"), "h", sample)
+    rows = views.join(F.broadcast(picked), "id").dropDuplicates(["id"]).collect()  # at most `sample` rows on either side
+    rows.sort(key=lambda r: r["h"])
     y = np.array([r["y"] for r in rows], float)
     if len(rows) < 5 or y.min() == y.max():
         flat = Linear(np.zeros(2), math.log((y.sum() + 1) / (len(y) - y.sum() + 1)) if len(y) else 0.0)
