@@ -7,9 +7,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brontide.functions import scalars, text
-from brontide.operators import graph, ledger, profile, relate, search
+from brontide.operators import catalog, chunks, graph, ledger, profile, relate, search
 from brontide.plans import flow
 from brontide.sources import files
 from brontide.streaming import ledger as streams
@@ -112,3 +113,37 @@ def test_numbers_like_python(spark, cells):
         except ValueError:
             want = None
         assert x == want
+
+
+def test_json_documents(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    for name, body in (("a/1_x.json", '{"api_id": "1"}'), ("a/1_y.json", '{"api_id": "1", "n": 2}'), ("2.json", "[1]"), ("3.json", '{"x": 1}'), ("4.json", "{oops")):
+        (tmp_path / name).write_text(body)
+    rows = files.read_json_documents(spark, str(tmp_path), T.StructType([T.StructField("api_id", T.StringType()), T.StructField("n", T.IntegerType())]))
+    assert sorted((r["api_id"], r["n"] or 0) for r in rows.collect()) == [("1", 0), ("1", 2)]
+    assert dict(map(tuple, files.skip_reasons(spark, str(tmp_path)).collect())) == {"ok": 3, "not_an_object": 1, "invalid_json": 1}
+    assert {r["path"].rsplit("/", 1)[1] for r in files.newest_per_id(rows.select(F.col("file").alias("path"))).collect()} == {"1_y.json"}
+    assert files.read_jsonl(spark, str(tmp_path / "none.jsonl"), T.StructType([T.StructField("a", T.StringType())])).count() == 0
+
+
+def test_split_sink_refuses_an_empty_target(spark, tmp_path):
+    df = spark.createDataFrame([("API",), ("FILE",), ("x",)], "kind string")
+    for targets, fine in ((["API", "FILE"], True), (["API", "STD"], False)):
+        counts = catalog.split_by_type(df, F.col("kind"), targets)
+        out = str(tmp_path / "-".join(targets))
+        if fine:
+            files.write_split(df, F.col("kind"), targets, out, counts)
+            assert spark.read.parquet(out).count() == 2
+        else:
+            with pytest.raises(ValueError):
+                files.write_split(df, F.col("kind"), targets, out, counts)
+
+
+def test_chunks_and_index(spark, tmp_path):
+    assert chunks.pack(["a" * 10, "b" * 10, "c" * 25], 21) == ["a" * 10 + "\n" + "b" * 10, "c" * 21, "c" * 4]
+    assert [k for k, _ in chunks.chunks_of("[제목] x", "d", ["- GET /a"], ["f : 뜻"])] == ["overview", "endpoints", "response_fields"]
+    docs = spark.createDataFrame([("1", "x", "long " * 400, ["- GET /a"])], "id string, title string, note string, ends array<string>")
+    none = F.array().cast("array<string>")
+    made = chunks.build_index(docs, str(tmp_path / "index"), "2024-01-01", "id", identity=chunks.identity_header(F.col("title"), F.lit(""), F.lit(""), F.lit("")), description=F.col("note"), endpoints=F.col("ends"), fields=none)
+    assert made.count() == 5
+    assert spark.read.json(str(tmp_path / "index/manifest")).first()["chunks"] == 5
