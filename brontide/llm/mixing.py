@@ -20,6 +20,8 @@ ordered by document.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,8 @@ from pyspark.sql.window import Window
 from brontide.llm.common import free_name, stored, white_words
 
 WEIGHTS = (3.0, 1.0, 2.0)
+#: Words of a shard where the number of shards follows the corpus: about 12 MB of text.
+WORDS_PER_SHARD = 1 << 21
 SHARE = 1.5
 MOST = 2.0
 
@@ -87,7 +91,7 @@ def mix_sources(
     weights: tuple[float, ...] = WEIGHTS,
     share: float = SHARE,
     blocks: int = 1024,
-    shards: int = 64,
+    shards: int | None = 64,
     seed: int = 7,
     split_documents: bool = True,
     carry: bool = True,
@@ -101,7 +105,9 @@ def mix_sources(
     twice.  split_documents: the document on a source's boundary gives only the
     words that are missing, else it is drawn whole if at least half is missing.
     carry: False returns the id beside these columns and nothing else, and then
-    reads the texts once instead of twice.
+    reads the texts once instead of twice.  shards: None for as many as give
+    WORDS_PER_SHARD words each, so that shards keep their size as the corpus
+    grows; there can't be more of them than blocks drawn.
 
     The source null is a source of its own, after all others.  Sources whose
     documents are all empty have target 0 and draw nothing.  Rows with the same
@@ -110,6 +116,11 @@ def mix_sources(
     appended one are replaced.  An empty table gives an empty result.  Reruns
     give the same result.
     """
+    return _mix(docs, id, text, source, weights, share, blocks, shards, seed, split_documents, carry, max_sources)[0]
+
+
+def _mix(docs, id, text, source, weights, share, blocks, shards, seed, split_documents, carry, max_sources) -> tuple[DataFrame, int]:
+    """What mix_sources returns, and the number of shards."""
     spark = docs.sparkSession
     made = {"size", "source_size", "target", "taken", "draws"}
     own = [c for c in docs.columns if c.lower() not in made]
@@ -149,6 +160,8 @@ def mix_sources(
     # Quotas of blocks, split over the shards by the tree; each shard's share is the next run of a permutation.
     quotas = {r[key]: r["n"] for r in cut.groupBy(key).agg(F.sum("turns").alias("n")).collect()}
     names = [r[key] for r in source_sums]
+    if shards is None:
+        shards = max(1, min(sum(quotas.values()), math.ceil(float(wanted.sum()) / WORDS_PER_SHARD)))
     bounds = np.cumsum(split_tree([quotas.get(n, 0) for n in names], shards, seed), axis=0)
     per_quota = _frame(spark, [(n, bounds[:, i].tolist()) for i, n in enumerate(names)], f"`{key}` string, bounds array<bigint>")
     every = cut.filter("turns > 0").select(key, block, F.explode(F.sequence(F.lit(1), F.col("turns"))).alias("turn"))
@@ -182,18 +195,20 @@ def mix_sources(
     turn = lambda t: F.when(F.lit(t) <= F.col("epochs"), F.col("size")).when(F.lit(t) == F.col("epochs") + 1, F.col(tie)).otherwise(zero)
     draw = lambda t: F.struct(F.col("homes")[F.lit(t)].alias("shard"), hashed(F.lit("place"), F.lit(str(seed)), here["id"], F.lit(str(t))).alias("position"), turn(t).alias("words"))
     draws = F.filter(F.array(draw(1), draw(2)), lambda d: d["words"] > 0)
-    return joined.select(*(F.col(f"`{c}`") for c in own), "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col(tie)).alias("taken"), draws.alias("draws"))
+    return joined.select(*(F.col(f"`{c}`") for c in own), "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col(tie)).alias("taken"), draws.alias("draws")), shards
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: a row of docs for each time it is drawn, in shards' order within partitions, with docs' columns."""
+def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, blocks: int = 1024, shards: int | None = None, seed: int = 7, max_sources: int = 65536) -> DataFrame:
+    """The mix itself: a row of docs for each time it is drawn, with docs' columns.
+
+    Documents are drawn whole.  A partition is a shard, in the shard's order.
+    """
     shard, position = free_name(docs, "mix_shard"), free_name(docs, "mix_position")
-    options = {"split_documents": False, **options}
     # The columns the operator appends must not replace columns of the documents.
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(F.col(f"`{options.get(k, d)}`").alias(k) for k, d in (("id", "doc_id"), ("text", "text"), ("source", "source"))))
-    mixed = mix_sources(packed, **{**options, "id": "id", "text": "text", "source": "source"})
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(F.col(f"`{c}`").alias(k) for k, c in (("id", id), ("text", text), ("source", source))))
+    mixed, n = _mix(packed, "id", "text", "source", weights, share, blocks, shards, seed, False, True, max_sources)
     drawn = mixed.select("row", F.inline("draws").alias("shard", "position", "words")).select("row.*", F.col("shard").alias(shard), F.col("position").alias(position))
-    return drawn.repartition(shard).sortWithinPartitions(shard, position).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return drawn.repartitionById(n, F.col(shard)).sortWithinPartitions(shard, position).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
