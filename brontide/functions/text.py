@@ -51,16 +51,20 @@ def intents(c: Column) -> Column:
     return F.filter(F.array_distinct(F.concat(F.array(whole), parts)), lambda p: p != "")
 
 
-#: Forms of a service id.
-_CANONICAL, _PLAIN = r"^[a-z][a-z0-9_-]*:[0-9A-Za-z._-]+$", r"^[0-9A-Za-z._-]+$"
+#: Forms of a service id, and the sources there are.
+_CANONICAL, _PLAIN = r"^[a-z][a-z0-9_]*:[A-Za-z0-9][A-Za-z0-9_-]*$", r"^\d+$"
+SOURCES = ("openapi_new",)
 
 
-def service_id(c: Column, source: str = "datago") -> Column:
-    """struct<id, source, api_id, error>: the canonical id source:api_id, or why there is none."""
+def service_id(c: Column, sources: tuple[str, ...] = SOURCES) -> Column:
+    """struct<id, source, api_id, error>: the canonical id source:api_id, or the code of what is wrong.
+
+    A number alone gets the first source.
+    """
     raw = trim(F.coalesce(c.cast("string"), F.lit("")))
-    colon = F.instr(raw, ":") > 0
-    error = F.when(raw == "", "empty").when(colon & ~raw.rlike(_CANONICAL), "malformed").when(~colon & ~raw.rlike(_PLAIN), "malformed")
-    canonical = F.when(colon, raw).otherwise(F.concat(F.lit(source + ":"), raw))
+    whole = raw.rlike(_CANONICAL)
+    error = F.when(raw.rlike(_PLAIN), None).when(~whole, "INVALID_SERVICE_ID").when(~F.substring_index(raw, ":", 1).isin(*sources), "UNSUPPORTED_SOURCE")
+    canonical = F.when(whole, raw).otherwise(F.concat(F.lit(sources[0] + ":"), raw))
     ok = lambda v: F.when(error.isNull(), v)
     return F.struct(ok(canonical).alias("id"), ok(F.substring_index(canonical, ":", 1)).alias("source"), ok(F.regexp_replace(canonical, "^[^:]*:", "")).alias("api_id"), error.alias("error"))
 

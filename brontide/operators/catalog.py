@@ -65,7 +65,7 @@ def details(docs: DataFrame) -> DataFrame:
     info = lambda k: F.try_element_at("info", F.lit(k))
     words = F.filter(F.transform(F.split(present(info("키워드")), ","), lambda k: F.trim(k)), lambda k: k != "")
     return docs.select(
-        F.concat(F.lit("datago:"), F.col("api_id")).alias("service_id"),
+        F.concat(F.lit("openapi_new:"), F.col("api_id")).alias("service_id"),
         clean_markup(present(info("목록명"), F.col("spec_title"))).alias("name"),
         clean_markup(present(info("설명"), F.col("spec_description"))).alias("description"),
         clean_markup(present(info("제공기관"))).alias("provider"),

@@ -13,8 +13,8 @@ from brontide.functions.text import export_filename
 from brontide.operators.catalog import first_per_key
 from brontide.operators.search import tiered_search
 
-#: The format's name, version and kinds of nodes.
-FORMAT, VERSION = "nara-workflow", 1
+#: The format's version and kinds of nodes.
+VERSION = 1
 KINDS = ("apiSearch", "apiDoc", "categoryFilter", "providerFilter", "scoreFilter", "mergeNode", "ragChat", "chatOutput", "saveNode", "exportNode", "summaryNode")
 #: Fields that search weighs.
 FIELDS = {"name": 5, "keywords": 4, "category": 3, "provider": 2, "description": 2}
@@ -32,8 +32,13 @@ class FlowError(ValueError):
     pass
 
 
-def check_flow(flow: dict) -> tuple[list[dict], list[dict]]:
-    """Nodes and edges of a serialised flow; edges with an unknown end are dropped, everything else must be right."""
+def check_flow(flow: dict, name: str | None = None) -> tuple[list[dict], list[dict]]:
+    """Nodes and edges of a serialised flow; edges with an unknown end are dropped, everything else must be right.
+
+    name: the format that the flow must declare, if any.
+    """
+    if name is not None and flow.get("format") != name:
+        raise FlowError(f"unknown format: {flow.get('format')}")
     if flow.get("version") != VERSION:
         raise FlowError(f"version {flow.get('version')} is not supported")
     if not isinstance(flow.get("nodes"), list):

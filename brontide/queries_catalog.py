@@ -168,7 +168,7 @@ def _documents(spark):
     return t.select("api_id", info.alias("info"), "spec_title", F.lit("").alias("spec_description"), F.concat(F.lit("https://p.kr/"), "api_id").alias("crawled_url"))
 
 
-@query(f"""SELECT 'datago:' || a AS service_id, CASE WHEN n NOT IN ('', '-') THEN n ELSE s END AS name, trim(regexp_replace(regexp_replace(replace(d, '-', ''), '<[^>]+>', ' ', 'g'), ' +', ' ', 'g')) AS description, replace(p, '-', '') AS provider, c AS category,
+@query(f"""SELECT 'openapi_new:' || a AS service_id, CASE WHEN n NOT IN ('', '-') THEN n ELSE s END AS name, trim(regexp_replace(regexp_replace(replace(d, '-', ''), '<[^>]+>', ' ', 'g'), ' +', ' ', 'g')) AS description, replace(p, '-', '') AS provider, c AS category,
 array_to_string(list_filter(list_transform(string_split(k, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS keywords, CASE WHEN u = '-' THEN '' ELSE u END AS updated_at, 'https://p.kr/' || a AS url FROM (VALUES {_DOCS}) AS t(a, n, s, p, c, k, d, u)""")
 def catalog_details(spark, d):
     return catalog.details(_documents(spark)).withColumn("keywords", F.array_join("keywords", "|"))

@@ -126,9 +126,9 @@ def clean_text_forms(spark, d):
     return t.select("id", text.clean_markup(F.col("s")).alias("cleaned"), text.strip_markup(F.col("t")).alias("stripped"))
 
 
-@query("SELECT * FROM (VALUES ('datago:15000001', 'datago:15000001', 'datago', '15000001', NULL), ('15000001', 'datago:15000001', 'datago', '15000001', NULL), ('', NULL, NULL, NULL, 'empty'), ('a b', NULL, NULL, NULL, 'malformed'), ('X:1', NULL, NULL, NULL, 'malformed')) AS t(raw, id, source, api_id, error)")
+@query("SELECT * FROM (VALUES ('openapi_new:15000001', 'openapi_new:15000001', 'openapi_new', '15000001', NULL), ('15000001', 'openapi_new:15000001', 'openapi_new', '15000001', NULL), ('', NULL, NULL, NULL, 'INVALID_SERVICE_ID'), ('a b', NULL, NULL, NULL, 'INVALID_SERVICE_ID'), ('other:1', NULL, NULL, NULL, 'UNSUPPORTED_SOURCE')) AS t(raw, id, source, api_id, error)")
 def service_ids(spark, d):
-    return values(spark, "('datago:15000001'), ('15000001'), (''), ('a b'), ('X:1')", "raw").select("raw", F.inline(F.array(text.service_id(F.col("raw")))))
+    return values(spark, "('openapi_new:15000001'), ('15000001'), (''), ('a b'), ('other:1')", "raw").select("raw", F.inline(F.array(text.service_id(F.col("raw")))))
 
 
 @query("SELECT page_id, regexp_extract(url, '/([0-9]+)([/.?#]|$)', 1) AS number, 'api_' || replace(replace(replace(url, 'https://', ''), 'http://', ''), '/', '_') AS slug, 'https://www.data.go.kr/data/' || page_id || '/fileData.do' AS portal FROM pages")
