@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 ASCII_WORD = "[a-z0-9]+"
 CJK_RUN = "[가-힣ㄱ-ㆎ一-鿿]+"
 #: What joins two intents of one query.
-CONNECTORS = r"\s*(?:,|/|\+|\n)\s*|\s+(?:및|또는)\s+|(?<=[가-힣])(?:하고|와|과)\s+"
+CONNECTORS = r"\s*[,/+]\s*|\s+(?:및|또는|하고)\s+|(?<=[가-힣])(?:와|과)\s+"
 #: Every character that trims away: \s of Unicode, so that no-break and ideographic spaces count.
 _EDGES = r"(?U)^\s+|\s+$"
 
@@ -45,10 +45,11 @@ def compact(c: Column) -> Column:
 
 
 def intents(c: Column) -> Column:
-    """The whole query first, then its parts of at least two characters, distinct, in order."""
-    whole = trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)[ \t]+", " "))
+    """The whole query, and after it its parts of at least two characters if there are two of them; distinct, in order."""
+    whole = trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
     parts = F.filter(F.transform(F.split(whole, CONNECTORS), trim), lambda p: F.length(p) >= 2)
-    return F.filter(F.array_distinct(F.concat(F.array(whole), parts)), lambda p: p != "")
+    none = F.array().cast("array<string>")
+    return F.when(whole == "", none).when(F.size(parts) < 2, F.array(whole)).otherwise(F.array_distinct(F.concat(F.array(whole), parts)))
 
 
 #: Forms of a service id, and the sources there are.

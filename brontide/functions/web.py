@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brontide.functions.text import trim
 
 #: Hosts that are no external endpoint, and path segments that hint at one.
-EXCLUDED_HOSTS = ("data.go.kr", "www.data.go.kr", "schema.org", "www.w3.org")
+EXCLUDED_HOSTS = ("data.go.kr", "www.data.go.kr", "schema.org", "www.w3.org", "jquery.com")
 ENDPOINT_PATH = r"(?i)/(openapi|api|service|services|rest|open-api|v\d+)\d*(/|$)"
 #: Pages of the portal by type of data.
 PAGES = {"openapi": "openapi.do", "fileData": "fileData.do", "standard": "standard.do"}

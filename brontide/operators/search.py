@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -133,17 +134,18 @@ def hybrid(vector: DataFrame, lexical: DataFrame, id: str, k: int, available: Da
 
 
 def _grams(c: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))
+    return F.array_distinct(F.filter(pairs, lambda g: g != ""))
 
 
 def overlap_ratio(needle: Column, hay: Column) -> Column:
     """The share of the needle's bigrams that hay has."""
-    return F.size(F.array_intersect(_grams(needle), _grams(hay))) / F.size(_grams(needle))
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(_grams(needle), _grams(hay))), F.size(_grams(needle))), F.lit(0.0))
 
 
 def tiered_search(docs: DataFrame, query: str, fields: dict[str, float], id: str, name: str, k: int = 10) -> DataFrame:
     """Weighted field search, filled up by a wider search over all fields when it finds fewer than k: (id, tier, score)."""
-    terms = list(dict.fromkeys(t for t in query.lower().split() if t))
+    terms = [t for t in re.split(r"[\s,，/|]+", query.lower()) if t]
     low = {f: F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields}
 
     def hit(field: str, weight: float, term: str) -> Column:
