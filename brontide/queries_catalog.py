@@ -135,7 +135,7 @@ def split_by_type(spark, d):
     return catalog.split_by_type(table(spark, d, "events"), F.col("event_type"), ["click", "view", "refund"])
 
 
-@query("SELECT r, n AS number FROM (VALUES (1, ' 15000001 ', 'x', 15000001), (2, 'abc', '1234567', 1234567), (3, 'abc', '12', NULL)) AS t(r, a, b, n)")
+@query("SELECT r, n::BIGINT AS number FROM (VALUES (1, ' 15000001 ', 'x', 15000001), (2, 'abc', '1234567', 1234567), (3, 'abc', '12', NULL)) AS t(r, a, b, n)")
 def doc_number(spark, d):
     t = values(spark, "(1, ' 15000001 ', 'x'), (2, 'abc', '1234567'), (3, 'abc', '12')", "r, a, b")
     return t.select("r", files.doc_number(F.col("a"), F.array("a", "b")).alias("number"))
