@@ -39,9 +39,14 @@ TRAINING_PAGES, EPOCHS, BATCH, SEED = 900, 8, 24, 3
 
 #: Elements of HTML that are void, whose content is no text, or that stand inside a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NO_TEXT = frozenset("script style template noscript iframe object svg math canvas textarea select option head title datalist audio video".split())
-RAW = frozenset("script style textarea title iframe noscript template svg math object select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+NO_TEXT = frozenset("script style template noscript iframe object svg annotation annotation-xml mphantom canvas textarea select option head title datalist audio video".split())
+RAW = frozenset("script style textarea title iframe noscript template select".split())
+_MATH = "math annotation annotation-xml maction menclose merror mfenced mfrac mglyph mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics"
+#: Elements that hide their content only where they have an end tag.
+HIDES = frozenset("svg object annotation annotation-xml mphantom".split())
+INLINE = frozenset(f"a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr {_MATH}".split())
+#: Elements that may stand in head; another one, or text, ends it.
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 #: Which open elements an opening tag closes, and where the search for one ends.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -56,6 +61,7 @@ _P_SCOPE = frozenset("table td th button object html body".split())
 
 # Possessive throughout, and no "<" outside quotes: an unfinished tag is given up at the next "<", so scanning stays linear.
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*+>?|<\?[^>]*+>?|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_HIDES = re.compile(rf"<!--.*?(?:-->|$)|<(/?)({'|'.join(sorted(HIDES))})(?=[\s/>])((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _PARTS = re.compile(r"[a-z]+|\d+")
 _SPACE = re.compile(r"\s+")
@@ -78,6 +84,22 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     return (tag, *(f".{w}" for w in words))
 
 
+def _ended(page: str) -> set[int]:
+    """Where the elements of HIDES start that have an end tag."""
+    ended: set[int] = set()
+    opened: dict[str, list[int]] = {tag: [] for tag in HIDES}
+    for m in _HIDES.finditer(page):
+        if m[2] is None:
+            continue
+        starts = opened[m[2].lower()]
+        if not m[1]:
+            if not m[3].endswith("/") or m[2].lower() == "object":
+                starts.append(m.start())
+        elif starts:
+            ended.add(starts.pop())
+    return ended
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in page order, character references decoded and white space made one space."""
     out: list[Block] = []
@@ -106,11 +128,14 @@ def blocks(page: str) -> list[Block]:
 
     def say(text: str) -> None:
         nonlocal linked
+        if silent and stack and stack[-1][0] == "head" and text.lstrip()[:1] not in ("", "<"):  # not what is left of a broken tag
+            pop(len(stack) - 1)
         if text and not silent:
             pieces.append(text)
             if anchors:
                 linked += len(text)
 
+    ended: set[int] | None = None
     at, low = 0, page.lower() if any(f"<{r}" in page or f"<{r.upper()}" in page for r in RAW) else ""
     while True:
         m = _TAG.search(page, at) if page.find(">", at) >= 0 or page.find("<!", at) >= 0 else None
@@ -134,6 +159,8 @@ def blocks(page: str) -> list[Block]:
                 if tag in INLINE and stack[k][0] not in INLINE:
                     break
             continue
+        if held["head"] > 0 and tag not in IN_HEAD:
+            pop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "head"))
         if tag not in INLINE:
             flush()
         if tag in _CLOSES_P:
@@ -155,8 +182,14 @@ def blocks(page: str) -> list[Block]:
             if tag in ("br", "hr", "wbr", "img") and tag != "wbr":
                 say(" ")
             continue
-        if m[3].rstrip().endswith("/") and tag in ("svg", "math", "path"):
+        if m[3].rstrip().endswith("/") and (tag in ("svg", "math", "path") or held["svg"] > 0 or held["math"] > 0):
+            continue
+        if tag == "head" and held["head"] > 0:
             continue
+        if tag in HIDES:
+            ended = _ended(page) if ended is None else ended
+            if m.start() not in ended:
+                continue
         stack.append((tag, _names(tag, m[3])))
         held[tag] += 1
         silent += tag in NO_TEXT

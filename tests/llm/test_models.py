@@ -208,6 +208,29 @@ def test_main_text_of_odd_pages(spark):
     assert html_extraction.extract_main_text(df.limit(0)).count() == 0
 
 
+HEADS = ["<!doctype html><html><head><meta charset=utf-8><title>T</title>{}<body>", "<html><head><title>T</title><link rel=x>{}", "<html><head><script>var a = '<p>';</script></head>{}<body>", "<head><title>T</title><head>{}<body class=x>"]
+
+
+@pytest.mark.parametrize("head", HEADS)
+def test_head_ends_without_its_end_tag(head):
+    page = head.format("") + "<article><h1>Name</h1><p>One two three four five.</p></article></body></html>"
+    assert [b.text for b in html_extraction.blocks(page)] == ["Name", "One two three four five."]
+
+
+def test_text_ends_head():
+    assert [b.text for b in html_extraction.blocks("<head><title>T</title>\n <!-- c -->Plain text<p>More")] == ["Plain text", "More"]
+
+
+def test_math_is_read_in_place_and_nothing_unclosed_hides_the_rest():
+    texts = lambda page: [b.text for b in html_extraction.blocks(page)]
+    tex = '<annotation encoding="application/x-tex">\\alpha</annotation>'
+    assert texts(f"<p>Let <math display=block><semantics><mrow><mi>x</mi><mspace/><mo>=</mo><mn>2</mn></mrow>{tex}</semantics></math> hold.</p><p>Next") == ["Let x=2 hold.", "Next"]
+    for tag in ("svg", "math", "object data='x'", "SVG viewBox='0 0 1 1'"):
+        assert texts(f"<div><{tag}><p>One.</p></div><p>Two.</p>") == ["One.", "Two."]
+    assert texts("<p>a</p><svg><g><title>t</title><path d='x'/><text>hidden</text></g></svg><object><p>hidden</p></object><p>b</p>") == ["a", "b"]
+    assert texts("<object><p>One.</p><object><p>hidden</p></object><svg/><p>Two.</p><!-- </object> -->") == ["One.", "Two."]
+
+
 def test_gradients_of_the_labeller():
     source = html_extraction.Layouts(8)
     made = [x for x in (source.page() for _ in range(4)) if x[0]]
