@@ -2,7 +2,8 @@
 
 A page becomes the sequence of its leaf blocks: runs of text between the starts
 and ends of block-level elements.  A block's vector is made of the hashed tokens
-of its tag path (tags, classes, ids, roles), its hashed words, and a few figures.
+of its whole tag path (tags, classes, ids, roles), all its hashed words, and a few
+figures.
 A bidirectional LSTM in numpy reads the whole sequence, so each block is labelled
 in the context of the whole page; blocks labelled as main text are joined.
 
@@ -31,8 +32,6 @@ from pyspark.sql import types as T
 from brontide.llm.common import small_batches, with_columns
 
 PATH_BUCKETS, WORD_BUCKETS = 1024, 512
-#: Innermost elements that count for a block's path.
-DEEPEST = 64
 PATH_DIM, WORD_DIM, FIGURES, HIDDEN = 16, 8, 8, 16
 INPUT = PATH_DIM + WORD_DIM + FIGURES
 TRAINING_PAGES, EPOCHS, BATCH, SEED = 900, 8, 24, 3
@@ -68,9 +67,46 @@ _SPACE = re.compile(r"\s+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+class Step:
+    """An open element of a block's path: its tokens, and the step above it.  Blocks share the steps they have in common."""
+
+    __slots__ = ("above", "names", "size")
+
+    def __init__(self, above: Step | None, names: tuple[str, ...]):
+        self.above, self.names, self.size = above, names, len(names) + (above.size if above else 0)
+
+
+@dataclass
+class Paths:
+    """The steps of a page's paths, each after the one above it, and the step that each block stands in."""
+
+    buckets: list[list[int]]
+    above: list[int]  # -1 without one
+    at: np.ndarray
+    size: np.ndarray  # tokens on each block's path
+
+    def sums(self, embedding: np.ndarray) -> np.ndarray:
+        """For each block the sum of its whole path's embeddings; a step adds its own to the sum above it."""
+        starts = np.concatenate(([0], np.cumsum([len(b) for b in self.buckets])[:-1]))
+        out = np.add.reduceat(embedding[[v for b in self.buckets for v in b]], starts, axis=0)
+        for i, a in enumerate(self.above):
+            if a >= 0:
+                out[i] += out[a]
+        return out[self.at]
+
+    def add_back(self, to: np.ndarray, d: np.ndarray) -> None:
+        """Adds to `to`, by bucket, what sums() passes back for d, one row for each block."""
+        back = np.zeros((len(self.above), d.shape[1]), d.dtype)
+        np.add.at(back, self.at, d)
+        for i in range(len(self.above) - 1, -1, -1):
+            if self.above[i] >= 0:
+                back[self.above[i]] += back[i]
+        np.add.at(to, [v for b in self.buckets for v in b], np.repeat(back, [len(b) for b in self.buckets], axis=0))
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    path: Step | None
     text: str
     linked: int
     depth: int
@@ -103,7 +139,7 @@ def _ended(page: str) -> set[int]:
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in page order, character references decoded and white space made one space."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Step | None, int]] = []  # with the innermost element that is not inline, and how many of those there are
     pieces: list[str] = []
     held: Counter[str] = Counter()  # open elements by tag, so that no end tag searches the stack in vain
     linked = silent = anchors = 0
@@ -113,8 +149,8 @@ def blocks(page: str) -> list[Block]:
         if pieces:
             text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
             if text:
-                path = tuple(n for tag, names in stack[-DEEPEST:] if tag not in INLINE for n in names)
-                out.append(Block(path, text, linked, len(stack)))
+                _, step, depth = stack[-1] if stack else ("", None, 0)
+                out.append(Block(step, text, linked, depth))
             pieces.clear()
         linked = 0
 
@@ -190,7 +226,8 @@ def blocks(page: str) -> list[Block]:
             ended = _ended(page) if ended is None else ended
             if m.start() not in ended:
                 continue
-        stack.append((tag, _names(tag, m[3])))
+        _, step, depth = stack[-1] if stack else ("", None, 0)
+        stack.append((tag, step, depth) if tag in INLINE else (tag, Step(step, _names(tag, m[3])), depth + 1))
         held[tag] += 1
         silent += tag in NO_TEXT
         anchors += tag == "a"
@@ -206,16 +243,35 @@ def _bucket(token: str, most: int) -> int:
     return zlib.crc32(token.encode("utf-8", "replace")) % most
 
 
-def page_features(found: list[Block]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-    """Path buckets, word buckets and figures of each block of a page."""
-    paths = [[_bucket(t, PATH_BUCKETS) for t in b.path] or [0] for b in found]
+def page_paths(found: list[Block]) -> Paths:
+    """The paths of a page's blocks; one without elements counts as bucket 0."""
+    place: dict[Step | None, int] = {}
+    buckets: list[list[int]] = []
+    above: list[int] = []
+    for b in found:
+        new, step = [], b.path
+        while step not in place:
+            new.append(step)
+            if step is None or step.above is None:
+                break
+            step = step.above
+        for step in reversed(new):
+            place[step] = len(above)
+            above.append(-1 if step is None or step.above is None else place[step.above])
+            buckets.append([0] if step is None else [_bucket(t, PATH_BUCKETS) for t in step.names])
+    return Paths(buckets, above, np.array([place[b.path] for b in found], np.int64), np.array([b.path.size if b.path else 1 for b in found]))
+
+
+def page_features(found: list[Block]) -> tuple[Paths, list[list[int]], np.ndarray]:
+    """Paths, buckets of all words, and figures of each block of a page."""
+    paths = page_paths(found)
     words, figures = [], np.zeros((len(found), FIGURES), np.float32)
     n = len(found)
     for i, b in enumerate(found):
-        w = b.text.split()
-        words.append([zlib.crc32(x.lower().encode("utf-8", "replace")) % WORD_BUCKETS for x in w[:64]])
+        w = b.text.lower().split()
+        words.append([_bucket(x, WORD_BUCKETS) for x in w])
         size = len(b.text)
-        figures[i] = (math.log1p(size) / 6, math.log1p(len(w)) / 5, min(1.0, b.linked / size), (i + 1) / n, math.log1p(i) / 5, math.log1p(n - i) / 5, b.depth / 10, b.text[-1] in ".!?…")
+        figures[i] = (math.log1p(size) / 6, math.log1p(len(w)) / 5, min(1.0, b.linked / size), (i + 1) / n, math.log1p(i) / 5, math.log1p(n - i) / 5, math.log1p(b.depth) / 5, b.text[-1] in ".!?…")
     return paths, words, figures
 
 
@@ -245,13 +301,13 @@ class Labeller:
             n = len(figures)
             mask[:n, k] = 1
             x[:n, k, PATH_DIM + WORD_DIM :] = figures
-            for name, lists, cols in (("path", paths, slice(0, PATH_DIM)), ("word", words, slice(PATH_DIM, PATH_DIM + WORD_DIM))):
-                sizes = np.array([len(w) for w in lists])
-                some = np.flatnonzero(sizes)
-                if len(some):
-                    flat = np.array([v for w in lists for v in w])
-                    sums = np.add.reduceat(self.p[name][flat], np.concatenate(([0], np.cumsum(sizes[some])[:-1])), axis=0)
-                    x[some, k, cols] = sums / (np.sqrt(sizes[some]) if name == "path" else sizes[some])[:, None]
+            x[:n, k, :PATH_DIM] = paths.sums(self.p["path"]) / np.sqrt(paths.size)[:, None]
+            sizes = np.array([len(w) for w in words])
+            some = np.flatnonzero(sizes)
+            if len(some):
+                flat = np.array([v for w in words for v in w])
+                sums = np.add.reduceat(self.p["word"][flat], np.concatenate(([0], np.cumsum(sizes[some])[:-1])), axis=0)
+                x[some, k, PATH_DIM : PATH_DIM + WORD_DIM] = sums / sizes[some][:, None]
         return x, mask, []
 
     def scan(self, x: np.ndarray, mask: np.ndarray, side: str, keep: bool = False) -> tuple[np.ndarray, list]:
@@ -310,10 +366,10 @@ class Labeller:
                 dh = dz @ wh.T + (1 - m) * dh
                 dc = dcn * f + (1 - m) * dc
         for k, (paths, words, _) in enumerate(pages):
-            for name, lists, cols in (("path", paths, slice(0, PATH_DIM)), ("word", words, slice(PATH_DIM, PATH_DIM + WORD_DIM))):
-                for t, w in enumerate(lists):
-                    if w:
-                        np.add.at(g[name], w, dx[t, k, cols] / (math.sqrt(len(w)) if name == "path" else len(w)))
+            paths.add_back(g["path"], dx[: len(words), k, :PATH_DIM] / np.sqrt(paths.size)[:, None])
+            for t, w in enumerate(words):
+                if w:
+                    np.add.at(g["word"], w, dx[t, k, PATH_DIM : PATH_DIM + WORD_DIM] / len(w))
         return g, loss
 
     def label(self, pages: list[list[Block]], batch: int = 64) -> list[np.ndarray]:
@@ -365,6 +421,11 @@ class Layouts:
     def wrap(self, opening: str, inner: list) -> list:
         return [f"<{opening}>", *inner, f"</{opening.split()[0]}>"]
 
+    def nest(self, inner: list) -> list:
+        """inner in as many plain containers as deep pages have; few mostly, up to 100."""
+        n = int(math.exp(self.r.uniform(0, math.log(100))))
+        return ["<div>" * n, *inner, "</div>" * n]
+
     def leaf(self, label: int, tag: str, text: str) -> list:
         end = "" if tag in ("p", "li") and self.r.random() < 0.15 else f"</{tag.split()[0]}>"
         return [f"<{tag}>", (text, label), end]
@@ -420,7 +481,7 @@ class Layouts:
                 body += self.boiler()
         if r.random() < 0.25:
             body = self.wrap(self.pick(("div", "section", 'div class="body"', 'div class="text"')), body)
-        return self.wrap(self.pick(self.MAIN), body)
+        return self.wrap(self.pick(self.MAIN), self.nest(body) if r.random() < 0.15 else body)
 
     def page(self) -> tuple[list[Block], np.ndarray]:
         r = self.r
@@ -435,6 +496,8 @@ class Layouts:
             parts += main
         for _ in range(r.integers(0, 5)):
             parts += self.boiler()
+        if r.random() < 0.15:
+            parts = self.nest(parts)
         # A mark in the text carries the label through the parser.
         page = "".join(x if isinstance(x, str) else f"\x01{x[1]}{x[0]}" for x in parts)
         if r.random() < 0.5:

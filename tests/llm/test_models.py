@@ -231,6 +231,43 @@ def test_math_is_read_in_place_and_nothing_unclosed_hides_the_rest():
     assert texts("<object><p>One.</p><object><p>hidden</p></object><svg/><p>Two.</p><!-- </object> -->") == ["One.", "Two."]
 
 
+@pytest.mark.parametrize("between", ["<b>" * 70, "<font size=1>" * 200, "<div>" * 100])
+def test_far_ancestors_count(between):
+    model = html_extraction.trained_labeller()
+    page = "<nav><ul><li><a href=x>Home</a></ul></nav><article>{0}<p>One two three four five six seven eight.<p>Nine ten eleven twelve, and some more.</article><footer>{0}<p>All rights reserved by the owners of this page.</footer>"
+    vectors = [model.inputs([html_extraction.page_features(html_extraction.blocks(page.format(between).replace(was, "div")))])[0] for was in ("none", "article")]
+    assert (np.abs(vectors[0] - vectors[1])[1:3, 0, : html_extraction.PATH_DIM].max(axis=1) > 1e-3).all()
+    if "div" not in between:  # elements inside a line of text change no vector but by the figures of the text
+        assert html_extraction.main_texts([page.format(between)], model) == html_extraction.main_texts([page.format("")], model) == ["One two three four five six seven eight.\n\nNine ten eleven twelve, and some more."]
+
+
+@pytest.mark.parametrize("tag", ["<body>", "<article>"])
+def test_main_text_of_deep_pages(spark, tag):
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").limit(100).collect()]
+    got = html_extraction.main_texts([p.replace(tag, tag + "<div>" * 70) for p in pages], html_extraction.trained_labeller())
+    assert sum(g == article_of(p) for g, p in zip(got, pages, strict=True)) >= 0.95 * len(pages)
+
+
+def test_all_words_of_a_block_count():
+    model = html_extraction.trained_labeller()
+    x, y = (model.inputs([html_extraction.page_features(html_extraction.blocks(f"<p>{'a ' * 100}{last}"))])[0][0, 0, html_extraction.PATH_DIM : html_extraction.PATH_DIM + html_extraction.WORD_DIM] for last in ("words", "other"))
+    assert np.abs(x - y).max() > 0
+
+
+def test_path_sums_like_the_plain_sum_and_linear():
+    found = html_extraction.blocks("top<div class='a b'><p>x<p>y<ul><li>z</ul></div>" + "<div id=c>t" * 3000)
+    table = np.random.default_rng(0).normal(size=(html_extraction.PATH_BUCKETS, 2))
+    paths = html_extraction.page_paths(found)
+    assert len(paths.above) < 3010
+    for b, got, size in zip(found, paths.sums(table), paths.size, strict=True):
+        tokens, step = [], b.path
+        while step:
+            tokens += step.names
+            step = step.above
+        want = [zlib.crc32(t.encode()) % html_extraction.PATH_BUCKETS for t in tokens] or [0]
+        assert size == len(want) and np.allclose(got, table[want].sum(axis=0))
+
+
 def test_gradients_of_the_labeller():
     source = html_extraction.Layouts(8)
     made = [x for x in (source.page() for _ in range(4)) if x[0]]
