@@ -1,15 +1,18 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of the text, or a run of up to `span` lines that follow each
-other, so that a template wrapped over lines is found too.  A block matches a
-template if it contains at least a share `least` of the template's tokens.
+A block is a line of the text, a run of up to `span` lines that follow each
+other, or a run of words twice as long as the template, wherever its lines end:
+a template is found however it is wrapped, also with a mark or a number beside
+each of its words.  Lines without words don't count.  A block matches a template
+if it contains at least a share `least` of the template's tokens.
 
 The join is exact and driven by filters, in this order:
 
 * tokens are ordered globally by how many documents have them, rarest first;
 * prefix filter: a block that holds ceil(least * n) of a template's n tokens
   holds at least one of the rarest n - ceil(least * n) + 1 of them, so only
-  lines with such a token are looked at, through an index from those tokens;
+  lines with such a token, and texts, are looked at, through an index from those
+  tokens;
 * length filter: a block with fewer distinct tokens than ceil(least * n) can't;
 * positional filter: the tokens seen when a prefix token is met, and those still
   to come after its position in the template, must be able to reach the bound.
@@ -67,6 +70,7 @@ class Template:
     label: str
     order: list[bytes]  # distinct tokens, rarest first
     need: int
+    window: int  # words of the blocks that don't heed lines
 
     @property
     def prefix(self) -> list[bytes]:
@@ -80,9 +84,9 @@ class Matcher:
         self.span = max(1, span)
         self.templates = []
         for label, text in sorted(templates.items()):
-            order = sorted(set(tokens(text)), key=lambda w: (frequency.get(w, 0), w))
+            order = sorted(set(words := tokens(text)), key=lambda w: (frequency.get(w, 0), w))
             if order:
-                self.templates.append(Template(label, order, max(1, math.ceil(least * len(order) - 1e-9))))
+                self.templates.append(Template(label, order, max(1, math.ceil(least * len(order) - 1e-9)), 2 * len(words)))
         self.places = [{w: i for i, w in enumerate(t.order)} for t in self.templates]
         self.index: dict[bytes, list[int]] = {}
         for i, t in enumerate(self.templates):
@@ -91,6 +95,7 @@ class Matcher:
 
     def best(self, lines: list[bytes]) -> dict[str, float]:
         """For each template that some block contains enough of, the largest share contained.  lines: lowered, words apart."""
+        lines = [line for line in lines if line.strip()]
         keys = self.index.keys()
         hit: dict[int, set[int]] = {}
         sets: dict[int, set[bytes]] = {}
@@ -102,6 +107,12 @@ class Matcher:
                     for t in self.index[w]:
                         hit.setdefault(t, set()).add(i)
         out: dict[str, float] = {}
+        words = [w for line in lines for w in line.split()] if hit else []
+        present = set(words)
+        for t in hit:
+            share = self._share_of_words(t, words, present)
+            if share:
+                out[self.templates[t].label] = share
         for t, at in hit.items():
             for start in sorted({max(0, i - k) for i in at for k in range(self.span)}):
                 share = self._share(t, lines, sets, start)
@@ -110,6 +121,25 @@ class Matcher:
                     out[label] = max(out.get(label, 0.0), share)
         return out
 
+    def _share_of_words(self, t: int, words: list[bytes], present: set[bytes]) -> float:
+        """The largest share of template t in the runs of its window's words, 0 if none is enough."""
+        template, place = self.templates[t], self.places[t]
+        if len(place.keys() & present) < template.need:  # length filter
+            return 0.0
+        at = [i for i, w in enumerate(words) if w in place]
+        held: dict[bytes, int] = {}
+        best = first = 0
+        for i in at:
+            held[words[i]] = held.get(words[i], 0) + 1
+            while i - at[first] >= template.window:
+                w = words[at[first]]
+                held[w] -= 1
+                if not held[w]:
+                    del held[w]
+                first += 1
+            best = max(best, len(held))
+        return best / len(place) if best >= template.need else 0.0
+
     def _share(self, t: int, lines: list[bytes], sets: dict[int, set[bytes]], start: int) -> float:
         """The largest share of template t in the blocks that start at a line, 0 if none is enough."""
         template, place = self.templates[t], self.places[t]

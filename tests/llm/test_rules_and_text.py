@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -250,3 +251,24 @@ def test_license_scan_of_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300)
     for r in licenses.license_scan(docs).collect():
         assert tuple(r[c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")) == model_license(r["text"])
+
+
+def test_license_scan_however_lines_end(spark):
+    bsd, mit = licenses.TEMPLATES["bsd"], licenses.TEMPLATES["mit-text"]
+    wrapped = ["\n".join(textwrap.wrap(t, w, break_long_words=False)) for t in (bsd, mit) for w in (40, 16, 1)]
+    texts = [*wrapped, *(t.replace("\n", "\n\n \n") for t in wrapped), *("x y z " * 99 + "\ndnl " + t.replace("\n", "\ndnl ") + " more\n" + "x y z " * 99 for t in wrapped)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in licenses.license_scan(docs).collect():
+        assert (r["labels"], r["score"], r["base_labels"]) == ("bsd" if r["doc_id"] % 6 < 3 else "mit-text", 1.0, ""), r["text"]
+    # Words that stand far from each other are no block.
+    apart = spark.createDataFrame([(1, "\n".join(f"{w} a b c d\ne f g" for w in bsd.split()))], "doc_id int, text string")
+    assert licenses.license_scan(apart).first()["labels"] == ""
+
+
+def test_windows_like_brute_force():
+    rng = random.Random(5)
+    for _ in range(300):
+        words = [rng.choice("abcdefgx").encode() for _ in range(rng.randrange(1, 40))]
+        m = licenses.Matcher({"t": "a b c d a"}, {}, 0.75, 1)
+        want = max(len(set(words[i : i + 10]) & {b"a", b"b", b"c", b"d"}) for i in range(len(words))) / 4
+        assert m.best(words) == ({"t": want} if want >= 0.75 else {})
