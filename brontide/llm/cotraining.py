@@ -2,9 +2,11 @@
 
 The text view sees figures of the whole text, the metadata view sees only a
 document's other columns.  Both start from a bounded sample of labelled rows.
-In each round each view scores every unlabelled document, and its most confident
-ones, with the view's verdict as a pseudo-label, join the *other* view's training
-set.  Each view is then calibrated on labelled rows kept out of training, and a
+Unlabelled documents with equal figures are one, with a weight.  In each round
+each view scores all of them, and its most confident ones, with the view's verdict
+as a pseudo-label, join the *other* view's training set and stay there; they are
+not handed on again.  How many are handed on grows with the unlabelled documents.
+Each view is then calibrated on labelled rows kept out of training, and a
 logistic combination of the two calibrated views scores all documents.
 
 A view earns the right to teach: it hands out only pseudo-labels whose
@@ -12,8 +14,9 @@ calibrated confidence is at least `confident`, so a view that the labels show to
 know little teaches nothing.
 
 Texts are read twice: once for the figures, which go to the shared folder, and
-once when documents are scored.  The driver holds the bounded sample and the two
-linear models.
+once when documents are scored.  The driver holds the bounded sample, histograms
+of confidence and the two linear models; of the rows handed on it sees only sums,
+with which Newton's method goes on.
 """
 
 from __future__ import annotations
@@ -34,8 +37,9 @@ from brontide.llm.common import least_by_hash, small_batches, stored, with_colum
 #: Labelled rows that are fitted on, at most.
 SAMPLE = 20_000
 ROUNDS = 3
-#: Pseudo-labels of each class that a view hands to the other in a round, at most.
+#: Pseudo-labels of each class that a view hands to the other in a round, about: so many for each PER distinct unlabelled rows, and for fewer.
 TAUGHT = 200
+PER = 10_000
 CONFIDENT = 0.95
 SHAPES = 32
 META = 64
@@ -223,50 +227,175 @@ def fit_cotraining(
     if not (0 < y[~out].mean() < 1):
         out[:] = False
     held = out if 0 < y[out].sum() < out.sum() else np.ones(len(y), bool)
-    xs, ms, ys = [x[~out], x[~out]], [m[~out], m[~out]], [y[~out], y[~out]]
-
-    def fitted() -> tuple[Linear, Linear]:
-        return Linear.fit(xs[0], ys[0]).calibrate(x[held], y[held]), Linear.fit(ms[1], ys[1]).calibrate(m[held], y[held])
-
-    t, k = fitted()
-    rest = views.join(known.select("id"), "id", "left_anti")
+    t, k = (Linear.fit(v[~out], y[~out]).calibrate(v[held], y[held]) for v in (x, m))
+    pool = stored(views.join(known.select("id"), "id", "left_anti").groupBy("x", "m").agg(F.count("*").alias("n")).withColumn("u", F.pmod(F.xxhash64("x", "m"), F.lit(1 << 20)) / (1 << 20)))
+    rules: list[Rule] = []
+    handed: DataFrame | None = None
     report: list[tuple[int, int]] = []
     for _ in range(rounds):
-        new = _confident(rest, t, k, taught, confident)
-        if not new:
+        cuts = _cuts(pool, rules, t, k, taught, confident)
+        if not cuts:
             break
-        nx, nm = (np.array([r[c] for r in new], np.float32) for c in "xm")
-        pt, pk = np.array([r["t"] for r in new]), np.array([r["k"] for r in new])
-        by_text, by_meta = np.maximum(pt, 1 - pt) >= confident, np.maximum(pk, 1 - pk) >= confident
-        report.append((int(by_text.sum()), int(by_meta.sum())))
-        # The metadata view learns what the text view is sure of, and the other way round.
-        ms[1], ys[1] = np.concatenate([m[~out], nm[by_text]]), np.concatenate([y[~out], (pt[by_text] > 0.5).astype(float)])
-        xs[0], ys[0] = np.concatenate([x[~out], nx[by_meta]]), np.concatenate([y[~out], (pk[by_meta] > 0.5).astype(float)])
-        t, k = fitted()
+        rules.append(Rule(t, k, confident, cuts))
+        new = stored(_taught(pool, list(rules)))
+        report.append(tuple(new.agg(F.expr("count_if(by_text >= 0)"), F.expr("count_if(by_meta >= 0)")).first()))
+        handed = new if handed is None else handed.unionByName(new)
+        t, k = (f.calibrate(v[held], y[held]) for f, v in zip(_refit(handed, (x[~out], m[~out]), y[~out], (t, k)), (x, m), strict=True))
     pair = np.stack([t.logit(x), k.logit(m)], axis=1)[held]
     both = Linear.fit(pair, y[held], 1e-3, np.full(int(held.sum()), 1 / held.sum()))
     return CoTrained(t, k, both, names, report)
 
 
-def _confident(rest: DataFrame, t: Linear, k: Linear, taught: int, confident: float) -> list:
-    """The rows of rest that either view is surest of, for each class at most `taught`; ties by a hash of the id."""
+@dataclass
+class Rule:
+    """What the views hand on in a round: by view and class, the least step of confidence, and the share of that step's rows."""
+
+    text: Linear
+    meta: Linear
+    confident: float
+    cuts: dict[tuple[int, int], tuple[int, float]]
+
+    def picks(self, x: np.ndarray, m: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The class that the text view, and the metadata view, hands each row on with; -1 for rows that it doesn't."""
+        out = []
+        for v, (model, a) in enumerate(((self.text, x), (self.meta, m))):
+            c, step = _steps(model, a, self.confident)
+            got = np.full(len(a), -1)
+            for (view, k), (cut, share) in self.cuts.items():
+                if view == v:
+                    got[(c == k) & ((step > cut) | (step == cut) & (u < share))] = k
+            out.append(got)
+        return out[0], out[1]
+
+
+def _steps(model: Linear, a: np.ndarray, confident: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the class that a view is sure of, -1 where it isn't, and its confidence in 128ths of the log odds, up to 30."""
+    z, p = model.logit(a), model.prob(a)
+    return np.where(np.maximum(p, 1 - p) >= confident, (p > 0.5).astype(int), -1), (np.minimum(np.abs(z), 30) * 128).astype(np.int64)
+
+
+def _rows(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The columns x and m of a batch as matrices."""
+    return tuple(b.column(b.schema.names.index(c)).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, d) for c, d in (("x", 12 + SHAPES), ("m", META)))
+
+
+def _number(b: pa.RecordBatch, name: str) -> np.ndarray:
+    return b.column(b.schema.names.index(name)).to_numpy(zero_copy_only=False)
+
+
+def _left(rules: list[Rule], x: np.ndarray, m: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Which rows no rule hands on."""
+    left = np.ones(len(u), bool)
+    for r in rules:
+        by_text, by_meta = r.picks(x, m, u)
+        left &= (by_text < 0) & (by_meta < 0)
+    return left
+
+
+def _cuts(pool: DataFrame, rules: list[Rule], t: Linear, k: Linear, taught: int, confident: float) -> dict[tuple[int, int], tuple[int, float]]:
+    """Where the surest rows of each view and class begin, from a histogram; empty if no view is sure of any row that is left."""
 
     def run(batches):
+        n: dict[tuple[int, int, int], int] = {}
         for b in batches:
-            x = np.array(b.column(1).to_pylist(), np.float32).reshape(-1, len(t.w))
-            m = np.array(b.column(2).to_pylist(), np.float32).reshape(-1, len(k.w))
-            yield with_columns(b, ["t", "k"], [pa.array(t.prob(x)), pa.array(k.prob(m))])
-
-    schema = T.StructType([*rest.schema, T.StructField("t", T.DoubleType()), T.StructField("k", T.DoubleType())])
-    scored = rest.mapInArrow(run, schema)
-    parts = []
-    for c in "tk":
-        for order, sure in ((F.col(c).desc(), F.col(c) >= confident), (F.col(c).asc(), F.col(c) <= 1 - confident)):
-            parts.append(scored.filter(sure).orderBy(order, F.md5(F.coalesce("id", F.lit("")).cast("binary"))).limit(taught))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return found.dropDuplicates(["id"]).collect()
+            x, m = _rows(b)
+            left = _left(rules, x, m, _number(b, "u"))
+            n[2, 0, 0] = n.get((2, 0, 0), 0) + b.num_rows
+            for v, (model, a) in enumerate(((t, x[left]), (k, m[left]))):
+                c, step = _steps(model, a, confident)
+                for key, count in zip(*np.unique(c * 4096 + step, return_counts=True), strict=True):
+                    if key >= 0:
+                        at = (v, int(key) // 4096, int(key) % 4096)
+                        n[at] = n.get(at, 0) + int(count)
+        yield pa.RecordBatch.from_arrays([*(pa.array([key[i] for key in n], pa.int32()) for i in range(3)), pa.array(list(n.values()), pa.int64())], ["v", "c", "step", "n"])
+
+    counts = {(r["v"], r["c"], r["step"]): r["n"] for r in pool.mapInArrow(run, "v int, c int, step int, n bigint").groupBy("v", "c", "step").agg(F.sum("n").alias("n")).collect()}
+    most = math.ceil(taught * max(1.0, counts.pop((2, 0, 0), 0) / PER))
+    cuts: dict[tuple[int, int], tuple[int, float]] = {}
+    total: dict[tuple[int, int], int] = {}
+    for v, c, step in sorted(counts, reverse=True):
+        held = total.get((v, c), 0)
+        if held < most:
+            cuts[v, c] = (step, min(1.0, (most - held) / counts[v, c, step]))
+        total[v, c] = held + counts[v, c, step]
+    return cuts
+
+
+def _taught(pool: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows that the last rule hands on and none before it, with the class that each view gives them, -1 for none."""
+
+    def run(batches):
+        for b in batches:
+            x, m = _rows(b)
+            u = _number(b, "u")
+            by_text, by_meta = rules[-1].picks(x, m, u)
+            mine = _left(rules[:-1], x, m, u) & ((by_text >= 0) | (by_meta >= 0))
+            yield with_columns(b, ["by_text", "by_meta"], [pa.array(by_text, pa.int32()), pa.array(by_meta, pa.int32())]).filter(pa.array(mine))
+
+    return pool.mapInArrow(run, T.StructType([*pool.schema, T.StructField("by_text", T.IntegerType()), T.StructField("by_meta", T.IntegerType())]))
+
+
+def _moments(x: np.ndarray, y: np.ndarray, weight: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """For each class a row: the sum of weights, the log loss at theta, its gradient and its curvature."""
+    a = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
+    z = a @ theta
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    out = []
+    for c in (0, 1):
+        w = weight * (y == c)
+        out.append(np.concatenate(([w.sum(), w @ np.logaddexp(0, -z if c else z)], a.T @ (w * (p - c)), ((a * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ a).ravel())))
+    return np.stack(out)
+
+
+def _refit(handed: DataFrame, labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, start: tuple[Linear, Linear], l2: float = 1e-3) -> list[Linear]:
+    """Linear.fit of both views on the labelled rows and those that the other view handed on, from sums over the latter."""
+    thetas = [np.append(f.w, f.b) for f in start]
+    shapes = [(2, 2 + len(f) + len(f) ** 2) for f in thetas]
+    best: list[tuple[np.ndarray, float] | None] = [None, None]
+
+    def over(sums):
+        yield pa.RecordBatch.from_arrays([pa.array([sums], pa.list_(pa.float64()))], ["s"])
+
+    def added(batches):
+        total = np.zeros(sum(a * b for a, b in shapes))
+        for b in batches:
+            total += b.column(0).flatten().to_numpy().reshape(b.num_rows, -1).sum(axis=0)
+        yield from over(total)
+
+    for _ in range(30):
+        here = [f.copy() for f in thetas]
+
+        def run(batches, here=here):
+            total = [np.zeros(s) for s in shapes]
+            for b in batches:
+                n = _number(b, "n").astype(np.float64)
+                for i, (a, by) in enumerate(zip(_rows(b), ("by_meta", "by_text"), strict=True)):
+                    c = _number(b, by)
+                    if (c >= 0).any():
+                        total[i] += _moments(a[c >= 0], c[c >= 0], n[c >= 0], here[i])
+            yield from over(np.concatenate([s.ravel() for s in total]))
+
+        parts = handed.mapInArrow(run, "s array<double>").repartition(4).mapInArrow(added, "s array<double>").collect()
+        far = np.sum([r["s"] for r in parts], axis=0)
+        moved, at = 0.0, 0
+        for i, (x, shape) in enumerate(zip(labelled, shapes, strict=True)):
+            s = _moments(x, y, np.ones(len(y)), thetas[i]) + far[at : at + shape[0] * shape[1]].reshape(shape)
+            at += shape[0] * shape[1]
+            s = (s * (0.5 / np.maximum(1, s[:, :1])))[:, 1:].sum(axis=0)  # classes weigh the same
+            d = len(thetas[i])
+            ridge = np.append(np.full(d - 1, l2), 1e-9)
+            loss = s[0] + (ridge * thetas[i] ** 2).sum() / 2
+            if best[i] and loss > best[i][1] + 1e-9:  # too far: back by half
+                step = (thetas[i] - best[i][0]) / 2
+            else:
+                best[i] = (thetas[i].copy(), loss)
+                step = np.linalg.solve(s[1 + d :].reshape(d, d) + np.diag(ridge), s[1 : 1 + d] + ridge * thetas[i])
+                step *= min(1.0, 5 / max(1e-9, np.abs(step).max()))
+            thetas[i] -= step
+            moved = max(moved, np.abs(step).max())
+        if moved < 1e-4:
+            break
+    return [Linear(f[:-1], float(f[-1])) for f in thetas]
 
 
 def quality_scores(docs: DataFrame, model: CoTrained, text: str = "text", least: float = 0.5, keep_text: bool = True) -> DataFrame:

@@ -60,6 +60,46 @@ def test_views_teach_only_what_they_are_sure_of(docs, labels):
     assert all(a <= 20 and b <= 20 for a, b in model.taught)
 
 
+def pool_of(spark, x, m, n):
+    rows = [(a.tolist(), b.tolist(), int(k), i / len(x)) for i, (a, b, k) in enumerate(zip(x, m, n, strict=True))]
+    return spark.createDataFrame(rows, "x array<float>, m array<float>, n long, u double")
+
+
+def test_what_is_handed_on_grows_stays_and_is_not_handed_on_again(spark, monkeypatch):
+    monkeypatch.setattr(cotraining, "PER", 100)
+    rng = np.random.default_rng(3)
+    x, m = rng.normal(size=(400, 12 + cotraining.SHAPES)).astype(np.float32), rng.normal(size=(400, cotraining.META)).astype(np.float32)
+    n = rng.integers(1, 50, 400)
+    pool = pool_of(spark, x, m, n)
+    t, k = (cotraining.Linear(rng.normal(size=d), 0.0) for d in (12 + cotraining.SHAPES, cotraining.META))
+    rules, parts = [], []
+    for _ in range(2):
+        rules.append(cotraining.Rule(t, k, 0.95, cotraining._cuts(pool, rules, t, k, 5, 0.95)))
+        parts.append(cotraining._taught(pool, rules))
+    first, second = ([tuple(r["x"]) for r in p.collect()] for p in parts)
+    assert not set(first) & set(second) and min(len(first), len(second)) >= 50  # four classes and views, 5 for each 100 of 400 rows
+    # The fit from sums is that of all rows at once, those of weight n written n times.
+    y = (np.arange(40) % 2).astype(float)
+    handed = parts[0].unionByName(parts[1])
+    got = cotraining._refit(handed, (x[:40], m[:40]), y, (t, k))
+    rows = handed.collect()
+    for model, own, c, by in ((got[0], x, "x", "by_meta"), (got[1], m, "m", "by_text")):
+        more = [(r[c], r[by]) for r in rows if r[by] >= 0 for _ in range(r["n"])]
+        want = cotraining.Linear.fit(np.vstack([own[:40], np.array([a for a, _ in more])]), np.concatenate([y, [b for _, b in more]]))
+        assert np.allclose(model.w, want.w, atol=1e-2) and abs(model.b - want.b) < 1e-2
+
+
+def test_copies_take_one_place(spark):
+    good, bad = "This is a plain sentence of many words, and it is fine. ", "$$ ## BUY | NOW !!! && %% "
+    rows = [(i, (good if i % 2 else bad) * (1 + i % 7), "en", "a", 10) for i in range(100)]
+    rows += [(1000 + i, (good if i % 2 else bad) * 3, "en", "a", 10) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    known = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    model = cotraining.fit_cotraining(docs, known, confident=0.6)
+    assert model.taught and sum(a for a, _ in model.taught) <= 2
+    assert all(r["kept"] == (r["doc_id"] % 2 == 1) for r in cotraining.quality_scores(docs, model).collect())
+
+
 def test_newton_fit_finds_the_separator():
     r = np.random.default_rng(1)
     x = r.normal(size=(400, 3))
