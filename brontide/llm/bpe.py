@@ -12,7 +12,9 @@ characters, or take white space alone.  A match that ends there ends there too
 if the text stops, and one that starts there depends on nothing before it, so
 the tokens on either side of the cut are those of the two sides encoded alone.
 A window that finds no cut grows to the whole of that side, so the join is exact
-for every text, a single word of any length included.
+for every text, a single word of any length included; a text without such a
+place (one endless word, or a script that puts no spaces) is then encoded anew at
+every level of the tree, log2(n / LEAF) times in all.
 
 Decoding concatenates the tokens' bytes up the same tree.
 """
@@ -26,9 +28,10 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brontide.llm.common import small_batches, with_columns
+from brontide.llm.common import Plain, appended, small_batches, with_columns
 
 #: Characters a leaf of the tree holds at most, and the first window on either side of a border.
 LEAF = 1 << 13
@@ -42,25 +45,23 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary.  The driver reads the file once; executors get the ranks."""
+    """Encoder and decoder of one vocabulary.  The driver reads the file once; executors get plain ranks and build their own."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF, window: int = WINDOW):
         self.ranks, self.pattern, self.leaf, self.window = ranks, pattern, leaf, window
         self._encoding = None
         self._bytes = None
 
-    def __getstate__(self):
-        return {**self.__dict__, "_encoding": None, "_bytes": None}
+    def plain(self) -> tuple:
+        """What a codec is made from: built-in values, which a worker without this package can read."""
+        return self.ranks, self.pattern, self.leaf, self.window
 
     def _plain(self, text: str) -> np.ndarray:
         if self._encoding is None:
             import tiktoken
 
             self._encoding = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
-        try:
-            return np.asarray(self._encoding._core_bpe.encode_ordinary(text), dtype="<u4")
-        except UnicodeEncodeError:  # a lone surrogate: as the library does, the replacement character
-            return np.asarray(self._encoding._core_bpe.encode_ordinary(text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")), dtype="<u4")
+        return np.asarray(self._encoding.encode_ordinary(text), dtype="<u4")
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text, without special tokens, as unsigned 32-bit integers."""
@@ -115,23 +116,30 @@ class Codec:
         return b"".join(map(self._bytes.__getitem__, ids.tolist()))
 
 
-def encode_documents(docs: DataFrame, codec: Codec, text: str = "text", digest: bool = False, verify: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, codec: Codec, text: str = "text", digest: bool = False, verify: bool = False, keep_text: bool = True) -> DataFrame:
     """docs with n_tokens and ids (array of int) appended; with digest, hashes in place of the ids.
 
     digest: ids_sha256, of the ids as little-endian unsigned 32-bit integers, and
-    decoded_sha256, of the bytes the ids decode to, both as lowercase hex.  Null
-    verify: a column round_trip says whether the ids decode to the text's UTF-8.  Null
-    texts count as empty and have no tokens.  Columns of docs named as an
-    appended one are replaced.  Rows are independent: a lost task is run again.
+    decoded_sha256, of the bytes the ids decode to, both as lowercase hex.
+    verify: round_trip says whether the ids decode to the text's UTF-8.
+
+    Null texts count as empty and have no tokens.  Columns of docs named as an
+    appended one, in any case, are replaced.  Rows are independent: a lost task
+    is run again.
     """
     small_batches(docs.sparkSession, 256)
-    sent = docs.sparkSession.sparkContext.broadcast(codec)  # one vocabulary: its size doesn't depend on docs
+    kinds = {"n_tokens": T.LongType()} | ({"ids_sha256": T.StringType(), "decoded_sha256": T.StringType()} if digest else {"ids": T.ArrayType(T.IntegerType())}) | ({"round_trip": T.BooleanType()} if verify else {})
+    names = list(kinds)
+    table = Plain(docs, kinds)
+    column = table.name(text)
+    slim = table.slim(column)
+    sent = docs.sparkSession.sparkContext.broadcast(codec.plain())  # one vocabulary: its size doesn't depend on docs
 
     def run(batches):
-        c = sent.value
+        c = Codec(*sent.value)
         for b in batches:
             n, out, decoded, same = [], [], [], []
-            for t in b.column(b.schema.names.index(text)).to_pylist():
+            for t in b.column(b.schema.names.index(column)).to_pylist():
                 ids = c.encode(t or "")
                 back = c.decode(ids) if digest or verify else b""
                 n.append(len(ids))
@@ -140,22 +148,23 @@ def encode_documents(docs: DataFrame, codec: Codec, text: str = "text", digest:
                 decoded.append(hashlib.sha256(back).hexdigest() if digest else None)
             made = [pa.array(n, pa.int64()), pa.array(out, pa.string() if digest else pa.list_(pa.int32()))]
             made += [pa.array(decoded, pa.string())] * digest + [pa.array(same, pa.bool_())] * verify
-            yield with_columns(b, names, made)
+            yield with_columns(b if keep_text else b.drop_columns([column]), names, made)
 
-    kinds = {"n_tokens": T.LongType()} | ({"ids_sha256": T.StringType(), "decoded_sha256": T.StringType()} if digest else {"ids": T.ArrayType(T.IntegerType())}) | ({"round_trip": T.BooleanType()} if verify else {})
-    names = list(kinds)
-    return docs.mapInArrow(run, T.StructType([f for f in docs.schema if f.name not in kinds] + [T.StructField(k, t) for k, t in kinds.items()]))
+    return slim.mapInArrow(run, appended(slim.schema, [] if keep_text else [column], **kinds)).select(*table.own(*([] if keep_text else [column])), *names)
 
 
 def decode_documents(tokens: DataFrame, codec: Codec, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """tokens with the bytes that ids decode to appended as a binary column.  Null ids decode to null."""
     small_batches(tokens.sparkSession, 256)
-    sent = tokens.sparkSession.sparkContext.broadcast(codec)
+    table = Plain(tokens, [name])
+    column = table.name(ids)
+    slim = table.slim(column)
+    sent = tokens.sparkSession.sparkContext.broadcast(codec.plain())
 
     def run(batches):
-        c = sent.value
+        c = Codec(*sent.value)
         for b in batches:
-            rows = b.column(b.schema.names.index(ids)).to_pylist()
-            yield with_columns(b, [name], [pa.array([None if r is None else c.decode(np.asarray(r, dtype="<u4")) for r in rows], pa.binary())])
+            rows = b.column(b.schema.names.index(column)).to_pylist()
+            yield with_columns(b, ["made"], [pa.array([None if r is None else c.decode(np.asarray(r, dtype="<u4")) for r in rows], pa.binary())])
 
-    return tokens.mapInArrow(run, T.StructType([f for f in tokens.schema if f.name != name] + [T.StructField(name, T.BinaryType())]))
+    return slim.mapInArrow(run, appended(slim.schema, [], made=T.BinaryType())).select(*table.own(), F.col("made").alias(name))

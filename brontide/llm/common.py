@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import brontide.llm
 
@@ -30,23 +33,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder the cluster names in spark.checkpoint.dir.
+
+    Only a local session may leave that unset; it gets a temporary folder.  On a
+    cluster the driver's own folders are not the executors', so there it raises.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     held = spark.sparkContext.getCheckpointDir()
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="brontide-"))
         held = spark.sparkContext.getCheckpointDir()
     return held.rstrip("/")
 
 
+_STORED: dict[int, str] = {}
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder and read back: the plan above it starts from files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _STORED[id(back)] = path
+    weakref.finalize(back, _STORED.pop, id(back), None)
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes the files of stored tables that nothing will read again."""
+    for df in frames:
+        path = _STORED.pop(id(df), None)
+        if path:
+            jvm = df.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
@@ -75,12 +100,44 @@ def with_columns(batch: pa.RecordBatch, names: list[str], columns: list[pa.Array
     return pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *columns], [*(batch.schema.names[i] for i in kept), *names])
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """wanted, with underscores in front until no column of df has that name in any case."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted = "_" + wanted
-    return wanted
+class Plain:
+    """A table with its columns named c0, c1, ... by position.
+
+    No name of the table's own, in any case, can then meet the name of a helper
+    column.  made: the columns that an operator appends; own columns of those
+    names, in any case, are the ones it replaces.
+    """
+
+    def __init__(self, df: DataFrame, made: Iterable[str] = ()):
+        self.names = list(df.columns)
+        self.df = df.toDF(*(f"c{i}" for i in range(len(self.names))))
+        gone = {m.lower() for m in made}
+        self.kept = [i for i, n in enumerate(self.names) if n.lower() not in gone]
+
+    def find(self, wanted: str) -> str | None:
+        """The new name of a column: the one so named, else the first so named in another case, else None."""
+        at = [i for i, n in enumerate(self.names) if n == wanted] or [i for i, n in enumerate(self.names) if n.lower() == wanted.lower()]
+        return f"c{at[0]}" if at else None
+
+    def name(self, wanted: str) -> str:
+        found = self.find(wanted)
+        if found is None:
+            raise ValueError(f"no column {wanted} among {', '.join(self.names)}")
+        return found
+
+    def slim(self, *but: str) -> DataFrame:
+        """The table without the columns that are replaced; columns named in but, by new name, stay."""
+        return self.df.select(*(c for i, c in enumerate(self.df.columns) if i in set(self.kept) or c in but))
+
+    def own(self, *but: str) -> list[Column]:
+        """The columns that stay, under their own names, but for those whose new name is in but."""
+        return [F.col(f"c{i}").alias(self.names[i]) for i in self.kept if f"c{i}" not in but]
+
+
+def appended(schema: T.StructType, drop: Iterable[str], **made: T.DataType) -> T.StructType:
+    """schema without the fields in drop and with those made at its end."""
+    gone = set(drop)
+    return T.StructType([f for f in schema if f.name not in gone] + [T.StructField(k, t) for k, t in made.items()])
 
 
 def least_by_hash(df: DataFrame, h: str, n: int) -> DataFrame:

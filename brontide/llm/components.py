@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brontide.llm.common import stored
+from brontide.llm.common import discard, stored
 
 
 def _stars(edges: DataFrame, upper: bool) -> DataFrame:
@@ -43,7 +43,8 @@ def components(edges: DataFrame) -> DataFrame:
     sums = lambda df: tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))), F.lit(0))).first())
     before = sums(now)
     while before[0]:
-        now = stored(_stars(_stars(now, True), False))
+        last, now = now, stored(_stars(_stars(now, True), False))
+        discard(last)
         after = sums(now)
         if after == before:
             break

@@ -26,10 +26,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brontide.llm.common import small_batches, with_columns
+from brontide.llm.common import Plain, appended, small_batches, with_columns
 
 PATH_BUCKETS, WORD_BUCKETS = 1024, 512
 PATH_DIM, WORD_DIM, FIGURES, HIDDEN = 16, 8, 8, 16
@@ -136,6 +135,19 @@ def _ended(page: str) -> set[int]:
     return ended
 
 
+def _cut_off(rest: str) -> int:
+    """Where a tag starts that the page's end cuts off; the length of rest without one.
+
+    Text after "<" that is no tag, several words without an attribute among them, is text.
+    """
+    at = rest.rfind("<")
+    named = re.match(r"<(?:[!?]|/?[a-zA-Z][^\s<>/]*+)", rest[at:]) if at >= 0 else None
+    if not named:
+        return len(rest)
+    more = rest[at + named.end() :]
+    return at if named[0][1] in "!?" or "=" in more or len(more.split()) < 2 else len(rest)
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in page order, character references decoded and white space made one space."""
     out: list[Block] = []
@@ -177,8 +189,7 @@ def blocks(page: str) -> list[Block]:
         m = _TAG.search(page, at) if page.find(">", at) >= 0 or page.find("<!", at) >= 0 else None
         if not m:
             rest = page[at:]
-            cut = re.search(r"<[a-zA-Z/!][^<]*$", rest)  # a tag that the page's end cuts off
-            say(rest[: cut.start()] if cut else rest)
+            say(rest[: _cut_off(rest)])
             break
         say(page[at : m.start()])
         at = m.end()
@@ -238,9 +249,24 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-@lru_cache(maxsize=1 << 15)
-def _bucket(token: str, most: int) -> int:
-    return zlib.crc32(token.encode("utf-8", "replace")) % most
+class Buckets(dict):
+    """Buckets of the tokens met so far; forgets all when it holds too many.  It travels to executors empty."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 1 << 15:
+            self.clear()
+        self[token] = n = zlib.crc32(token.encode("utf-8", "replace")) % self.most
+        return n
+
+    def __reduce__(self):
+        return Buckets, (self.most,)
+
+
+_PATH, _WORD = Buckets(PATH_BUCKETS), Buckets(WORD_BUCKETS)
 
 
 def page_paths(found: list[Block]) -> Paths:
@@ -258,7 +284,7 @@ def page_paths(found: list[Block]) -> Paths:
         for step in reversed(new):
             place[step] = len(above)
             above.append(-1 if step is None or step.above is None else place[step.above])
-            buckets.append([0] if step is None else [_bucket(t, PATH_BUCKETS) for t in step.names])
+            buckets.append([0] if step is None else [_PATH[t] for t in step.names])
     return Paths(buckets, above, np.array([place[b.path] for b in found], np.int64), np.array([b.path.size if b.path else 1 for b in found]))
 
 
@@ -269,7 +295,7 @@ def page_features(found: list[Block]) -> tuple[Paths, list[list[int]], np.ndarra
     n = len(found)
     for i, b in enumerate(found):
         w = b.text.lower().split()
-        words.append([_bucket(x, WORD_BUCKETS) for x in w])
+        words.append([_WORD[x] for x in w])
         size = len(b.text)
         figures[i] = (math.log1p(size) / 6, math.log1p(len(w)) / 5, min(1.0, b.linked / size), (i + 1) / n, math.log1p(i) / 5, math.log1p(n - i) / 5, math.log1p(b.depth) / 5, b.text[-1] in ".!?…")
     return paths, words, figures
@@ -545,19 +571,21 @@ def extract_main_text(pages: DataFrame, column: str = "html", labeller: Labeller
     """pages with text and n_chars (its code points) appended; the html column goes unless keep_html.
 
     Blocks stand in page order, two line ends apart; nothing is capped.  Null and
-    empty pages have an empty text.  Columns of pages named as an appended one
-    are replaced.  Repeated rows give the same text.
+    empty pages have an empty text.  Columns of pages named as an appended one,
+    in any case, are replaced.  Repeated rows give the same text.
     """
     small_batches(pages.sparkSession, 256)
     model = labeller or trained_labeller()
+    made = {"text": T.StringType(), "n_chars": T.LongType()}
+    table = Plain(pages, made)
+    name = table.name(column)
+    slim = table.slim(name)
 
     def run(batches):
         for b in batches:
-            texts = main_texts(b.column(b.schema.names.index(column)).to_pylist(), model)
+            texts = main_texts(b.column(b.schema.names.index(name)).to_pylist(), model)
             if not keep_html:
-                b = b.drop_columns([column])
-            yield with_columns(b, ["text", "n_chars"], [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())])
+                b = b.drop_columns([name])
+            yield with_columns(b, list(made), [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())])
 
-    made = {"text": T.StringType(), "n_chars": T.LongType()}
-    kept = pages.select(*(F.col(f"`{c}`") for c in pages.columns if c not in made or c == column))
-    return kept.mapInArrow(run, T.StructType([f for f in kept.schema if f.name not in made and (keep_html or f.name != column)] + [T.StructField(k, t) for k, t in made.items()]))
+    return slim.mapInArrow(run, appended(slim.schema, [] if keep_html else [name], **made)).select(*table.own(*([] if keep_html else [name])), *made)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brontide.llm.common import small_batches, with_columns
+from brontide.llm.common import Plain, appended, small_batches, with_columns
 
 #: Phrases and the labels they stand for.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -191,7 +191,8 @@ def frequencies(docs: DataFrame, text: str, wanted: set[bytes]) -> dict[bytes, i
                     n[w] = n.get(w, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["w", "n"])
 
-    counted = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "w binary, n bigint")
+    table = Plain(docs)
+    counted = table.df.select(F.col(table.name(text)).cast("string").alias("text")).mapInArrow(run, "w binary, n bigint")
     return {bytes(r["w"]): r["n"] for r in counted.groupBy("w").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -205,12 +206,15 @@ def license_scan(docs: DataFrame, text: str = "text", templates: dict[str, str]
     else the largest share of a template contained, 0 without one.
 
     Null and empty texts have no words and no labels.  Columns of docs named as
-    an appended one are replaced.  Repeated rows are judged alike.
+    an appended one, in any case, are replaced.  Repeated rows are judged alike.
     """
     templates = TEMPLATES if templates is None else templates
     phrases = PHRASES if phrases is None else phrases
     matcher = Matcher(templates, frequencies(docs, text, {w for t in templates.values() for w in tokens(t)}), least, span)
     made = {"n_words": T.LongType(), "n_base": T.LongType(), "first_word": T.LongType(), "last_word": T.LongType(), "base_labels": T.StringType(), "labels": T.StringType(), "score": T.DoubleType()}
+    table = Plain(docs, made)
+    column = table.name(text)
+    slim = table.slim(column)
 
     def judge(t: str | None) -> tuple:
         raw = (t or "").encode("utf-8", "surrogatepass").lower().translate(_APART_IN_LINE)
@@ -222,11 +226,11 @@ def license_scan(docs: DataFrame, text: str = "text", templates: dict[str, str]
 
     def run(batches):
         for b in batches:
-            rows = [judge(t) for t in b.column(b.schema.names.index(text)).to_pylist()]
+            rows = [judge(t) for t in b.column(b.schema.names.index(column)).to_pylist()]
             columns = list(zip(*rows, strict=True)) or [()] * len(made)
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             if not keep_text:
-                b = b.drop_columns([text])
+                b = b.drop_columns([column])
             yield with_columns(b, list(made), [pa.array(c, k) for c, k in zip(columns, types, strict=True)])
 
-    return docs.mapInArrow(run, T.StructType([f for f in docs.schema if f.name not in made and (keep_text or f.name != text)] + [T.StructField(k, v) for k, v in made.items()]))
+    return slim.mapInArrow(run, appended(slim.schema, [] if keep_text else [column], **made)).select(*table.own(*([] if keep_text else [column])), *made)

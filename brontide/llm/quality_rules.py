@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brontide.llm.common import WHITE, let, white_words
+from brontide.llm.common import WHITE, Plain, let, white_words
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -24,22 +24,27 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """A row of the threshold table: a document of at least min_words words fails if metric is outside [low, high]."""
+    """A row of the threshold table: a document fails if metric is outside [low, high].
+
+    slack: so many more of the metric's numerator are granted before it is found
+    too low, and so many less before it is found too high.  A rule thus holds at
+    every length, and a short text needs more than bad luck to fail.
+    """
 
     name: str
     metric: str
     low: float | None = None
     high: float | None = None
-    min_words: int = 0
+    slack: int = 0
 
 
 #: The production table.  Ratios are to words or lines, as the metric's name says.
 RULES = (
     Rule("word_length", "chars_per_word", 1.5, 25.0),
     Rule("symbols", "symbols_per_word", None, 0.3),
-    Rule("stop_words", "stop_words_per_word", 0.01, None, 200),
+    Rule("stop_words", "stop_words_per_word", 0.01, None, 2),
     Rule("line_copies", "dup_lines_per_line", None, 0.4),
-    Rule("line_length", "words_per_line", 1.0, None, 50),
+    Rule("line_length", "words_per_line", 2.0, None, 50),
 )
 
 _SYMBOLS = "#*$%&|<>"
@@ -105,23 +110,28 @@ def _figures(text: Column) -> Column:
 
 def _compiled(rules: tuple[Rule, ...], f: Column) -> Column:
     """The names of the rules that fail, in the table's order."""
-    ratio = lambda a, b: F.when(f[b] > 0, f[a].cast("double") / f[b])
     metrics = {
-        "words": f["n_words"].cast("double"),
-        "chars_per_word": ratio("word_chars", "n_words"),
-        "symbols_per_word": ratio("n_symbols", "n_words"),
-        "stop_words_per_word": ratio("n_stop_words", "n_words"),
-        "dup_lines_per_line": ratio("n_dup_lines", "n_lines"),
-        "words_per_line": ratio("n_words", "n_lines"),
+        "words": ("n_words", None),
+        "chars_per_word": ("word_chars", "n_words"),
+        "symbols_per_word": ("n_symbols", "n_words"),
+        "stop_words_per_word": ("n_stop_words", "n_words"),
+        "dup_lines_per_line": ("n_dup_lines", "n_lines"),
+        "words_per_line": ("n_words", "n_lines"),
     }
+
+    def metric(r: Rule, granted: int) -> Column:
+        a, b = metrics[r.metric]
+        value = (f[a] + F.lit(granted)).cast("double")
+        return F.when(f[b] > 0, value / f[b]) if b else value
+
     checks = []
     for r in rules:
         bad = F.lit(False)
         if r.low is not None:
-            bad = bad | (metrics[r.metric] < r.low)
+            bad = bad | (metric(r, r.slack) < r.low)
         if r.high is not None:
-            bad = bad | (metrics[r.metric] > r.high)
-        checks.append(F.when((f["n_words"] >= r.min_words) & F.coalesce(bad, F.lit(False)), F.lit(r.name)))
+            bad = bad | (metric(r, -r.slack) > r.high)
+        checks.append(F.when(F.coalesce(bad, F.lit(False)), F.lit(r.name)))
     return F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
 
 
@@ -132,17 +142,17 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     5-word windows.  kept: not base_failed and no rule of the table fails.
 
     Null and empty texts have no words, so they are base_failed.  A metric whose
-    denominator is zero passes its rule.  Columns of docs that share a name with
-    an appended one are replaced; set prefix to keep both.  Repeated rows and an
+    denominator is zero passes its rule.  Columns of docs that share a name, in any
+    case, with an appended one are replaced; set prefix to keep both.  Repeated rows and an
     empty table need no special case: each row is judged by itself.
     """
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines")
-    names = {(prefix + m).lower() for m in (*made, "base_failed", "failed_rules", "kept")}
-    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in names]
+    table = Plain(docs, [prefix + m for m in (*made, "base_failed", "failed_rules", "kept")])
 
     def verdict(f: Column) -> Column:
         base = (f["n_words"] < 10) | (F.lit(100) * f["n_repeat_words"] > F.lit(20) * f["n_words"])
         return let(_compiled(rules, f), lambda failed: F.struct(*(f[m].alias(prefix + m) for m in made), base.alias(prefix + "base_failed"), failed.alias(prefix + "failed_rules"), (~base & (F.size(failed) == 0)).alias(prefix + "kept")))
 
     # One row in, one row out: inline() puts the struct's fields beside the other columns and is worked out once.
-    return docs.select(*others, F.inline(F.array(let(_figures(F.col(text)), verdict))))
+    judged = table.df.select(*(f"c{i}" for i in table.kept), F.inline(F.array(let(_figures(F.col(table.name(text)).cast("string")), verdict))))
+    return judged.select(*table.own(), *(F.col(prefix + m) for m in (*made, "base_failed", "failed_rules", "kept")))

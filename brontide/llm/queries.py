@@ -36,7 +36,8 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), carry=False)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    shards = F.array_join(F.transform("draws", lambda d: d["shard"].cast("string")), ",")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("draws").alias("n_draws"), shards.alias("shards"))
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), codec(), digest=True)
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), codec(), digest=True, keep_text=False)
     return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
@@ -94,9 +95,10 @@ def _op1_sql() -> str:
     stop = sorted({x for w in quality_rules.STOP_WORDS for x in (w, w.capitalize(), w.upper())})
     rules = ""
     for r in quality_rules.RULES:
-        m = "CAST(" + _METRIC[r.metric].replace(" / ", " AS DOUBLE) / nullif(") + (", 0)" if "/" in _METRIC[r.metric] else " AS DOUBLE)")
-        bad = " OR ".join([f"{m} < {r.low}"] * (r.low is not None) + [f"{m} > {r.high}"] * (r.high is not None))
-        rules += f" AND NOT (n_words >= {r.min_words} AND coalesce({bad}, false))"
+        a, _, b = _METRIC[r.metric].partition(" / ")
+        m = lambda granted: f"CAST({a} + {granted} AS DOUBLE)" + (f" / nullif({b}, 0)" if b else "")  # noqa: E731, B023
+        bad = " OR ".join([f"{m(r.slack)} < {r.low}"] * (r.low is not None) + [f"{m(-r.slack)} > {r.high}"] * (r.high is not None))
+        rules += f" AND NOT coalesce({bad}, false)"
     return _OP1.replace("{stop}", "[" + ", ".join(f"'{x}'" for x in stop) + "]").replace("{rules}", rules)
 
 
@@ -105,7 +107,7 @@ def _md5(*parts: str) -> str:
 
 
 _OP4 = rf"""
-WITH d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS id, CASE WHEN source IS NULL THEN '' ELSE 's' || source END AS k,
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(CAST(doc_id AS VARCHAR), '') AS id, CASE WHEN source IS NULL THEN '' ELSE 's' || source END AS k,
                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 p AS (SELECT *, {_md5("'block'", "id")} % 1024 AS block, {_md5("'order'", "id")} AS o FROM d),
 s AS (SELECT k, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY k = '', k) - 1 AS i FROM p GROUP BY k),
@@ -122,13 +124,38 @@ e AS (SELECT b.*, source_size, target, CASE WHEN source_size > 0 THEN floor(targ
              coalesce(sum(block_size) OVER (PARTITION BY k ORDER BY {_md5("'permute'", "'7'", "k", "CAST(block AS VARCHAR)")}, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
       FROM b JOIN t USING (k)),
 m AS (SELECT *, least(block_size, greatest(0, round(target - epochs * source_size)::BIGINT - start)) AS missing FROM e),
-x AS (SELECT p.doc_id, size, source_size, target, epochs, missing, block_size,
+x AS (SELECT p.doc_id, p.rid, k, block, size, source_size, target, epochs, missing, block_size,
              coalesce(sum(size) OVER (PARTITION BY k, block ORDER BY o, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
-      FROM p JOIN m USING (k, block))
-SELECT doc_id, size, source_size, target, (epochs * size + least(size, greatest(0, missing - before)))::BIGINT AS taken FROM x
+      FROM p JOIN m USING (k, block)),
+y AS (SELECT k, block, unnest(range(1, epochs + CASE WHEN missing > 0 THEN 2 ELSE 1 END)) AS turn FROM m),
+a AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY {_md5("'deal'", "'7'", "k", "CAST(block AS VARCHAR)", "CAST(turn AS VARCHAR)")}, block, turn) AS place FROM y),
+n0 AS (SELECT 0::BIGINT AS lo, s.i, s.k, count(*) AS have FROM y JOIN s USING (k) GROUP BY ALL),
+{{tree}}
+z AS (SELECT k, lo AS shard, have, sum(have) OVER (PARTITION BY k ORDER BY lo) AS last FROM n{{levels}}),
+h AS (SELECT a.k, block, turn, shard FROM a JOIN z ON a.k = z.k AND place > last - have AND place <= last),
+w AS (SELECT rid, turn, shard, CASE WHEN turn <= epochs THEN size ELSE least(size, greatest(0, missing - before)) END AS words FROM x JOIN h USING (k, block)),
+g2 AS (SELECT rid, sum(words)::BIGINT AS taken, count(*)::INTEGER AS n_draws, string_agg(shard, ',' ORDER BY turn) AS shards FROM w WHERE words > 0 GROUP BY rid)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(n_draws, 0)::INTEGER AS n_draws, coalesce(shards, '') AS shards FROM x LEFT JOIN g2 USING (rid)
 """
 
 
+def _op4_sql(shards: int = 64) -> str:
+    """The mix in SQL; the tree's levels are written out, for a number of shards that is a power of two."""
+    key = "xor(h, v)"
+    steps = f"[{key}]"
+    for shift, factor in mixing._MIX:
+        steps = f"list_transform({steps}, lambda q: xor(q, q >> {shift}) * {factor}::UBIGINT & 4294967295::UBIGINT)"
+    tree, size, level = "", shards, 0
+    while size > 1:
+        keyed = f"list_reduce([0::UBIGINT, 7::UBIGINT, lo::UBIGINT, (lo + {size})::UBIGINT, i::UBIGINT, j::UBIGINT], lambda h, v: {steps}[1])"
+        tree += f"""u{level} AS (SELECT lo, i, k, row_number() OVER (PARTITION BY lo ORDER BY key, i, j) AS r, count(*) OVER (PARTITION BY lo) AS total
+       FROM (SELECT *, {keyed} AS key FROM (SELECT *, unnest(range(have)) AS j FROM n{level}))),
+n{level + 1} AS (SELECT CASE WHEN r <= total // 2 THEN lo ELSE lo + {size // 2} END AS lo, i, k, count(*) AS have FROM u{level} GROUP BY ALL),
+"""
+        size, level = size // 2, level + 1
+    return _OP4.replace("{tree}", tree.strip()).replace("{levels}", str(level))
+
+
 _OP5 = """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM v WHERE list_inner_product(e, e) > 0),
@@ -156,4 +183,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _op1_sql(), "op4_mixing": _OP4, "op5_embedding_dedup": _OP5, "op8_url_filters": _op8_sql()}
+    return {"op1_quality_rules": _op1_sql(), "op4_mixing": _op4_sql(), "op5_embedding_dedup": _OP5, "op8_url_filters": _op8_sql()}

@@ -8,8 +8,10 @@ replicated to every anchor within radius plus threshold, 1 + 1 = 2, of its half
 (16 of them, or 1 if the half is a codeword); two fingerprints that are within 1
 on a half share the anchor nearest to either, so comparing per anchor misses
 nothing.  A single code over all 64 bits would need radius plus 3 and hundreds
-of replicas; this takes 32 replicas at most, in linear time until there are
-about as many fingerprints as anchors.
+of replicas; this takes 32 replicas at most.  There are 2**27 anchors in all, so
+time is linear up to about 10 million distinct fingerprints, where an anchor has
+two or three; beyond, an anchor's fingerprints grow with the corpus and what is
+compared grows with the square, one in 130,000 of all pairs.
 
 Whole texts are read once.  Exact copies collapse to one fingerprint before the
 replication, an anchor's fingerprints are compared only in their 64 bits, and
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from brontide.llm.common import free_name, let, small_batches, stored, with_columns
+from brontide.llm.common import Plain, appended, let, small_batches, stored, with_columns
 from brontide.llm.components import components
 
 SHINGLE = 3
@@ -58,18 +60,20 @@ def fingerprint(text: str | None) -> int:
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "fp", keep_text: bool = True) -> DataFrame:
-    """docs with the fingerprint as a signed long appended."""
+    """docs with the fingerprint as a signed long appended; a column of that name, in any case, is replaced."""
     small_batches(docs.sparkSession)
+    table = Plain(docs, [name])
+    column = table.name(text)
+    slim = table.slim(column)
 
     def run(batches):
         for b in batches:
-            made = np.array([fingerprint(t) for t in b.column(b.schema.names.index(text)).to_pylist()], dtype=np.uint64)
+            made = np.array([fingerprint(t) for t in b.column(b.schema.names.index(column)).to_pylist()], dtype=np.uint64)
             if not keep_text:
-                b = b.drop_columns([text])
-            yield with_columns(b, [name], [pa.array(made.view(np.int64))])
+                b = b.drop_columns([column])
+            yield with_columns(b, ["made"], [pa.array(made.view(np.int64))])
 
-    schema = T.StructType([f for f in docs.schema if (keep_text or f.name != text) and f.name != name] + [T.StructField(name, T.LongType())])
-    return docs.mapInArrow(run, schema)
+    return slim.mapInArrow(run, appended(slim.schema, [] if keep_text else [column], made=T.LongType())).select(*table.own(*([] if keep_text else [column])), F.col("made").alias(name))
 
 
 def _replicas(half: Column) -> Column:
@@ -165,19 +169,26 @@ def fingerprint_links(fps: DataFrame, near: int = MAX_DISTANCE, tile: int = TILE
     both = F.array(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32))
     anchors = fps.select("fp", F.posexplode(both).alias("half", "bits")).select("fp", F.explode(_replicas(F.col("bits"))).alias("anchor"), "half")
     keyed = anchors.select("fp", F.shiftleft(F.col("half").cast("bigint"), _ANCHORS_BITS).bitwiseOR(F.col("anchor")).alias("key"))
-    counted = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
-    usual = _linked(counted.filter(F.col("n") <= 2 * tile), near)
+    # Counted with a partial aggregate; only the keys of the anchors that are cut into tiles leave it.
+    crowded = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * tile))
+    many = crowded.count()
+    if not many:
+        return _linked(keyed.repartition("key").sortWithinPartitions("key"), near).distinct()
+    if many <= 100_000:  # a checked bound; beyond it the joins shuffle
+        crowded = F.broadcast(crowded)
+    usual = keyed.join(crowded, "key", "left_anti")
     k = F.ceil(F.col("n") / tile)
     chunk = F.pmod(F.xxhash64("fp"), k)
-    large = counted.filter(F.col("n") > 2 * tile).select("fp", "key", chunk.alias("c"), F.explode(F.sequence(F.lit(0).cast("bigint"), k - 1)).alias("j"))
+    large = keyed.join(crowded, "key").select("fp", "key", chunk.alias("c"), F.explode(F.sequence(F.lit(0).cast("bigint"), k - 1)).alias("j"))
     tiles = large.select("fp", F.xxhash64("key", F.least("c", "j"), F.greatest("c", "j")).alias("key"))
-    return usual.unionByName(_linked(tiles.repartition("key").sortWithinPartitions("key"), near)).distinct()
+    return usual.select("key", "fp").unionByName(tiles).transform(lambda rows: _linked(rows.repartition("key").sortWithinPartitions("key"), near)).distinct()
 
 
 def _marked(docs: DataFrame, id: str, text: str) -> DataFrame:
     """(id, h, fp) of each row, in the shared folder: h is a 64-bit hash of the text."""
-    text = F.col(f"`{text}`")
-    return stored(with_fingerprints(docs.select(F.col(f"`{id}`").alias("id"), F.xxhash64(text).alias("h"), text.alias("text")), keep_text=False))
+    table = Plain(docs)
+    text = F.col(table.name(text)).cast("string")
+    return stored(with_fingerprints(table.df.select(F.col(table.name(id)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text")), keep_text=False))
 
 
 def simhash_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -209,12 +220,11 @@ def simhash_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     where all ids of its group are null, and then one.  Texts are shuffled once,
     by id, which no group of copies makes uneven.
     """
-    key = free_name(docs, "simhash_h")
-    marked = _marked(docs, id, text)
+    table = Plain(docs)
+    id_, text_ = table.name(id), F.col(table.name(text))
+    marked = _marked(table.df, id_, table.name(text))
     first = marked.join(fingerprint_groups(marked.select("id", "fp")), "fp").filter(F.col("id").eqNullSafe(F.col("component_id")))
     stay = stored(first.groupBy("root").agg(F.min(F.struct("h", "id")).alias("x")).select(F.col("x.id").alias("stay_id"), F.col("x.h").alias("stay_h")))
-    hashed = docs.withColumn(key, F.xxhash64(F.col(f"`{text}`")))
-    kept = hashed.join(stay, F.col(f"`{id}`").eqNullSafe(F.col("stay_id")) & (F.col(key) == F.col("stay_h")), "left_semi")
-    rank = free_name(docs, "simhash_rank")
-    copies = Window.partitionBy(F.col(f"`{id}`"), F.col(key)).orderBy(F.lit(0))
-    return kept.withColumn(rank, F.row_number().over(copies)).filter(F.col(rank) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = table.df.withColumn("h", F.xxhash64(text_)).join(stay, F.col(id_).eqNullSafe(F.col("stay_id")) & (F.col("h") == F.col("stay_h")), "left_semi")
+    copies = Window.partitionBy(id_, "h").orderBy(*(F.col(c) for c, t in table.df.dtypes if "map<" not in t and "variant" not in t))
+    return kept.withColumn("rank", F.row_number().over(copies)).filter("rank = 1").select(*table.own())

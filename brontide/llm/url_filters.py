@@ -10,14 +10,18 @@ that level 1 takes for false; and so on, until a level lets nothing through.  A
 key of the universe is listed if the first level that doesn't hold it is an odd
 one.  Nothing is joined, and the answer is exact for every key of the universe.
 
-Only false positives leave the tasks, as positions of bits to set: level 0's
-rate is set so that there are few, and a level's size is checked against a bound
-before it is sent.  Each level salts its hash, so two keys that one level can't
-tell apart are told apart by another.
+Level 0 is sized from the number of keys in the universe, so that about one of
+them passes for listed though it is not, whatever the corpus's size: each doubling of the
+universe takes one more hash and one and a half more bits for each listed key.  The
+false positives, the only thing that leaves the tasks, are therefore few; should there
+be more than FALSE of them, level 0 is made larger and they are sought again.  Each
+level salts its hash, so two keys that one level can't tell apart are told apart
+by another.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -28,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brontide.llm.common import with_columns
+from brontide.llm.common import Plain, appended, with_columns
 
-#: Bits of one level that may be sent to the executors: 64 MiB.
-MOST_BITS = 1 << 29
+#: False positives of a level that the driver takes in, at most.
+FALSE = 100_000
+#: Bits of a key at the levels above level 0, and its hashes.
+PER_KEY = 24
 HASHES = 4
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -88,13 +94,19 @@ class Bloom:
         self.held = np.zeros((self.bits + 7) // 8, np.uint8)
 
     @classmethod
-    def sized(cls, level: int, n: int, per_key: int) -> Bloom:
-        return cls(level, n * per_key)
-
-    def places(self, key: str) -> list[int]:
-        h = xxhash.xxh3_128_intdigest(key.encode("utf-8", "surrogatepass"), seed=self.level)
-        a, b = h & (1 << 64) - 1, h >> 64 | 1
-        return [(a + i * b) % self.bits for i in range(self.hashes)]
+    def of(cls, level: int, keys: Iterable[str], per_key: int | None = None, hashes: int | None = None) -> Bloom:
+        keys = sorted(keys)
+        made = cls(level, len(keys) * (per_key or PER_KEY), hashes or HASHES)
+        for k in keys:
+            made.set(made.places(k))
+        return made
+
+    def places(self, key: str) -> Iterator[int]:
+        """The key's bits: each from 32 bits of a hash of its own, so that a small filter tells as many keys apart as a large one."""
+        raw, h = key.encode("utf-8", "surrogatepass"), 0
+        for i in range(self.hashes):
+            h = h >> 32 if i % 4 else xxhash.xxh3_128_intdigest(raw, seed=self.level << 16 | i)
+            yield (h & 0xFFFFFFFF) * self.bits >> 32
 
     def set(self, places: Iterable[int]) -> None:
         for p in places:
@@ -123,96 +135,83 @@ def key_text(host: str, path: str) -> str:
     return f"{host}\x00{path}"
 
 
-def build_cascade(urls: DataFrame, listed: set[tuple[str, str]], column: str = "url", lengths: tuple[int, ...] | None = None, per_key: int = 24, most_bits: int = MOST_BITS, most_levels: int = 32) -> Cascade:
+def universe_size(urls: DataFrame, column: str, lengths: tuple[int, ...]) -> int:
+    """How many keys the URLs have at most: host suffixes times lengths of path prefixes, repeats included."""
+    dots = F.length(F.col(column)) - F.length(F.replace(F.col(column), F.lit("."), F.lit(""))) + 1
+    return (urls.agg(F.sum(dots.cast("bigint"))).first()[0] or 0) * max(1, len(lengths))
+
+
+def build_cascade(urls: DataFrame, listed: set[tuple[str, str]], column: str = "url", lengths: tuple[int, ...] | None = None, universe: int | None = None, hashes: int | None = None, most_false: int = FALSE, most_levels: int = 64) -> Cascade:
     """The cascade of listed over the keys of all URLs.
 
     lengths: those of the path prefixes in the universe; the listed ones' if None.
+    universe: its size, about, if known.  hashes: of level 0; None for as many as
+    leave about one false positive.
 
     listed is a parameter, held by driver and tasks while the cascade is built;
     afterwards only the cascade is needed.  Each pass over the URLs finds what
-    the levels so far get wrong and returns bits to set, distinct ones only.
+    the levels so far get wrong.
     """
+    table = Plain(urls)
+    urls = table.df.select(F.col(table.name(column)).cast("string").alias("url"))
     lengths = lengths or tuple(sorted({len(p) for _, p in listed}, reverse=True))
     names = {key_text(h, p) for h, p in listed}
-    first = Bloom.sized(0, len(names), per_key)
-    for k in sorted(names):
-        first.set(first.places(k))
-    levels = [first]
-    inside = names
-    while len(levels) < most_levels:
-        # Odd levels: unlisted keys of the universe that all levels so far hold.
-        bits, n = _wrong(urls, column, lengths, names, levels, per_key, most_bits)
-        if not n:
-            break
-        level = Bloom(len(levels), bits[0])
-        level.set(bits[1])
-        levels.append(level)
-        # Even levels: listed keys that all levels so far hold.
-        inside = {k for k in inside if k in level}
-        if not inside:
-            break
-        level = Bloom.sized(len(levels), len(inside), per_key)
-        for k in sorted(inside):
-            level.set(level.places(k))
-        levels.append(level)
-    else:
-        raise ValueError(f"no exact cascade within {most_levels} levels")
-    return Cascade(levels)
-
-
-def _wrong(urls: DataFrame, column: str, lengths: tuple[int, ...], names: set[str], levels: list[Bloom], per_key: int, most_bits: int) -> tuple[tuple[int, list[int]], int]:
-    """The size and set bits of the next odd level, and how many keys it stands for."""
-
-    def false_keys(batches):
-        seen: set[str] = set()
+    if hashes is None:
+        hashes = max(HASHES, math.ceil(math.log2(max(1, universe_size(urls, "url", lengths) if universe is None else universe))))
+    while True:
+        levels = [Bloom.of(0, names, math.ceil(hashes / math.log(2)), hashes)]
+        inside = names
+        while len(levels) < most_levels:
+            # Odd levels: unlisted keys of the universe that all levels so far hold.
+            wrong = _wrong(urls, lengths, names, levels, most_false)
+            if not wrong or len(wrong) > most_false:
+                break
+            levels.append(Bloom.of(len(levels), wrong))
+            # Even levels: listed keys that all levels so far hold.
+            inside = {k for k in inside if k in levels[-1]}
+            if not inside:
+                break
+            levels.append(Bloom.of(len(levels), inside))
+        else:
+            raise ValueError(f"no exact cascade within {most_levels} levels")
+        if len(wrong) <= most_false:  # later levels never find more than the first did
+            return Cascade(levels)
+        hashes += 8  # level 0 let too many through: 256 times fewer next time
+
+
+def _wrong(urls: DataFrame, lengths: tuple[int, ...], names: set[str], levels: list[Bloom], most: int) -> set[str]:
+    """The unlisted keys of the universe that all levels hold; if there are more than most, most + 1 of them."""
+
+    def run(batches):
+        found: set[str] = set()
         for b in batches:
             for u in b.column(0).to_pylist():
                 for h, p in url_keys(*split_url(u), lengths):
                     k = key_text(h, p)
-                    if k not in seen and k not in names and all(k in x for x in levels):
-                        if len(seen) > 100_000:
-                            seen.clear()
-                        seen.add(k)
-                        yield k
-
-    def keys(batches):
-        held = []
-        for k in false_keys(batches):
-            held.append(k)
-            if len(held) >= 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["k"])
-                held = []
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["k"])
-
-    found = urls.select(F.col(f"`{column}`").cast("string").alias("url")).mapInArrow(keys, "k string").distinct()
-    n = found.count()
-    size = max(64, n * per_key)
-    if size > most_bits:
-        raise ValueError(f"a level of {size} bits is over the bound of {most_bits}; give level 0 more bits per key")
-    if not n:
-        return (64, []), 0
-    shape = Bloom(len(levels), size)
-    bits, hashes, level = shape.bits, shape.hashes, shape.level
-
-    def places(batches):
-        like = Bloom(level, bits, hashes)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([p for k in b.column(0).to_pylist() for p in like.places(k)], pa.int64())], ["p"])
+                    if k not in names and len(found) <= most and all(k in x for x in levels):
+                        found.add(k)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["k"])
 
-    return (bits, [r["p"] for r in found.mapInArrow(places, "p bigint").distinct().toLocalIterator()]), n
+    return {r["k"] for r in urls.mapInArrow(run, "k string").distinct().limit(most + 1).collect()}
 
 
-def judge_urls(urls: DataFrame, rules: tuple[UrlRule, ...] = RULES, column: str = "url", default: str = "allow", per_key: int = 24) -> DataFrame:
+def judge_urls(urls: DataFrame, rules: tuple[UrlRule, ...] = RULES, column: str = "url", default: str = "allow") -> DataFrame:
     """urls with host, path, rule and verdict appended.
 
     rule: the longest that fits, host and path together, null if none does.
     verdict: the rule's, else default.  Of rules with the same host and path the
     last counts.  Null and malformed URLs have an empty host and path and the
-    default.  Columns of urls named as an appended one are replaced.
+    default.  Columns of urls named as an appended one, in any case, are replaced.
+    Repeated rows are judged alike; an empty table gives an empty result.
     """
+    made = dict.fromkeys(("host", "path", "rule", "verdict"), T.StringType())
+    table = Plain(urls, made)
+    name = table.name(column)
+    slim = table.slim(name)
     verdicts = {(r.host, r.path): r.verdict for r in rules}
     lengths = tuple(sorted({len(p) for _, p in verdicts}, reverse=True))
-    cascades = {v: build_cascade(urls, {k for k, x in verdicts.items() if x == v}, column, lengths, per_key) for v in sorted(set(verdicts.values()))}
+    universe = universe_size(slim.select(F.col(name).cast("string").alias("url")), "url", lengths)
+    cascades = {v: build_cascade(slim, {k for k, x in verdicts.items() if x == v}, name, lengths, universe) for v in sorted(set(verdicts.values()))}
 
     def judge(u: str | None) -> tuple[str, str, str | None, str]:
         host, path = split_url(u)
@@ -228,9 +227,8 @@ def judge_urls(urls: DataFrame, rules: tuple[UrlRule, ...] = RULES, column: str
 
     def run(batches):
         for b in batches:
-            rows = [judge(u) for u in b.column(b.schema.names.index(column)).to_pylist()]
+            rows = [judge(u) for u in b.column(b.schema.names.index(name)).to_pylist()]
             columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield with_columns(b, ["host", "path", "rule", "verdict"], [pa.array(c, pa.string()) for c in columns])
+            yield with_columns(b, list(made), [pa.array(c, pa.string()) for c in columns])
 
-    made = ("host", "path", "rule", "verdict")
-    return urls.mapInArrow(run, T.StructType([f for f in urls.schema if f.name not in made] + [T.StructField(n, T.StringType()) for n in made]))
+    return slim.mapInArrow(run, appended(slim.schema, [], **made)).select(*table.own(), *made)

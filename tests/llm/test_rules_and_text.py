@@ -170,6 +170,41 @@ def test_mix_meets_its_targets(spark, carry):
     assert sorted(map(repr, out)) == sorted(map(repr, again))
 
 
+def test_draws_are_dealt_by_the_tree(spark, monkeypatch):
+    """Every shard gets what its leaf of the tree says, and another tree gives other rows."""
+    rows = [(i, "w " * (1 + i % 9), f"s{i % 3}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    trees, plain = [], mixing.split_tree
+
+    def kept(quotas, shards, seed):
+        trees.append(plain(quotas, shards, seed))
+        return trees[-1]
+
+    monkeypatch.setattr(mixing, "split_tree", kept)
+    out = mixing.mix_sources(docs, blocks=16, shards=8).collect()
+    blocks = {}
+    for r in out:
+        block = int(hashlib.md5(f"block:{r['doc_id']}".encode()).hexdigest()[:8], 16) % 16
+        for turn, d in enumerate(r["draws"]):
+            blocks.setdefault((int(r["source"][1]), block, turn), set()).add(d["shard"])
+    assert all(len(s) == 1 for s in blocks.values())  # a block goes to one shard each time it is drawn
+    got = Counter((next(iter(s)), source) for (source, _, _), s in blocks.items())
+    assert all(got[shard, source] <= n for (shard, source), n in np.ndenumerate(trees[0]))
+    assert sum(got.values()) >= trees[0].sum() - 3  # of a boundary block, documents that give nothing may be all
+    monkeypatch.setattr(mixing, "split_tree", lambda quotas, shards, seed: np.array([quotas] + [[0] * len(quotas)] * (shards - 1)))
+    other = mixing.mix_sources(docs, blocks=16, shards=8).collect()
+    assert {d["shard"] for r in other for d in r["draws"]} == {0} and sorted(map(repr, other)) != sorted(map(repr, out))
+
+
+def test_splits_are_multivariate_hypergeometric():
+    """Means and variances of the first shard's draw over many seeds."""
+    have, n = np.array([40, 20, 4]), 64
+    first = np.array([mixing.split_tree(have.tolist(), 2, seed)[0] for seed in range(3000)])
+    take, p = n // 2, have / n
+    assert np.abs(first.mean(axis=0) - take * p).max() < 0.15
+    assert np.abs(first.var(axis=0) - take * p * (1 - p) * (n - take) / (n - 1)).max() < 0.4
+
+
 def test_mix_of_odd_and_empty_tables(odd):
     out = mixing.mix_sources(odd).collect()
     assert len(out) == len(ODD) and sum(r["taken"] for r in out) == round(out[0]["target"])
