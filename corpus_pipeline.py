@@ -11,22 +11,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brontide.llm import bpe, cotraining, mixing, quality_rules, simhash
-from brontide.llm.common import stored, table
+from brontide.llm.common import Plain, discard, stored, table
 from brontide.llm.queries import codec
 
 
-def _same(df: DataFrame, docs: DataFrame) -> DataFrame:
-    return df.select(*(F.col(f"`{c}`") for c in docs.columns))
+def _kept(docs: DataFrame, judged, verdict: str) -> DataFrame:
+    """The rows of docs that judged finds good, with docs' own columns, whatever judged appends to them and under which names."""
+    table = Plain(docs)
+    return judged(table).filter(verdict).select(*table.own())
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained quality classifier rejects go."""
-    return _same(cotraining.quality_classifier(docs, table(spark, sf_dir, "labels")).filter("kept"), docs)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+
+    def judged(d: Plain) -> DataFrame:
+        metadata = tuple(c for c in map(d.find, ("lang", "source", "n_chars")) if c)
+        view = d.df.withColumnRenamed(d.name("doc_id"), "id")
+        return cotraining.quality_classifier(view, labels, "id", d.name("text"), "label", metadata).withColumnRenamed("id", d.name("doc_id"))
+
+    return _kept(docs, judged, "kept")
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a quality rule go."""
-    return _same(quality_rules.quality_rules(docs, prefix="rule_").filter("rule_kept"), docs)
+    return _kept(docs, lambda d: quality_rules.quality_rules(d.df, d.name("text")), "kept")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +49,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each row's text, and whether they decode to it."""
-    return bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), codec(), verify=True).drop("text")
+    """The token ids of each row's text in its place, and whether they decode to it; a column of docs named as one of these is replaced."""
+    return bpe.encode_documents(docs, codec(), verify=True, keep_text=False)
 
 
 STAGES = [
@@ -52,12 +61,13 @@ STAGES = [
     ("byte-level bpe", tokenize),
 ]
 
-#: The classifier is a fitted model, which SQL can't express; tests hold the stages against plainer versions.
+#: The classifier is a fitted model, which SQL can't express; tests hold the stages against plain versions of them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        last, docs = docs, stored(stage(spark, docs, sf_dir))
+        discard(last)
     return docs
