@@ -18,13 +18,21 @@ def trim(c: Column) -> Column:
     return F.regexp_replace(c, _EDGES, "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once per row however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def tokenize(c: Column) -> Column:
     """Lower-cased ASCII words, then every CJK run as bigrams (a run of one character as it is)."""
-    low = F.lower(F.coalesce(c.cast("string"), F.lit("")))
-    words = F.regexp_extract_all(low, F.lit(ASCII_WORD), 0)
-    runs = F.regexp_extract_all(low, F.lit(CJK_RUN), 0)
-    pairs = lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2))))
-    return F.concat(words, F.flatten(F.transform(runs, pairs)))
+
+    def tokens(low: Column) -> Column:
+        words = F.regexp_extract_all(low, F.lit(ASCII_WORD), 0)
+        runs = F.regexp_extract_all(low, F.lit(CJK_RUN), 0)
+        pairs = lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2))))
+        return F.concat(words, F.when(low.rlike(CJK_RUN), F.flatten(F.transform(runs, pairs))).otherwise(F.array().cast("array<string>")))
+
+    return let(F.lower(F.coalesce(c.cast("string"), F.lit(""))), tokens)
 
 
 def clean_markup(c: Column) -> Column:
@@ -81,9 +89,13 @@ def keywords(c: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[,，]"), trim), lambda k: k != "")
 
 
+#: The marks besides white space that part the words of a law's name.
+_LAW_MARKS = "()·ㆍ,;:/"
+
+
 def significant_tokens(c: Column, stop: tuple[str, ...]) -> Column:
-    """Distinct words of two characters and more that are not stop words."""
-    words = F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+")
+    """Distinct words of two characters and more that are not stop words; words end at white space and eight marks."""
+    words = F.split(F.coalesce(c, F.lit("")), f"(?U)[\\s{_LAW_MARKS}]+")
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*stop)))
 
 

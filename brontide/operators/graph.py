@@ -7,36 +7,13 @@ sees only counts.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def written(df: DataFrame) -> DataFrame:
-    """df, written once below spark.checkpoint.dir and read back."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="brontide-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(seed, node): what each seed reaches along (src, dst), itself included; only new pairs go into the next round."""
-    edges = written(edges.select("src", "dst").distinct())
-    seen = written(seeds.select(F.col("node").alias("seed"), "node").distinct())
-    front = seen
-    while not front.isEmpty():
-        new = front.join(edges, front["node"] == edges["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        front = written(new.join(seen, ["seed", "node"], "left_anti"))
-        seen = written(seen.unionByName(front))
-    return seen
+from brontide.sources.stored import discard, written
 
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -50,16 +27,92 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return seen
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong_components(edges: DataFrame, trims: int = 3) -> DataFrame:
     """(node, component, size): nodes that reach each other; the component is named by its least node.
 
-    Pairs of the reachability closure: for graphs of rules and arguments, not of pages.
+    Forward-backward colouring.  Nodes without an edge in or out are components of
+    their own and are trimmed off.  Each other node takes the least node that reaches it as its
+    colour; the nodes of a colour that reach the colour's own node are that
+    node's component.  These leave, and so do edges between colours; what is
+    left is coloured again.  Every round touches each edge once, so no set of
+    pairs of nodes is ever made.
     """
-    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    reach = closure(edges, nodes)
-    back = reach.select(F.col("node").alias("seed"), F.col("seed").alias("node"))
-    mutual = reach.join(back, ["seed", "node"])
-    return mutual.groupBy(F.col("seed").alias("node")).agg(F.min("node").alias("component"), F.count("*").alias("size"))
+    nodes = written(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    left = written(edges.select("src", "dst").filter("src <> dst").distinct())
+    found: list[DataFrame] = []
+    while True:
+        size = left.count()
+        for _ in range(trims):
+            both = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+            last, left = left, written(both.select("src", "dst"))
+            discard(last)
+            before, size = size, left.count()
+            if size in (0, before):
+                break
+        if not size:
+            break
+        colour = _least_ancestor(left)
+        inner = written(_coloured(left, colour))
+        front = seen = written(colour.filter("node = colour").select("node", "colour"))
+        while not front.isEmpty():
+            new = inner.join(front.select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
+            front = written(new.join(seen, ["node", "colour"], "left_anti"))
+            last, seen = seen, written(seen.unionByName(front))
+            discard(last)
+        found.append(seen)
+        gone = seen.select("node")
+        rest = inner.select("src", "dst").join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti")
+        last, left = left, written(rest.select("src", "dst"))
+        discard(last)
+    named = reduce(DataFrame.unionByName, found) if found else nodes.select("node", F.col("node").alias("colour")).limit(0)
+    every = nodes.join(named, "node", "left").select("node", F.coalesce("colour", "node").alias("component"))
+    sizes = every.groupBy("component").agg(F.count("*").alias("size"))
+    return every.join(sizes, "component").select("node", "component", "size")
+
+
+def _least_ancestor(edges: DataFrame) -> DataFrame:
+    """(node, colour): the least node that reaches each node, itself included."""
+    colour = written(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")))
+    while True:
+        seen = edges.join(colour.select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("least"))
+        new = written(colour.join(seen, "node", "left").select("node", F.least("colour", F.coalesce("least", "colour")).alias("colour"), (F.col("least") < F.col("colour")).alias("moved")))
+        last, colour = colour, new.select("node", "colour")
+        discard(last)
+        if new.filter("moved").isEmpty():
+            return colour
+
+
+def _coloured(edges: DataFrame, colour: DataFrame) -> DataFrame:
+    """(src, dst, colour): edges with both ends of one colour."""
+    a, b = (colour.select(F.col("node").alias(end), F.col("colour").alias(f"{end}_colour")) for end in ("src", "dst"))
+    return edges.join(a, "src").join(b, "dst").filter("src_colour = dst_colour").select("src", "dst", F.col("src_colour").alias("colour"))
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(component, size, path): of each set of nodes that reach each other, a shortest cycle through its least node.
+
+    A node with an edge to itself is a cycle of one.  Of several shortest cycles
+    the one whose node sequence is least is given.  Paths grow by one edge a
+    round, one path per node: the driver sees only whether any is left.
+    """
+    edges = written(edges.select("src", "dst").distinct())
+    parts = written(strong_components(edges))
+    loops = edges.filter("src = dst").select(F.col("src").alias("component")).distinct()
+    cyclic = parts.filter("size > 1 and node = component").select("component", "size")
+    sizes = cyclic.unionByName(loops.join(parts.filter("size = 1").select("component", "size"), "component"))
+    done = [loops.join(sizes, "component").select("component", F.array("component").alias("path"))]
+    inner = written(_coloured(edges.filter("src <> dst"), parts.select("node", F.col("component").alias("colour"))))
+    front = cyclic.join(loops, "component", "left_anti").select("component", F.col("component").alias("node"), F.array("component").alias("path"))
+    front = seen = written(front)
+    while not front.isEmpty():
+        step = inner.join(front.select(F.col("node").alias("src"), F.col("component").alias("colour"), "path"), ["src", "colour"])
+        closed = written(step.filter("dst = colour").groupBy(F.col("colour").alias("component")).agg(F.min("path").alias("path")))
+        done.append(closed)
+        on = step.groupBy(F.col("colour").alias("component"), F.col("dst").alias("node")).agg(F.min("path").alias("path"))
+        new = on.join(closed, "component", "left_anti").join(seen.select("component", "node"), ["component", "node"], "left_anti")
+        front = written(new.select("component", "node", F.concat("path", F.array("node")).alias("path")))
+        seen = written(seen.select("component", "node", "path").join(closed, "component", "left_anti").unionByName(front))
+    return reduce(DataFrame.unionByName, done).join(sizes, "component").select("component", "size", "path")
 
 
 def connected(edges: DataFrame) -> DataFrame:

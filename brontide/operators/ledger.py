@@ -60,10 +60,10 @@ def expired_leases(runs: DataFrame, lease_until: str, now: Column) -> DataFrame:
     return runs.filter((F.col("status") == "running") & (F.col(lease_until) < now))
 
 
-def next_work(runs: DataFrame, created: str, lease_until: str, now: Column, k: int = 1) -> DataFrame:
-    """The k runs to take next: running ones whose lease ran out, then queued ones, oldest first."""
+def next_work(runs: DataFrame, created: str, lease_until: str, now: Column, k: int = 1, id: str = "run_id") -> DataFrame:
+    """The k runs to take next: running ones whose lease ran out, then queued ones, oldest first, ties by id."""
     expired = (F.col("status") == "running") & (F.col(lease_until) < now)
-    return runs.filter(expired | (F.col("status") == "queued")).orderBy(F.when(expired, 0).otherwise(1), created).limit(k)
+    return runs.filter(expired | (F.col("status") == "queued")).orderBy(F.when(expired, 0).otherwise(1), created, id).limit(k)
 
 
 def tail(events: DataFrame, run: str, n: int, *order: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brontide.functions import scalars
+from brontide.sources.stored import written
 
 
 def cells(df: DataFrame, columns: list[str], row: Column | None = None) -> DataFrame:
@@ -33,11 +34,51 @@ def column_quality(long: DataFrame) -> DataFrame:
     return long.select("column", present.alias("v")).groupBy("column").agg(F.count("*").alias("observed_count"), F.count("v").alias("non_null_count"), (F.count("*") - F.count("v")).alias("missing_count"), F.countDistinct("v").alias("distinct_count"))
 
 
+def _placed(numbers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of numbers (column, x): (column, x, c, before), each distinct value with how often it and all smaller ones occur; and (column, n).
+
+    Values are counted with a partial aggregate, dealt in ranges and written, so
+    a column of any size is spread over all tasks; only the ranges' sums are put
+    in order in one place.
+    """
+    counted = numbers.groupBy("column", "x").agg(F.count("*").alias("c"))
+    ranged = written(counted.repartitionByRange("column", "x").withColumn("part", F.spark_partition_id()))
+    sums = ranged.groupBy("column", "part").agg(F.sum("c").alias("s"))
+    ahead = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("column", "part", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("column", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.join(offsets, ["column", "part"]).withColumn("before", F.col("offset") + F.coalesce(F.sum("c").over(inside), F.lit(0)))
+    return placed.select("column", "x", "c", "before"), sums.groupBy("column").agg(F.sum("s").alias("n"))
+
+
+def quantiles(numbers: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """(column, n, one column per name in shares): exact quantiles of type 7 of the numbers (column, x) of each column."""
+    placed, totals = _placed(numbers)
+    return _quantiles(placed, totals, shares)
+
+
+def _quantiles(placed: DataFrame, totals: DataFrame, shares: dict[str, float]) -> DataFrame:
+    rows = placed.join(totals, "column")
+    picks = []
+    for name, share in shares.items():
+        at = (F.col("n") - 1) * F.lit(share)
+        for end, place in (("low", F.floor(at)), ("high", F.ceil(at))):
+            picks.append(F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("c")), F.col("x"))).alias(f"{name}_{end}"))
+    ends = rows.groupBy("column", "n").agg(*picks)
+    part = lambda share: (F.col("n") - 1) * F.lit(share) - F.floor((F.col("n") - 1) * F.lit(share))
+    return ends.select("column", "n", *((F.col(f"{k}_low") + (F.col(f"{k}_high") - F.col(f"{k}_low")) * part(v)).alias(k) for k, v in shares.items()))
+
+
 def numeric_profile(long: DataFrame) -> DataFrame:
     """Count, range, mean, median, population deviation and type-7 quartiles of the numbers of each column."""
     n = long.select("column", scalars.number(F.col("value")).alias("x")).filter("x is not null")
-    r = lambda c, name: F.round(c, 4).alias(name)
-    return n.groupBy("column").agg(F.count("*").alias("count"), r(F.min("x"), "minimum"), r(F.max("x"), "maximum"), r(F.avg("x"), "mean"), r(F.percentile("x", 0.5), "median"), r(F.stddev_pop("x"), "standard_deviation"), r(F.percentile("x", 0.25), "q1"), r(F.percentile("x", 0.75), "q3"))
+    placed, totals = _placed(n)
+    q = _quantiles(placed, totals, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    base = placed.groupBy("column").agg(F.sum("c").alias("count"), F.min("x").alias("minimum"), F.max("x").alias("maximum"), (F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("mean"))
+    # The mean is taken off before squares are summed, so nothing cancels.
+    spread = placed.join(base.select("column", "mean"), "column").groupBy("column").agg(F.sqrt(F.sum(F.pow(F.col("x") - F.col("mean"), 2) * F.col("c")) / F.sum("c")).alias("standard_deviation"))
+    r = lambda c: F.round(c, 4).alias(c)
+    return base.join(q, "column").join(spread, "column").select("column", "count", *map(r, ("minimum", "maximum", "mean", "median", "standard_deviation", "q1", "q3")))
 
 
 def top_values(long: DataFrame, k: int = 5) -> DataFrame:
@@ -47,7 +88,7 @@ def top_values(long: DataFrame, k: int = 5) -> DataFrame:
     total = v.groupBy("column").agg(F.count("*").alias("total"))
     rank = Window.partitionBy("column").orderBy(F.desc("count"), "first", "value")
     best = counted.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
-    return best.join(F.broadcast(total), "column").select("column", "rank", "value", "count", F.round(F.col("count") / F.col("total"), 4).alias("ratio"))
+    return best.join(total, "column").select("column", "rank", "value", "count", F.round(F.col("count") / F.col("total"), 4).alias("ratio"))
 
 
 def text_lengths(long: DataFrame) -> DataFrame:
@@ -57,7 +98,7 @@ def text_lengths(long: DataFrame) -> DataFrame:
 
 
 def dataset_quality(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(rows, duplicate_rows, missing_cells): duplicates by normalised cells, found through a hash-sized key."""
+    """(rows, duplicate_rows, missing_cells): duplicates by the normalised cells themselves."""
     norm = [F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
     missing = sum((scalars.is_missing(F.col(c).cast("string")).cast("int") for c in columns), F.lit(0))
     rows = df.select(F.struct(*(c.alias(f"c{i}") for i, c in enumerate(norm))).alias("key"), missing.alias("missing")).groupBy("key").agg(F.count("*").alias("n"), F.sum("missing").alias("missing"))
@@ -82,9 +123,9 @@ def type_consistency(long: DataFrame, expected: dict[str, str]) -> DataFrame:
 def iqr_outliers(long: DataFrame, k: int = 20) -> DataFrame:
     """The k numbers of each column furthest outside the quartile fences, if it has 4 numbers and a spread."""
     n = long.select("column", "row", "value", scalars.number(F.col("value")).alias("x")).filter("x is not null")
-    q = n.groupBy("column").agg(F.count("*").alias("n"), F.percentile("x", 0.25).alias("q1"), F.percentile("x", 0.75).alias("q3")).filter("n >= 4 and q3 > q1")
+    q = quantiles(n.select("column", "x"), {"q1": 0.25, "q3": 0.75}).filter("n >= 4 and q3 > q1")
     fenced = q.select("column", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lower"), (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("upper"))
-    out = n.join(F.broadcast(fenced), "column").filter("x < lower or x > upper")
+    out = n.join(fenced, "column").filter("x < lower or x > upper")
     rank = Window.partitionBy("column").orderBy(F.least(F.col("x") - F.col("lower"), F.col("upper") - F.col("x")), "row")
     best = out.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
     return best.select("column", "rank", "row", F.round("x", 4).alias("numeric_value"), F.round("lower", 4).alias("lower_fence"), F.round("upper", 4).alias("upper_fence"))

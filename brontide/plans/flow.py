@@ -123,10 +123,10 @@ def filter_provider(docs: DataFrame, provider: str | None) -> DataFrame:
 
 
 def top_by_score(docs: DataFrame, k: int | None = None, least: float | None = None) -> DataFrame:
-    """The k documents of the highest score, at least `least` if given; ties by name."""
+    """The k documents of the highest score, at least `least` if given; ties by name, then by id."""
     score = F.coalesce("searchScore", F.lit(0.0))
     rows = docs if least is None else docs.filter(score >= least)
-    return rows.orderBy(score.desc(), "name").limit(max(1, int(k or 10)))
+    return rows.orderBy(score.desc(), "name", "apiId").limit(max(1, int(k or 10)))
 
 
 def _category(docs, node, inputs):
@@ -167,14 +167,20 @@ EXECUTORS: dict[str, Callable[[DataFrame, dict, DataFrame | None], Result]] = {
 }
 
 
-def compile_flow(docs: DataFrame, nodes: list[dict], edges: list[dict], target: str | None = None) -> dict[str, Result]:
-    """A lazy result for each node, or for those that target needs; nothing runs until a result is read."""
+def compile_flow(docs: DataFrame, nodes: list[dict], edges: list[dict], target: str | None = None, given: dict[str, DataFrame] | None = None) -> dict[str, Result]:
+    """A lazy result for each node, or for those that target needs; nothing runs until a result is read.
+
+    given: documents that nodes have from elsewhere, by node id; such a node isn't run.
+    """
     need = upstream(target, edges) if target else {n["id"] for n in nodes}
     by_id = {n["id"]: n for n in nodes}
     done: dict[str, Result] = {}
     for i in order_nodes(nodes, edges):
         if i not in need:
             continue
+        if i in (given or {}):
+            done[i] = Result("success", "apiDocs", _numbered(given[i], F.lit(0)))
+            continue
         node = {"data": {}, **by_id[i]}
         run = EXECUTORS.get(node["type"])
         source = node["type"] in ("apiSearch", "apiDoc")

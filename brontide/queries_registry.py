@@ -292,11 +292,14 @@ def _flow_docs(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("apiId"), F.col("p_name").alias("name"), F.col("p_brand").alias("provider"), F.col("p_type").alias("category"), F.col("p_name").alias("keywords"), F.lit("").alias("description"), F.col("p_retailprice").alias("searchScore"))
 
 
-@query("""WITH a AS (SELECT p_partkey AS apiId, p_name AS name, p_brand AS provider, p_type AS category FROM part WHERE p_partkey IN (3, 5, 8, 13)), f AS (SELECT * FROM a WHERE contains(lower(provider), 'brand#1') OR true) SELECT apiId, name FROM f""")
+@query("""WITH a AS (SELECT p_partkey AS apiId, p_name AS name, 0 AS part FROM part WHERE contains(lower(p_brand), 'brand#1')), b AS (SELECT p_partkey, p_name, 1 FROM part WHERE contains(lower(p_type), 'small') OR contains(lower(p_name), 'small')), u AS (SELECT * FROM a UNION SELECT * FROM b) SELECT apiId, name, min(u.part)::INT AS part FROM u GROUP BY apiId, name""")
 def flow_pipeline(spark, d):
-    nodes = [{"id": f"d{i}", "type": "apiDoc", "data": {"apiId": i}} for i in (3, 5, 8, 13)] + [{"id": "m", "type": "mergeNode"}, {"id": "n", "type": "mergeNode"}, {"id": "o", "type": "exportNode", "data": {"filename": "x", "format": "csv"}}]
-    edges = [{"source": f"d{i}", "target": t} for i in (3, 5, 8, 13) for t in ("m", "n")] + [{"source": "m", "target": "o"}, {"source": "n", "target": "o"}]
-    return flow.compile_flow(_flow_docs(spark, d), nodes, edges, "o")["o"].docs.select("apiId", "name")
+    """Two filters over all parts, merged in the order of their edges, the first of each id."""
+    docs = _flow_docs(spark, d)
+    nodes = [{"id": "p", "type": "providerFilter", "data": {"provider": "Brand#1"}}, {"id": "c", "type": "categoryFilter", "data": {"category": "Small"}}, {"id": "m", "type": "mergeNode"}, {"id": "o", "type": "exportNode", "data": {"filename": "x", "format": "csv"}}]
+    edges = [{"source": s, "target": t} for s, t in (("all", "p"), ("all", "c"), ("p", "m"), ("c", "m"), ("m", "o"))]
+    out = flow.compile_flow(docs, [{"id": "all", "type": "apiDocs"}, *nodes], edges, "o", given={"all": docs})["m"]
+    return out.docs.select("apiId", "name", F.col("ordinal.part").alias("part"))
 
 
 @query("SELECT * FROM (VALUES ('b,a,c')) AS t(keys)")

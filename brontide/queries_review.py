@@ -15,9 +15,9 @@ def document_chunks(spark, d):
     return chunks.search_chunks(docs, "doc_id", head, F.col("text"), F.array(F.lit("- GET /a : x")), F.array().cast("array<string>"))
 
 
-@query("SELECT doc_id, lower(trim(regexp_replace(regexp_replace(source || ' ' || lang || ' ' || left(text, 200), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS blob FROM documents")
+@query("SELECT doc_id, lower(trim(regexp_replace(regexp_replace(source || ' ' || lang || ' ' || text, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS blob FROM documents")
 def search_blob(spark, d):
-    return table(spark, d, "documents").select("doc_id", chunks.search_blob(F.col("source"), F.col("lang"), F.substring("text", 1, 200)).alias("blob"))
+    return table(spark, d, "documents").select("doc_id", chunks.search_blob(F.col("source"), F.col("lang"), F.col("text")).alias("blob"))
 
 
 _RESPONSES = """('a.kr', '/api/3/action/package_list', '{"success": true, "result": ["x", "y"]}'), ('a.kr', '/sitemap.xml', '<urlset><url><loc>http://a.kr/1</loc></url></urlset>'), ('b.kr', '/api/3/action/package_list', 'oops'), ('b.kr', '/openapi.json', '{"openapi": "3", "paths": {}, "info": {"title": "B"}}'), ('c.kr', '/sitemap.xml', '<urlset><url><loc> http://c.kr/p/1 </loc></url><url><loc>http://c.kr/q?a=1&amp;b=2</loc></url></urlset>'), ('d.kr', '/', '<html></html>'), ('e.kr', '/', '')"""

@@ -71,15 +71,15 @@ def split_intents(spark, d):
     return values(spark, "(1, '미세먼지 및 날씨'), (2, '병원과 약국 위치, 주차장'), (3, 'a/b+cd')", "id, s").select("id", F.array_join(text.intents(F.col("s")), "|").alias("intents"))
 
 
-_VEC_Q = "SELECT vec_id AS intent, embedding AS query FROM embeddings WHERE vec_id IN (0, 1, 2)"
-_VEC_SQL = """WITH q AS (SELECT vec_id AS intent, embedding::DOUBLE[] AS query FROM embeddings WHERE vec_id IN (0, 1, 2)),
-s AS (SELECT intent, vec_id, label, list_inner_product(embedding::DOUBLE[], query) AS sim FROM embeddings, q),
+#: The stated query set: every vector whose id is divisible by 100.
+_VEC_SQL = """WITH q AS (SELECT vec_id AS intent, embedding::DOUBLE[] AS query FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT intent, vec_id, label, round(list_inner_product(embedding::DOUBLE[], query), 9) AS sim FROM embeddings, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY sim DESC, vec_id) AS rank FROM s)"""
 
 
 def _hits(spark, d, k):
     e = table(spark, d, "embeddings")
-    q = e.filter("vec_id in (0, 1, 2)").select(F.col("vec_id").alias("intent"), F.col("embedding").alias("query"))
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("intent"), F.col("embedding").alias("query"))
     return search.vector_topk(e, q, k, "vec_id")
 
 
@@ -97,9 +97,8 @@ def vector_best_per_label(spark, d):
 
 def _lists(spark, d):
     docs = table(spark, d, "documents")
-    one = search.bm25(docs, "ering thst anea", {"text": 1}, k=20)
-    two = search.bm25(docs, "thst with enou", {"text": 1}, k=20)
-    return tuple(search.with_rank(x, F.desc("score"), F.col("doc_id")) for x in (one, two))
+    both = search.bm25_all(docs, {"one": "ering thst anea", "two": "thst with enou"}, {"text": 1}, k=20)
+    return tuple(search.with_rank(both[x], F.desc("score"), F.col("doc_id")) for x in ("one", "two"))
 
 
 def _rrf_sql(w1, w2, k):
@@ -172,10 +171,10 @@ def provider_filter(spark, d):
     return flow.filter_provider(s.select("s_suppkey", F.col("n_name").alias("provider")), "Nation_2").select("s_suppkey")
 
 
-@query("SELECT p_partkey FROM part WHERE p_retailprice >= 950 ORDER BY p_retailprice DESC, p_name LIMIT 12")
+@query("SELECT p_partkey FROM part WHERE p_retailprice >= 950 ORDER BY p_retailprice DESC, p_name, p_partkey LIMIT 12")
 def score_filter(spark, d):
-    docs = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_retailprice").alias("searchScore"))
-    return flow.top_by_score(docs, 12, 950).select("p_partkey")
+    docs = table(spark, d, "part").select(F.col("p_partkey").alias("apiId"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("searchScore"))
+    return flow.top_by_score(docs, 12, 950).select(F.col("apiId").alias("p_partkey"))
 
 
 # Profiles over tables cast to strings.
