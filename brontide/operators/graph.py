@@ -7,8 +7,10 @@ sees only counts.
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,16 +29,103 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return seen
 
 
-def strong_components(edges: DataFrame, trims: int = 3) -> DataFrame:
+#: Edges of a graph that one task takes on; beyond it every round is spread over the cluster.
+SMALL = 200_000
+
+
+def _components_of(near: dict) -> dict:
+    """The least node of each node's strong component: one depth-first search, without recursion."""
+    number, low, out, path, on = {}, {}, {}, [], set()
+    for root in near:
+        if root in number:
+            continue
+        todo = [(root, iter(near[root]))]
+        number[root] = low[root] = len(number)
+        path.append(root)
+        on.add(root)
+        while todo:
+            node, rest = todo[-1]
+            step = next(rest, None)
+            if step is None:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[node])
+                if low[node] == number[node]:
+                    members = [path.pop()]
+                    while members[-1] != node:
+                        members.append(path.pop())
+                    on.difference_update(members)
+                    out.update(dict.fromkeys(members, min(members)))
+            elif step not in number:
+                number[step] = low[step] = len(number)
+                path.append(step)
+                on.add(step)
+                todo.append((step, iter(near[step])))
+            elif step in on:
+                low[node] = min(low[node], number[step])
+    return out
+
+
+def _cycle_through(start, near: dict, component: dict) -> list:
+    """A shortest cycle through start within its component, the least of several: breadth first, neighbours in order."""
+    before, front = {start: None}, [start]
+    while front:
+        for node in front:
+            if start in near[node]:
+                path = []
+                while node is not None:
+                    path.append(node)
+                    node = before[node]
+                return path[::-1]
+        new = []
+        for node in front:
+            for step in sorted(near[node]):
+                if step not in before and component[step] == start:
+                    before[step] = node
+                    new.append(step)
+        front = new
+    return []
+
+
+def _one_task(edges: DataFrame, rows_of, schema: str) -> DataFrame:
+    """rows_of(neighbours of each node), worked out from all edges in one task: for graphs of a checked size."""
+    def run(batches):
+        near: dict = {}
+        node_t = pa.int64()
+        for b in batches:
+            node_t = b.column(0).type
+            for s, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                near.setdefault(s, set()).add(d)
+                near.setdefault(d, set())
+        columns = list(zip(*rows_of(near), strict=True))
+        if columns:
+            kinds = {"node_t": node_t, "bigint": pa.int64(), "array<node_t>": pa.list_(node_t)}
+            fields = [f.split() for f in schema.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+    kind = edges.schema["src"].dataType.simpleString()
+    return edges.select("src", "dst").coalesce(1).mapInArrow(run, schema.replace("node_t", kind))
+
+
+def strong_components(edges: DataFrame, trims: int = 3, small: int = SMALL) -> DataFrame:
     """(node, component, size): nodes that reach each other; the component is named by its least node.
 
-    Forward-backward colouring.  Nodes without an edge in or out are components of
+    A graph of at most `small` edges, which is checked, is searched in one task;
+    a larger one by forward-backward colouring.  There, nodes without an edge in or out are components of
     their own and are trimmed off.  Each other node takes the least node that reaches it as its
     colour; the nodes of a colour that reach the colour's own node are that
     node's component.  These leave, and so do edges between colours; what is
     left is coloured again.  Every round touches each edge once, so no set of
     pairs of nodes is ever made.
     """
+    edges = written(edges.select("src", "dst").distinct())
+    if edges.count() <= small:
+        def sized(near):
+            of = _components_of(near)
+            n = Counter(of.values())
+            return [(node, c, n[c]) for node, c in of.items()]
+
+        return _one_task(edges, sized, "node node_t, component node_t, size bigint")
     nodes = written(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
     left = written(edges.select("src", "dst").filter("src <> dst").distinct())
     found: list[DataFrame] = []
@@ -88,15 +177,23 @@ def _coloured(edges: DataFrame, colour: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").filter("src_colour = dst_colour").select("src", "dst", F.col("src_colour").alias("colour"))
 
 
-def cycles(edges: DataFrame) -> DataFrame:
+def cycles(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(component, size, path): of each set of nodes that reach each other, a shortest cycle through its least node.
 
     A node with an edge to itself is a cycle of one.  Of several shortest cycles
-    the one whose node sequence is least is given.  Paths grow by one edge a
-    round, one path per node: the driver sees only whether any is left.
+    the one whose node sequence is least is given.  A graph of at most `small`
+    edges, which is checked, is searched in one task.  Beyond, paths grow by one
+    edge a round, one path per node: the driver sees only whether any is left.
     """
     edges = written(edges.select("src", "dst").distinct())
-    parts = written(strong_components(edges))
+    if edges.count() <= small:
+        def found(near):
+            of = _components_of(near)
+            n = Counter(of.values())
+            return [(c, n[c], _cycle_through(c, near, of)) for c in sorted(n) if n[c] > 1 or c in near[c]]
+
+        return _one_task(edges, found, "component node_t, size bigint, path array<node_t>")
+    parts = written(strong_components(edges, small=small))
     loops = edges.filter("src = dst").select(F.col("src").alias("component")).distinct()
     cyclic = parts.filter("size > 1 and node = component").select("component", "size")
     sizes = cyclic.unionByName(loops.join(parts.filter("size = 1").select("component", "size"), "component"))

@@ -158,3 +158,29 @@ def coordinate_profile(df: DataFrame, lat: str, lon: str) -> DataFrame:
     worst = F.when(F.bool_or(status == "invalid"), "invalid").when((F.count("*") == 0) | F.bool_or(status == "unverified"), "unverified").otherwise("verified")
     valid = F.sum((status == "verified").cast("int"))
     return df.agg(F.count("*").alias("pairs"), valid.alias("valid"), F.round(valid / F.count("*"), 3).alias("ratio"), worst.alias("status"))
+
+
+def quality_report(long: DataFrame, expected: dict[str, str] | None = None) -> DataFrame:
+    """One row per column: everything above as a struct's JSON text (column, report).
+
+    Numbers have their figures and outliers, other columns their lengths and most
+    frequent values; each its missing and distinct values, inferred type and
+    agreement with the expected types.
+    """
+    one = lambda df, name: df.groupBy("column").agg(F.sort_array(F.collect_list(F.struct(*(c for c in df.columns if c != "column")))).alias(name))
+    parts = [infer_columns(long), column_quality(long), type_consistency(long, expected or {})]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, "column", "left")
+    for name, df in (("numbers", numeric_profile(long)), ("lengths", text_lengths(long)), ("top_values", top_values(long)), ("outliers", iqr_outliers(long))):
+        out = out.join(one(df, name), "column", "left")
+    return out.select("column", F.to_json(F.struct(*(c for c in out.columns if c != "column"))).alias("report"))
+
+
+def report_html(report: DataFrame, order: str = "column") -> DataFrame:
+    """(column, html): each column's report as a row of an HTML table: name, type, missing and matching share, and the rest."""
+    esc = lambda c: F.replace(F.replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    get = lambda path: F.get_json_object("report", path)
+    share = lambda c: F.concat(F.format_number(c.cast("double") * 100, 2), F.lit("%"))
+    cells = (F.col("column"), get("$.inferred_type"), share(get("$.null_ratio")), share(F.coalesce(get("$.ratio"), F.lit("1"))), F.col("report"))
+    return report.select("column", F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), esc(c), F.lit("</td>")) for c in cells), F.lit("</tr>")).alias("html")).orderBy(order)

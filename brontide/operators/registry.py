@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brontide.functions.text import compact
+from brontide.functions.text import compact, top_category
 
 #: Domains of a verification item by the first pattern that fits, and the evidence each asks for.
 DOMAINS = (
@@ -78,6 +78,49 @@ def compact_law(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\([^)]*\)", ""), r"(?U)[\s「」『』“”‘’·ㆍ,;:/]", "")
 
 
+#: Names that stand for several laws.
+COMPOSITES = {
+    "근로기준법·노동조합 및 노동관계조정법": ("근로기준법", "노동조합 및 노동관계조정법"),
+    "방송심의에 관한 규정·정보통신에 관한 심의규정": ("방송심의에 관한 규정", "정보통신에 관한 심의규정"),
+    "난민법 및 행정소송법": ("난민법", "행정소송법"),
+    "민법·상법 등 실체법": ("민법", "상법"),
+    "법률구조법 시행령·공단 내부규정": ("법률구조법 시행령",),
+    "인공지능 기본법 시행령·고시": ("인공지능 기본법 시행령",),
+}
+#: How a citation says that it means a law and what is below it.
+_AND_BELOW = r"(?U)\s+및\s+하위법령\s*$"
+
+
+def law_targets(citations: DataFrame, aliases: DataFrame, composites: dict[str, tuple[str, ...]] = COMPOSITES) -> DataFrame:
+    """citations with target and below: a row for each law that a citation stands for.
+
+    A composite name gives its parts, an alias its official name, any other name
+    itself.  below: the citation also means every law whose name begins with the target's.
+    """
+    known = F.create_map(*(x for k, v in composites.items() for x in (compact_law(F.lit(k)), F.array(*map(F.lit, v)))))
+    official = aliases.select(compact_law(F.col("alias")).alias("law_key"), F.col("official").alias("law_official")).dropDuplicates(["law_key"])
+    c = citations.withColumn("law_key", compact_law(F.col("law"))).withColumn("below", F.coalesce(F.col("law").rlike(_AND_BELOW), F.lit(False))).join(official, "law_key", "left")
+    parts = F.coalesce(F.try_element_at(known, F.col("law_key")), F.array(F.coalesce("law_official", F.regexp_replace("law", _AND_BELOW, ""))))
+    return c.withColumn("target", F.explode(parts)).drop("law_key", "law_official")
+
+
+def find_sources(citations: DataFrame, sources: DataFrame, aliases: DataFrame, composites: dict[str, tuple[str, ...]] = COMPOSITES) -> DataFrame:
+    """(id, url): the distinct sources that each citation (id, law) means.
+
+    sources: (url, name, official), either name may match, in its compact form; a
+    target's alias counts for the target.  Names that begin with a target are
+    found through all their beginnings, so this is an equi-join too.
+    """
+    alias = aliases.select(compact_law(F.col("alias")).alias("key"), compact_law(F.col("official")).alias("other")).dropDuplicates(["key"])
+    t = law_targets(citations, aliases, composites).withColumn("key", compact_law(F.col("target"))).join(alias, "key", "left")
+    wanted = t.select("id", "below", F.explode(F.array_compact(F.array("key", "other"))).alias("key")).filter("key <> ''")
+    names = sources.select("url", F.explode(F.array_compact(F.array("name", "official"))).alias("name")).select("url", compact_law(F.col("name")).alias("key")).filter("key <> ''")
+    starts = names.select("url", F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda n: F.substring("key", F.lit(1), n))).alias("key"))
+    same = wanted.join(names, "key").select("id", "url")
+    under = t.filter("below").select("id", "key").join(starts, "key").select("id", "url")
+    return same.unionByName(under).distinct()
+
+
 def match_sources(citations: DataFrame, sources: DataFrame, aliases: DataFrame) -> DataFrame:
     """citations (id, law) with source: by compacted name, else by the alias's official name.
 
@@ -91,6 +134,41 @@ def match_sources(citations: DataFrame, sources: DataFrame, aliases: DataFrame)
     return direct.join(via, "o", "left").select(*citations.columns, F.coalesce("source", "via").alias("source"))
 
 
+def article_coverage(references: DataFrame, institutions: DataFrame) -> DataFrame:
+    """One row per institution: its article references by outcome, its unresolved sources, and its status.
+
+    references: (slug, status) with status verified, missing or uncheckable;
+    institutions: (slug, priority, unresolved).  article-verified: nothing is
+    unresolved, missing or uncheckable; else needs-review.  An institution without
+    references has zeros.
+    """
+    counts = references.groupBy("slug").agg(F.count("*").alias("n"), *(F.count_if(F.col("status") == s).alias(s) for s in ("verified", "missing", "uncheckable")))
+    j = institutions.select("slug", "priority", "unresolved").join(counts, "slug", "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    clean = (n("unresolved") == 0) & (n("missing") == 0) & (n("uncheckable") == 0)
+    return j.select("slug", "priority", n("n").alias("article_references"), *(n(s).alias(s) for s in ("verified", "missing", "uncheckable")), n("unresolved").alias("unresolved"), F.when(clean, "article-verified").otherwise("needs-review").alias("status"))
+
+
+def coverage_totals(coverage: DataFrame) -> DataFrame:
+    """One row: the report's seven figures over article_coverage."""
+    s = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return coverage.agg(F.count("*").alias("institutions"), F.count_if(F.col("status") == "article-verified").alias("article_verified"), *map(s, ("article_references", "verified", "missing", "uncheckable", "unresolved")))
+
+
+def issue_groups(occurrences: DataFrame, key: list[str], at: str) -> DataFrame:
+    """Issues with how often they occur, and where: (key, occurrences, places); places distinct and sorted."""
+    return occurrences.groupBy(*key).agg(F.count("*").alias("occurrences"), F.sort_array(F.collect_set(at)).alias("places"))
+
+
+def shared_top_category(docs: DataFrame, group: str, category: str) -> DataFrame:
+    """(group, top, shared): whether all of a group's documents, two at least, have one top category, and which.
+
+    The top category is what stands before " - ".
+    """
+    top = top_category(F.col(category), "")
+    return docs.groupBy(group).agg(F.min(top).alias("top"), ((F.countDistinct(top) == 1) & (F.count("*") >= 2) & (F.min(top) != "")).alias("shared")).withColumn("top", F.when(F.col("shared"), F.col("top")))
+
+
 def label(article: Column, branch: Column) -> Column:
     return F.concat(F.lit("제"), article.cast("string"), F.lit("조"), F.when(branch.isNotNull(), F.concat(F.lit("의"), branch.cast("string"))).otherwise(""))
 

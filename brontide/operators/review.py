@@ -49,6 +49,45 @@ def critic(selected: DataFrame, details: DataFrame, known: DataFrame, stages: Da
     )
 
 
+#: The critic's rules.
+RULES = ("selection-observed-detail", "selected-subset-of-details", "selected-in-search", "relations-verified", "relations-not-skipped", "plan-missing-reported", "contract-limits")
+
+
+def observed_details(selected: DataFrame, requested: DataFrame, tools: DataFrame, detail_tool: str = "get_api_detail") -> DataFrame:
+    """Runs that selected documents, not all of them requested, without a call of the tool that reads details.
+
+    selected, requested: (run, id); tools: (run, tool).
+    """
+    own = selected.join(requested, ["run", "id"], "left_anti").select("run").distinct()
+    return _found(own.join(tools.filter(F.col("tool") == detail_tool), "run", "left_anti"), "selection-observed-detail", F.lit("selected_service_ids"))
+
+
+def verified_relations(selected: DataFrame, claimed: DataFrame, rechecked: DataFrame) -> DataFrame:
+    """Relations that a run of two documents and more claims and that a second look doesn't give: (run, rule, subject).
+
+    claimed, rechecked: (run, source, target, type).
+    """
+    some = selected.groupBy("run").agg(F.countDistinct("id").alias("n")).filter("n >= 2")
+    key = ["run", "source", "target", "type"]
+    lost = claimed.join(some, "run", "left_semi").join(rechecked, key, "left_anti")
+    return _found(lost, "relations-verified", F.concat_ws(":", "type", "source", "target"))
+
+
+def with_severity(found: DataFrame, runs: DataFrame, unverified: DataFrame | None = None, rules: tuple[str, ...] = RULES) -> DataFrame:
+    """(run, rule, severity, subject): violations, unverified rules, and info for each rule that a run keeps.
+
+    found: (run, rule, subject) violations; runs: (run); unverified: (run, rule)
+    that could not be looked at.
+    """
+    every = runs.select("run", F.explode(F.array(*map(F.lit, rules))).alias("rule"))
+    bad = found.select("run", "rule", F.lit("violation").alias("severity"), "subject")
+    open_ = (every.limit(0) if unverified is None else unverified.select("run", "rule")).join(found, ["run", "rule"], "left_anti")
+    open_ = open_.select("run", "rule", F.lit("unverified").alias("severity"), F.lit("-").alias("subject"))
+    said = bad.select("run", "rule").unionByName(open_.select("run", "rule"))
+    kept = every.join(said, ["run", "rule"], "left_anti").select("run", "rule", F.lit("info").alias("severity"), F.lit("-").alias("subject"))
+    return findings(bad, open_, kept)
+
+
 def verdict(found: DataFrame, contradictions: tuple[str, ...]) -> DataFrame:
     """(run, verdict): contradiction, then evidence_gap, of runs with findings; a run without any passes."""
     bad = F.bool_or(F.col("rule").isin(*contradictions))
@@ -63,11 +102,11 @@ def judge_arguments(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     pair = lambda df: df.select("src", "dst")
     inside = graph.within(nodes, edges)
     support, attack = inside.filter("kind = 'support'"), inside.filter("kind = 'attack'")
-    loops = graph.strong_components(pair(support)).filter("size > 1").select("component").distinct().unionByName(support.filter("src = dst").select(F.col("src").alias("component")))
+    loops = graph.cycles(pair(support)).select(F.array_join(F.transform("path", lambda n: n.cast("string")), ">").alias("path"))
     made = lambda df, code, subject: df.select(F.lit(code).alias("code"), subject.cast("string").alias("subject"))
     bare = nodes.filter("kind = 'claim'").join(support.select(F.col("dst").alias("node")), "node", "left_anti")
     open_ = graph.grounded(nodes, pair(attack)).filter("label = 'undecided'")
-    return reduce(DataFrame.unionByName, (made(graph.dangling(nodes, pair(edges)), "dangling-edge", F.concat_ws(">", F.col("src").cast("string"), F.col("dst").cast("string"))), made(loops.distinct(), "support-cycle", F.col("component")), made(bare, "unsupported-claim", F.col("node")), made(open_, "unresolved-conflict", F.col("node"))))
+    return reduce(DataFrame.unionByName, (made(graph.dangling(nodes, pair(edges)), "dangling-edge", F.concat_ws(">", F.col("src").cast("string"), F.col("dst").cast("string"))), made(loops, "support-cycle", F.col("path")), made(bare, "unsupported-claim", F.col("node")), made(open_, "unresolved-conflict", F.col("node"))))
 
 
 def connection_allowed(source_kind: Column, target_kind: Column, kind: Column) -> Column:
@@ -125,12 +164,19 @@ def validate_dag(steps: DataFrame, deps: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, (made(twice, "repeated", "node"), made(unknown, "unknown", "src"), made(own, "own", "src"), made(stuck, "cycle", "node")))
 
 
+#: Unresolved sources, at most: people list them, and each meets every citation.
+MOST_UNRESOLVED = 10_000
+
+
 def unresolved_matches(laws: DataFrame, unresolved: DataFrame) -> DataFrame:
     """(id, item): citations that an unresolved source may stand for.
 
-    laws: (id, law); unresolved: (item, name, reason), a curated list, so it is
-    the broadcast side of the one join here that has no key.
+    laws: (id, law); unresolved: (item, name, reason), a curated list of at most
+    MOST_UNRESOLVED items, which is checked: it is the broadcast side of the one
+    join here that has no key.
     """
+    if unresolved.limit(MOST_UNRESOLVED + 1).count() > MOST_UNRESOLVED:
+        raise ValueError(f"more than {MOST_UNRESOLVED} unresolved items")
     tokens = lambda c: F.filter(F.split(F.regexp_replace(c, "[()·ㆍ,;:/]", " "), r"\s+"), lambda t: (F.length(t) >= 2) & ~t.isin(*LAW_STOP))
     alone = unresolved.withColumn("same", F.count("*").over(Window.partitionBy("reason")))
     j = laws.withColumn("k", compact_law(F.col("law"))).crossJoin(F.broadcast(alone.withColumn("u", compact_law(F.col("name")))))
@@ -140,9 +186,9 @@ def unresolved_matches(laws: DataFrame, unresolved: DataFrame) -> DataFrame:
     return j.filter((F.col("k") == F.col("u")) | within | by_reason).select("id", "item")
 
 
-def loop_edges(nodes: DataFrame, order: str, action: str) -> DataFrame:
-    """(src, dst): from each correction or rejection back to the last submission, review or consultation before it."""
-    prior = F.last(F.when(F.col(action).isin("제출", "검토", "협의"), F.col("node")), ignorenulls=True).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+def loop_edges(nodes: DataFrame, order: str, action: str, process: str = "process") -> DataFrame:
+    """(src, dst): from each correction or rejection back to the last submission, review or consultation before it in its process."""
+    prior = F.last(F.when(F.col(action).isin("제출", "검토", "협의"), F.col("node")), ignorenulls=True).over(Window.partitionBy(process).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     return nodes.withColumn("dst", prior).filter(F.col(action).isin("보완", "반려") & F.col("dst").isNotNull()).select(F.col("node").alias("src"), "dst")
 
 

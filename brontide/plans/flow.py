@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from brontide.functions.text import export_filename
 from brontide.operators.catalog import first_per_key
@@ -201,6 +202,55 @@ def merged_field_keys(docs: DataFrame, fields: str, ordinal: str) -> DataFrame:
     return first.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "key"))), lambda x: x["key"]).alias("field_keys"))
 
 
-def layout(nodes: DataFrame, ordinal: str, columns: int = 3, width: int = 320, height: int = 220) -> DataFrame:
+def layout(nodes: DataFrame, ordinal: str, columns: int = 3, width: int = 320, height: int = 220, origin: tuple[int, int] = (0, 0)) -> DataFrame:
     """nodes with x and y on a grid by ordinal."""
-    return nodes.withColumn("x", (F.col(ordinal) % columns) * width).withColumn("y", F.floor(F.col(ordinal) / columns) * height)
+    return nodes.withColumn("x", origin[0] + (F.col(ordinal) % columns) * width).withColumn("y", origin[1] + F.floor(F.col(ordinal) / columns) * height)
+
+
+#: Strokes of a suggested and of an approved relation on the canvas.
+SUGGESTED, APPROVED = "#f59e0b", "#475569"
+
+
+def within_selection(relations: DataFrame, selected: DataFrame, group: str = "run") -> DataFrame:
+    """relations (run, source, target, ...) with both ends among selected (run, id)."""
+    ids = selected.select(group, "id").distinct()
+    return relations.join(ids.withColumnRenamed("id", "source"), [group, "source"], "left_semi").join(ids.withColumnRenamed("id", "target"), [group, "target"], "left_semi")
+
+
+def flow_json(selected: DataFrame, relations: DataFrame, runs: DataFrame, fmt: str, exported_at: str, name_most: int = 60) -> DataFrame:
+    """(run, flow): each run's result as a flow's JSON text, that check_flow reads back.
+
+    selected: (run, at, id, title), in order of at; relations: (run, source,
+    target, type, note); runs: (run, query, warnings).  A node stands on the grid
+    and carries the run's note and the notes of its own relations; edges are the
+    relations between selected documents.  Runs without a selection have empty
+    lists.
+    """
+    rel = within_selection(relations, selected)
+    ends = rel.select("run", F.explode(F.array("source", "target")).alias("id"), "source", "target", "note")
+    notes = ends.groupBy("run", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("source", "target", "note"))), lambda x: x["note"]).alias("notes"))
+    said = F.concat(F.lit("question: "), F.col("query"), F.when(F.size("warnings") > 0, F.concat(F.lit(" · warnings: "), F.array_join("warnings", " / "))).otherwise(""))
+    placed = layout(selected.withColumn("place", F.row_number().over(Window.partitionBy("run").orderBy("at", "id")) - 1), "place", 3, 320, 220, (80, 80))
+    j = placed.join(notes, ["run", "id"], "left").join(runs.select("run", said.alias("said")), "run")
+    none = F.array().cast("array<string>")
+    node = F.struct(F.col("id"), F.lit("apiDoc").alias("type"), F.struct("x", "y").alias("position"), F.struct(F.regexp_replace("id", "^[^:]*:", "").alias("apiId"), "title", F.col("said").alias("selectionNote"), F.coalesce("notes", none).alias("relationNotes")).alias("data"))
+    nodes = j.groupBy("run").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", node.alias("node")))), lambda x: x["node"]).alias("nodes"))
+    edges = rel.groupBy("run").agg(F.sort_array(F.collect_set(F.struct(F.concat_ws(":", F.lit("rel"), "type", "source", "target").alias("id"), "source", "target"))).alias("edges"))
+    title = F.when(F.trim("query") != "", F.substring(F.trim("query"), 1, name_most)).otherwise("untitled")
+    whole = runs.select("run", title.alias("name")).join(nodes, "run", "left").join(edges, "run", "left")
+    text = F.to_json(F.struct(F.lit(fmt).alias("format"), F.lit(VERSION).alias("version"), "name", F.lit(exported_at).alias("exported_at"), F.coalesce("nodes", F.expr("array()").cast(nodes.schema["nodes"].dataType)).alias("nodes"), F.coalesce("edges", F.expr("array()").cast(edges.schema["edges"].dataType)).alias("edges")))
+    return whole.select("run", text.alias("flow"))
+
+
+def canvas_edges(nodes: DataFrame, relations: DataFrame, approved: DataFrame | None = None) -> DataFrame:
+    """(id, source, target, label, status, animated, stroke): relations between nodes (node, service), as edges of the canvas.
+
+    relations: (id, source, target, type) between services.  approved: (id) of
+    edges that a person has approved; these stand still and change their stroke.
+    """
+    at = lambda end: nodes.select(F.col("service").alias(end), F.col("node").alias(f"{end}_node"))
+    e = relations.join(at("source"), "source").join(at("target"), "target")
+    e = e.select(F.concat(F.lit("rel-"), F.col("id")).alias("id"), F.col("source_node").alias("source"), F.col("target_node").alias("target"), F.col("type").alias("label"))
+    yes = (e.select("id").limit(0) if approved is None else approved.select("id").distinct()).withColumn("yes", F.lit(True))
+    ok = F.coalesce("yes", F.lit(False))
+    return e.join(yes, "id", "left").select("id", "source", "target", "label", F.when(ok, "approved").otherwise("derived").alias("status"), (~ok).alias("animated"), F.when(ok, APPROVED).otherwise(SUGGESTED).alias("stroke"))

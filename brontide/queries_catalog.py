@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from brontide.functions import text, web
-from brontide.operators import catalog, graph, ledger, relate
+from brontide.operators import catalog, graph, ledger, payloads, relate
 from brontide.registry_of_queries import query, table, values
 from brontide.sources import files
 
@@ -38,6 +38,20 @@ def asof_freshness(spark, d):
     return relate.freshness(table(spark, d, "events"), "user_id", "ts", "event_type", F.expr("timestamp_ntz '2024-01-10'"), "event_id")
 
 
+_ALL = """WITH s AS (SELECT s_suppkey AS id, s_nationkey::VARCHAR AS agency, (s_suppkey % 7)::VARCHAR AS domain FROM supplier), q AS (SELECT DISTINCT l_suppkey AS id, 'p' || l_partkey AS k FROM lineitem WHERE l_returnflag = 'R'), w AS (SELECT DISTINCT l_suppkey AS id, 'p' || l_partkey AS k FROM lineitem WHERE l_returnflag = 'A'),
+o AS (SELECT a.id AS source, b.id AS target, count(*) AS n, string_agg(a.k, ',' ORDER BY a.k) AS evidence FROM q a JOIN q b ON a.k = b.k AND a.id < b.id GROUP BY ALL), c AS (SELECT a.id AS source, b.id AS target, count(*) AS n, string_agg(a.k, ',' ORDER BY a.k) AS evidence FROM w a JOIN q b ON a.k = b.k AND a.id <> b.id GROUP BY ALL)
+SELECT a.id AS source, b.id AS target, 'same-agency' AS type, 1.0::DOUBLE AS confidence, a.agency AS evidence FROM s a JOIN s b ON a.agency = b.agency AND a.id < b.id
+UNION ALL SELECT a.id, b.id, 'same-domain', 1.0::DOUBLE, a.domain FROM s a JOIN s b ON a.domain = b.domain AND a.id < b.id
+UNION ALL SELECT source, target, 'param-overlap', round(least(0.9::DOUBLE, 0.3::DOUBLE + 0.2::DOUBLE * n), 2), evidence FROM o UNION ALL SELECT source, target, 'io-chain', round(least(0.9::DOUBLE, 0.4::DOUBLE + 0.2::DOUBLE * n), 2), evidence FROM c"""
+
+
+@query(_ALL)
+def rel_all(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("service_id"), F.col("s_nationkey").cast("string").alias("provider_agency_name"), (F.col("s_suppkey") % 7).cast("string").alias("category"))
+    named = lambda flag: table(spark, d, "lineitem").filter(F.col("l_returnflag") == flag).select(F.col("l_suppkey").alias("service_id"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("name"))
+    return relate.all_relations(s, named("R"), named("A"))
+
+
 _HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
 
 
@@ -211,34 +225,44 @@ def compact_projection(spark, d):
     return out.withColumns({"items": F.array_join("items", " "), "n_items": F.col("n_items").cast("bigint")})
 
 
-@query("SELECT id, k, CASE WHEN k IN ('password', 'token') OR k LIKE '%_secret' THEN '***' ELSE v END AS v FROM (VALUES (1, 'user', 'a'), (1, 'Password', 'b'), (1, 'api_secret', 'c'), (2, 'token', 'd')) AS t(id, k0, v), (SELECT 1) CROSS JOIN (SELECT 1)".replace("k0", "k").replace(", (SELECT 1) CROSS JOIN (SELECT 1)", "").replace("k IN", "lower(k) IN").replace("k LIKE", "lower(k) LIKE"))
+@query("SELECT event_id, CASE WHEN k IN ('email', 'api_key') THEN '***' ELSE v END AS v, k FROM (SELECT event_id, unnest(['email', 'kind', 'api_key']) AS k, unnest([user_id::VARCHAR, event_type, event_id::VARCHAR]) AS v FROM events)")
 def mask_map(spark, d):
-    t = values(spark, "(1, 'user', 'a'), (1, 'Password', 'b'), (1, 'api_secret', 'c'), (2, 'token', 'd')", "id, k, v")
-    m = t.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
-    return m.select("id", F.explode(catalog.mask_keys(F.col("m"), ("password", "token"), ("_secret",))).alias("k", "v"))
+    m = F.create_map(F.lit("email"), F.col("user_id").cast("string"), F.lit("kind"), F.col("event_type"), F.lit("api_key"), F.col("event_id").cast("string"))
+    masked = catalog.mask_keys(m, payloads.SENSITIVE, payloads.SENSITIVE_ENDS)
+    return table(spark, d, "events").select("event_id", F.explode(masked).alias("k", "v"))
+
 
+@query("""SELECT event_id, '{"deep": [{"email": "***", "id": ' || event_id || '}], "kind": "' || event_type || '", "name": "***", "session_token": "***"}' AS masked FROM events""")
+def mask_payloads(spark, d):
+    payload = F.to_json(F.struct(F.col("user_id").alias("name"), F.col("event_type").alias("kind"), F.array(F.struct(F.lit("a@b.kr").alias("email"), F.col("event_id").alias("id"))).alias("deep"), F.lit("x").alias("session_token")))
+    return table(spark, d, "events").select("event_id", payloads.mask_json(payload).alias("masked"))
 
-@query("SELECT id, array_to_string(list_sort(list_filter(string_split(k, ','), lambda x: list_contains(['a', 'c'], x))), ',') AS kept FROM (VALUES (1, 'a,b,c'), (2, 'b')) AS t(id, k)")
+
+@query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE '' END AS kept FROM events")
 def allow_list(spark, d):
-    t = values(spark, "(1, 'a,b,c'), (2, 'b')", "id, k")
-    m = F.map_from_entries(F.transform(F.split("k", ","), lambda x: F.struct(x, x)))
-    return t.select("id", F.array_join(F.array_sort(F.map_keys(F.map_filter(m, lambda k, v: k.isin("a", "c")))), ",").alias("kept"))
+    m = F.create_map(F.col("event_type"), F.lit("x"), F.lit("other"), F.lit("y"))
+    return table(spark, d, "events").select("event_id", F.array_join(F.map_keys(payloads.allowed_fields(m, ("click", "view"))), ",").alias("kept"))
 
 
-#: Shapes that no input value may have: URLs, parent and system paths, drive letters, shell operators, line ends.
-UNSAFE = (r"(?i)(https?|ftp|file)://", r"(^|[\\/])\.\.([\\/]|$)", r"^[A-Za-z]:[\\/]", "(?i)^/(etc|proc|sys|var|usr|home|root|tmp)(/|$)", r"(;|&&|\|\||`|\$\()", r"[\r\n]")
-_VALUES = "('http://x.kr'), ('plain'), ('a/../b'), ('C:/x'), ('/etc/passwd'), ('/data/x'), ('a; b'), ('a..b')"
+_UNSAFE = " OR ".join(f"regexp_matches(text, '{p}')" for p in payloads.UNSAFE)
 
 
-@query(f"SELECT v AS \"value\", v NOT IN ('plain', '/data/x', 'a..b') AS unsafe FROM (VALUES {_VALUES}) AS t(v)")
+@query(f"SELECT doc_id, {_UNSAFE} AS unsafe FROM documents")
 def unsafe_values(spark, d):
-    return values(spark, _VALUES, "value").select("value", reduce(lambda a, b: a | b, (F.col("value").rlike(p) for p in UNSAFE)).alias("unsafe"))
+    return table(spark, d, "documents").select("doc_id", payloads.unsafe(F.col("text")).alias("unsafe"))
+
 
+@query(f"SELECT doc_id, {_UNSAFE} AS unsafe FROM documents")
+def unsafe_payloads(spark, d):
+    """The same texts, two levels down in JSON."""
+    deep = F.to_json(F.struct(F.struct(F.array("lang", "text").alias("items")).alias("body"), F.col("n_chars")))
+    return table(spark, d, "documents").select("doc_id", payloads.unsafe_json(deep).alias("unsafe"))
 
-@query("SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '%LOW%' THEN 'link' WHEN o_totalprice > 300000 THEN 'swagger' ELSE 'legacy' END AS subtype FROM orders")
+
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '%LOW%' THEN 'link' WHEN o_totalprice > 300000 THEN 'swagger' ELSE 'legacy' END AS subtype, CASE WHEN o_orderpriority LIKE '%LOW%' THEN 'catalog kind' WHEN o_totalprice > 300000 THEN 'specification' ELSE 'neither' END AS evidence FROM orders")
 def api_subtype(spark, d):
-    o = table(spark, d, "orders")
-    return o.select("o_orderkey", F.when(F.contains(F.upper("o_orderpriority"), F.lit("LOW")), "link").when(F.col("o_totalprice") > 300000, "swagger").otherwise("legacy").alias("subtype"))
+    kind = F.when(F.contains("o_orderpriority", F.lit("LOW")), "api (link)").otherwise("api")
+    return table(spark, d, "orders").select("o_orderkey", F.inline(F.array(payloads.api_subtype(kind, F.col("o_totalprice") > 300000))))
 
 
 @query("SELECT p_partkey FROM part WHERE p_brand = 'Brand#17' AND contains(lower(p_name || ' ' || p_type), 'small') AND contains(lower(p_name || ' ' || p_type), 'red')")
@@ -361,8 +385,7 @@ def dry_run_missing(spark, d):
 @query("SELECT step, CASE WHEN v IS NULL THEN 'missing' WHEN k = 'integer' AND try_cast(v AS BIGINT) IS NULL THEN 'type' WHEN length(v) > n THEN 'length' WHEN NOT regexp_full_match(v, p) THEN 'pattern' ELSE 'ok' END AS verdict FROM (VALUES ('a', '12', 'integer', 5, '[0-9]+'), ('b', 'x', 'integer', 5, '.*'), ('c', 'toolong', 'string', 3, '.*'), ('d', 'Q', 'string', 3, '[a-z]'), ('e', NULL, 'string', 3, '.*')) AS t(step, v, k, n, p)")
 def plan_validation(spark, d):
     t = values(spark, "('a', '12', 'integer', 5, '[0-9]+'), ('b', 'x', 'integer', 5, '.*'), ('c', 'toolong', 'string', 3, '.*'), ('d', 'Q', 'string', 3, '[a-z]'), ('e', NULL, 'string', 3, '.*')", "step, v, k, n, p")
-    whole = F.regexp_like("v", F.concat(F.lit("^("), F.col("p"), F.lit(")$")))
-    return t.select("step", F.when(F.col("v").isNull(), "missing").when((F.col("k") == "integer") & F.col("v").try_cast("bigint").isNull(), "type").when(F.length("v") > F.col("n"), "length").when(~whole, "pattern").otherwise("ok").alias("verdict"))
+    return t.select("step", payloads.input_verdict(F.col("v"), F.col("k"), F.col("n"), F.col("p")).alias("verdict"))
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (event_type <> 'error') AS success, count(*) FILTER (event_type = 'error') AS failed, printf('%.1f%%', 100.0 * count(*) FILTER (event_type <> 'error') / count(*)) AS rate, round(avg(value), 4) AS avg_time FROM events")

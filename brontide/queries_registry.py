@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from brontide.functions import text, web
-from brontide.operators import html, registry
+from brontide.operators import catalog, harvest, html, payloads, registry, review
 from brontide.plans import flow
 from brontide.registry_of_queries import query, table, values
 from brontide.sources import files
@@ -114,10 +114,10 @@ def top_categories(spark, d):
     return t.select("id", text.top_category(F.col("c")).alias("top"), F.array_join(text.keywords(F.col("k")), "|").alias("keywords"))
 
 
-@query("SELECT n_regionkey, count(DISTINCT n_nationkey % 2) = 1 AND count(*) >= 2 AS shared FROM nation GROUP BY 1")
+@query("SELECT p_brand, count(DISTINCT t) = 1 AND count(*) >= 2 AND min(t) <> '' AS shared, CASE WHEN count(DISTINCT t) = 1 AND count(*) >= 2 AND min(t) <> '' THEN min(t) END AS top FROM (SELECT p_brand, CASE WHEN p_brand LIKE '%1' THEN p_brand ELSE p_type END AS t FROM part) GROUP BY p_brand")
 def shared_category(spark, d):
-    n = table(spark, d, "nation")
-    return n.groupBy("n_regionkey").agg(((F.countDistinct(F.col("n_nationkey") % 2) == 1) & (F.count("*") >= 2)).alias("shared"))
+    own = F.when(F.endswith("p_brand", F.lit("1")), F.col("p_brand")).otherwise(F.col("p_type"))
+    return registry.shared_top_category(table(spark, d, "part").select("p_brand", F.concat(own, F.lit(" - "), F.col("p_name")).alias("category")), "p_brand", "category")
 
 
 @query("SELECT * FROM (VALUES (1, 'a b c', 'abc'), (2, '', '-')) AS t(id, cleaned, stripped)")
@@ -187,13 +187,16 @@ def export_filenames(spark, d):
     return values(spark, "(1, ' my file:x '), (2, ''), (3, 'a.JSON')", "id, n").select("id", text.export_filename(F.col("n"), "json").alias("f"))
 
 
-@query("SELECT * FROM (VALUES (1, 'ok', 'A|B'), (2, 'empty', ''), (3, 'unreadable_body', '')) AS t(id, status, headings)")
+_SUMMARY = "'<b> ' || role || ' </b>' || text || '<b>' || role || '</b>'"
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN turn = 1 THEN 'empty' WHEN turn = 2 THEN 'unreadable_body' ELSE 'ok' END AS status, CASE WHEN turn IN (1, 2) THEN '' ELSE array_to_string(list_distinct_ordered(list_transform(regexp_extract_all({_SUMMARY}, '(?s)<b>(.*?)</b>', 1), lambda h: trim(h))), '|') END AS headings FROM conversations".replace("list_distinct_ordered(", "list_filter(").replace("lambda h: trim(h)))", "lambda h: trim(h)), lambda h, i: i = 1)"))
 def quick_summary(spark, d):
-    t = values(spark, "(1, '{\"code\": 0, \"message\": \"OK\", \"result\": \"<b>A</b> x <b> B </b><b>A</b>\"}'), (2, '{\"result\": \" \"}'), (3, 'oops')", "id, body")
-    r = F.get_json_object("body", "$.result")
-    status = F.when(F.try_parse_json("body").isNull(), "unreadable_body").when(F.coalesce(F.trim(r), F.lit("")) == "", "empty").otherwise("ok")
-    heads = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(r, F.lit("")), F.lit("(?s)<b>(.*?)</b>"), 1), lambda h: F.trim(h)))
-    return t.select("id", status.alias("status"), F.when(status == "ok", F.array_join(heads, "|")).otherwise("").alias("headings"))
+    t = table(spark, d, "conversations")
+    whole = F.concat(F.lit("<b> "), "role", F.lit(" </b>"), "text", F.lit("<b>"), "role", F.lit("</b>"))
+    body = F.when(F.col("turn") == 1, '{"code": 0, "result": " "}').when(F.col("turn") == 2, "oops").otherwise(F.to_json(F.struct(F.lit(0).alias("code"), whole.alias("result"))))
+    s = t.select("conv_id", "turn", payloads.quick_summary(body).alias("s"))
+    return s.select("conv_id", "turn", F.col("s.status").alias("status"), F.array_join("s.headings", "|").alias("headings"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
@@ -201,18 +204,19 @@ def props_json(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
-@query("SELECT * FROM (VALUES ('f (CSV)', 'u?atchFileId=1&x'), ('f_2', 'u?atchFileId=2')) AS t(k, v)")
+@query("""WITH d AS (SELECT l_orderkey AS id, l_linenumber AS i, CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END AS fmt, 'u?atchFileId=' || l_partkey || '&x' AS url, count(*) OVER (PARTITION BY l_orderkey) AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'u?atchFileId=' || l_partkey || '&amp;x') AS k FROM lineitem WHERE l_linestatus = 'O')
+SELECT id, CASE WHEN n = 1 THEN 'file' WHEN fmt <> '' THEN 'file (' || fmt || ')' ELSE 'file_' || k END AS key, url FROM d""")
 def download_map(spark, d):
-    t = values(spark, "(1, 0, 'CSV', 'u?atchFileId=1&amp;x'), (1, 1, '', 'u?atchFileId=2'), (1, 2, 'CSV', 'other')", "id, i, fmt, url")
-    a = t.groupBy("id").agg(F.filter(F.sort_array(F.collect_list(F.struct("i", "fmt", "url"))), lambda x: F.contains(x["url"], F.lit("atchFileId="))).alias("a"))
-    key = F.when(F.size("a") == 1, F.lit("f")).when(F.col("x.fmt") != "", F.concat(F.lit("f ("), F.col("x.fmt"), F.lit(")"))).otherwise(F.concat(F.lit("f_"), (F.col("n") + 1).cast("string")))
-    return a.select("a", F.posexplode("a").alias("n", "x")).select(key.alias("k"), F.replace("x.url", F.lit("&amp;"), F.lit("&")).alias("v"))
+    li = table(spark, d, "lineitem")
+    url = F.when(F.col("l_linestatus") == "O", F.concat(F.lit("u?atchFileId="), F.col("l_partkey").cast("string"), F.lit("&amp;x"))).otherwise("elsewhere")
+    t = li.select(F.col("l_orderkey").alias("id"), "l_linenumber", F.when(F.col("l_returnflag") == "N", "").otherwise(F.col("l_returnflag")).alias("fmt"), url.alias("url"), F.lit("file").alias("base"))
+    return payloads.download_map(t, "id", "l_linenumber", "fmt", "url", "base")
 
 
 # HTML.
 
 
-@query()
+@query("SELECT page_id, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages")
 def html_title(spark, d):
     return table(spark, d, "pages").select("page_id", html.read_html(F.col("html"), "title").alias("title"))
 
@@ -227,43 +231,66 @@ def html_text(spark, d):
     return table(spark, d, "pages").select("page_id", html.read_html(F.col("html"), "text").alias("text"))
 
 
-_PAGE = """(1, '<table><caption>요청변수</caption><thead><tr><th>항목명</th><th>설명</th></tr></thead><tbody><tr><td>page</td><td>쪽</td></tr><tr><td><a href="/q">q</a></td><td></td></tr></tbody></table><strong class="key">제공기관</strong><div class="value"> 환경부 </div><select id="open_api_detail_select"><option value="1" selected>목록</option><option value="">-</option></select><p>요청방식 GET 요청주소 https://h.kr/api/list</p><script type="application/ld+json">{"@type": "Dataset", "name": "n",}</script>')"""
-
-
-def _page(spark):
-    return values(spark, _PAGE, "id, html")
-
-
-@query("SELECT * FROM (VALUES (1, '제공기관', '환경부')) AS t(id, k, v)")
+def _page(spark, d):
+    """A page for each part, made of its columns, so that SQL can say what must be read from it."""
+    t = table(spark, d, "part")
+    say = lambda *parts: F.concat(*(F.col(x[1:]).cast("string") if x.startswith("$") else F.lit(x) for x in parts))
+    return t.select(
+        F.col("p_partkey").alias("id"),
+        say(
+            "<html><head><title>", "$p_name", "</title><meta name='keywords' content='", "$p_type", "'></head><body><input id='publicDataPk' value='", "$p_partkey", "'>",
+            "<div id='tab-layer-1'><table><caption>요청변수</caption><thead><tr><th>항목명(영문)</th><th>항목명(국문)</th><th>항목구분</th><th>데이터 타입</th><th>항목설명</th></tr></thead>",
+            "<tbody><tr><td><a href='/q", "$p_size", "'>", "$p_name", "</a></td><td>이름</td><td>필수</td><td>string</td><td>", "$p_type", "</td></tr><tr><td>page</td><td></td><td>옵션</td><td></td><td>쪽</td></tr></tbody></table></div>",
+            "<table><caption>응답</caption><tr><th>HTTP 상태코드</th><th>항목명(영문)</th><th>설명</th></tr><tr><td>200</td><td>", "$p_brand", "</td><td>ok</td></tr></table>",
+            "<strong class='key'>제공기관</strong><div class='value'> ", "$p_brand", " </div><select id='open_api_detail_select'><option value='", "$p_size", "' selected>", "$p_name", "</option><option value=''>-</option></select>",
+            "<p>요청방식 GET 요청주소 https://h.kr/api/", "$p_partkey", "</p><script type='application/ld+json'><![CDATA[{\"@type\": \"https://schema.org/Dataset\", \"description\": \"say \"", "$p_brand", "\", and more\", \"name\": \"", "$p_name", "\",}]]></script><script type='application/ld+json'>{\"@type\": \"NotADataset\", \"name\": \"no\"}</script></body></html>",
+        ).alias("html"),
+    )
+
+
+@query("SELECT p_partkey AS id, '제공기관' AS k, p_brand AS v FROM part")
 def html_key_values(spark, d):
-    return _page(spark).select("id", F.explode(html.read_html(F.col("html"), "key_values")).alias("k", "v"))
+    return _page(spark, d).select("id", F.explode(html.read_html(F.col("html"), "key_values")).alias("k", "v"))
 
 
-@query("SELECT * FROM (VALUES (1, 'page', '쪽', NULL), (1, 'q', '', '/q')) AS t(id, name, note, link)")
+@query("SELECT p_partkey AS id, p_name AS name, p_type AS note, '/q' || p_size AS link FROM part UNION ALL SELECT p_partkey, 'page', '쪽', NULL FROM part")
 def html_grid(spark, d):
-    g = _page(spark).select("id", F.explode(html.read_html(F.col("html"), "grid")).alias("m"))
+    g = _page(spark, d).select("id", F.explode(html.read_html(F.col("html"), "grid")).alias("m"))
     at = lambda k: F.try_element_at("m", F.lit(k))
-    return g.select("id", at("항목명").alias("name"), at("설명").alias("note"), at("항목명_link").alias("link"))
+    return g.select("id", at("항목명(영문)").alias("name"), at("항목설명").alias("note"), at("항목명(영문)_link").alias("link"))
 
 
-@query("SELECT * FROM (VALUES (1, 'request', 'page', '쪽'), (1, 'request', 'q', '')) AS t(id, section, name, description)")
+@query("""SELECT p_partkey AS id, 'request' AS section, p_name AS name, '이름: ' || p_type AS description, true AS required, 'string' AS type, 'unverified' AS status_code FROM part
+UNION ALL SELECT p_partkey, 'request', 'page', '쪽', false, 'unverified', 'unverified' FROM part UNION ALL SELECT p_partkey, 'response', p_brand, p_brand || ': ok', false, 'unverified', '200' FROM part""")
 def html_parameters(spark, d):
-    return _page(spark).select("id", F.inline(html.read_html(F.col("html"), "parameters")))
+    return _page(spark, d).select("id", F.inline(html.read_html(F.col("html"), "parameters")))
 
 
-@query("SELECT * FROM (VALUES (1, '1', '목록', true)) AS t(id, value, name, selected)")
+@query("SELECT p_partkey AS id, p_size::VARCHAR AS value, p_name AS name, true AS selected FROM part")
 def html_options(spark, d):
-    return _page(spark).select("id", F.inline(html.read_html(F.col("html"), "options")))
+    return _page(spark, d).select("id", F.inline(html.read_html(F.col("html"), "options")))
 
 
-@query("SELECT * FROM (VALUES (1, 'n')) AS t(id, name)")
+@query("SELECT p_partkey AS id, p_size::VARCHAR AS value, p_name AS name, true AS selected, 'unverified' AS detail_key, p_partkey::VARCHAR AS data_key FROM part")
+def html_functions(spark, d):
+    return _page(spark, d).select("id", F.inline(html.read_html(F.col("html"), "functions")))
+
+
+@query("""SELECT p_partkey AS id, p_name AS name, 'say "' || p_brand || '", and more' AS description FROM part""")
 def html_datasets(spark, d):
-    return _page(spark).select("id", F.explode(html.read_html(F.col("html"), "datasets")).alias("j")).select("id", F.get_json_object("j", "$.name").alias("name"))
+    j = _page(spark, d).select("id", F.explode(html.read_html(F.col("html"), "datasets")).alias("j"))
+    return j.select("id", F.get_json_object("j", "$.name").alias("name"), F.get_json_object("j", "$.description").alias("description"))
+
+
+@query("SELECT p_partkey AS id, p_name AS title, p_type AS keywords FROM part")
+def html_metadata(spark, d):
+    p = _page(spark, d).select("id", html.read_html(F.col("html"), "title").alias("title"), html.read_html(F.col("html"), "metadata").alias("m"))
+    return p.select("id", "title", F.col("m.keywords").alias("keywords"))
 
 
-@query("SELECT * FROM (VALUES (1, 'GET', '/api/list')) AS t(id, method, path)")
+@query("SELECT p_partkey AS id, 'GET' AS method, '/api/' || p_partkey AS path FROM part")
 def html_stated(spark, d):
-    t = _page(spark).select("id", html.read_html(F.col("html"), "text").alias("t"))
+    t = _page(spark, d).select("id", html.read_html(F.col("html"), "text").alias("t"))
     return t.select("id", html.stated_method(F.col("t")).alias("method"), html.stated_path(F.col("t")).alias("path"))
 
 
@@ -273,16 +300,42 @@ def link_tasks(spark, d):
     return p.filter(F.lower("url").startswith("https://") & ~F.endswith("host", F.lit(".example.org"))).dropDuplicates(["page_id", "url"])
 
 
-@query("SELECT * FROM (VALUES ('utf8', '코드,지역\n', 'utf-8', true), ('euckr', '지역', 'euc-kr', true), ('bom', 'x', 'utf-8-sig', true)) AS t(path, text, encoding, verified)")
+@query("SELECT c_custkey, c_name || '가' AS text, CASE c_nationkey % 3 WHEN 0 THEN 'utf-16' WHEN 1 THEN 'utf-8-sig' ELSE 'utf-8' END AS encoding, true AS verified FROM customer")
 def decode_text(spark, d):
-    rows = [("utf8", bytearray("코드,지역\n".encode())), ("euckr", bytearray("지역".encode("euc-kr"))), ("bom", bytearray(b"\xef\xbb\xbfx"))]
-    return files.decoded(spark.createDataFrame(rows, "path string, content binary")).drop("content")
+    text_ = F.concat("c_name", F.lit("가"))
+    mark = F.col("c_nationkey") % 3
+    content = F.when(mark == 0, F.encode(text_, "UTF-16")).when(mark == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text_, "UTF-8"))).otherwise(F.encode(text_, "UTF-8"))
+    return files.decoded(table(spark, d, "customer").select("c_custkey", content.alias("content"))).drop("content")
+
+
+#: A file for each customer: in turn a CSV with repeated and blank headers, a JSON table, a single JSON object, broken JSON, JSON that is no table, and a format that is not read.
+_FILE = "c_custkey % 6"
+
+
+def _files(spark, d):
+    kind, key, name = F.expr(_FILE), F.col("c_custkey").cast("string"), F.col("c_name")
+    body = F.when(kind == 0, F.concat(F.lit("id;id;\n"), key, F.lit(";"), name, F.lit(";\n;;\n"))).when(kind == 1, F.concat(F.lit('{"items": [{"k": '), key, F.lit('}, {"v": [1, 2]}]}'))).when(kind == 2, F.concat(F.lit('{"k": "'), name, F.lit('"}'))).when(kind == 3, "{oops").when(kind == 4, "[1, 2]").otherwise("PK")
+    path = F.concat(key, F.when(kind == 0, ".csv").when(kind == 5, ".zip").otherwise(".json"))
+    return table(spark, d, "customer").select(path.alias("path"), F.encode(body, "UTF-8").alias("content"))
 
 
-@query("SELECT * FROM (VALUES ('a.csv', 0, 'id', '1'), ('a.csv', 0, 'id_2', 'x'), ('a.csv', 0, 'column_3', ''), ('a.csv', 1, 'id', '2'), ('a.csv', 1, 'id_2', 'y'), ('a.csv', 1, 'column_3', ''), ('b.json', 0, 'k', '1'), ('b.json', 0, 'v', ''), ('b.json', 1, 'k', ''), ('b.json', 1, 'v', '[1, 2]')) AS t(path, row, \"column\", \"value\")")
+@query(f"""WITH c AS (SELECT *, {_FILE} AS f FROM customer)
+SELECT c_custkey || '.csv' AS path, 0 AS row, unnest(['id', 'id_2', 'column_3']) AS "column", unnest([c_custkey::VARCHAR, c_name, '']) AS "value" FROM c WHERE f = 0
+UNION ALL SELECT c_custkey || '.json', unnest([0, 0, 1, 1]), unnest(['k', 'v', 'k', 'v']), unnest([c_custkey::VARCHAR, '', '', '[1, 2]']) FROM c WHERE f = 1 UNION ALL SELECT c_custkey || '.json', 0, 'k', c_name FROM c WHERE f = 2""")
 def table_cells(spark, d):
-    rows = [("a.csv", bytearray(b"id;id;\n1;x;\n2;y;\n;;\n")), ("b.json", bytearray(b'{"items": [{"k": 1}, {"v": [1, 2]}]}')), ("c.zip", bytearray(b"PK"))]
-    return files.read_cells(spark.createDataFrame(rows, "path string, content binary")).withColumn("row", F.col("row").cast("int"))
+    return files.read_cells(_files(spark, d)).withColumn("row", F.col("row").cast("int"))
+
+
+@query(f"SELECT c_custkey || CASE f WHEN 0 THEN '.csv' WHEN 5 THEN '.zip' ELSE '.json' END AS path, CASE WHEN f < 3 THEN 'ok' WHEN f = 3 THEN 'error' ELSE 'unsupported' END AS status, CASE f WHEN 0 THEN 'csv' WHEN 5 THEN 'unknown' ELSE 'json' END AS format, CASE f WHEN 0 THEN 'id,id_2,column_3' WHEN 1 THEN 'k,v' WHEN 2 THEN 'k' ELSE '' END AS columns, CASE f WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END::BIGINT AS rows FROM (SELECT *, {_FILE} AS f FROM customer)")
+def table_statuses(spark, d):
+    return files.table_status(_files(spark, d)).select("path", "status", "format", F.array_join("columns", ",").alias("columns"), "rows")
+
+
+@query("SELECT c_custkey || '.csv' AS path, 'euc-kr' AS encoding, c_custkey AS number, c_name AS name FROM customer")
+def catalog_numbers(spark, d):
+    body = F.concat(F.lit("name,key\n"), F.col("c_name"), F.lit(","), F.col("c_custkey").cast("string"), F.lit("\nnone,x\n"))
+    f = table(spark, d, "customer").select(F.concat(F.col("c_custkey").cast("string"), F.lit(".csv")).alias("path"), F.encode(body, "UTF-8").alias("content"))
+    return files.catalog_rows(f).select("path", "encoding", "number", F.col("row.name").alias("name"))
 
 
 # Workflows and streams.
@@ -326,62 +379,81 @@ def token_stream(spark, d):
     return r.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "response"))), lambda x: x["response"]), "").alias("text"), F.count("error").cast("int").alias("errors")).select(F.lit(1).alias("id"), "text", "errors")
 
 
-@query("SELECT id, array_to_string(list_transform(string_split(s, ' '), lambda x: CASE WHEN x = '$name' THEN 'Kim' ELSE x END), ' ') AS t FROM (VALUES (1, 'Dear $name now'), (2, 'none')) AS t(id, s)")
+@query("SELECT event_id, user_id::VARCHAR AS who, 'x' AS fixed, NULL::VARCHAR AS gone FROM events")
 def render_template(spark, d):
-    t = values(spark, "(1, 'Dear $name now'), (2, 'none')", "id, s")
-    known = F.create_map(F.lit("$name"), F.lit("Kim"))
-    return t.select("id", F.array_join(F.transform(F.split("s", " "), lambda x: F.coalesce(F.try_element_at(known, x), x)), " ").alias("t"))
+    template = F.create_map(*map(F.lit, ("who", "$user", "fixed", "x", "gone", "$none")))
+    m = payloads.render_payload(template, F.create_map(F.lit("user"), F.col("user_id").cast("string")))
+    return table(spark, d, "events").select("event_id", m.alias("m")).select("event_id", *(F.col(f"m.{k}").alias(k) for k in ("who", "fixed", "gone")))
 
 
-@query("SELECT id, try_cast(replace(replace(s, 'T', ' '), 'Z', '') AS TIMESTAMP) AS at FROM (VALUES (1, '2024-01-02T03:04:05Z'), (2, 'bad')) AS t(id, s)")
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE date_trunc('second', ts)::TIMESTAMP END AS at FROM events")
 def iso_times(spark, d):
-    return values(spark, "(1, '2024-01-02T03:04:05Z'), (2, 'bad')", "id, s").select("id", F.col("s").try_cast("timestamp").cast("timestamp_ntz").alias("at"))
+    """Times written with the zone Z; the zone of the session is UTC here, as the driver's and the tests'."""
+    said = F.when(F.col("event_type") == "error", "bad").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    return table(spark, d, "events").select("event_id", payloads.iso_time(said).cast("timestamp_ntz").alias("at"))
 
 
-@query("SELECT * FROM (VALUES ('search', 1, true), ('detail', 2, true), ('relations', 4, false)) AS t(stage, ord, follows)")
-def stage_order(spark, d):
-    """Stages of a run against the required order: a stage follows if the one before has the preceding number."""
-    from pyspark.sql.window import Window
+_ORD = "CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'purchase' THEN 4 ELSE 0 END"
+
 
-    t = values(spark, "('search', 1), ('detail', 2), ('relations', 4)", "stage, ord")
-    return t.withColumn("follows", F.col("ord") - F.coalesce(F.lag("ord").over(Window.orderBy("ord")), F.lit(0)) == 1)
+@query(f"SELECT event_id, {_ORD} - coalesce(lag({_ORD}) OVER (PARTITION BY user_id ORDER BY event_id), 0) = 1 AS follows FROM events")
+def stage_order(spark, d):
+    t = table(spark, d, "events").select("event_id", "user_id", F.expr(_ORD).alias("ord"))
+    return payloads.stages_in_order(t, "user_id", "event_id", "ord").select("event_id", "follows")
 
 
-@query("SELECT run, CASE WHEN bool_or(f = 'contradiction') THEN 'contradiction' WHEN bool_or(f = 'evidence_gap') THEN 'evidence_gap' ELSE 'pass' END AS verdict FROM (VALUES (1, 'evidence_gap'), (1, 'contradiction'), (2, 'evidence_gap'), (3, 'note')) AS t(run, f) GROUP BY run")
+@query("SELECT user_id AS run, CASE WHEN bool_or(event_type = 'error') THEN 'contradiction' ELSE 'evidence_gap' END AS verdict FROM events WHERE event_type <> 'view' GROUP BY user_id")
 def critic_verdict(spark, d):
-    t = values(spark, "(1, 'evidence_gap'), (1, 'contradiction'), (2, 'evidence_gap'), (3, 'note')", "run, f")
-    return t.groupBy("run").agg(F.when(F.bool_or(F.col("f") == "contradiction"), "contradiction").when(F.bool_or(F.col("f") == "evidence_gap"), "evidence_gap").otherwise("pass").alias("verdict"))
+    found = table(spark, d, "events").filter("event_type <> 'view'").select(F.col("user_id").alias("run"), F.col("event_type").alias("rule"))
+    return review.verdict(found, ("error",))
 
 
-@query("SELECT id, coalesce(nullif(r, ''), nullif(p, ''), c) AS picked FROM (VALUES (1, 'x', 'y', 'a,b,c'), (2, '', 'y', 'a,b,c'), (3, '', '', 'a,b,c')) AS t(id, r, p, c)")
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'r' || o_custkey WHEN 'O' THEN 'p' || o_custkey ELSE 'a,b,c' END AS picked FROM orders")
 def selection_fallback(spark, d):
-    t = values(spark, "(1, 'x', 'y', 'a,b,c,d'), (2, '', 'y', 'a,b,c,d'), (3, '', '', 'a,b,c,d')", "id, r, p, c")
-    some = lambda c: F.when(F.col(c) != "", F.split(c, ","))
-    return t.select("id", F.array_join(F.coalesce(some("r"), some("p"), F.slice(F.split("c", ","), 1, 3)), ",").alias("picked"))
+    none = F.array().cast("array<string>")
+    one = lambda mark, status: F.when(F.col("o_orderstatus") == status, F.array(F.concat(F.lit(mark), F.col("o_custkey").cast("string")))).otherwise(none)
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(payloads.picked(one("r", "F"), one("p", "O"), F.array(*map(F.lit, "abcd"))), ",").alias("picked"))
 
 
-@query("SELECT protocol, o::INT AS ord, host FROM (SELECT host, arg_min(protocol, o) AS protocol, min(o) AS o FROM (VALUES ('h1', 'sitemap', 3), ('h1', 'ckan', 1), ('h2', 'generic', 5)) AS t(host, protocol, o) GROUP BY host)")
+@query("SELECT user_id AS host, arg_min(event_type, event_id) AS protocol, min(event_id) AS ord FROM events GROUP BY user_id")
 def protocol_probe(spark, d):
-    t = values(spark, "('h1', 'sitemap', 3), ('h1', 'ckan', 1), ('h2', 'generic', 5)", "host, protocol, ord")
-    return t.groupBy("host").agg(F.min_by("protocol", "ord").alias("protocol"), F.min("ord").alias("ord"))
+    """The first protocol in the order of probing that answers, per host."""
+    t = table(spark, d, "events").select(F.col("user_id").alias("host"), F.col("event_type").alias("protocol"), F.col("event_id").alias("ord"))
+    return catalog.first_per_key(t, ["host"], "ord")
+
 
+_CODE = "CASE event_type WHEN 'click' THEN 200 WHEN 'view' THEN 200 WHEN 'error' THEN 404 WHEN 'signup' THEN 0 ELSE 500 END"
 
-@query("SELECT id, CASE WHEN code = 200 AND body <> '' THEN CASE WHEN contains(body, '대기실') AND body NOT LIKE '{%' THEN 'waiting_room_timeout' ELSE 'success' END WHEN code = 404 THEN 'not_found' WHEN code = 0 THEN 'timeout' ELSE 'error' END AS status FROM (VALUES (1, 200, 'x'), (2, 404, ''), (3, 0, ''), (4, 500, ''), (5, 200, '접속 대기실'), (6, 200, '{\"대기실\": 1}')) AS t(id, code, body)")
+
+@query(f"SELECT event_id, CASE {_CODE} WHEN 200 THEN CASE WHEN event_type = 'view' THEN 'waiting_room_timeout' ELSE 'success' END WHEN 404 THEN 'not_found' WHEN 0 THEN 'timeout' ELSE 'error' END AS status FROM events")
 def scan_status(spark, d):
-    t = values(spark, "(1, 200, 'x'), (2, 404, ''), (3, 0, ''), (4, 500, ''), (5, 200, '접속 대기실'), (6, 200, '{\"대기실\": 1}')", "id, code, body")
-    waiting = F.contains("body", F.lit("대기실")) & ~F.col("body").startswith("{")
-    return t.select("id", F.when((F.col("code") == 200) & (F.col("body") != ""), F.when(waiting, "waiting_room_timeout").otherwise("success")).when(F.col("code") == 404, "not_found").when(F.col("code") == 0, "timeout").otherwise("error").alias("status"))
+    t = table(spark, d, "events").select("event_id", F.expr(_CODE).alias("code"), F.when(F.col("event_type") == "view", "<p>접속 대기실</p>").otherwise("{}").alias("body"))
+    waiting = harvest.waiting_room(F.lit("u"), F.lit("text/html"), F.col("body"))
+    return t.select("event_id", harvest.scan_status(F.col("code"), F.col("body"), waiting).alias("status"))
 
 
-@query("SELECT l_returnflag || '/' || l_linestatus AS issue, count(*) AS n, min(l_orderkey) AS first_order FROM lineitem GROUP BY 1")
+@query("SELECT l_returnflag, l_linestatus, count(*) AS occurrences, array_to_string(list_sort(list(DISTINCT l_linenumber)), ',') AS places FROM lineitem GROUP BY ALL")
 def issue_groups(spark, d):
-    li = table(spark, d, "lineitem")
-    return li.groupBy(F.concat_ws("/", "l_returnflag", "l_linestatus").alias("issue")).agg(F.count("*").alias("n"), F.min("l_orderkey").alias("first_order"))
+    g = registry.issue_groups(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_linenumber")
+    return g.withColumn("places", F.array_join(F.transform("places", lambda x: x.cast("string")), ","))
+
+
+_REFS = "SELECT l_suppkey AS slug, CASE WHEN l_returnflag = 'R' AND l_quantity > 49 THEN 'missing' WHEN l_returnflag = 'A' AND l_quantity > 49 THEN 'uncheckable' ELSE 'verified' END AS s FROM lineitem"
+_COVERAGE = f"""SELECT s_suppkey AS slug, s_nationkey AS priority, coalesce(n, 0)::BIGINT AS article_references, coalesce(v, 0)::BIGINT AS verified, coalesce(m, 0)::BIGINT AS missing, coalesce(u, 0)::BIGINT AS uncheckable, (s_acctbal < 0)::INT AS unresolved, CASE WHEN s_acctbal >= 0 AND coalesce(m, 0) = 0 AND coalesce(u, 0) = 0 THEN 'article-verified' ELSE 'needs-review' END AS status
+FROM supplier LEFT JOIN (SELECT slug, count(*) AS n, count(*) FILTER (s = 'verified') AS v, count(*) FILTER (s = 'missing') AS m, count(*) FILTER (s = 'uncheckable') AS u FROM ({_REFS}) GROUP BY slug) ON slug = s_suppkey"""
 
 
-@query("SELECT coalesce(n_name, 'ALL') AS institution, count(*) AS refs, count(*) FILTER (c_acctbal > 0) AS verified FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_name)")
+def _coverage(spark, d):
+    refs = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("slug"), F.expr(_REFS[_REFS.index("CASE") : _REFS.index(" AS s FROM")]).alias("status"))
+    some = table(spark, d, "supplier").select(F.col("s_suppkey").alias("slug"), F.col("s_nationkey").alias("priority"), (F.col("s_acctbal") < 0).cast("int").alias("unresolved"))
+    return registry.article_coverage(refs, some)
+
+
+@query(_COVERAGE)
 def coverage_report(spark, d):
-    c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    per = c.groupBy(F.col("n_name").alias("institution")).agg(F.count("*").alias("refs"), F.count_if(F.col("c_acctbal") > 0).alias("verified"))
-    return per.unionByName(per.agg(F.lit("ALL").alias("institution"), F.sum("refs").alias("refs"), F.sum("verified").alias("verified")))
+    return _coverage(spark, d)
+
 
+@query(f"SELECT count(*) AS institutions, count(*) FILTER (status = 'article-verified') AS article_verified, sum(article_references)::BIGINT AS article_references, sum(verified)::BIGINT AS verified, sum(missing)::BIGINT AS missing, sum(uncheckable)::BIGINT AS uncheckable, sum(unresolved)::BIGINT AS unresolved FROM ({_COVERAGE})")
+def coverage_totals(spark, d):
+    return registry.coverage_totals(_coverage(spark, d))
\ No newline at end of file

@@ -1,8 +1,10 @@
 """Known facts and plain models of single operators."""
 
+import json
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brontide.functions import scalars, text
-from brontide.operators import catalog, chunks, graph, ledger, profile, relate, search
+from brontide.operators import catalog, chunks, graph, html, ledger, payloads, profile, registry, relate, search
 from brontide.plans import flow
 from brontide.sources import files
 from brontide.streaming import ledger as streams
@@ -46,19 +48,132 @@ def test_grounded(spark):
     assert got == {"a": "undecided", "b": "undecided", "c": "accepted", "d": "rejected", "e": "accepted", "f": "accepted"}
 
 
-def test_strong_components_of_random_graphs(spark):
-    r = random.Random(5)
-    edges = sorted({(r.randrange(12), r.randrange(12)) for _ in range(16)})
-    reach = {i: {i} for i in range(12)}
-    for _ in range(12):
+def reach_of(edges, n):
+    reach = {i: {i} for i in range(n)}
+    for _ in range(n):
         for a, b in edges:
             for s in reach.values():
                 if a in s:
                     s.add(b)
+    return reach
+
+
+def shortest_cycles(edges, component):
+    """By breadth-first search in each component from its least node: a shortest cycle, the least of several."""
+    out = {}
+    for start in set(component.values()):
+        paths, found = [[start]], None
+        while paths and not found:
+            closed = [p for p in paths if (p[-1], start) in edges]
+            found = min(closed) if closed else None
+            paths = [p + [b] for p in paths for a, b in edges if a == p[-1] and component.get(b) == start and b not in p]
+        if found:
+            out[start] = found
+    return out
+
+
+@pytest.mark.parametrize("seed", [5, 6, 7, 8])
+def test_strong_components_and_cycles_of_random_graphs(spark, seed):
+    r = random.Random(seed)
+    edges = sorted({(r.randrange(12), r.randrange(12)) for _ in range(18)})
+    reach = reach_of(edges, 12)
     touched = {x for e in edges for x in e}
     want = {i: min(j for j in reach[i] if i in reach[j]) for i in touched}
-    got = graph.strong_components(spark.createDataFrame(edges, "src int, dst int"))
-    assert {x["node"]: x["component"] for x in got.collect()} == want
+    df = spark.createDataFrame(edges, "src int, dst int")
+    for small in (0, graph.SMALL) if seed == 5 else (graph.SMALL,):
+        got = graph.strong_components(df, small=small).collect()
+        assert {x["node"]: x["component"] for x in got} == want
+        assert all(x["size"] == list(want.values()).count(x["component"]) for x in got)
+        assert {x["component"]: x["path"] for x in graph.cycles(df, small=small).collect()} == shortest_cycles(set(edges), want)
+    assert graph.strong_components(df.limit(0)).count() == 0 and graph.cycles(df.limit(0)).count() == 0
+
+
+def test_cycles_of_a_chain_of_diamonds(spark):
+    """The shape whose paths are 2 to the power of 40: 121 nodes, no cycle; with an edge back, one of 81 nodes."""
+    edges = [e for i in range(40) for e in ((3 * i, 3 * i + 1), (3 * i, 3 * i + 2), (3 * i + 1, 3 * i + 3), (3 * i + 2, 3 * i + 3))]
+    df = spark.createDataFrame(edges, "src int, dst int")
+    assert graph.cycles(df).count() == 0
+    back = df.unionByName(spark.createDataFrame([(120, 0)], "src int, dst int"))
+    assert [(r["component"], r["size"], len(r["path"])) for r in graph.cycles(back).collect()] == [(0, 121, 81)]
+
+
+def test_graphs_of_the_tables_like_brute_force(spark):
+    from brontide import queries_catalog as q
+    from tests.conftest import DATA
+
+    edges = {tuple(r) for r in q._edges(spark, DATA).collect()}
+    out, back = {}, {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+        back.setdefault(b, []).append(a)
+
+    def reached(start, near):
+        seen, todo = {start}, [start]
+        while todo:
+            for x in near.get(todo.pop(), []):
+                if x not in seen:
+                    seen.add(x)
+                    todo.append(x)
+        return seen
+
+    want = {}
+    for n in sorted(set(out) | set(back)):
+        if n not in want:
+            want.update(dict.fromkeys(reached(n, out) & reached(n, back), n))
+    assert {r["node"]: r["component"] for r in graph.strong_components(q._edges(spark, DATA), small=0).collect()} == want
+    nodes = [r["node"] for r in q._nodes(spark, DATA).collect()]
+    label = {}
+    while True:
+        new = {n: "accepted" if all(label.get(a) == "rejected" for a in back.get(n, [])) else "rejected" if any(label.get(a) == "accepted" for a in back.get(n, [])) else None for n in nodes}
+        new = {k: v for k, v in new.items() if v}
+        if new == label:
+            break
+        label = new
+    assert dict(map(tuple, q.grounded_labels(spark, DATA).collect())) == {n: label.get(n, "undecided") for n in nodes}
+
+
+def test_quantiles_like_numpy(spark):
+    r = np.random.default_rng(1)
+    columns = {"a": r.normal(size=501), "b": r.integers(0, 5, 400).astype(float), "c": np.array([7.0])}
+    df = spark.createDataFrame([(k, float(x)) for k, v in columns.items() for x in v], "column string, x double")
+    for row in profile.quantiles(df.repartition(7), {"q1": 0.25, "m": 0.5, "p": 0.9}).collect():
+        v = columns[row["column"]]
+        assert row["n"] == len(v) and np.allclose([row["q1"], row["m"], row["p"]], np.quantile(v, [0.25, 0.5, 0.9]))
+
+
+def test_pairs_in_blocks_are_the_pairs(spark):
+    r = random.Random(2)
+    rows = sorted({(i, r.choice("xxxxy")) for i in range(60)})
+    df = spark.createDataFrame(rows, "id int, key string")
+    want = sorted((k, a, b) for a, k in rows for b, j in rows if j == k)
+    for block in (7, 4096):
+        assert sorted(map(tuple, relate._pairs(df, df, block).collect())) == want
+
+
+def test_vectors_in_blocks_of_queries(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, r.normal(size=5).round(1).tolist() if i % 9 else None) for i in range(80)] + [(99, [1.0, 2.0]), (98, [None, 1.0, 1.0, 1.0, 1.0])]
+    chunks = spark.createDataFrame(rows, "id int, embedding array<double>")
+    asked = spark.createDataFrame([(f"q{i}", r.normal(size=5).round(1).tolist()) for i in range(7)] + [("none", None)], "intent string, query array<double>")
+    want = sorted((q["intent"], i, k) for q in asked.collect() if q["query"] for k, (_, i) in enumerate(sorted((-round(float(np.dot(v, q["query"])), 9), i) for i, v in rows if v and len(v) == 5 and None not in v)[:6], 1))
+    for block in (2, 4096):
+        assert sorted((x["intent"], x["id"], x["rank"]) for x in search.vector_topk(chunks, asked, 6, "id", block=block).collect()) == want
+
+
+def test_hybrid_with_one_channel_or_none(spark):
+    one = spark.createDataFrame([("a", 0.5, 1), ("b", 0.4, 2)], "id string, score double, rank int")
+    none = one.limit(0)
+    for v, x in ((one, none), (none, one)):
+        assert [r["id"] for r in search.hybrid(v, x, "id", 5).collect()] == ["a", "b"]
+    assert search.hybrid(one, one, "id", 5).first()["match_channels"] == ["vector", "lexical"]
+    assert search.hybrid(none, none, "id", 5).count() == 0
+
+
+def test_bm25_reads_and_tokenises_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = search.bm25(docs, "ering thst", {"text": 1})._jdf.queryExecution().toString()
+    assert "regexp_extract_all" not in plan and plan.count("written-") > 0
+    assert search.bm25(docs, "...", {"text": 1}).count() == 0
 
 
 def test_levels_with_a_cycle(spark):
@@ -147,3 +262,91 @@ def test_chunks_and_index(spark, tmp_path):
     made = chunks.build_index(docs, str(tmp_path / "index"), "2024-01-01", "id", identity=chunks.identity_header(F.col("title"), F.lit(""), F.lit(""), F.lit("")), description=F.col("note"), endpoints=F.col("ends"), fields=none)
     assert made.count() == 5
     assert spark.read.json(str(tmp_path / "index/manifest")).first()["chunks"] == 5
+
+
+def test_files_that_can_not_be_read_fail_nothing(spark):
+    bodies = {"a.json": b"{oops", "b.json": b"[1,2]", "c.csv": b"a,b\n1," + b"x" * 140_000, "d.json": b'{"a":1}', "e.csv": b"\xff\xfa,\n1", "f.csv": b"", "g.zip": b"PK", "h.json": b"[" * 100_000, "i.csv": None}
+    df = spark.createDataFrame([(k, None if v is None else bytearray(v)) for k, v in bodies.items()], "path string, content binary")
+    got = {r["path"]: r for r in files.table_status(df).collect()}
+    assert {k: r["status"] for k, r in got.items()} == {"a.json": "error", "b.json": "unsupported", "c.csv": "ok", "d.json": "ok", "e.csv": "unverified", "f.csv": "unsupported", "g.zip": "unsupported", "h.json": "error", "i.csv": "unsupported"}
+    cells = [tuple(r)[:3] for r in files.read_cells(df).collect()]
+    assert ("c.csv", 0, "b") in cells and ("d.json", 0, "a") in cells and not any(p in ("a.json", "h.json") for p, _, _ in cells)
+
+
+def test_catalog_csv_encodings_in_order(spark):
+    text = "목록키,이름\n15000001,대기질\nx,없음\n"
+    bodies = {"kr.csv": text.encode("euc-kr"), "bom.csv": b"\xef\xbb\xbf" + "목록키,이름\n15000002,똠방각하\n".encode(), "none.csv": b"a,b\nx,y\n", "blank.csv": b""}
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in bodies.items()], "path string, content binary")
+    got = {r["path"]: (r["encoding"], r["number"]) for r in files.catalog_rows(df).collect()}
+    assert got["kr.csv"] == ("euc-kr", 15000001) and got["bom.csv"][1] == 15000002 and set(got) == {"kr.csv", "bom.csv"}
+
+
+def test_json_beyond_the_grammar():
+    assert html.repaired_json('{"description": "he said "a", b and "c" d", "name": "n",}') == {"description": 'he said "a", b and "c" d', "name": "n"}
+    assert html.repaired_json('<![CDATA[{"a": "one\ntwo", "k": ["x" y", "z"], "n": 1}]]>') == {"a": "one\ntwo", "k": ['x" y', "z"], "n": 1}
+    assert html.repaired_json("{&quot;a&quot;: 1}") == {"a": 1} and html.repaired_json("{a}") is None and html.repaired_json("") is None
+    page = "".join(f'<script type="application/ld+json">{{"@type": "{t}", "name": "{t}"}}</script>' for t in ("Dataset", "https://schema.org/Dataset/", "NotADataset", "DataCatalog"))
+    assert [d["name"] for d in html.datasets(html.parse(page))] == ["Dataset", "https://schema.org/Dataset/"]
+
+
+def test_pages_titles_and_texts(spark):
+    page = "<html><head><title> A\n B </title><style>x</style></head><body><p>One <b>two</b></p><script>no</script> three</body></html>"
+    df = spark.createDataFrame([(1, page), (2, None), (3, "")], "id int, html string")
+    rows = df.select("id", html.read_html(F.col("html"), "title").alias("t"), html.read_html(F.col("html"), "text").alias("x")).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(1, "A B", "A B One two three"), (2, "", ""), (3, "", "")]
+
+
+def test_grid_in_its_place():
+    page = "<table><tr><th>no</th></tr><tr><td>no</td></tr></table><div id='tab-layer-2'><table><tr><th>k</th></tr><tr><td><a href='/1'>a</a><a href='/2'></a></td><td>more</td></tr></table></div>"
+    assert html.grid(html.parse(page)) == [{"k_link": "/2", "k": "a", "column_1": "more"}]
+    assert html.grid(html.parse("<table><tr><td>x</td></tr></table>"), anywhere=False) == []
+
+
+def test_intents_of_a_query(spark):
+    for q, want in (("미세먼지 및 날씨", ["미세먼지 및 날씨", "미세먼지", "날씨"]), ("병원과 약국 위치, 주차장", ["병원과 약국 위치, 주차장", "병원", "약국 위치", "주차장"]), ("날씨", ["날씨"]), (" ", []), (None, [])):
+        assert one(spark, text.intents(F.lit(q).cast("string"))) == want
+
+
+def test_steps_of_a_law(spark):
+    law = "제1조(협의) 사업자는 평가서를 30일 이내 협의기관에 제출하여야 한다. 협의기관은 보완을 요청할 수 있다. 제2조(공고) 승인기관은 그 내용을 지체 없이 공고하여야 한다."
+    steps = one(spark, registry.law_steps(F.lit(law)))
+    assert [(s["article"], s["action"], s["type"]) for s in steps] == [("제1조(협의)", "제출", "task"), ("제1조(협의)", "요청", "task"), ("제2조(공고)", "공고", "notice")]
+    assert steps[0]["deadline"] == "30일이내" and all(0.35 <= s["confidence"] <= 0.95 for s in steps)
+    assert one(spark, registry.law_steps(F.lit(None).cast("string"))) == []
+
+
+def test_payloads_at_every_depth(spark):
+    deep = json.dumps({"a": [{"b": {"c": ["ok", "rm -rf x; y"]}}]})
+    rows = spark.createDataFrame([(deep,), ('{"a": "fine"}',), ("http://x",), ("fine",), (None,)], "p string").select(payloads.unsafe_json(F.col("p")).alias("u"), payloads.mask_json(F.col("p")).alias("m")).collect()
+    assert [r["u"] for r in rows] == [True, False, True, False, None]
+    assert [r["m"] is None for r in rows] == [False, False, True, True, True]
+
+
+def test_exports_stand_in_order(spark, tmp_path):
+    df = spark.createDataFrame([(i, f'v,"{i}"', None) for i in range(50)], "id int, name string, note string").repartition(5)
+    for fmt in ("csv", "html"):
+        files.export_file(df, ["id", "name", "note"], "id", str(tmp_path / fmt), fmt)
+        whole = b"".join(p.read_bytes() for p in sorted((tmp_path / fmt).glob("part-*"))).decode()
+        if fmt == "csv":
+            lines = whole.split("\r\n")
+            assert lines[0] == "\ufeffid,name,note" and lines[1] == '0,"v,""0""",' and len(lines) == 52
+        else:
+            assert whole.startswith("<html>") and whole.endswith("</html>\n") and whole.count("<tr>") == 51 and whole.index(">v,&quot;3&quot;<") < whole.index(">v,&quot;4&quot;<")
+
+
+def test_documents_of_one_type_leave_the_others(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    files.write_documents(spark.createDataFrame([("a", 1), ("b", 2)], "api_type string, n int"), path)
+    files.write_documents(spark.createDataFrame([("a", 3)], "api_type string, n int"), path)
+    assert sorted(map(tuple, spark.read.json(path).select("api_type", "n").collect())) == [("a", 3), ("b", 2)]
+
+
+def test_exported_flow_is_read_back(spark):
+    selected = spark.createDataFrame([(1, 1, "s:10", "A"), (1, 2, "s:11", "B")], "run int, at int, id string, title string")
+    rel = spark.createDataFrame([(1, "s:10", "s:11", "io-chain", "why"), (1, "s:10", "s:99", "io-chain", "lost")], "run int, source string, target string, type string, note string")
+    runs = spark.createDataFrame([(1, "question", ["w"]), (2, "", [])], "run int, query string, warnings array<string>")
+    got = {r["run"]: json.loads(r["flow"]) for r in flow.flow_json(selected, rel, runs, "nara", "2024-01-01T00:00:00Z").collect()}
+    nodes, edges = flow.check_flow(got[1], "nara")
+    assert [n["data"]["apiId"] for n in nodes] == ["10", "11"] and [e["id"] for e in edges] == ["rel:io-chain:s:10:s:11"]
+    assert nodes[0]["data"]["relationNotes"] == ["why"] and "warnings: w" in nodes[0]["data"]["selectionNote"]
+    assert (got[2]["nodes"], got[2]["edges"], got[2]["name"]) == ([], [], "untitled")
