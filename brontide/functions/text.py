@@ -108,6 +108,37 @@ def export_filename(name: Column, fmt: str) -> Column:
     return F.when(F.endswith(F.lower(base), F.lit("." + ext)), base).otherwise(F.concat(base, F.lit("." + ext)))
 
 
+#: How many fields and endpoints of a document a prompt names, and the lines around its documents.
+PROMPT_FIELDS, PROMPT_ENDPOINTS = 12, 3
+PROMPT_HEAD = "다음 공공 API 문서들을 서로 다른 논리 노드의 입력으로 보고, 단일 API만으로는 알 수 없는 조합 활용 방안을 도출하라."
+PROMPT_TAIL = ("출력 형식:", "1. 조합 가능한 서비스 아이디어", "2. 어떤 API 필드를 어떻게 연결하는지", "3. 이종 도메인 결합으로 생기는 새 가치", "4. 구현 시 필요한 추가 조건")
+
+
+def prompt_block(place: Column, doc: Column) -> Column:
+    """A document's part of a prompt.  doc: struct<name, provider, category, keywords, description, fields<key, desc>, endpoints<method, path, description>>."""
+    some = lambda c, n, line, none: F.when(F.size(c) > 0, F.array_join(F.transform(F.slice(c, 1, n), line), "\n")).otherwise(none)
+    dash = lambda c: F.when(F.coalesce(c, F.lit("")) == "", "-").otherwise(c)
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else F.coalesce(p, F.lit("")) for p in parts))
+    return F.concat_ws(
+        "\n",
+        say("API ", place.cast("string"), ". ", doc["name"]),
+        say("제공기관: ", doc["provider"]),
+        say("도메인: ", doc["category"]),
+        say("키워드: ", dash(F.array_join(doc["keywords"], ", "))),
+        say("설명: ", dash(doc["description"])),
+        F.lit("제공 필드:"),
+        some(doc["fields"], PROMPT_FIELDS, lambda f: say("- ", f["key"], ": ", f["desc"]), "- 필드 정보 없음"),
+        F.lit("엔드포인트:"),
+        some(doc["endpoints"], PROMPT_ENDPOINTS, lambda e: say("- ", e["method"], " ", e["path"], ": ", e["description"]), "- 엔드포인트 정보 없음"),
+    )
+
+
+def analysis_prompt(docs: Column, question: Column) -> Column:
+    """The prompt about a selection of documents, an array of prompt_block's structs."""
+    blocks = F.array_join(F.transform(docs, lambda d, i: prompt_block(i + 1, d)), "\n\n---\n\n")
+    return F.concat_ws("\n", F.lit(PROMPT_HEAD), F.concat(F.lit("사용자 질문: "), question), F.lit(""), blocks, F.lit(""), *map(F.lit, PROMPT_TAIL))
+
+
 def clip(c: Column, n: int) -> Column:
     """At most n characters, an ellipsis if some were cut."""
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("…"))).otherwise(c)

@@ -288,6 +288,29 @@ def blocked_steps(steps: DataFrame, edges: DataFrame) -> DataFrame:
     return bad.groupBy(F.col("dst").alias("node")).agg(F.sort_array(F.collect_set("src")).alias("blockers"))
 
 
+def run_order(steps: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, level, state) of a plan's steps: in order of level, what comes of each.
+
+    steps: (node, status) with status the step's own outcome.  A step that depends
+    on one that isn't succeeded, or on none that exists, is blocked whatever its
+    own outcome, and blocks those that depend on it; steps on or behind a cycle have no
+    level and are blocked.  Every round settles one level of the plan.
+    """
+    steps, edges = written(steps.select("node", "status")), written(edges.select("src", "dst").distinct())
+    levels = written(dag_levels(steps.select("node"), within(steps.select("node"), edges)))
+    lost = dangling(steps.select("node"), edges).select(F.col("dst").alias("node")).distinct().withColumn("lost", F.lit(True))
+    base = steps.join(levels, "node").join(lost, "node", "left")
+    bad = F.coalesce("lost", F.lit(False)) | F.col("level").isNull()
+    start = written(base.select("node", "level", F.when(bad, "blocked").otherwise(F.col("status")).alias("state")))
+    front = written(start.filter("state <> 'succeeded'").select("node"))
+    hit = front.limit(0)
+    while not front.isEmpty():
+        after = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+        front = written(after.join(hit, "node", "left_anti"))
+        hit = written(hit.unionByName(front))
+    return start.join(hit.withColumn("hit", F.lit(True)), "node", "left").select("node", "level", F.when(F.col("hit"), "blocked").otherwise(F.col("state")).alias("state"))
+
+
 def sequence_edges(nodes: DataFrame, group: str, *order: str) -> DataFrame:
     """(src, dst): each node to the next of its group."""
     return nodes.withColumn("dst", F.lead("node").over(Window.partitionBy(group).orderBy(*order))).filter("dst is not null").select(F.col("node").alias("src"), "dst")

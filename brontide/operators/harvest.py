@@ -66,6 +66,23 @@ def scan_status(code: Column, body: Column, waiting: Column) -> Column:
     return F.when(waiting, "waiting_room_timeout").when((code == 200) & (F.coalesce(body, F.lit("")) != ""), "success").when(code == 404, "not_found").when(code == 0, "timeout").otherwise("error")
 
 
+#: Outcomes of a try, the best first; a later try may only better the outcome.
+OUTCOMES = ("success", "not_found", "waiting_room_timeout", "timeout", "error")
+
+
+def settled(tries: DataFrame, id: str, attempt: str, status: str, most: int = 3) -> DataFrame:
+    """(id, status, attempts, retry) of each id's landed tries: the best outcome so far, and whether to try again.
+
+    success and not_found are final; any other outcome is tried again until there
+    have been `most` tries.  A status that is none of OUTCOMES counts as error.
+    """
+    rank = F.array_position(F.array(*map(F.lit, OUTCOMES)), F.col(status))
+    known = F.when(rank > 0, rank).otherwise(len(OUTCOMES))
+    out = tries.groupBy(id).agg(F.min(known).alias("rank"), F.countDistinct(attempt).alias("attempts"))
+    name = F.element_at(F.array(*map(F.lit, OUTCOMES)), F.col("rank").cast("int"))
+    return out.select(id, name.alias(status), "attempts", ((F.col("rank") > 2) & (F.col("attempts") < most)).alias("retry"))
+
+
 def rejection(url: Column) -> Column:
     """Why a URL must not be fetched, judged without looking up names: scheme, host, loopback, link_local, private, special; else null."""
 

@@ -100,6 +100,12 @@ def crawl_summary(events: DataFrame, ok: Column, seconds: str) -> DataFrame:
     return events.agg(F.count("*").alias("total"), good.alias("success"), (F.count("*") - good).alias("failed"), F.format_string("%.1f%%", F.when(F.count("*") > 0, 100.0 * good / F.count("*")).otherwise(0.0)).alias("rate"), F.round(F.avg(seconds), 4).alias("avg_time"))
 
 
+def recent_manifests(manifests: DataFrame, started: str, files: str, k: int = 10) -> DataFrame:
+    """The k manifests that started last, newest first, with how many files each has; ties by all columns' text."""
+    n = manifests.withColumn("n_files", F.size(files))
+    return n.orderBy(F.desc(started), F.to_json(F.struct(*manifests.columns))).limit(k)
+
+
 def missing_inputs(required: Column, inputs: Column) -> Column:
     """Required names that the inputs don't have."""
     return F.array_sort(F.array_except(required, F.map_keys(inputs)))

@@ -55,6 +55,20 @@ def check_flow(flow: dict, name: str | None = None) -> tuple[list[dict], list[di
     return flow["nodes"], [e for e in flow.get("edges") or [] if e.get("source") in seen and e.get("target") in seen]
 
 
+#: What a node's data holds only while it runs.
+RUNTIME = ("status", "result", "error", "docs", "onChange", "onRun", "isRunning")
+
+
+def serialised(nodes: list[dict], edges: list[dict], name: str, fmt: str, exported_at: str, runtime: tuple[str, ...] = RUNTIME) -> dict:
+    """A flow as it is stored: positions that are numbers, no runtime data, no edge with an unknown end.  check_flow reads it."""
+    ids = {n["id"] for n in nodes}
+    at = lambda p, k: float(v) if isinstance(v := (p or {}).get(k), (int, float)) and v == v and abs(v) != float("inf") else 0.0
+    kept = [{"id": str(n["id"]), "type": str(n["type"]), "position": {k: at(n.get("position"), k) for k in "xy"}, "data": {k: v for k, v in (n.get("data") or {}).items() if k not in runtime and not callable(v)}} for n in nodes]
+    handles = lambda e: {k: e[k] for k in ("sourceHandle", "targetHandle") if e.get(k)}
+    good = [{"id": str(e.get("id") or f"{e['source']}->{e['target']}"), "source": str(e["source"]), "target": str(e["target"]), **handles(e)} for e in edges if e.get("source") in ids and e.get("target") in ids]
+    return {"format": fmt, "version": VERSION, "name": name or "untitled", "exported_at": exported_at, "nodes": kept, "edges": good}
+
+
 def order_nodes(nodes: list[dict], edges: list[dict]) -> list[str]:
     """Ids so that inputs come first, ready nodes in the order they become ready; the given order if there is a cycle."""
     ids = [n["id"] for n in nodes]
@@ -196,10 +210,9 @@ def compile_flow(docs: DataFrame, nodes: list[dict], edges: list[dict], target:
 
 
 def merged_field_keys(docs: DataFrame, fields: str, ordinal: str) -> DataFrame:
-    """One row: the distinct field keys over all documents, in order of first appearance."""
-    keys = docs.select(ordinal, F.posexplode(fields).alias("pos", "key"))
-    first = keys.groupBy("key").agg(F.min(F.struct(ordinal, "pos")).alias("at"))
-    return first.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "key"))), lambda x: x["key"]).alias("field_keys"))
+    """(at, pos, key): the distinct field keys over all documents and where each first appears; a row each, so no row holds them all."""
+    keys = docs.select(F.col(ordinal).alias("at"), F.posexplode(fields).alias("pos", "key"))
+    return keys.groupBy("key").agg(F.min(F.struct("at", "pos")).alias("first")).select("first.at", "first.pos", "key")
 
 
 def layout(nodes: DataFrame, ordinal: str, columns: int = 3, width: int = 320, height: int = 220, origin: tuple[int, int] = (0, 0)) -> DataFrame:

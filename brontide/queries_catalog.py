@@ -186,36 +186,35 @@ def catalog_details(spark, d):
     return catalog.details(_documents(spark)).withColumn("keywords", F.array_join("keywords", "|"))
 
 
-_ENDS = "('1', 0, 'get', '/a', 'one'), ('1', 1, 'GET', '/a', 'two'), ('1', 2, 'post', '/a', 'three'), ('2', 0, 'get', '-', 'none'), ('2', 1, '', '/b', '<i>x</i>')"
-
-
-@query("SELECT * FROM (VALUES ('1', 0, 'GET', '/a', 'one'), ('1', 2, 'POST', '/a', 'three'), ('2', 1, '', '/b', 'x')) AS t(api_id, ordinal, method, path, summary)")
+@query("SELECT o_custkey AS api_id, min(i)::INT AS ordinal, method, path, arg_min(o_orderstatus, i) AS summary FROM (SELECT o_custkey, o_orderstatus, upper(o_orderpriority) AS method, '/' || o_orderstatus AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders) GROUP BY o_custkey, method, path")
 def listed_endpoints(spark, d):
-    t = values(spark, _ENDS, "api_id, i, method, path, description")
-    docs = t.groupBy("api_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "method", "path", "description"))), lambda x: F.struct(x["method"].alias("method"), x["path"].alias("path"), x["description"].alias("description"))).alias("endpoints"))
+    """Each customer's orders as the endpoints a page lists; of the same method and path the first stays."""
+    one = F.struct(F.col("o_orderkey").alias("i"), F.lower("o_orderpriority").alias("method"), F.concat(F.lit("/"), "o_orderstatus").alias("path"), F.concat(F.lit("<b>"), "o_orderstatus", F.lit("</b>")).alias("description"))
+    docs = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("api_id")).agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: F.struct(x["method"].alias("method"), x["path"].alias("path"), x["description"].alias("description"))).alias("endpoints"))
     return catalog.listed_endpoints(docs)
 
 
-_SPEC = '{"paths": {"/list": {"get": {"summary": "List", "tags": ["t1"], "parameters": [{"name": "page", "in": "query", "type": "integer", "required": true}, {"name": "page", "in": "query"}, {"name": "q", "in": "query"}]}, "trace": {"summary": "no"}}, "/item": {"post": {"description": "Make"}}}, "definitions": {"Item": {"properties": {"id": {"type": "integer"}, "name": {"type": "string"}}}}}'
-
+def _specs(spark, d):
+    """A specification for each part, made of its columns: two paths, a repeated and an unknown parameter, and a definition."""
+    t = table(spark, d, "part")
+    parts = ('{"paths": {"/list/', "$p_partkey", '": {"get": {"summary": "', "$p_name", '", "tags": ["', "$p_brand", '"], "parameters": [{"name": "page", "in": "query", "type": "integer", "required": true}, {"name": "page", "in": "query"}, {"name": "', "$p_brand", '", "in": "query"}]}, "trace": {"summary": "no"}}, "/item": {"post": {"description": "', "$p_type", '"}}}, "definitions": {"Item": {"properties": {"id": {"type": "integer"}, "', "$p_brand", '": {"type": "string"}}}}}')
+    spec = F.concat(*(F.col(p[1:]).cast("string") if p.startswith("$") else F.lit(p) for p in parts))
+    return t.select(F.col("p_partkey").alias("api_id"), spec.alias("spec"))
 
-def _specs(spark):
-    return values(spark, f"('1', '{_SPEC}')", "api_id, spec")
 
-
-@query("SELECT * FROM (VALUES ('1', '/list', 'GET', 'List', 't1', 3), ('1', '/item', 'POST', 'Make', 'Default', 0)) AS t(api_id, path, method, summary, section, n_parameters)")
+@query("SELECT p_partkey AS api_id, '/list/' || p_partkey AS path, 'GET' AS method, p_name AS summary, p_brand AS section, 3 AS n_parameters FROM part UNION ALL SELECT p_partkey, '/item', 'POST', p_type, 'Default', 0 FROM part")
 def spec_endpoints(spark, d):
-    return catalog.spec_endpoints(_specs(spark)).drop("parameters")
+    return catalog.spec_endpoints(_specs(spark, d)).drop("parameters")
 
 
-@query("SELECT * FROM (VALUES ('1', 'GET /list', 'page', 'integer', true), ('1', 'GET /list', 'q', 'query', false)) AS t(api_id, endpoint_id, name, type, required)")
+@query("SELECT p_partkey AS api_id, 'GET /list/' || p_partkey AS endpoint_id, 'page' AS name, 'integer' AS type, true AS required FROM part UNION ALL SELECT p_partkey, 'GET /list/' || p_partkey, p_brand, 'query', false FROM part")
 def request_fields(spark, d):
-    return catalog.request_fields(_specs(spark))
+    return catalog.request_fields(_specs(spark, d))
 
 
-@query("SELECT * FROM (VALUES ('1', 'Item.id', 'id', 'integer'), ('1', 'Item.name', 'name', 'string')) AS t(api_id, path, name, type)")
+@query("SELECT p_partkey AS api_id, 'Item.id' AS path, 'id' AS name, 'integer' AS type FROM part UNION ALL SELECT p_partkey, 'Item.' || p_brand, p_brand, 'string' FROM part")
 def response_fields(spark, d):
-    return catalog.response_fields(_specs(spark))
+    return catalog.response_fields(_specs(spark, d))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '…' ELSE text END AS text, len(w) AS n_items, len(w) > 12 AS truncated, array_to_string(w[1:12], ' ') AS items FROM (SELECT doc_id, text, string_split(text, ' ') AS w FROM documents)")
@@ -351,10 +350,11 @@ def replay_after(spark, d):
     return ledger.replay(table(spark, d, "events"), "user_id", 40, "ts", "event_id").select("event_id", "sequence")
 
 
-@query("SELECT * FROM (VALUES ('r1', 'valid'), ('r2', 'consumed'), ('r3', 'hash_mismatch'), ('r4', 'expired'), ('r5', 'missing')) AS t(run_id, state)")
+@query("""WITH a AS (SELECT o_custkey AS run, max({'t': o_orderkey, 'h': o_orderstatus, 'e': o_totalprice > 100000, 'c': o_orderpriority LIKE '1%'}) AS x FROM orders GROUP BY 1)
+SELECT c_custkey AS run_id, CASE WHEN x IS NULL THEN 'missing' WHEN x.c THEN 'consumed' WHEN x.h <> 'F' THEN 'hash_mismatch' WHEN NOT x.e THEN 'expired' ELSE 'valid' END AS state FROM customer LEFT JOIN a ON run = c_custkey""")
 def approval_checks(spark, d):
-    runs = values(spark, "('r1', 'h'), ('r2', 'h'), ('r3', 'h'), ('r4', 'h'), ('r5', 'h')", "run_id, hash")
-    a = values(spark, "('r1', 1, 'x', 9, false), ('r1', 2, 'h', 9, false), ('r2', 1, 'h', 9, true), ('r3', 1, 'x', 9, false), ('r4', 1, 'h', 3, false)", "run_id, approved_at, plan_hash, expires_at, consumed")
+    runs = table(spark, d, "customer").select(F.col("c_custkey").alias("run_id"), F.lit("F").alias("hash"))
+    a = table(spark, d, "orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("approved_at"), F.col("o_orderstatus").alias("plan_hash"), F.when(F.col("o_totalprice") > 100000, 9).otherwise(3).alias("expires_at"), F.col("o_orderpriority").startswith("1").alias("consumed"))
     return ledger.approval_state(runs, a, F.lit(5))
 
 
@@ -523,6 +523,30 @@ def blocked_steps(spark, d):
     return graph.blocked_steps(steps, _dag(spark, d)).withColumn("blockers", F.array_join(F.transform("blockers", lambda b: b.cast("string")), ","))
 
 
+@query(f"""WITH e AS ({_DAG}), o AS (SELECT 4 * o_orderkey AS node, o_orderstatus <> 'P' AS good FROM orders), n AS ({_NODES}),
+p AS (SELECT n.node, count(src) FILTER (NOT coalesce(good, false)) AS bad, count(src) AS deps FROM n LEFT JOIN e ON dst = n.node AND src % 4 = 0 LEFT JOIN o ON src = o.node GROUP BY 1)
+SELECT node, 0 AS level, CASE WHEN good THEN 'succeeded' ELSE 'failed' END AS state FROM o UNION ALL SELECT node, CASE WHEN deps > 0 THEN 1 ELSE 0 END, CASE WHEN bad > 0 THEN 'blocked' ELSE 'succeeded' END FROM p WHERE node % 4 = 1
+UNION ALL SELECT node, CASE WHEN m > 0 THEN 2 WHEN k > 0 THEN 1 ELSE 0 END, CASE WHEN b > 0 THEN 'blocked' ELSE 'succeeded' END FROM (SELECT n.node, count(src) AS k, count(*) FILTER (deps > 0) AS m, count(*) FILTER (bad > 0) AS b FROM n LEFT JOIN e ON dst = n.node LEFT JOIN p ON src = p.node WHERE n.node % 4 = 2 GROUP BY 1)""")
+def run_order(spark, d):
+    """Orders that are not pending have succeeded; parts and suppliers would, if nothing blocks them."""
+    good = table(spark, d, "orders").select(F.expr("4 * o_orderkey").alias("node"), F.when(F.col("o_orderstatus") != "P", "succeeded").otherwise("failed").alias("status"))
+    return graph.run_order(good.unionByName(_nodes(spark, d).withColumn("status", F.lit("succeeded"))), _dag(spark, d))
+
+
+@query("SELECT user_id, CASE WHEN bool_or(event_type = 'click') THEN 'success' WHEN bool_or(event_type = 'view') THEN 'timeout' ELSE 'error' END AS status, count(*) AS attempts, NOT bool_or(event_type = 'click') AND count(*) < 40 AS retry FROM events GROUP BY user_id")
+def scan_retries(spark, d):
+    from brontide.operators import harvest
+
+    said = F.when(F.col("event_type") == "click", "success").when(F.col("event_type") == "view", "timeout").otherwise(F.col("event_type"))
+    return harvest.settled(table(spark, d, "events").select("user_id", "event_id", said.alias("status")), "user_id", "event_id", "status", 40)
+
+
+@query("SELECT conv_id, n AS n_files FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) ORDER BY conv_id DESC LIMIT 10")
+def recent_manifests(spark, d):
+    m = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("turn").alias("files"))
+    return ledger.recent_manifests(m, "conv_id", "files").select("conv_id", F.col("n_files").cast("bigint").alias("n_files"))
+
+
 @query("SELECT event_id AS src, nxt AS dst FROM (SELECT event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NOT NULL")
 def sequence_edges(spark, d):
     return graph.sequence_edges(table(spark, d, "events").select(F.col("event_id").alias("node"), "user_id", "ts", "event_id"), "user_id", "ts", "event_id")

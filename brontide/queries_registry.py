@@ -68,22 +68,27 @@ def keyword_signals(spark, d):
     return table(spark, d, "benchmark").select("item_id", hits.alias("signals"))
 
 
-@query("SELECT l AS law, k AS name FROM (VALUES ('「난민법」 (2020)', '난민법'), ('민법·상법, 등', '민법상법등'), ('배출권거래법 시행령', '배출권거래법시행령')) AS t(l, k)")
+@query("SELECT p_partkey, replace(p_name, ' ', '') || p_size AS name FROM part")
 def law_name_compact(spark, d):
-    return values(spark, "('「난민법」 (2020)'), ('민법·상법, 등'), ('배출권거래법 시행령')", "law").select("law", registry.compact_law(F.col("law")).alias("name"))
+    law = F.concat(F.lit("「"), "p_name", F.lit("」 ("), "p_brand", F.lit("), ·"), F.col("p_size").cast("string"))
+    return table(spark, d, "part").select("p_partkey", registry.compact_law(law).alias("name"))
 
 
-@query("SELECT * FROM (VALUES (1, '난민법', '난민법'), (2, '공정거래법', '독점규제 및 공정거래에 관한 법률'), (3, '없는법', NULL)) AS t(id, law, source)")
+@query("SELECT p_partkey AS id, '「' || p_name || '」 (x)' AS law, (SELECT min(q.p_name) FROM part q WHERE replace(q.p_name, ' ', '') = replace(p.p_name, ' ', '')) AS source FROM part p UNION ALL SELECT s_suppkey, 'alias ' || s_suppkey, s_name FROM supplier UNION ALL SELECT n_nationkey, 'unknown ' || n_nationkey, NULL FROM nation")
 def law_sources(spark, d):
-    c = values(spark, "(1, '난민법'), (2, '공정거래법'), (3, '없는법')", "id, law")
-    s = values(spark, "('난민법'), ('독점규제 및 공정거래에 관한 법률')", "name")
-    return registry.match_sources(c, s, values(spark, "('공정거래법', '독점규제 및 공정거래에 관한 법률')", "alias, official"))
+    p, s, n = (table(spark, d, t) for t in ("part", "supplier", "nation"))
+    c = p.select(F.col("p_partkey").alias("id"), F.concat(F.lit("「"), "p_name", F.lit("」 (x)")).alias("law"))
+    c = c.unionByName(s.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("alias "), F.col("s_suppkey").cast("string")).alias("law"))).unionByName(n.select(F.col("n_nationkey").cast("bigint").alias("id"), F.concat(F.lit("unknown "), F.col("n_nationkey").cast("string")).alias("law")))
+    sources = p.select(F.col("p_name").alias("name")).unionByName(s.select(F.col("s_name").alias("name"))).distinct()
+    return registry.match_sources(c, sources, s.select(F.concat(F.lit("alias  "), F.col("s_suppkey").cast("string")).alias("alias"), F.col("s_name").alias("official")))
 
 
-@query("SELECT * FROM (VALUES (1, '제3조,제4조,제5조,제9조의2'), (2, '제7조의2,제7조의3'), (3, '제1조,제500조'), (4, '')) AS t(id, refs)")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN '제' || l_suppkey || '조,제' || (l_suppkey + 1) || '조,제' || (l_suppkey + 2) || '조,제9999조의2' WHEN l_returnflag = 'A' THEN '제' || l_suppkey || '조의2,제' || l_suppkey || '조의3' ELSE '제1조,제' || (l_suppkey + 500) || '조' END AS refs, l_partkey FROM lineitem")
 def article_references(spark, d):
-    t = values(spark, "(1, '제3조~제5조 및 제9조의2, 제4조'), (2, '제7조의2~제7조의3'), (3, '제1조 ~ 제500조'), (4, '없음')", "id, s")
-    return t.select("id", F.array_join(registry.article_references(F.col("s")), ",").alias("refs"))
+    n = lambda k=0: (F.col("l_suppkey") + k).cast("string")
+    say = lambda *x: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in x))
+    text_ = F.when(F.col("l_returnflag") == "R", say("제", n(), "조~제", n(2), "조 및 제9999조의2, 제", n(1), "조")).when(F.col("l_returnflag") == "A", say("제", n(), "조의2 ~ 제", n(), "조의3")).otherwise(say("제1조 ~ 제", n(500), "조"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(registry.article_references(text_), ",").alias("refs"), "l_partkey")
 
 
 @query()
@@ -92,9 +97,10 @@ def law_steps(spark, d):
     return values(spark, law, "id, text").select("id", F.inline(registry.law_steps(F.col("text"))))
 
 
-@query("SELECT * FROM (VALUES ('a', 'new', 'generated'), ('b', 'old', 'pinned'), ('c', 'kept', 'existing')) AS t(k, v, origin)")
+@query("SELECT coalesce(n_nationkey, r) AS k, CASE WHEN p THEN coalesce(e, n_name) ELSE coalesce(n_name, e) END AS v, CASE WHEN n_name IS NULL THEN 'existing' WHEN p THEN 'pinned' ELSE 'generated' END AS origin FROM nation FULL JOIN (SELECT s_suppkey AS r, s_name AS e, s_acctbal > 0 AS p FROM supplier) ON n_nationkey = r")
 def merged_sources(spark, d):
-    return registry.merge_sources(values(spark, "('a', 'new'), ('b', 'new')", "k, v"), values(spark, "('a', 'old', false), ('b', 'old', true), ('c', 'kept', false)", "k, v, p"), "k", "v", "p")
+    g = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("k"), F.col("n_name").alias("v"))
+    return registry.merge_sources(g, table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v"), (F.col("s_acctbal") > 0).alias("p")), "k", "v", "p")
 
 
 @query("SELECT id, strftime(day - INTERVAL 2 DAY, '%Y%m%d') AS first_day, strftime(day, '%Y%m%d') AS last_day FROM (VALUES (1, DATE '2024-03-01'), (2, DATE '2024-01-01')) AS t(id, day)")
@@ -103,9 +109,9 @@ def date_windows(spark, d):
     return values(spark, "(1, date '2024-03-01'), (2, date '2024-01-01')", "id, day").select("id", F.get(w, 0).alias("first_day"), F.get(w, 1).alias("last_day"))
 
 
-@query("SELECT * FROM (VALUES (1, '환경|평가'), (2, '')) AS t(id, tokens)")
+@query("SELECT p_partkey, array_to_string(list_filter(list_transform(range(len(w)), lambda i: CASE WHEN list_position(w, w[i + 1]) = i + 1 THEN w[i + 1] END), lambda x: x IS NOT NULL), '|') AS tokens FROM (SELECT p_partkey, list_filter(string_split(p_name || ' ' || p_type, ' '), lambda x: length(x) >= 2) AS w FROM part)")
 def significant_tokens(spark, d):
-    return values(spark, "(1, '환경 평가 관한 법률, 환경'), (2, '등 시행령')", "id, s").select("id", F.array_join(text.significant_tokens(F.col("s"), registry.LAW_STOP), "|").alias("tokens"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(text.significant_tokens(F.concat("p_name", F.lit(" 및, 법률;a ("), "p_type", F.lit(")")), registry.LAW_STOP), "|").alias("tokens"))
 
 
 @query("SELECT id, CASE WHEN c LIKE '% - %' THEN split_part(c, ' - ', 1) WHEN c = '' THEN '기타' ELSE c END AS top, array_to_string(list_filter(list_transform(string_split(replace(k, '，', ','), ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS keywords FROM (VALUES (1, '환경 - 대기', 'a, b,,c'), (2, '교통', 'x，y'), (3, '', '')) AS t(id, c, k)")
@@ -120,15 +126,17 @@ def shared_category(spark, d):
     return registry.shared_top_category(table(spark, d, "part").select("p_brand", F.concat(own, F.lit(" - "), F.col("p_name")).alias("category")), "p_brand", "category")
 
 
-@query("SELECT * FROM (VALUES (1, 'a b c', 'abc'), (2, '', '-')) AS t(id, cleaned, stripped)")
+@query("SELECT p_partkey, p_name || ' ' || p_type AS cleaned, p_name || p_type AS stripped, '' AS dash FROM part")
 def clean_text_forms(spark, d):
-    t = values(spark, "(1, 'a<b> b </b>c', 'a<i>b</i>c'), (2, '-', '-')", "id, s, t")
-    return t.select("id", text.clean_markup(F.col("s")).alias("cleaned"), text.strip_markup(F.col("t")).alias("stripped"))
+    raw = F.concat(F.lit(" <p>"), "p_name", F.lit("</p>"), "p_type", F.lit("<br/> \n"))
+    return table(spark, d, "part").select("p_partkey", text.clean_markup(raw).alias("cleaned"), text.strip_markup(raw).alias("stripped"), text.clean_markup(F.lit(" - ")).alias("dash"))
 
 
-@query("SELECT * FROM (VALUES ('openapi_new:15000001', 'openapi_new:15000001', 'openapi_new', '15000001', NULL), ('15000001', 'openapi_new:15000001', 'openapi_new', '15000001', NULL), ('', NULL, NULL, NULL, 'INVALID_SERVICE_ID'), ('a b', NULL, NULL, NULL, 'INVALID_SERVICE_ID'), ('other:1', NULL, NULL, NULL, 'UNSUPPORTED_SOURCE')) AS t(raw, id, source, api_id, error)")
+@query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'openapi_new:' || event_id END AS id, CASE WHEN event_type IN ('click', 'view') THEN 'openapi_new' END AS source, CASE WHEN event_type IN ('click', 'view') THEN event_id::VARCHAR END AS api_id, CASE event_type WHEN 'click' THEN NULL WHEN 'view' THEN NULL WHEN 'error' THEN 'UNSUPPORTED_SOURCE' ELSE 'INVALID_SERVICE_ID' END AS error FROM events")
 def service_ids(spark, d):
-    return values(spark, "('openapi_new:15000001'), ('15000001'), (''), ('a b'), ('other:1')", "raw").select("raw", F.inline(F.array(text.service_id(F.col("raw")))))
+    n, kind = F.col("event_id").cast("string"), F.col("event_type")
+    raw = F.when(kind == "click", F.concat(F.lit(" "), n)).when(kind == "view", F.concat(F.lit("openapi_new:"), n)).when(kind == "error", F.concat(F.lit("other:"), n)).when(kind == "signup", F.concat(F.lit("a b"), n)).otherwise("")
+    return table(spark, d, "events").select("event_id", F.inline(F.array(text.service_id(raw))))
 
 
 @query("SELECT page_id, regexp_extract(url, '/([0-9]+)([/.?#]|$)', 1) AS number, 'api_' || replace(replace(replace(url, 'https://', ''), 'http://', ''), '/', '_') AS slug, 'https://www.data.go.kr/data/' || page_id || '/fileData.do' AS portal FROM pages")
@@ -137,16 +145,19 @@ def url_ids(spark, d):
     return p.select("page_id", F.regexp_extract("url", "/([0-9]+)([/.?#]|$)", 1).alias("number"), web.api_id(F.col("url")).alias("slug"), web.portal_url(F.col("page_id"), F.lit("fileData")).alias("portal"))
 
 
-@query("SELECT * FROM (VALUES (1, 'http://h/p'), (2, 'https://h'), (3, '')) AS t(id, base)")
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '' WHEN p_size % 3 = 1 THEN 'http://' || 'h' || p_size || '/p' ELSE 'https://h' || p_size END AS base FROM part")
 def base_urls(spark, d):
-    t = values(spark, "(1, 'http', 'h', '/p'), (2, NULL, 'h', NULL), (3, 'http', '', '/p')", "id, s, h, p")
-    return t.select("id", web.base_url(F.when(F.col("s").isNotNull(), F.array("s")).otherwise(F.array().cast("array<string>")), F.col("h"), F.col("p")).alias("base"))
+    k = F.col("p_size") % 3
+    host = F.when(k == 0, "").otherwise(F.concat(F.lit("h"), F.col("p_size").cast("string")))
+    schemes = F.when(k == 1, F.array(F.lit("http"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, d, "part").select("p_partkey", web.base_url(schemes, host, F.when(k != 2, F.lit("/p"))).alias("base"))
 
 
-@query("SELECT * FROM (VALUES (1, 'Crawling', 45, 100, 45.0::DOUBLE), (2, NULL, NULL, NULL, NULL), (3, '진행 중', 1, 3, 33.3::DOUBLE)) AS t(id, label, done, total, percent)")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag <> 'N' THEN 'Crawling' END AS label, CASE WHEN l_returnflag <> 'N' THEN l_suppkey + 1 END AS done, CASE WHEN l_returnflag <> 'N' THEN (l_suppkey + 1) * 4 END AS total, CASE WHEN l_returnflag <> 'N' THEN 25.0::DOUBLE END AS percent FROM lineitem")
 def progress_lines(spark, d):
-    t = values(spark, "(1, 'Crawling:  45%|####5     | 45/100 [00:10<00:12,  4.5it/s]'), (2, 'plain line'), (3, ' 33%|###   | 1/3 [00:01<00:02]')", "id, line")
-    return t.select("id", web.progress(F.col("line")).alias("p")).select("id", F.col("p.label").alias("label"), F.col("p.done").cast("int").alias("done"), F.col("p.total").cast("int").alias("total"), F.col("p.percent").alias("percent"))
+    n = lambda k: ((F.col("l_suppkey") + 1) * k).cast("string")
+    line = F.when(F.col("l_returnflag") != "N", F.concat(F.lit("Crawling:  25%|##5   | "), n(1), F.lit("/"), n(4), F.lit(" [00:10<00:12,  4.5it/s]"))).otherwise("plain line")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", web.progress(line).alias("p")).select("l_orderkey", "l_linenumber", "l_partkey", F.col("p.label").alias("label"), F.col("p.done").cast("bigint").alias("done"), F.col("p.total").cast("bigint").alias("total"), F.col("p.percent").alias("percent"))
 
 
 @query("SELECT * FROM (VALUES (1, 'https://api.x.kr/openapi/list?a=1&b=2|http://y.kr/v2/items')) AS t(id, urls)")
@@ -162,9 +173,10 @@ def response_names(spark, d):
     return t.select("id", name.alias("name"), web.safe_filename(name).alias("safe"), web.content_length(F.col("cr"), F.col("cl")).cast("int").alias("size"))
 
 
-@query("SELECT * FROM (VALUES (1, '02-1'), (2, 'plain')) AS t(id, v)")
+@query("SELECT p_partkey, p_name AS v FROM part")
 def script_leak(spark, d):
-    return values(spark, "(1, '02-1` var x = 1; alert(x)'), (2, 'plain')", "id, s").select("id", web.without_script(F.col("s")).alias("v"))
+    raw = F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit("` var x = 1; alert(x)"))).otherwise(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", web.without_script(raw).alias("v"))
 
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(text, '[\",\\n\\r]') THEN '\"' || replace(text, '\"', '\"\"') || '\"' ELSE text END || ',' || lang || ',' || n_chars AS line FROM documents")
@@ -182,9 +194,10 @@ def export_html(spark, d):
     return table(spark, d, "part").select("p_partkey", files.html_row([F.col("p_partkey"), F.col("p_brand")]).alias("row"))
 
 
-@query("SELECT * FROM (VALUES (1, 'my_file-x.json'), (2, 'result.json'), (3, 'a.JSON')) AS t(id, f)")
+@query("SELECT p_partkey, replace(p_name, ' ', '_') || '-' || p_size || '.json' AS f FROM part")
 def export_filenames(spark, d):
-    return values(spark, "(1, ' my file:x '), (2, ''), (3, 'a.JSON')", "id, n").select("id", text.export_filename(F.col("n"), "json").alias("f"))
+    name = F.concat(F.lit(" "), "p_name", F.lit(":"), F.col("p_size").cast("string"), F.when(F.col("p_size") % 2 == 0, ".json").otherwise(" "))
+    return table(spark, d, "part").select("p_partkey", text.export_filename(name, "json").alias("f"))
 
 
 _SUMMARY = "'<b> ' || role || ' </b>' || text || '<b>' || role || '</b>'"
@@ -355,10 +368,19 @@ def flow_pipeline(spark, d):
     return out.docs.select("apiId", "name", F.col("ordinal.part").alias("part"))
 
 
-@query("SELECT * FROM (VALUES ('b,a,c')) AS t(keys)")
+@query("SELECT key, min(doc_id) AS first_doc FROM (SELECT doc_id, unnest(string_split(source || ',' || lang, ',')) AS key FROM documents) GROUP BY key")
 def merge_fields(spark, d):
-    t = values(spark, "(1, 'b,a'), (2, 'a,c')", "ordinal, f").withColumn("fields", F.split("f", ","))
-    return flow.merged_field_keys(t, "fields", "ordinal").select(F.array_join("field_keys", ",").alias("keys"))
+    docs = table(spark, d, "documents").select("doc_id", F.array("source", "lang").alias("fields"))
+    return flow.merged_field_keys(docs, "fields", "doc_id").select("key", F.col("at").alias("first_doc"))
+
+
+@query("SELECT o_orderkey, 'API 1. ' || c_name AS first, 'API 2. ' || o_orderpriority AS second, '사용자 질문: ' || o_orderkey AS asked FROM orders JOIN customer ON o_custkey = c_custkey")
+def analysis_prompts(spark, d):
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    doc = lambda name: F.struct(F.col(name).alias("name"), F.col("c_mktsegment").alias("provider"), F.lit("x").alias("category"), F.array("o_orderstatus").alias("keywords"), F.lit("").alias("description"), F.array(F.struct(F.lit("k").alias("key"), F.lit("v").alias("desc"))).alias("fields"), F.expr("cast(array() as array<struct<method:string,path:string,description:string>>)").alias("endpoints"))
+    p = o.select("o_orderkey", text.analysis_prompt(F.array(doc("c_name"), doc("o_orderpriority")), F.col("o_orderkey").cast("string")).alias("p"))
+    line = lambda pattern: F.regexp_extract("p", f"(?m)^({pattern}.*)$", 1)
+    return p.select("o_orderkey", line("API 1").alias("first"), line("API 2").alias("second"), line("사용자").alias("asked"))
 
 
 @query("SELECT n_nationkey, (n_nationkey % 3) * 320 AS x, (n_nationkey // 3) * 220 AS y FROM nation")

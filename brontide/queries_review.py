@@ -90,10 +90,11 @@ def argument_findings(spark, d):
     return review.judge_arguments(nodes, edges)
 
 
-@query(_ONE.format(rows="(1, true), (2, false), (3, false), (4, false)", columns="id, allowed"))
+@query("SELECT event_id, event_type <> 'error' AND user_id % 3 <> 0 AND event_id % 2 = 0 AS allowed FROM events")
 def connections(spark, d):
-    t = values(spark, "(1, 'claim', 'claim', 'support'), (2, 'interpretation', 'claim', 'support'), (3, NULL, 'claim', 'attack'), (4, 'claim', 'premise', 'other')", "id, s, t, k")
-    return t.select("id", F.coalesce(review.connection_allowed(F.col("s"), F.col("t"), F.col("k")), F.lit(False)).alias("allowed"))
+    e = table(spark, d, "events")
+    source, target, kind = F.when(F.col("event_type") == "error", "interpretation").otherwise("claim"), F.when(F.col("user_id") % 3 != 0, F.lit("claim")), F.when(F.col("event_id") % 2 == 0, "support").otherwise("other")
+    return e.select("event_id", F.coalesce(review.connection_allowed(source, target, kind), F.lit(False)).alias("allowed"))
 
 
 def _process(spark):
@@ -132,10 +133,12 @@ def loop_edges(spark, d):
     return review.loop_edges(t, "node", "action")
 
 
-@query(_ONE.format(rows="(1, '2024 · 확인'), (2, '2024 확인'), (3, 'x'), (4, NULL)", columns="id, text"))
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN '2024 · ' || o_orderpriority WHEN 'O' THEN '2024 ' || o_orderpriority END AS text FROM orders")
 def warning_texts(spark, d):
-    t = values(spark, "(1, 'message', ' 확인 ', 'date', '2024'), (2, 'detail', '2024 확인', 'date', '2024'), (3, '내용', 'x', 'date', ''), (4, 'other', 'x', 'date', '2024')", "id, a, b, c, e")
-    return t.select("id", review.warning_text(F.create_map("a", "b", "c", "e")).alias("text"))
+    p, s = F.col("o_orderpriority"), F.col("o_orderstatus")
+    key = F.when(s == "F", "message").when(s == "O", "detail").otherwise("other")
+    said = F.when(s == "F", F.concat(F.lit(" "), p, F.lit(" "))).otherwise(F.concat(F.lit("2024 "), p))
+    return table(spark, d, "orders").select("o_orderkey", review.warning_text(F.create_map(key, said, F.lit("date"), F.lit("2024"))).alias("text"))
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS article_verified, count(*) FILTER (o_orderstatus = 'O') AS source_linked, 0::BIGINT AS scope_limited, count(*) FILTER (o_orderstatus = 'P') AS needs_review, count(*) FILTER (o_totalprice < 60000) AS field_check FROM orders")

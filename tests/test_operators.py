@@ -345,8 +345,54 @@ def test_exported_flow_is_read_back(spark):
     selected = spark.createDataFrame([(1, 1, "s:10", "A"), (1, 2, "s:11", "B")], "run int, at int, id string, title string")
     rel = spark.createDataFrame([(1, "s:10", "s:11", "io-chain", "why"), (1, "s:10", "s:99", "io-chain", "lost")], "run int, source string, target string, type string, note string")
     runs = spark.createDataFrame([(1, "question", ["w"]), (2, "", [])], "run int, query string, warnings array<string>")
-    got = {r["run"]: json.loads(r["flow"]) for r in flow.flow_json(selected, rel, runs, "nara", "2024-01-01T00:00:00Z").collect()}
-    nodes, edges = flow.check_flow(got[1], "nara")
+    got = {r["run"]: json.loads(r["flow"]) for r in flow.flow_json(selected, rel, runs, "flow", "2024-01-01T00:00:00Z").collect()}
+    nodes, edges = flow.check_flow(got[1], "flow")
     assert [n["data"]["apiId"] for n in nodes] == ["10", "11"] and [e["id"] for e in edges] == ["rel:io-chain:s:10:s:11"]
     assert nodes[0]["data"]["relationNotes"] == ["why"] and "warnings: w" in nodes[0]["data"]["selectionNote"]
     assert (got[2]["nodes"], got[2]["edges"], got[2]["name"]) == ([], [], "untitled")
+
+
+def test_ten_tables_and_documents_that_only_the_small_file_has(spark, tmp_path):
+    for folder, name, lines in (("catalog", "services", ['{"service_id": "openapi_new:1", "name": "old"}', ""]), ("catalog", "documents", ['{"document_id": "d", "service_id": "openapi_new:1", "title": "t", "body": "b"}'])):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / f"{name}.jsonl").write_text("\n".join(lines))
+    (tmp_path / "minimal.jsonl").write_text("\n".join(json.dumps({"api_id": i, "title": f"t{i}", "text": "x", "provider": "p"}) for i in ("1", "2", "2", None)))
+    schemas = {t: T.StructType([T.StructField(c, T.StringType()) for c in {"services": ("service_id", "name", "provider"), "documents": ("document_id", "service_id", "title", "body")}.get(t, ("service_id",))]) for ts in files.CATALOG_TABLES.values() for t in ts}
+    tables = files.load_catalog(spark, str(tmp_path), schemas, str(tmp_path / "minimal.jsonl"))
+    assert len(tables) == 10 and tables["concepts"].count() == 0
+    assert sorted((r["service_id"], r["name"]) for r in tables["services"].collect()) == [("openapi_new:1", "old"), ("openapi_new:2", "t2")]
+    assert sorted(r["document_id"] for r in tables["documents"].collect()) == ["d", "doc:openapi_new:2:overview"]
+
+
+def test_scan_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("success", "API", 1), ("success", "FILE", 2), ("error", "API", 3), (None, "API", 4)], "status string, kind string, number int")
+    files.write_scan(df, str(tmp_path / "scan"))
+    assert spark.read.json(str(tmp_path / "scan/failures")).count() == 2
+    assert sorted(map(tuple, spark.read.json(str(tmp_path / "scan/numbers")).select("kind", "number").collect())) == [("API", 1), ("FILE", 2)]
+    assert {(r["status"], r["kind"], r["n"]) for r in spark.read.json(str(tmp_path / "scan/summary")).select("status", "kind", "n").collect()} == {("success", "API", 1), ("success", "FILE", 1), ("error", "API", 1), (None, "API", 1)}
+
+
+def test_blocking_runs_down_the_plan(spark):
+    steps = spark.createDataFrame([(c, "failed" if c == "b" else "succeeded") for c in "abcdefgh"], "node string, status string")
+    edges = spark.createDataFrame([("a", "c"), ("b", "c"), ("c", "d"), ("a", "e"), ("f", "g"), ("g", "f"), ("zz", "h")], "src string, dst string")
+    got = {r["node"]: (r["level"], r["state"]) for r in graph.run_order(steps, edges).collect()}
+    assert got == {"a": (0, "succeeded"), "b": (0, "failed"), "c": (1, "blocked"), "d": (2, "blocked"), "e": (1, "succeeded"), "f": (None, "blocked"), "g": (None, "blocked"), "h": (0, "blocked")}
+
+
+def test_every_kind_of_node(spark):
+    docs = spark.createDataFrame([(i, f"air {i}", "env" if i % 2 else "road", "env - air", "air", "", float(i)) for i in range(8)], "apiId int, name string, provider string, category string, keywords string, description string, searchScore double")
+    nodes = [{"id": "s", "type": "apiSearch", "data": {"query": "air", "maxResults": 6}}, {"id": "c", "type": "categoryFilter", "data": {"category": "AIR"}}, {"id": "p", "type": "providerFilter", "data": {"provider": "env"}}, {"id": "t", "type": "scoreFilter", "data": {"topK": 2}}, {"id": "m", "type": "mergeNode"}, {"id": "r", "type": "ragChat"}, {"id": "h", "type": "chatOutput"}, {"id": "v", "type": "saveNode"}, {"id": "x", "type": "exportNode", "data": {"filename": "a b", "format": "csv"}}, {"id": "u", "type": "summaryNode"}]
+    edges = [{"source": a, "target": b} for a, b in ("sc", "cp", "pt", "tm", "mr", "rh", "mv", "mx", "mu")]
+    out = flow.compile_flow(docs, nodes, edges)
+    assert [out[k].status for k in "scptmrhvxu"] == ["success"] * 9 + ["error"]
+    assert out["x"].note == "a_b.csv" and out["p"].docs.count() == 3 and out["t"].docs.count() == 2 and {r["provider"] for r in out["m"].docs.collect()} == {"env"}
+    assert set(flow.compile_flow(docs, nodes, edges, "p")) == {"s", "c", "p"} == flow.upstream("p", edges)
+    stored = flow.serialised([{"id": "s", "type": "apiSearch", "position": {"x": 3, "y": float("nan")}, "data": {"query": "q", "result": [1], "f": print}}], [{"source": "s", "target": "gone"}], "", "f", "2024")
+    assert flow.check_flow(json.loads(json.dumps(stored)), "f") == ([{"id": "s", "type": "apiSearch", "position": {"x": 3.0, "y": 0.0}, "data": {"query": "q"}}], [])
+
+
+def test_prompt_of_a_selection(spark):
+    doc = "named_struct('name', 'A', 'provider', 'p', 'category', 'c', 'keywords', array('k', 'l'), 'description', '', 'fields', transform(sequence(1, 20), i -> named_struct('key', concat('f', i), 'desc', 'd')), 'endpoints', cast(array() as array<struct<method:string,path:string,description:string>>))"
+    p = one(spark, text.analysis_prompt(F.array(F.expr(doc)), F.lit("왜?")))
+    lines = p.split("\n")
+    assert lines[0] == text.PROMPT_HEAD and lines[1] == "사용자 질문: 왜?" and lines[3] == "API 1. A" and "- f12: d" in lines and "- f13: d" not in lines and "- 엔드포인트 정보 없음" in lines and "키워드: k, l" in lines and lines[-1] == text.PROMPT_TAIL[-1]
