@@ -246,7 +246,7 @@ def _both_classes(part: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _area(score: np.ndarray, y: np.ndarray) -> float:
     """The share of pairs of one row of either class that the score orders rightly, ties as halves."""
     good, bad = np.sort(score[y > 0]), score[y <= 0]
-    return float((np.searchsorted(good, bad, "left") + np.searchsorted(good, bad, "right")).mean() / 2 / len(good)) if len(good) and len(bad) else 0.5
+    return 1 - float((np.searchsorted(good, bad, "left") + np.searchsorted(good, bad, "right")).mean() / 2 / len(good)) if len(good) and len(bad) else 0.5
 
 
 def _combined(pair: np.ndarray, y: np.ndarray) -> Linear:
