@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brontide.functions import scalars
-from brontide.sources.stored import written
+from brontide.sources.stored import discard, written
 
 
 def cells(df: DataFrame, columns: list[str], row: Column | None = None) -> DataFrame:
@@ -41,8 +41,9 @@ def _placed(numbers: DataFrame) -> tuple[DataFrame, DataFrame]:
     a column of any size is spread over all tasks; only the ranges' sums are put
     in order in one place.
     """
-    counted = numbers.groupBy("column", "x").agg(F.count("*").alias("c"))
+    counted = written(numbers.groupBy("column", "x").agg(F.count("*").alias("c")))  # dealing in ranges reads it twice
     ranged = written(counted.repartitionByRange("column", "x").withColumn("part", F.spark_partition_id()))
+    discard(counted)
     sums = ranged.groupBy("column", "part").agg(F.sum("c").alias("s"))
     ahead = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("column", "part", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("offset"))
