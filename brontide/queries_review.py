@@ -180,7 +180,7 @@ def law_source_sets(spark, d):
 _NATION_REL = "SELECT 'n' || s_suppkey AS id, s_nationkey AS source, (s_suppkey % 25) AS target, 'trades' AS type FROM supplier"
 
 
-@query(f"SELECT 'rel-' || id AS id, 'node' || source AS source, 'node' || target AS target, type AS label, CASE WHEN source > 12 THEN 'approved' ELSE 'derived' END AS status, source <= 12 AS animated, CASE WHEN source > 12 THEN '#475569' ELSE '#f59e0b' END AS stroke FROM ({_NATION_REL}) WHERE target <> 3")
+@query(f"SELECT 'rel-' || id AS id, 'node' || source AS source, 'node' || target AS target, type AS label, CASE WHEN source > 12 THEN 'approved' ELSE 'derived' END AS status, source <= 12 AS animated, CASE WHEN source > 12 THEN '#475569' ELSE '#f59e0b' END AS stroke FROM ({_NATION_REL}) WHERE target <> 3 AND source <> 3")
 def canvas_edges(spark, d):
     nodes = table(spark, d, "nation").filter("n_nationkey <> 3").select(F.concat(F.lit("node"), F.col("n_nationkey").cast("string")).alias("node"), F.col("n_nationkey").cast("bigint").alias("service"))
     rel = table(spark, d, "supplier").select(F.concat(F.lit("n"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_nationkey").cast("bigint").alias("source"), (F.col("s_suppkey") % 25).alias("target"), F.lit("trades").alias("type"))
