@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brontide.llm import bpe, cotraining, embedding_dedup, html_extraction, licenses, mixing, quality_rules, simhash, toxicity, url_filters
+from brontide.llm import bpe, cotraining, divergence, embedding_dedup, html_extraction, licenses, mixing, quality_rules, sharding, simhash, toxicity, url_filters, vector_codes
 from brontide.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -72,6 +72,20 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.tree(8), sharding.tree(9), carry=False)
+    return dealt.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "region", "rack")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.encode_vectors(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 _OP1 = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
@@ -178,9 +192,90 @@ SELECT h.page_id, host, path, f.rule, coalesce(rv, 'allow') AS verdict FROM h LE
 """
 
 
+def _op11_sql() -> str:
+    """Both trees level by level: the child with the least draw of each node."""
+    number = lambda *parts: "CAST('0x' || substr(md5(" + " || '/' || ".join(parts) + f"), 1, {sharding.BITS // 4}) AS BIGINT)"
+
+    def won(children: dict[str, float]) -> str:
+        draws = ", ".join(f"{{'d': -ln(({number('key', repr(n))}::DOUBLE + 0.5) / {1 << sharding.BITS}) / {w}, 'i': {i}, 'n': {n!r}}}" for i, (n, w) in enumerate(children.items()))
+        return f"list_min([{draws}]).n"
+
+    def level(shards: list, depth: int) -> str:
+        name = lambda s: "/".join([s.region, s.rack, str(s.shard)][: depth + 1])
+        nodes: dict[str, dict[str, float]] = {}
+        for s in shards:
+            node = nodes.setdefault("/".join([s.region, s.rack][:depth]), {})
+            node[name(s)] = node.get(name(s), 0.0) + s.weight
+        if depth == 0:
+            return won(nodes[""])
+        return f"CASE n{depth - 1} " + " ".join(f"WHEN {n!r} THEN {won(c)}" for n, c in nodes.items()) + " END"
+
+    steps = ""
+    for of, shards in (("a", sharding.tree(8)), ("b", sharding.tree(9))):
+        for depth in range(3):
+            under = "d0" if depth == 0 else f"{of}{depth - 1}"
+            steps += f"{of}{depth} AS (SELECT *, {level(shards, depth)} AS n{depth} FROM {under}),\n"
+    return rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, CASE WHEN doc_id IS NULL THEN '' ELSE 'k' || doc_id END AS key,
+                  octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, coalesce(text, '') AS t FROM documents),
+t AS (SELECT list(CASE WHEN c & 255 = k THEN v END ORDER BY k) AS crc FROM (SELECT k, k AS c, list_reduce(list_prepend(k::BIGINT, range(8)), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) AS r(k))),
+h AS (SELECT d.*, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda b: (instr('0123456789ABCDEF', b[1]) * 16 + instr('0123456789ABCDEF', b[2]) - 17)::BIGINT) AS bytes FROM d),
+d0 AS (SELECT doc_id, rid, key, size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32 FROM h, t),{steps}
+f AS (SELECT a2.*, b2.n2 AS grown FROM a2 JOIN b2 USING (rid))
+SELECT doc_id, size, text_crc32, 'key' AS law, split_part(n2, '/', 3)::INTEGER AS shard, split_part(grown, '/', 3)::INTEGER AS grown_shard, n0 AS region, n1 AS rack,
+       row_number() OVER (PARTITION BY n2 ORDER BY {number('key', 'size', 'text_crc32')}, key, size, text_crc32) - 1 AS slot FROM f
+"""
+
+
+_OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT rid) >= 3),
+v AS (SELECT lang, count(*)::HUGEINT AS kept FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+ns AS (SELECT lang, source, sum(n) AS words FROM c GROUP BY ALL),
+nl AS (SELECT lang, sum(n) AS words FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (coalesce(words, 0) + kept) AS p
+      FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN ns USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 1)) // (any_value(words) + any_value(kept)) AS q FROM c JOIN nl USING (lang) JOIN v USING (lang) GROUP BY lang, term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+found AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM found))
+SELECT * FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def _op13_sql() -> str:
+    assign = lambda k: f"""
+a{k} AS (SELECT rid, part, x, e.entry, d FROM (
+           SELECT rid, part, x, b.entry, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - b.c[i]) * (x[i] - b.c[i])))::BIGINT AS d,
+                  row_number() OVER (PARTITION BY rid, part ORDER BY d, b.entry) AS r FROM parts JOIN b{k} b USING (part)) e WHERE r = 1),"""
+    update = lambda k: f"""
+s{k} AS (SELECT part, entry, list(c ORDER BY i) AS c FROM (
+           SELECT part, entry, i, floor(sum(x[i])::DECIMAL(38, 0) / count(*))::BIGINT AS c FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM a{k}) GROUP BY part, entry, i) GROUP BY part, entry),
+b{k + 1} AS (SELECT b.part, b.entry, coalesce(s.c, b.c) AS c FROM b{k} b LEFT JOIN s{k} s USING (part, entry)),"""
+    return f"""
+WITH kept AS (SELECT vec_id, label, row_number() OVER () AS rid, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT rid, unnest(range(0, {vector_codes.PARTS})) AS part, v[part * len(v) // {vector_codes.PARTS} + 1:(part + 1) * len(v) // {vector_codes.PARTS}] AS x FROM kept),
+first AS (SELECT rid, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS entry FROM kept QUALIFY entry < {vector_codes.ENTRIES}),
+b0 AS (SELECT part, entry, x AS c FROM parts JOIN first USING (rid)),
+{assign(0)}{update(0)}{assign(1)}{update(1)}{assign(2)}
+coded AS (SELECT rid, string_agg(lower(lpad(hex(entry), 2, '0')), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY rid),
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2),
+f AS (SELECT vec_id, label, code, error FROM kept JOIN coded USING (rid)),
+l AS (SELECT label, sum(error)::BIGINT AS label_error FROM f GROUP BY label)
+SELECT vec_id, code, error, label_error, codebooks_sha256 FROM f JOIN l ON f.label IS NOT DISTINCT FROM l.label CROSS JOIN digest
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _op1_sql(), "op4_mixing": _op4_sql(), "op5_embedding_dedup": _OP5, "op8_url_filters": _op8_sql()}
+    return {"op1_quality_rules": _op1_sql(), "op4_mixing": _op4_sql(), "op5_embedding_dedup": _OP5, "op8_url_filters": _op8_sql(), "op11_sharding": _op11_sql(), "op12_divergence": _OP12, "op13_vector_codes": _op13_sql()}
