@@ -43,6 +43,8 @@ _MATH = "math annotation annotation-xml maction menclose merror mfenced mfrac mg
 #: Elements that hide their content only where they have an end tag.
 HIDES = frozenset("svg object annotation annotation-xml mphantom".split())
 INLINE = frozenset(f"a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr {_MATH}".split())
+#: Elements that may stand in a line too; they and what they hide or show end no block.
+PHRASING = INLINE | frozenset("area audio button canvas datalist embed iframe input link map meta meter noscript object optgroup option output param picture progress script select slot source style svg template textarea track video".split())
 #: Elements that may stand in head; another one, or text, ends it.
 IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 #: Which open elements an opening tag closes, and where the search for one ends.
@@ -197,25 +199,29 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag not in INLINE:
-                flush()
+            to = None
             for k in range(len(stack) - 1, -1, -1) if held[tag] > 0 else ():
                 if stack[k][0] == tag:
-                    pop(k)
+                    to = k
                     break
                 if tag in INLINE and stack[k][0] not in INLINE:
                     break
+            # What ends inside a hidden element ends no block.
+            if tag not in PHRASING and (not silent or (to is not None and silent == sum(x in NO_TEXT for x, *_ in stack[to:]))):
+                flush()
+            if to is not None:
+                pop(to)
             continue
         if held["head"] > 0 and tag not in IN_HEAD:
             pop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "head"))
-        if tag not in INLINE:
+        if tag not in PHRASING and not silent:
             flush()
         if tag in _CLOSES_P:
             for k in range(len(stack) - 1, -1, -1) if held["p"] > 0 else ():
                 if stack[k][0] == "p":
                     pop(k)
                     break
-                if stack[k][0] in _P_SCOPE:
+                if stack[k][0] in _P_SCOPE or stack[k][0] in NO_TEXT:
                     break
         if tag in CLOSES:
             ends, scope = CLOSES[tag]
@@ -238,7 +244,7 @@ def blocks(page: str) -> list[Block]:
             if m.start() not in ended:
                 continue
         _, step, depth = stack[-1] if stack else ("", None, 0)
-        stack.append((tag, step, depth) if tag in INLINE else (tag, Step(step, _names(tag, m[3])), depth + 1))
+        stack.append((tag, step, depth) if tag in PHRASING else (tag, Step(step, _names(tag, m[3])), depth + 1))
         held[tag] += 1
         silent += tag in NO_TEXT
         anchors += tag == "a"
@@ -427,7 +433,7 @@ class Layouts:
     END = ("footer", "footer", 'div class="footer"', 'div id="footer"', 'div class="copyright"', 'footer class="site-footer"')
     SIDE = ("aside", 'div class="sidebar"', 'div id="sidebar"', 'aside class="widget"', 'div class="related"', 'div class="recommended"', 'section class="popular"')
     NOTE = ('div class="cookie-notice"', 'div class="cookies"', 'div id="consent"', 'div class="banner"', 'div class="notice"', 'div class="popup"', 'div class="newsletter"', 'div class="alert"', 'div role="dialog"', 'div class="gdpr"', 'div class="subscribe"')
-    AD = ('div class="ad"', 'div class="ads"', 'div class="advert"', 'div class="advertisement"', 'div class="sponsored"', 'div class="promo"', 'aside class="ad"', 'p class="ad"')
+    AD = ('div class="ad"', 'div class="ads"', 'div class="advert"', 'div class="advertisement"', 'div class="sponsored"', 'div class="promo"', 'aside class="ad"', 'p class="ad"', 'div class="ad-slot"', 'div class="ad-container"', 'div class="ad-unit"')
     FORM = ("form", 'form class="search"', 'div class="login"', 'form id="signup"')
     TALK = ('section class="comments"', 'div class="comments"', 'div id="comments"', 'ul class="comment-list"', 'ol class="commentlist"', 'div class="comment"', 'section id="respond"', 'div class="replies"', 'div class="discussion"')
     SHARE = ('div class="share"', 'div class="social"', 'ul class="tags"', 'div class="pagination"')

@@ -405,6 +405,100 @@ def test_main_text_of_odd_pages(spark):
 HEADS = ["<!doctype html><html><head><meta charset=utf-8><title>T</title>{}<body>", "<html><head><title>T</title><link rel=x>{}", "<html><head><script>var a = '<p>';</script></head>{}<body>", "<head><title>T</title><head>{}<body class=x>"]
 
 
+LINE = {
+    "svg": "<svg viewBox='0 0 1 1'><title>t</title><path d='M0'/></svg>",
+    "picture": "<picture><source srcset=a><img src=b></picture>",
+    "input": "<input type=text>",
+    "script": "<script>var x = '<p>';</script>",
+    "output": "<output></output>",
+    "meter": "<meter value=1></meter>",
+    "progress": "<progress value=1></progress>",
+    "button": "<button type=button></button>",
+    "object": "<object data=x><p>no</p><div>no</div></object>",
+    "noscript": "<noscript><p>no</p></noscript>",
+    "video": "<video src=x><p>no</p><track src=y></video>",
+    "audio": "<audio src=x>no</audio>",
+    "canvas": "<canvas><div>no</div></canvas>",
+    "template": "<template><p>no</p></template>",
+    "select": "<select><option>no<option>no</select>",
+    "iframe": "<iframe src=x>no</iframe>",
+    "style": "<style>p { color: red }</style>",
+    "map": "<map name=m><area href=x></map>",
+    "embed": "<embed src=x>",
+    "link": "<link rel=x href=y>",
+    "textarea": "<textarea>no</textarea>",
+    "datalist": "<datalist><option value=no>no</datalist>",
+}
+
+
+@pytest.mark.parametrize("tag", LINE)
+def test_phrasing_elements_end_no_block(tag):
+    texts = lambda page: [b.text for b in html_extraction.blocks(page)]
+    assert texts(f"<div><p>See {LINE[tag]}here <b>now</b>.</p><p>Next</p></div>") == ["See here now.", "Next"]
+    assert texts(f"<p>One{LINE[tag]}two.</p><ul><li>a{LINE[tag]}b</ul>") in (["Onetwo.", "ab"], ["One two.", "a b"])
+
+
+def test_unclosed_hidden_elements_leave_the_next_block_alone():
+    texts = lambda page: [b.text for b in html_extraction.blocks(page)]
+    assert texts("<div>text <video src=x></div><div>next</div>") == ["text", "next"]
+    assert texts("<p>a <button>Share</button> b<p>c <output>5</output> d") == ["a Share b", "c 5 d"]
+
+
+OTHER_LAYOUTS = [
+    (
+        "<html><body><div id=wrap><div class='top-bar menu'><a href=/>Home</a> <a href=/n>News</a> <a href=/s>Sport</a></div><div class='content-body post'><h1>{title}</h1>"
+        "<p>{a} <svg><path d=M0 /></svg>{b}</p><div class='ad-slot'>Advertisement</div><p>{c}</p></div><div class=sidebar><h4>Most read</h4><ul><li><a href=1>{side}</a></ul></div>"
+        "<div class='comments'><div class=comment><p>Nice one, thanks.</p></div></div><div class='footer copyright'>Copyright 2024. All rights reserved. <a href=p>Privacy</a></div></div></body></html>"
+    ),
+    (
+        "<!doctype html><title>x</title><header><nav><ul><li><a href=/>Start</a><li><a href=/a>About us</a></ul></nav></header><main><section class='story'><h2>{title}</h2><p>{a} <picture><img src=x></picture>{b}"
+        "<p>{c}</section><aside class=related><h3>Related</h3><a href=z>{side}</a></aside></main><div class=cookie-banner>We use cookies. <button>Accept</button></div>"
+        "<form><label>Search</label><input name=q></form><footer><p>Contact <a href=c>Imprint</a></p></footer>"
+    ),
+]
+
+
+@pytest.mark.parametrize("layout", range(2))
+def test_articles_of_other_layouts(layout):
+    """Pages laid out unlike the fixture's and with icons inside their paragraphs; the articles are known."""
+    words = "river stone market people council bridge winter story plan water city garden".split()
+    r = random.Random(layout)
+    said = lambda n: " ".join(r.choices(words, k=n)).capitalize() + "."
+    found = 0
+    for _ in range(40):
+        parts = {"title": said(5)[:-1], "a": said(25), "b": said(20), "c": said(40), "side": said(4)}
+        text = html_extraction.main_texts([OTHER_LAYOUTS[layout].format(**parts)], html_extraction.trained_labeller())[0]
+        found += f"{parts['a']} {parts['b']}\n\n{parts['c']}" in text and "cookies" not in text and "Copyright" not in text and "About us" not in text
+    assert found >= 36
+
+
+def plain_logits(m, x):
+    """The labeller's scores of one page, gate by gate and block by block."""
+    h_ = html_extraction.HIDDEN
+    sides = {}
+    for side, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+        h, c, out = [0.0] * h_, [0.0] * h_, {}
+        for t in order:
+            z = [float(m.p["c" + side][j] + sum(x[t][k] * m.p["x" + side][k, j] for k in range(len(x[t]))) + sum(h[k] * m.p["h" + side][k, j] for k in range(h_))) for j in range(4 * h_)]
+            gate = lambda j: 1 / (1 + math.exp(-z[j]))  # noqa: E731, B023
+            c = [gate(h_ + j) * c[j] + gate(j) * math.tanh(z[3 * h_ + j]) for j in range(h_)]
+            h = [gate(2 * h_ + j) * math.tanh(c[j]) for j in range(h_)]
+            out[t] = h
+        sides[side] = out
+    return [float(m.p["bias"][0] + sum(a * b for a, b in zip([*sides["f"][t], *sides["b"][t], *map(float, x[t])], m.p["out"], strict=True))) for t in range(len(x))]
+
+
+def test_labeller_is_a_plain_recurrence():
+    """The forward pass of pages of several lengths in one batch against loops over single numbers."""
+    m = html_extraction.trained_labeller()
+    sources = ["<nav><a href=x>Home</a></nav><article><p>Some words of a text.<p>More of it</article><footer>End</footer>", "<p>One", "<div class=ad>Buy</div><main><h1>T</h1><p>" + "long " * 80 + "</main>"]
+    x, mask, _ = m.inputs([html_extraction.page_features(html_extraction.blocks(s)) for s in sources])
+    z = m.logits(x, mask)
+    for k in range(len(sources)):
+        n = int(mask[:, k].sum())
+        assert np.allclose(z[:n, k], plain_logits(m, x[:n, k].tolist()), atol=1e-3)
+
+
 @pytest.mark.parametrize("head", HEADS)
 def test_head_ends_without_its_end_tag(head):
     page = head.format("") + "<article><h1>Name</h1><p>One two three four five.</p></article></body></html>"
