@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -55,7 +55,7 @@ def bm25_all(docs: DataFrame, queries: dict[str, str], weights: dict[str, int],
     mean length and how many have each token are observed on the way, so the
     texts are neither read again nor shuffled.
     """
-    asked = {name: _query_tokens(docs, q) for name, q in queries.items()}
+    asked = {name: query_tokens(docs.sparkSession, q) for name, q in queries.items()}
     terms = list(dict.fromkeys(t for ts in asked.values() for t in ts))
     if not terms:
         none = docs.select(id, F.lit(0.0).alias("score")).limit(0)
@@ -90,9 +90,9 @@ def bm25_all(docs: DataFrame, queries: dict[str, str], weights: dict[str, int],
     return {name: best(ts) for name, ts in asked.items()}
 
 
-def _query_tokens(docs: DataFrame, query: str) -> list[str]:
+def query_tokens(spark: SparkSession, query: str) -> list[str]:
     """The distinct tokens of a query, in order: the text is the caller's, so this is one literal row."""
-    return list(dict.fromkeys(docs.sparkSession.range(1).select(tokenize(F.lit(query))).first()[0]))
+    return list(dict.fromkeys(spark.range(1).select(tokenize(F.lit(query))).first()[0]))
 
 
 #: Queries of one block: a bound on what is held and broadcast at a time.

@@ -1,11 +1,14 @@
 """Search and profile queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from brontide.functions import scalars, text
-from brontide.operators import profile, search
+from brontide.operators import index, profile, search
 from brontide.plans import flow
 from brontide.registry_of_queries import query, table, values
+from brontide.sources.stored import shared_folder
 
 _BM25 = """
 WITH t AS ({docs}), q AS (SELECT unnest([{terms}]) AS q),
@@ -88,6 +91,40 @@ def vector_topk(spark, d):
     return _hits(spark, d, 20).withColumn("similarity", F.round("similarity", 4))
 
 
+def _stored(spark, kind, d, build):
+    """The path of an index over a folder's table; one is built for each session and folder."""
+    key = (spark.sparkContext.applicationId, kind, d)
+    if key not in _BUILT:
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        build(path)
+        _BUILT[key] = path
+    return _BUILT[key]
+
+
+_BUILT: dict[tuple, str] = {}
+
+
+def _lexical(spark, d):
+    docs = table(spark, d, "documents")
+    return index.Lexical(spark, _stored(spark, "lexical", d, lambda path: index.build_lexical(docs, path, "doc_id", {"text": 1})))
+
+
+def _vectors(spark, d):
+    e = table(spark, d, "embeddings")
+    return index.Vectors(spark, _stored(spark, "vectors", d, lambda path: index.build_vectors(e, path, "vec_id", "embedding")))
+
+
+@query(_VEC_SQL + " SELECT intent, vec_id, round(sim, 4) AS similarity, rank::INT AS rank FROM r WHERE rank <= 20")
+def indexed_vectors(spark, d):
+    q = table(spark, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("intent"), F.col("embedding").alias("query"))
+    return _vectors(spark, d).topk(q, 20, "vec_id").withColumn("similarity", F.round("similarity", 4))
+
+
+@query(_bm25_sql(["ering", "thst", "anea"], 20))
+def indexed_bm25(spark, d):
+    return _lexical(spark, d).bm25({"one": "ering thst anea"}, 20)["one"]
+
+
 @query(_VEC_SQL + """ SELECT label, round(max(sim), 4) AS score, array_to_string(list_sort(list(DISTINCT intent)), ',') AS intents FROM r WHERE rank <= 120 AND sim >= 0.15 GROUP BY label ORDER BY max(sim) DESC, label LIMIT 5""")
 def vector_best_per_label(spark, d):
     labels = table(spark, d, "embeddings").select("vec_id", "label")
