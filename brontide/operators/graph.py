@@ -2,214 +2,188 @@
 
 Each round of a fixpoint is written to the shared folder and read back, so
 neither lineage nor the loss of an executor grows with the rounds; the driver
-sees only counts.
+sees only counts.  Fixpoints that settle nodes for good append what a round
+settles to a log, so that all rounds together write no more than the graph has
+nodes and edges.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brontide.sources.stored import discard, written
+from brontide.sources.stored import Log, discard, written
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
 
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """(node): what is reached from any start."""
+    """(node): what is reached from any start.  A round joins the nodes that the last one found."""
     edges = written(edges.select("src", "dst").distinct())
-    seen = front = written(starts.select("node").distinct())
+    seen = Log(edges.sparkSession, f"node {_kind(starts, 'node')}")
+    front = seen.append(starts.select("node").distinct())
     while not front.isEmpty():
         new = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        front = written(new.join(seen, "node", "left_anti"))
-        seen = written(seen.unionByName(front))
-    return seen
-
-
-#: Edges of a graph that one task takes on; beyond it every round is spread over the cluster.
-SMALL = 200_000
-
-
-def _components_of(near: dict) -> dict:
-    """The least node of each node's strong component: one depth-first search, without recursion."""
-    number, low, out, path, on = {}, {}, {}, [], set()
-    for root in near:
-        if root in number:
-            continue
-        todo = [(root, iter(near[root]))]
-        number[root] = low[root] = len(number)
-        path.append(root)
-        on.add(root)
-        while todo:
-            node, rest = todo[-1]
-            step = next(rest, None)
-            if step is None:
-                todo.pop()
-                if todo:
-                    low[todo[-1][0]] = min(low[todo[-1][0]], low[node])
-                if low[node] == number[node]:
-                    members = [path.pop()]
-                    while members[-1] != node:
-                        members.append(path.pop())
-                    on.difference_update(members)
-                    out.update(dict.fromkeys(members, min(members)))
-            elif step not in number:
-                number[step] = low[step] = len(number)
-                path.append(step)
-                on.add(step)
-                todo.append((step, iter(near[step])))
-            elif step in on:
-                low[node] = min(low[node], number[step])
-    return out
-
-
-def _cycle_through(start, near: dict, component: dict) -> list:
-    """A shortest cycle through start within its component, the least of several: breadth first, neighbours in order."""
-    before, front = {start: None}, [start]
-    while front:
-        for node in front:
-            if start in near[node]:
-                path = []
-                while node is not None:
-                    path.append(node)
-                    node = before[node]
-                return path[::-1]
-        new = []
-        for node in front:
-            for step in sorted(near[node]):
-                if step not in before and component[step] == start:
-                    before[step] = node
-                    new.append(step)
-        front = new
-    return []
-
-
-def _one_task(edges: DataFrame, rows_of, schema: str) -> DataFrame:
-    """rows_of(neighbours of each node), worked out from all edges in one task: for graphs of a checked size."""
-    def run(batches):
-        near: dict = {}
-        node_t = pa.int64()
-        for b in batches:
-            node_t = b.column(0).type
-            for s, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                near.setdefault(s, set()).add(d)
-                near.setdefault(d, set())
-        columns = list(zip(*rows_of(near), strict=True))
-        if columns:
-            kinds = {"node_t": node_t, "bigint": pa.int64(), "array<node_t>": pa.list_(node_t)}
-            fields = [f.split() for f in schema.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
-
-    kind = edges.schema["src"].dataType.simpleString()
-    return edges.select("src", "dst").coalesce(1).mapInArrow(run, schema.replace("node_t", kind))
-
-
-def strong_components(edges: DataFrame, trims: int = 3, small: int = SMALL) -> DataFrame:
+        front = seen.append(new.join(seen.rows().select("node"), "node", "left_anti"))
+    discard(edges)
+    return seen.rows().select("node")
+
+
+def strong_components(edges: DataFrame, rounds: list[int] | None = None) -> DataFrame:
     """(node, component, size): nodes that reach each other; the component is named by its least node.
 
-    A graph of at most `small` edges, which is checked, is searched in one task;
-    a larger one by forward-backward colouring.  There, nodes without an edge in or out are components of
-    their own and are trimmed off.  Each other node takes the least node that reaches it as its
-    colour; the nodes of a colour that reach the colour's own node are that
-    node's component.  These leave, and so do edges between colours; what is
-    left is coloured again.  Every round touches each edge once, so no set of
-    pairs of nodes is ever made.
+    Every node takes as its colours the least node, in an order drawn anew each
+    time, that reaches it and the least that it reaches.  Where both are the same,
+    that is the component's; other nodes stay with those of their own two colours,
+    edges between colours go, and what is left is coloured again.  A random order
+    splits even a long path in two again and again, so that takes a logarithm of
+    repeats.
+
+    Colours spread along edges and along pointers: each node points to the
+    neighbour with the best colour, and pointers are doubled until no colour
+    moves, so a ring or chain of n nodes takes log2(n) rounds.  Both directions go
+    in the same jobs.  Each round touches an edge once; no set of pairs is made.
+    rounds: gets the number of rounds that were written.
     """
     edges = written(edges.select("src", "dst").distinct())
-    if edges.count() <= small:
-        def sized(near):
-            of = _components_of(near)
-            n = Counter(of.values())
-            return [(node, c, n[c]) for node, c in of.items()]
-
-        return _one_task(edges, sized, "node node_t, component node_t, size bigint")
     nodes = written(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
-    left = written(edges.select("src", "dst").filter("src <> dst").distinct())
+    left = written(edges.filter("src <> dst"))
+    discard(edges)
     found: list[DataFrame] = []
-    while True:
-        size = left.count()
-        for _ in range(trims):
-            both = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-            last, left = left, written(both.select("src", "dst"))
-            discard(last)
-            before, size = size, left.count()
-            if size in (0, before):
-                break
-        if not size:
-            break
-        colour = _least_ancestor(left)
-        inner = written(_coloured(left, colour))
-        front = seen = written(colour.filter("node = colour").select("node", "colour"))
-        while not front.isEmpty():
-            new = inner.join(front.select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
-            front = written(new.join(seen, ["node", "colour"], "left_anti"))
-            last, seen = seen, written(seen.unionByName(front))
-            discard(last)
-        found.append(seen)
-        gone = seen.select("node")
-        rest = inner.select("src", "dst").join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti")
-        last, left = left, written(rest.select("src", "dst"))
+    turn = done = 0
+    while not left.isEmpty():
+        # A node without an edge in or out is a component of its own.
+        both = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        last, left = left, written(both.select("src", "dst"))
         discard(last)
-    named = reduce(DataFrame.unionByName, found) if found else nodes.select("node", F.col("node").alias("colour")).limit(0)
-    every = nodes.join(named, "node", "left").select("node", F.coalesce("colour", "node").alias("component"))
-    sizes = every.groupBy("component").agg(F.count("*").alias("size"))
-    return every.join(sizes, "component").select("node", "component", "size")
-
-
-def _least_ancestor(edges: DataFrame) -> DataFrame:
-    """(node, colour): the least node that reaches each node, itself included."""
-    colour = written(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")))
+        if left.isEmpty():
+            break
+        colours, n = _colours(left, turn)
+        done += n + 1
+        turn += 1
+        same = written(colours.filter("ahead = back").select("node", F.col("ahead").alias("root")))
+        found.append(same)
+        open_ = colours.filter("ahead <> back")
+        end = lambda name: open_.select(F.col("node").alias(name), F.struct("ahead", "back").alias(f"{name}_c"))  # noqa: E731, B023
+        rest = left.join(end("src"), "src").join(end("dst"), "dst").filter("src_c = dst_c").select("src", "dst")
+        last, left = left, written(rest)
+        discard(last, colours)
+    if rounds is not None:
+        rounds.append(done)
+    named = reduce(DataFrame.unionByName, found) if found else nodes.select("node", F.col("node").alias("root")).limit(0)
+    every = nodes.join(named, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    sizes = every.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("size"))
+    return every.join(sizes, "root").select("node", "component", "size")
+
+
+def _colours(edges: DataFrame, turn: int) -> tuple[DataFrame, int]:
+    """(node, ahead, back): the least node that each reaches, and that reaches it; and how many rounds that took.
+
+    The order is drawn by turn.  A phase sets each node's pointer to the neighbour
+    with the least colour and doubles pointers until no colour moves: a node then
+    has the least colour on its pointer's path.  Phases go on until no edge moves
+    a colour.
+    """
+    both = written(edges.select(F.lit(0).alias("way"), F.col("src").alias("of"), F.col("dst").alias("to")).unionByName(edges.select(F.lit(1).alias("way"), F.col("dst").alias("of"), F.col("src").alias("to"))))
+    colour = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("n"))
+    state = written(both.select("way", F.col("of").alias("node")).distinct().select("way", "node", colour.alias("c")))
+    rounds = 0
     while True:
-        seen = edges.join(colour.select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("least"))
-        new = written(colour.join(seen, "node", "left").select("node", F.least("colour", F.coalesce("least", "colour")).alias("colour"), (F.col("least") < F.col("colour")).alias("moved")))
-        last, colour = colour, new.select("node", "colour")
+        near = both.join(state.select("way", F.col("node").alias("to"), "c"), ["way", "to"]).groupBy("way", F.col("of").alias("node")).agg(F.min(F.struct("c", "to")).alias("best"))
+        step = state.join(near, ["way", "node"], "left").select("way", "node", F.least("c", F.coalesce("best.c", "c")).alias("c"), F.coalesce("best.to", "node").alias("at"), F.coalesce(F.col("best.c") < F.col("c"), F.lit(False)).alias("moved"))
+        last, state = state, written(step)
         discard(last)
-        if new.filter("moved").isEmpty():
-            return colour
-
-
-def _coloured(edges: DataFrame, colour: DataFrame) -> DataFrame:
-    """(src, dst, colour): edges with both ends of one colour."""
-    a, b = (colour.select(F.col("node").alias(end), F.col("colour").alias(f"{end}_colour")) for end in ("src", "dst"))
-    return edges.join(a, "src").join(b, "dst").filter("src_colour = dst_colour").select("src", "dst", F.col("src_colour").alias("colour"))
+        rounds += 1
+        if state.filter("moved").isEmpty():
+            break
+        moving = True
+        while moving:
+            there = state.select("way", F.col("node").alias("at"), F.col("c").alias("far"), F.col("at").alias("next"))
+            jump = state.select("way", "node", "c", "at").join(there, ["way", "at"]).select("way", "node", F.least("c", "far").alias("c"), F.col("next").alias("at"), (F.col("far") < F.col("c")).alias("moved"))
+            last, state = state, written(jump)
+            discard(last)
+            rounds += 1
+            moving = not state.filter("moved").isEmpty()
+    way = lambda n, name: state.filter(F.col("way") == n).select("node", F.col("c.n").alias(name))
+    out = written(way(0, "ahead").join(way(1, "back"), "node", "full").select("node", F.coalesce("ahead", "node").alias("ahead"), F.coalesce("back", "node").alias("back")))
+    discard(both, state)
+    return out, rounds
 
 
-def cycles(edges: DataFrame, small: int = SMALL) -> DataFrame:
+def cycles(edges: DataFrame, rounds: list[int] | None = None) -> DataFrame:
     """(component, size, path): of each set of nodes that reach each other, a shortest cycle through its least node.
 
     A node with an edge to itself is a cycle of one.  Of several shortest cycles
-    the one whose node sequence is least is given.  A graph of at most `small`
-    edges, which is checked, is searched in one task.  Beyond, paths grow by one
-    edge a round, one path per node: the driver sees only whether any is left.
+    the one whose node sequence is least is given.  Chains of nodes with one edge
+    in and one out become one edge first, by doubled pointers; then paths grow
+    from the least node, an edge of what is left a round, only where they got
+    shorter.  rounds: gets the number of rounds that were written.
     """
     edges = written(edges.select("src", "dst").distinct())
-    if edges.count() <= small:
-        def found(near):
-            of = _components_of(near)
-            n = Counter(of.values())
-            return [(c, n[c], _cycle_through(c, near, of)) for c in sorted(n) if n[c] > 1 or c in near[c]]
-
-        return _one_task(edges, found, "component node_t, size bigint, path array<node_t>")
-    parts = written(strong_components(edges, small=small))
+    parts = written(strong_components(edges, rounds))
     loops = edges.filter("src = dst").select(F.col("src").alias("component")).distinct()
-    cyclic = parts.filter("size > 1 and node = component").select("component", "size")
-    sizes = cyclic.unionByName(loops.join(parts.filter("size = 1").select("component", "size"), "component"))
-    done = [loops.join(sizes, "component").select("component", F.array("component").alias("path"))]
-    inner = written(_coloured(edges.filter("src <> dst"), parts.select("node", F.col("component").alias("colour"))))
-    front = cyclic.join(loops, "component", "left_anti").select("component", F.col("component").alias("node"), F.array("component").alias("path"))
-    front = seen = written(front)
+    sizes = written(parts.filter("node = component").join(loops.withColumn("loop", F.lit(True)), "component", "left").filter("size > 1 or loop").select("component", "size", F.coalesce("loop", F.lit(False)).alias("loop")))
+    end = lambda name: parts.select(F.col("node").alias(name), F.col("component").alias(f"{name}_of"))
+    inner = edges.filter("src <> dst").join(end("src"), "src").join(end("dst"), "dst").filter("src_of = dst_of")
+    sought = written(sizes.filter("size > 1 and not loop").select("component"))
+    inner = written(inner.select(F.col("src_of").alias("component"), "src", "dst").join(sought, "component", "left_semi"))
+    short, done = _without_chains(inner)
+    kind = _kind(edges, "src")
+    held = Log(edges.sparkSession, f"component {kind}, node {kind}, best struct<len:int,path:array<{kind}>>")
+    front = held.append(sought.select("component", F.col("component").alias("node"), F.struct(F.lit(0).alias("len"), F.array("component").alias("path")).alias("best")))
     while not front.isEmpty():
-        step = inner.join(front.select(F.col("node").alias("src"), F.col("component").alias("colour"), "path"), ["src", "colour"])
-        closed = written(step.filter("dst = colour").groupBy(F.col("colour").alias("component")).agg(F.min("path").alias("path")))
-        done.append(closed)
-        on = step.groupBy(F.col("colour").alias("component"), F.col("dst").alias("node")).agg(F.min("path").alias("path"))
-        new = on.join(closed, "component", "left_anti").join(seen.select("component", "node"), ["component", "node"], "left_anti")
-        front = written(new.select("component", "node", F.concat("path", F.array("node")).alias("path")))
-        seen = written(seen.select("component", "node", "path").join(closed, "component", "left_anti").unionByName(front))
-    return reduce(DataFrame.unionByName, done).join(sizes, "component").select("component", "size", "path")
+        path = F.concat("best.path", "via")
+        there = F.when(F.col("dst") == F.col("component"), path).otherwise(F.concat(path, F.array("dst")))
+        step = short.join(front.select("component", F.col("node").alias("src"), "best"), ["component", "src"])
+        met = step.groupBy("component", F.col("dst").alias("node")).agg(F.min(F.struct((F.col("best.len") + F.col("steps")).cast("int").alias("len"), there.alias("path"))).alias("best"))
+        # The start counts as reached when a path comes back to it, not at length 0.
+        known = held.rows().filter("best.len > 0").groupBy("component", "node").agg(F.min("best").alias("known"))
+        closed = known.filter("node = component").select("component", F.col("known.len").alias("most"))
+        better = met.join(known, ["component", "node"], "left").join(closed, "component", "left")
+        better = better.filter("known is null or best < known").filter("most is null or best.len < most or (node = component and best.len <= most)")
+        new = held.append(better.select("component", "node", "best"))
+        done += 1
+        front = new.filter("node <> component")
+    if rounds is not None:
+        rounds.append(done)
+    best = held.rows().filter("node = component and best.len > 0").groupBy("component").agg(F.min("best").alias("best")).select("component", F.col("best.path").alias("path"))
+    every = best.unionByName(sizes.filter("loop").select("component", F.array("component").alias("path")))
+    return every.join(sizes.select("component", "size"), "component").select("component", "size", "path")
+
+
+def _without_chains(inner: DataFrame) -> tuple[DataFrame, int]:
+    """(component, src, dst, via, steps) and the number of rounds: edges (component, src, dst) with chains of nodes in between as one edge.
+
+    A chain's nodes have one edge in and one out and are not the component's name.
+    Of several edges between two nodes the shortest stays, of equal ones the least.
+    """
+    ins = inner.groupBy("component", F.col("dst").alias("node")).agg(F.count("*").alias("n_in"), F.min("src").alias("before"))
+    outs = inner.groupBy("component", F.col("src").alias("node")).agg(F.count("*").alias("n_out"), F.min("dst").alias("after"))
+    single = written(ins.join(outs, ["component", "node"]).filter("n_in = 1 and n_out = 1 and node <> component").select("component", "node", "before", "after"))
+    mark = single.select("component", F.col("node").alias("after"), F.lit(1).alias("on"))
+    start = single.join(mark, ["component", "after"], "left").select("component", "node", F.when(F.col("on") == 1, F.col("after")).otherwise(F.col("node")).alias("last"), F.coalesce("on", F.lit(0)).cast("bigint").alias("far"))
+    state, rounds = written(start), 0
+    while True:
+        there = state.select("component", F.col("node").alias("last"), F.col("last").alias("next"), F.col("far").alias("more"))
+        jump = state.join(there, ["component", "last"]).select("component", "node", F.col("next").alias("last"), (F.col("far") + F.col("more")).alias("far"), (F.col("more") > 0).alias("moved"))
+        old, state = state, written(jump)
+        discard(old)
+        rounds += 1
+        if state.filter("moved").isEmpty():
+            break
+    # A chain is as long as the path that it stands for.
+    chains = state.join(single, ["component", "node"]).groupBy("component", "last").agg(F.sort_array(F.collect_list(F.struct((-F.col("far")).alias("far"), "node", "before", "after"))).alias("c"))
+    joined = chains.select("component", F.get("c", 0)["before"].alias("src"), F.element_at("c", -1)["after"].alias("dst"), F.transform("c", lambda x: x["node"]).alias("via"))
+    ends = single.select("component", "node")
+    plain = inner.join(ends.withColumnRenamed("node", "src"), ["component", "src"], "left_anti").join(ends.withColumnRenamed("node", "dst"), ["component", "dst"], "left_anti")
+    every = joined.unionByName(plain.select("component", "src", "dst", F.array().cast(joined.schema["via"].dataType).alias("via")))
+    least = every.groupBy("component", "src", "dst").agg(F.min(F.struct((F.size("via") + 1).alias("steps"), "via")).alias("e"))
+    return written(least.select("component", "src", "dst", "e.via", "e.steps")), rounds
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -233,34 +207,53 @@ def connected(edges: DataFrame) -> DataFrame:
 def grounded(nodes: DataFrame, attacks: DataFrame) -> DataFrame:
     """(node, label): accepted if every attacker is rejected, rejected if one is accepted, else undecided.
 
-    attacks: (src, dst).  Attackers that are no nodes are never rejected.
+    attacks: (src, dst).  Attackers that are no nodes are never rejected.  A node
+    waits for as many attackers as it has.  A round takes the nodes that were just
+    accepted, rejects those that they attack, and takes these off the count of the
+    nodes that they attack in turn; who waits for none is accepted next.  Each
+    attack is counted once in all, and only what a round settles is written.
     """
     nodes, attacks = written(nodes.select("node").distinct()), written(attacks.select("src", "dst").distinct())
-    label = written(nodes.withColumn("label", F.lit(None).cast("string")))
-    while True:
-        states = attacks.join(label.select(F.col("node").alias("src"), "label"), "src", "left").groupBy(F.col("dst").alias("node")).agg(F.bool_or(F.col("label") == "accepted").alias("hit"), F.every(F.coalesce(F.col("label") == "rejected", F.lit(False))).alias("clear"))
-        new = label.join(states, "node", "left").select("node", F.coalesce("label", F.when(F.coalesce("clear", F.lit(True)), "accepted").when(F.coalesce("hit", F.lit(False)), "rejected")).alias("label"))
-        new = written(new)
-        if new.filter("label is not null").count() == label.filter("label is not null").count():
-            return new.select("node", F.coalesce("label", F.lit("undecided")).alias("label"))
-        label = new
+    kind = _kind(nodes, "node")
+    attacks = written(attacks.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
+    waits = written(attacks.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")))
+    settled, fallen = Log(nodes.sparkSession, f"node {kind}, label string"), Log(nodes.sparkSession, f"node {kind}, n bigint")
+    front = settled.append(nodes.join(waits, "node", "left_anti").withColumn("label", F.lit("accepted")))
+    while not front.isEmpty():
+        hit = attacks.join(front.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        lost = settled.append(hit.join(settled.rows(), "node", "left_anti").withColumn("label", F.lit("rejected")))
+        counted = fallen.append(attacks.join(lost.select(F.col("node").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")))
+        free = _free(fallen, counted, waits).join(settled.rows(), "node", "left_anti")
+        front = settled.append(free.withColumn("label", F.lit("accepted")))
+    fallen.discard()
+    return nodes.join(settled.rows().select("node", "label"), "node", "left").select("node", F.coalesce("label", F.lit("undecided")).alias("label"))
+
+
+def _free(fallen: Log, counted: DataFrame, waits: DataFrame) -> DataFrame:
+    """Of the nodes that a round counted down, those that wait for nothing any more: (node)."""
+    touched = fallen.rows().join(counted.select("node"), "node", "left_semi").groupBy("node").agg(F.sum("n").alias("gone"))
+    return touched.join(waits, "node").filter("gone = n").select("node")
 
 
 def dag_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, level): the longest path from a source; nodes on or behind a cycle get null."""
-    edges = written(edges.select("src", "dst").distinct())
-    done = None
-    left = written(nodes.select("node").distinct())
-    level = 0
-    while True:
-        open_ = edges.join(left.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        ready = written(left.join(open_, "node", "left_anti").withColumn("level", F.lit(level)))
-        if ready.isEmpty():
-            rest = left.withColumn("level", F.lit(None).cast("int"))
-            return rest if done is None else done.unionByName(rest)
-        done = ready if done is None else written(done.unionByName(ready))
-        left = written(left.join(ready.select("node"), "node", "left_anti"))
+    """(node, level): the longest path from a source; nodes on or behind a cycle get null.
+
+    A node waits for its edges in; a round counts down along the edges of the
+    nodes that the last one settled, and writes those that it settles.
+    """
+    nodes = written(nodes.select("node").distinct())
+    kind = _kind(nodes, "node")
+    edges = written(within(nodes, edges.select("src", "dst").distinct()))
+    waits = written(edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")))
+    settled, fallen = Log(nodes.sparkSession, f"node {kind}, level int"), Log(nodes.sparkSession, f"node {kind}, n bigint")
+    front, level = settled.append(nodes.join(waits, "node", "left_anti").withColumn("level", F.lit(0))), 0
+    while not front.isEmpty():
         level += 1
+        counted = fallen.append(edges.join(front.select(F.col("node").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")))
+        front = settled.append(_free(fallen, counted, waits).withColumn("level", F.lit(level)))
+    fallen.discard()
+    discard(edges, waits)
+    return nodes.join(settled.rows().select("node", "level"), "node", "left")
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -297,17 +290,13 @@ def run_order(steps: DataFrame, edges: DataFrame) -> DataFrame:
     level and are blocked.  Every round settles one level of the plan.
     """
     steps, edges = written(steps.select("node", "status")), written(edges.select("src", "dst").distinct())
-    levels = written(dag_levels(steps.select("node"), within(steps.select("node"), edges)))
+    levels = dag_levels(steps.select("node"), edges)
     lost = dangling(steps.select("node"), edges).select(F.col("dst").alias("node")).distinct().withColumn("lost", F.lit(True))
     base = steps.join(levels, "node").join(lost, "node", "left")
     bad = F.coalesce("lost", F.lit(False)) | F.col("level").isNull()
     start = written(base.select("node", "level", F.when(bad, "blocked").otherwise(F.col("status")).alias("state")))
-    front = written(start.filter("state <> 'succeeded'").select("node"))
-    hit = front.limit(0)
-    while not front.isEmpty():
-        after = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        front = written(after.join(hit, "node", "left_anti"))
-        hit = written(hit.unionByName(front))
+    failed = start.filter("state <> 'succeeded'").select(F.col("node").alias("src"))
+    hit = reachable(edges, edges.join(failed, "src", "left_semi").select(F.col("dst").alias("node")))
     return start.join(hit.withColumn("hit", F.lit(True)), "node", "left").select("node", "level", F.when(F.col("hit"), "blocked").otherwise(F.col("state")).alias("state"))
 
 

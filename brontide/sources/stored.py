@@ -48,3 +48,27 @@ def discard(*tables: DataFrame) -> None:
         if path:
             place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Log:
+    """A table that grows by appended rounds; each round writes its own rows and no others."""
+
+    def __init__(self, spark: SparkSession, schema: str):
+        self.spark, self.schema, self.rounds = spark, schema, 0
+        self.path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+
+    def append(self, df: DataFrame) -> DataFrame:
+        """Writes the rows of df as the next round and returns them, read back."""
+        at = f"{self.path}/round={self.rounds}"
+        df.write.parquet(at)
+        self.rounds += 1
+        return self.spark.read.schema(self.schema).parquet(at)
+
+    def rows(self) -> DataFrame:
+        """All rows so far, with the number of their round."""
+        schema = f"{self.schema}, round int"
+        return self.spark.read.schema(schema).parquet(self.path) if self.rounds else self.spark.createDataFrame([], schema)
+
+    def discard(self) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
