@@ -121,3 +121,19 @@ def facet_filter(df: DataFrame, equal: dict[str, str], query: str, text: list[st
     blob = F.lower(F.concat_ws(" ", *text))
     out = df.filter(reduce(lambda a, b: a & b, (F.col(k) == v for k, v in equal.items()), F.lit(True)))
     return out.filter(reduce(lambda a, b: a & b, (F.contains(blob, F.lit(t)) for t in query.lower().split()), F.lit(True)))
+
+
+def concept_names(tags: DataFrame, concepts: DataFrame, id: str = "id") -> DataFrame:
+    """(id, names): the names of each service's tags in order, the tag itself where no concept has it.
+
+    tags: (id, ordinal, tag); concepts: (tag, name), of several names the least.
+    """
+    named = concepts.groupBy("tag").agg(F.min("name").alias("name"))
+    j = tags.join(named, "tag", "left").groupBy(id).agg(F.sort_array(F.collect_list(F.struct("ordinal", F.coalesce("name", "tag").alias("name")))).alias("t"))
+    return j.select(id, F.transform("t", lambda x: x["name"]).alias("names"))
+
+
+def key_sets(a: Column, b: Column) -> Column:
+    """struct<shared, same>: the keys that both arrays have, sorted, and whether they have the same keys."""
+    same = (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
+    return F.struct(F.array_sort(F.array_intersect(a, b)).alias("shared"), same.alias("same"))

@@ -148,3 +148,8 @@ def download_map(distributions: DataFrame, id: str, at: str, fmt: str, url: str,
 def iso_time(c: Column) -> Column:
     """An ISO 8601 time as a timestamp; one without a zone is in the session's, what is no time is null."""
     return c.try_cast("timestamp")
+
+
+def with_operations(steps: DataFrame, operations: DataFrame, operation: str = "operation", version: str = "version") -> DataFrame:
+    """steps with known and the columns of the operation of the same name and version; operations has one row for each of these."""
+    return steps.join(operations.withColumn("known", F.lit(True)), [operation, version], "left").withColumn("known", F.coalesce("known", F.lit(False)))

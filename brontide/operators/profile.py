@@ -185,3 +185,20 @@ def report_html(report: DataFrame, order: str = "column") -> DataFrame:
     share = lambda c: F.concat(F.format_number(c.cast("double") * 100, 2), F.lit("%"))
     cells = (F.col("column"), get("$.inferred_type"), share(get("$.null_ratio")), share(F.coalesce(get("$.ratio"), F.lit("1"))), F.col("report"))
     return report.select("column", F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), esc(c), F.lit("</td>")) for c in cells), F.lit("</tr>")).alias("html")).orderBy(order)
+
+
+def geocoding_requests(rows: DataFrame, row: str, id: str, address: str) -> DataFrame:
+    """(record_id, address) of the rows that have an address; a row without an id is named by its number."""
+    plain = F.trim(F.regexp_replace(F.coalesce(F.col(address), F.lit("")), r"^\s+|\s+$", ""))
+    return rows.filter(plain != "").select(F.coalesce(F.col(id), F.concat(F.lit("row-"), F.col(row).cast("string"))).alias("record_id"), plain.alias("address"))
+
+
+def type_mismatches(long: DataFrame, expected: dict[str, str], k: int = 20) -> DataFrame:
+    """(column, rank, row, value, observed_type): of each column the first k cells, by row, that are not of the declared type."""
+    v = long.select("column", "row", F.trim("value").alias("value")).filter(~scalars.is_missing(F.col("value")))
+    fits = F.lit(True)
+    for c, kind in expected.items():
+        fits = F.when(F.col("column") == c, scalars.matches_type(F.col("value"), kind)).otherwise(fits)
+    rank = Window.partitionBy("column").orderBy("row", "value")
+    first = v.filter(~fits).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+    return first.select("column", "rank", "row", "value", scalars.infer_scalar(F.col("value")).alias("observed_type"))

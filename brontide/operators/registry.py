@@ -256,3 +256,14 @@ def merge_sources(generated: DataFrame, existing: DataFrame, key: str, value: st
 def date_window(day: Column, back: int = 2) -> Column:
     """array of the first and last day, as yyyymmdd, of the window that ends on day."""
     return F.array(F.date_format(F.date_sub(day, back), "yyyyMMdd"), F.date_format(day, "yyyyMMdd"))
+
+
+def kst_date(published: Column) -> Column:
+    """The day in Korea, yyyy-MM-dd, of an RFC 822 or ISO date with its offset, or of a policy's MM/dd/yyyy; else null."""
+    text = F.trim(F.coalesce(published, F.lit("")))
+    policy = F.regexp_extract(text, r"^(\d{2})/(\d{2})/(\d{4})", 0)
+    plain = F.regexp_replace(F.regexp_replace(text, r"^[A-Za-z]{3},\s*", ""), r"\b(GMT|UTC|UT|Z)$", "+0000")
+    rfc = F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss Z"))
+    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T"), text.try_cast("timestamp"))
+    day = F.date_format(F.convert_timezone(None, F.lit("Asia/Seoul"), F.coalesce(rfc, iso).cast("timestamp_ntz")), "yyyy-MM-dd")
+    return F.when(policy != "", F.concat_ws("-", F.substring(policy, 7, 4), F.substring(policy, 1, 2), F.substring(policy, 4, 2))).otherwise(day)

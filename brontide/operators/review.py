@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brontide.operators import graph
+from brontide.operators.ledger import canonical_hash
 from brontide.operators.registry import LAW_STOP, compact_law
 
 #: Stages of a run in order, and how many documents it may select.
@@ -143,17 +144,53 @@ def audit_process(nodes: DataFrame, edges: DataFrame, lanes: DataFrame, stages:
     )
 
 
-def validate_registry(nodes: DataFrame, edges: DataFrame, allowed: dict[str, tuple[str, ...]], ranges: dict[str, tuple[float, float]]) -> DataFrame:
-    """(rule, subject): repeated ids, unknown ends, values outside a list or a range."""
+def validate_registry(
+    nodes: DataFrame,
+    edges: DataFrame,
+    allowed: dict[str, tuple[str, ...]],
+    ranges: dict[str, tuple[float, float]],
+    members: dict[str, DataFrame] | None = None,
+    current: tuple[str, str] | None = None,
+    declared: DataFrame | None = None,
+) -> DataFrame:
+    """(rule, subject): what is wrong with a registry's nodes and edges.
+
+    repeated-id, unknown-end; `x-not-allowed` and `x-out-of-range` for values
+    outside a list or a range; with members, `x-unknown` for nodes whose column x
+    is none of that table's (lanes, stages); with current = (group, flag),
+    no-current and several-current for groups in which not exactly one node has
+    the flag; with declared (group, n), count-mismatch for groups that have
+    another number of nodes than they say, groups without nodes included.
+    """
     made = lambda df, rule, c: df.select(F.lit(rule).alias("rule"), F.col(c).cast("string").alias("subject"))
     twice = nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
     loose = graph.dangling(nodes, edges).withColumn("e", F.concat_ws(">", F.col("src").cast("string"), F.col("dst").cast("string")))
     parts = [made(twice, "repeated-id", "node"), made(loose, "unknown-end", "e")]
     parts += [made(nodes.filter(~F.coalesce(F.col(c).isin(*v), F.lit(False))), f"{c}-not-allowed", "node") for c, v in allowed.items()]
     parts += [made(nodes.filter(~F.coalesce(F.col(c).between(*v), F.lit(False))), f"{c}-out-of-range", "node") for c, v in ranges.items()]
+    parts += [made(nodes.join(known.select(c).distinct(), c, "left_anti"), f"{c}-unknown", "node") for c, known in (members or {}).items()]
+    if current:
+        group, flag = current
+        flagged = nodes.groupBy(group).agg(F.count_if(F.col(flag)).alias("n"))
+        parts += [made(flagged.filter("n = 0"), "no-current", group), made(flagged.filter("n > 1"), "several-current", group)]
+    if declared is not None:
+        (group,) = (c for c in declared.columns if c != "n")
+        counted = declared.join(nodes.groupBy(group).agg(F.count("*").alias("held")), group, "left")
+        parts.append(made(counted.filter(F.col("n") != F.coalesce("held", F.lit(0))), "count-mismatch", group))
     return reduce(DataFrame.unionByName, parts)
 
 
+def validate_plans(plans: DataFrame, now: Column) -> DataFrame:
+    """(rule, subject): plans that have expired, never say when, or whose hash is not that of their content.
+
+    plans: (plan, expires_at, content_hash, content map<string,string>); the hash
+    is ledger.canonical_hash's, which leaves content_hash itself out.
+    """
+    made = lambda df, rule: df.select(F.lit(rule).alias("rule"), F.col("plan").cast("string").alias("subject"))
+    wrong = ~F.coalesce(F.col("content_hash") == canonical_hash(F.col("content")), F.lit(False))
+    return reduce(DataFrame.unionByName, (made(plans.filter(F.col("expires_at") <= now), "expired"), made(plans.filter("expires_at is null"), "no-expiry"), made(plans.filter(wrong), "hash-mismatch")))
+
+
 def validate_dag(steps: DataFrame, deps: DataFrame) -> DataFrame:
     """(rule, subject): repeated steps, unknown and own dependencies, steps on or behind a cycle."""
     made = lambda df, rule, c: df.select(F.lit(rule).alias("rule"), F.col(c).cast("string").alias("subject"))
@@ -164,26 +201,37 @@ def validate_dag(steps: DataFrame, deps: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, (made(twice, "repeated", "node"), made(unknown, "unknown", "src"), made(own, "own", "src"), made(stuck, "cycle", "node")))
 
 
-#: Unresolved sources, at most: people list them, and each meets every citation.
-MOST_UNRESOLVED = 10_000
+#: How long two compacted names must be for one to stand for the other when it contains it.
+LEAST_CONTAINED = 6
 
 
 def unresolved_matches(laws: DataFrame, unresolved: DataFrame) -> DataFrame:
-    """(id, item): citations that an unresolved source may stand for.
-
-    laws: (id, law); unresolved: (item, name, reason), a curated list of at most
-    MOST_UNRESOLVED items, which is checked: it is the broadcast side of the one
-    join here that has no key.
+    """(id, item): citations that an unresolved source may stand for, each pair once.
+
+    laws: (id, law); unresolved: (item, name, reason).  A pair matches when the
+    compacted names are equal; when one contains the other and the shorter has
+    LEAST_CONTAINED characters or more; or when the law's name has the mark of the
+    source's reason and the source is the only one of that reason or they share a
+    word.  Either list may be of any size: a name that is contained is looked for
+    by its first characters among those that the other has anywhere, so all of it
+    is equi-joins.
     """
-    if unresolved.limit(MOST_UNRESOLVED + 1).count() > MOST_UNRESOLVED:
-        raise ValueError(f"more than {MOST_UNRESOLVED} unresolved items")
-    tokens = lambda c: F.filter(F.split(F.regexp_replace(c, "[()·ㆍ,;:/]", " "), r"\s+"), lambda t: (F.length(t) >= 2) & ~t.isin(*LAW_STOP))
-    alone = unresolved.withColumn("same", F.count("*").over(Window.partitionBy("reason")))
-    j = laws.withColumn("k", compact_law(F.col("law"))).crossJoin(F.broadcast(alone.withColumn("u", compact_law(F.col("name")))))
-    within = (F.least(F.length("k"), F.length("u")) >= 6) & (F.contains("k", F.col("u")) | F.contains("u", F.col("k")))
-    marked = reduce(lambda a, kv: F.when(F.col("reason") == kv[0], F.col("law").rlike(kv[1])).otherwise(a), MARKERS.items(), F.lit(False))
-    by_reason = marked & ((F.col("same") == 1) | F.arrays_overlap(tokens(F.col("law")), tokens(F.col("name"))))
-    return j.filter((F.col("k") == F.col("u")) | within | by_reason).select("id", "item")
+    n = LEAST_CONTAINED
+    k = laws.select("id", "law", compact_law(F.col("law")).alias("k"))
+    u = unresolved.select("item", "name", "reason", compact_law(F.col("name")).alias("u"))
+    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))).alias("g")
+    long_k, long_u = k.filter(F.length("k") >= n), u.filter(F.length("u") >= n)
+    begins = lambda c: F.substring(c, 1, n).alias("g")
+    same = k.join(u, k["k"] == u["u"]).select("id", "item")
+    inside = long_k.select("id", "k", grams("k")).join(long_u.select("item", "u", begins("u")), "g").filter(F.contains("k", F.col("u"))).select("id", "item")
+    around = long_k.select("id", "k", begins("k")).join(long_u.select("item", "u", grams("u")), "g").filter(F.contains("u", F.col("k"))).select("id", "item")
+    tokens = lambda c: F.array_distinct(F.filter(F.split(F.regexp_replace(c, "[()·ㆍ,;:/]", " "), r"\s+"), lambda t: (F.length(t) >= 2) & ~t.isin(*LAW_STOP)))
+    marks = F.array_compact(F.array(*(F.when(F.col("law").rlike(mark), reason) for reason, mark in MARKERS.items())))
+    marked = k.select("id", "law", F.explode(marks).alias("reason"))
+    alone = u.groupBy("reason").agg(F.count("*").alias("n"), F.min("item").alias("item")).filter("n = 1").select("reason", "item")
+    only = marked.join(alone, "reason").select("id", "item")
+    shared = marked.select("id", "reason", F.explode(tokens("law")).alias("t")).join(u.select("item", "reason", F.explode(tokens("name")).alias("t")), ["reason", "t"]).select("id", "item")
+    return reduce(DataFrame.unionByName, (same, inside, around, only, shared)).distinct()
 
 
 def loop_edges(nodes: DataFrame, order: str, action: str, process: str = "process") -> DataFrame:

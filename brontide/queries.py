@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from brontide import queries_catalog, queries_registry, queries_review, queries_search  # noqa: F401  they register their queries
+from brontide import queries_catalog, queries_cells, queries_plans, queries_registry, queries_review, queries_search  # noqa: F401  they register their queries
 from brontide.registry_of_queries import QUERIES, SQL
 
 

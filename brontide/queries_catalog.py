@@ -90,14 +90,6 @@ def catalog_one_to_one(spark, d):
     return table(spark, d, "customer").select("c_custkey").join(last, F.col("c_custkey") == F.col("o_custkey")).drop("o_custkey").join(n, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", F.col("o_orderkey").alias("last_order"), "orders")
 
 
-@query("SELECT id, string_agg(coalesce(n, t), ',' ORDER BY i) AS names FROM (SELECT id, i, tags[i] AS t FROM (SELECT id, string_split(t, '+') AS tags FROM (VALUES (1, 'a+b+z'), (2, 'b')) AS t(id, t)), range(1, 4) AS r(i) WHERE i <= len(tags)) LEFT JOIN (VALUES ('a', '대기'), ('b', '물')) AS c(k, n) ON t = k GROUP BY id")
-def tag_concepts(spark, d):
-    tags = values(spark, "(1, 'a+b+z'), (2, 'b')", "id, t").select("id", F.posexplode(F.split("t", r"\+")).alias("i", "tag"))
-    names = values(spark, "('a', '대기'), ('b', '물')", "k, n")
-    j = tags.join(names, F.col("tag") == F.col("k"), "left")
-    return j.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", F.coalesce("n", "tag").alias("n")))), lambda x: x["n"]), ",").alias("names"))
-
-
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def catalog_anti(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
@@ -135,24 +127,11 @@ def set_drift(spark, d):
     return catalog.set_drift(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id")
 
 
-@query("SELECT id, array_to_string(list_sort(list_intersect(string_split(a, ','), string_split(b, ','))), ',') AS shared, list_sort(string_split(a, ',')) = list_sort(string_split(b, ',')) AS same FROM (VALUES (1, 'x,y,z', 'z,x'), (2, 'p,q', 'q,p'), (3, 'a', 'b')) AS t(id, a, b)")
-def key_intersection(spark, d):
-    t = values(spark, "(1, 'x,y,z', 'z,x'), (2, 'p,q', 'q,p'), (3, 'a', 'b')", "id, a, b").select("id", F.split("a", ",").alias("a"), F.split("b", ",").alias("b"))
-    same = (F.size(F.array_except("a", "b")) == 0) & (F.size(F.array_except("b", "a")) == 0)
-    return t.select("id", F.array_join(F.array_sort(F.array_intersect("a", "b")), ",").alias("shared"), same.alias("same"))
-
-
 @query("SELECT t AS target, coalesce(n, 0) AS rows FROM (VALUES ('click'), ('view'), ('refund'), ('_unknown')) AS v(t) LEFT JOIN (SELECT CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE '_unknown' END AS k, count(*) AS n FROM events GROUP BY 1) ON k = t")
 def split_by_type(spark, d):
     return catalog.split_by_type(table(spark, d, "events"), F.col("event_type"), ["click", "view", "refund"])
 
 
-@query("SELECT r, n::BIGINT AS number FROM (VALUES (1, ' 15000001 ', 'x', 15000001), (2, 'abc', '1234567', 1234567), (3, 'abc', '12', NULL)) AS t(r, a, b, n)")
-def doc_number(spark, d):
-    t = values(spark, "(1, ' 15000001 ', 'x'), (2, 'abc', '1234567'), (3, 'abc', '12')", "r, a, b")
-    return t.select("r", files.doc_number(F.col("a"), F.array("a", "b")).alias("number"))
-
-
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey BETWEEN 100 AND 900 AND upper(o_orderpriority) LIKE '%LOW%'")
 def range_scan(spark, d):
     return table(spark, d, "orders").filter(F.col("o_orderkey").between(100, 900)).filter(F.contains(F.upper("o_orderpriority"), F.lit("LOW"))).select("o_orderkey", "o_orderstatus")
@@ -163,29 +142,6 @@ def number_range(spark, d):
     return table(spark, d, "orders").agg(F.min("o_orderkey").alias("first_number"), F.max("o_orderkey").alias("last_number"))
 
 
-_SNIFF = "('a.XLSX', 'PK..'), ('b.bin', 'PK..'), ('c.json', 'x'), ('d.dat', ' [1]'), ('e.tsv', 'a'), ('f.csv', 'a'), ('g.txt', 'a'), ('h', 'a')"
-
-
-@query(f"SELECT p AS path, CASE WHEN h LIKE 'PK%' THEN CASE WHEN lower(p) LIKE '%.xlsx' THEN 'xlsx' ELSE 'zip' END WHEN p LIKE '%.json' THEN 'json' WHEN p LIKE '%.tsv' THEN 'tsv' WHEN p LIKE '%.csv' THEN 'csv' WHEN trim(h)[1] IN ('[', '{{') THEN 'json' WHEN p LIKE '%.txt' THEN 'text' ELSE 'unknown' END AS format FROM (VALUES {_SNIFF}) AS t(p, h)")
-def format_sniff(spark, d):
-    return values(spark, _SNIFF, "path, head").select("path", web.sniff_format(F.col("path"), F.col("head")).alias("format"))
-
-
-_DOCS = "('1', '대기질 정보', 'Spec A', '환경부', '환경 - 대기', '미세먼지, 대기 ,', '<b>측정</b> 값', '2024-01-02'), ('2', '-', 'Spec B', '-', '교통', '', '설명', ''), ('3', '', '', '국토부', '', 'x', '-', '-')"
-
-
-def _documents(spark):
-    t = values(spark, _DOCS, "api_id, name, spec_title, provider, category, words, note, updated")
-    info = F.create_map(*(x for k, c in (("목록명", "name"), ("제공기관", "provider"), ("분류체계", "category"), ("키워드", "words"), ("설명", "note"), ("수정일", "updated")) for x in (F.lit(k), F.col(c))))
-    return t.select("api_id", info.alias("info"), "spec_title", F.lit("").alias("spec_description"), F.concat(F.lit("https://p.kr/"), "api_id").alias("crawled_url"))
-
-
-@query(f"""SELECT 'openapi_new:' || a AS service_id, CASE WHEN n NOT IN ('', '-') THEN n ELSE s END AS name, trim(regexp_replace(regexp_replace(replace(d, '-', ''), '<[^>]+>', ' ', 'g'), ' +', ' ', 'g')) AS description, replace(p, '-', '') AS provider, c AS category,
-array_to_string(list_filter(list_transform(string_split(k, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS keywords, CASE WHEN u = '-' THEN '' ELSE u END AS updated_at, 'https://p.kr/' || a AS url FROM (VALUES {_DOCS}) AS t(a, n, s, p, c, k, d, u)""")
-def catalog_details(spark, d):
-    return catalog.details(_documents(spark)).withColumn("keywords", F.array_join("keywords", "|"))
-
-
 @query("SELECT o_custkey AS api_id, min(i)::INT AS ordinal, method, path, arg_min(o_orderstatus, i) AS summary FROM (SELECT o_custkey, o_orderstatus, upper(o_orderpriority) AS method, '/' || o_orderstatus AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders) GROUP BY o_custkey, method, path")
 def listed_endpoints(spark, d):
     """Each customer's orders as the endpoints a page lists; of the same method and path the first stays."""
@@ -275,23 +231,6 @@ def gazette_filter(spark, d):
     return o.filter((F.col("o_orderstatus") == "F") & F.date_format("day", "yyyy-MM-dd").startswith("1997-05")).select("o_orderkey", "day").orderBy(F.desc("day"), "o_orderkey")
 
 
-@query("SELECT id, CASE WHEN trim(coalesce(a, '')) <> '' THEN trim(a) WHEN trim(coalesce(b, '')) <> '' THEN trim(b) ELSE '' END AS v FROM (VALUES (1, ' x ', 'y'), (2, ' ', 'y'), (3, NULL, NULL)) AS t(id, a, b)")
-def coalesce_fields(spark, d):
-    t = values(spark, "(1, ' x ', 'y'), (2, ' ', 'y'), (3, NULL, NULL)", "id, a, b")
-    return t.select("id", catalog.present(text.trim(F.col("a")), text.trim(F.col("b"))).alias("v"))
-
-
-@query("SELECT step, spec IS NOT NULL AS known FROM (VALUES ('s1', 'mail', 1), ('s2', 'mail', 2), ('s3', 'file', 1)) AS p(step, op, v) LEFT JOIN (VALUES ('mail', 1, 'x'), ('file', 1, 'y')) AS o(op, v, spec) USING (op, v)")
-def plan_operations(spark, d):
-    p, o = values(spark, "('s1', 'mail', 1), ('s2', 'mail', 2), ('s3', 'file', 1)", "step, op, v"), values(spark, "('mail', 1, 'x'), ('file', 1, 'y')", "op, v, spec")
-    return p.join(o, ["op", "v"], "left").select("step", F.col("spec").isNotNull().alias("known"))
-
-
-@query("SELECT path, size_bytes, sha256(c) AS checksum FROM (VALUES ('a', 'alpha', 5), ('b', '', 0)) AS t(path, c, size_bytes)")
-def crawl_manifest(spark, d):
-    return files.manifest(values(spark, "('a', 'alpha'), ('b', '')", "path, c").select("path", F.col("c").cast("binary").alias("content")))
-
-
 # Ledgers: a user is a run, an event type a status.
 
 
@@ -369,25 +308,6 @@ def owner_filter(spark, d):
     return table(spark, d, "events").filter(F.col("user_id") == 7).select("event_id")
 
 
-@query("SELECT id, id IN (1, 3, 4, 5) AS load FROM (VALUES (1), (2), (3), (4), (5)) AS t(id)")
-def change_gate(spark, d):
-    t = values(spark, "(1, '2024-02-01', '2024-01-01', true, false), (2, '2024-01-01', '2024-01-01', true, false), (3, '2024-01-01', NULL, true, false), (4, '2024-01-01', '2024-01-01', false, false), (5, '2024-01-01', '2024-01-01', true, true)", "id, page, stored, targets, forced")
-    return t.select("id", ledger.change_gate(F.col("page"), F.col("stored"), F.col("targets"), F.col("forced")).alias("load"))
-
-
-@query("SELECT id, m AS missing FROM (VALUES (1, 'b'), (2, '')) AS t(id, m)")
-def dry_run_missing(spark, d):
-    t = values(spark, "(1, 'a,b', 'a'), (2, 'a', 'a,c')", "id, need, have")
-    inputs = F.map_from_entries(F.transform(F.split("have", ","), lambda x: F.struct(x, F.lit("v"))))
-    return t.select("id", F.array_join(ledger.missing_inputs(F.split("need", ","), inputs), ",").alias("missing"))
-
-
-@query("SELECT step, CASE WHEN v IS NULL THEN 'missing' WHEN k = 'integer' AND try_cast(v AS BIGINT) IS NULL THEN 'type' WHEN length(v) > n THEN 'length' WHEN NOT regexp_full_match(v, p) THEN 'pattern' ELSE 'ok' END AS verdict FROM (VALUES ('a', '12', 'integer', 5, '[0-9]+'), ('b', 'x', 'integer', 5, '.*'), ('c', 'toolong', 'string', 3, '.*'), ('d', 'Q', 'string', 3, '[a-z]'), ('e', NULL, 'string', 3, '.*')) AS t(step, v, k, n, p)")
-def plan_validation(spark, d):
-    t = values(spark, "('a', '12', 'integer', 5, '[0-9]+'), ('b', 'x', 'integer', 5, '.*'), ('c', 'toolong', 'string', 3, '.*'), ('d', 'Q', 'string', 3, '[a-z]'), ('e', NULL, 'string', 3, '.*')", "step, v, k, n, p")
-    return t.select("step", payloads.input_verdict(F.col("v"), F.col("k"), F.col("n"), F.col("p")).alias("verdict"))
-
-
 @query("SELECT count(*) AS total, count(*) FILTER (event_type <> 'error') AS success, count(*) FILTER (event_type = 'error') AS failed, printf('%.1f%%', 100.0 * count(*) FILTER (event_type <> 'error') / count(*)) AS rate, round(avg(value), 4) AS avg_time FROM events")
 def crawl_summary(spark, d):
     return ledger.crawl_summary(table(spark, d, "events"), F.col("event_type") != "error", "value")
@@ -403,12 +323,6 @@ def top_orgs(spark, d):
     return ledger.outcome_counts(table(spark, d, "events"), "user_id").orderBy(F.desc("n"), "user_id").limit(5)
 
 
-@query("""SELECT id, sha256(b) AS hash FROM (VALUES (1, '{"a":"1","b":"x"}'), (2, '{"k":"say ' || chr(92) || '"hi' || chr(92) || '""}')) AS t(id, b)""")
-def canonical_hash(spark, d):
-    t = values(spark, "(1, 'b', 'x', 'a', '1'), (2, 'k', 'say \"hi\"', 'content_hash', 'zz')", "id, k1, v1, k2, v2")
-    return t.select("id", ledger.canonical_hash(F.create_map("k1", "v1", "k2", "v2")).alias("hash"))
-
-
 @query("SELECT conv_id, count(*) AS turns, md5(string_agg(text, '' ORDER BY turn, role, text)) AS digest FROM conversations GROUP BY conv_id")
 def conversation_concat(spark, d):
     c = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda x: x["text"]), "").alias("t"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from brontide.functions import text, web
 from brontide.operators import catalog, harvest, html, payloads, registry, review
 from brontide.plans import flow
-from brontide.registry_of_queries import query, table, values
+from brontide.registry_of_queries import query, table
 from brontide.sources import files
 from brontide.streaming import ledger as streams
 
@@ -37,30 +37,6 @@ def audit_priority(spark, d):
     return registry.audit_priority(table(spark, d, "orders"), "o_custkey", F.col("o_orderstatus") == "P", F.col("o_orderpriority").startswith("1"), F.col("o_totalprice") > 400000, F.col("o_totalprice") < 50000)
 
 
-_NEWS = "(1, 'u1', '신규 제도 도입', '절차 개선', '2024-01-02', 'press'), (2, 'u1', '중복', '절차', '2024-01-03', 'press'), (3, '', '제도 안내', '기존 승인제', '2024-01-04', 'policy_briefing'), (4, 'u4', '채용 공고', '제도', '2024-01-05', 'press'), (5, '', '', '제도', '2024-01-05', 'press')"
-
-
-@query(f"""WITH s AS (SELECT o, u, t, p, CASE k WHEN 'policy_briefing' THEN 3 WHEN 'press' THEN 2 ELSE 1 END + 2 * contains(t || ' ' || b, '제도')::INT + 2 * contains(t || ' ' || b, '절차')::INT + 3 * (contains(t || ' ' || b, '신규')::INT + contains(t || ' ' || b, '도입')::INT) - 5 * contains(t || ' ' || b, '승인제')::INT - 20 * contains(t || ' ' || b, '채용')::INT AS s,
-row_number() OVER (PARTITION BY CASE WHEN u <> '' THEN u ELSE replace(t, ' ', '') END ORDER BY o) AS k FROM (VALUES {_NEWS}) AS t(o, u, t, b, p, k) WHERE u <> '' OR t <> '') SELECT u AS url, t AS title, p AS published, s::INT AS score FROM s WHERE k = 1 AND s > 0""")
-def news_rank(spark, d):
-    items = values(spark, _NEWS, "ordinal, url, title, body, published, source_type")
-    signals = {"institution": ("제도",), "process": ("절차",), "novelty": ("신규", "도입"), "noise": ("채용",)}
-    return registry.rank_news(items, signals, ("승인제",), {"policy_briefing": 3, "press": 2})
-
-
-_ITEMS = "('전산 연계'), ('처리일 지연'), ('증빙 서식'), ('수수료 금액'), ('현장 관행'), ('담당 부처'), ('기타 사실')"
-
-
-@query(f"SELECT v AS item, CASE WHEN regexp_matches(v, '시스템|전산|온라인|데이터|DB|연계') THEN '정보시스템' WHEN regexp_matches(v, '기한|기간|소요|처리일|지연') THEN '처리기간' WHEN regexp_matches(v, '서식|문서|자료|증빙|보고서') THEN '문서·증빙' WHEN regexp_matches(v, '예산|비용|수수료|금액|재원') THEN '재정·비용' WHEN regexp_matches(v, '관행|실무|내부|현장|운영') THEN '실무 관행' WHEN regexp_matches(v, '기관|부처|지자체|담당|권한') THEN '기관·권한' ELSE '운영 사실' END AS domain FROM (VALUES {_ITEMS}) AS t(v)")
-def domain_classify(spark, d):
-    return values(spark, _ITEMS, "item").select("item", registry.classify_domain(F.col("item")).alias("domain"))
-
-
-@query(f"SELECT domain, count(*) AS n FROM (SELECT CASE WHEN v LIKE '%전산%' THEN '정보시스템' WHEN v LIKE '%처리일%' THEN '처리기간' WHEN v LIKE '%서식%' THEN '문서·증빙' WHEN v LIKE '%수수료%' THEN '재정·비용' WHEN v LIKE '%관행%' THEN '실무 관행' WHEN v LIKE '%부처%' THEN '기관·권한' ELSE '운영 사실' END AS domain FROM (VALUES {_ITEMS}) AS t(v)) GROUP BY domain")
-def verification_queue(spark, d):
-    return domain_classify(spark, d).groupBy("domain").agg(F.count("*").alias("n"))
-
-
 @query("SELECT item_id, len(list_filter(['the', 'with', 'that', 'ing'], lambda w: contains(lower(text), w)))::INT AS signals FROM benchmark")
 def keyword_signals(spark, d):
     low = F.lower("text")
@@ -91,35 +67,17 @@ def article_references(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(registry.article_references(text_), ",").alias("refs"), "l_partkey")
 
 
-@query()
-def law_steps(spark, d):
-    law = "(1, '제1조(협의) 사업자는 평가서를 30일 이내 협의기관에 제출하여야 한다. 협의기관은 보완을 요청할 수 있다. 제2조(공고) 승인기관은 그 내용을 지체 없이 공고하여야 한다.')"
-    return values(spark, law, "id, text").select("id", F.inline(registry.law_steps(F.col("text"))))
-
-
 @query("SELECT coalesce(n_nationkey, r) AS k, CASE WHEN p THEN coalesce(e, n_name) ELSE coalesce(n_name, e) END AS v, CASE WHEN n_name IS NULL THEN 'existing' WHEN p THEN 'pinned' ELSE 'generated' END AS origin FROM nation FULL JOIN (SELECT s_suppkey AS r, s_name AS e, s_acctbal > 0 AS p FROM supplier) ON n_nationkey = r")
 def merged_sources(spark, d):
     g = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("k"), F.col("n_name").alias("v"))
     return registry.merge_sources(g, table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v"), (F.col("s_acctbal") > 0).alias("p")), "k", "v", "p")
 
 
-@query("SELECT id, strftime(day - INTERVAL 2 DAY, '%Y%m%d') AS first_day, strftime(day, '%Y%m%d') AS last_day FROM (VALUES (1, DATE '2024-03-01'), (2, DATE '2024-01-01')) AS t(id, day)")
-def date_windows(spark, d):
-    w = registry.date_window(F.col("day"))
-    return values(spark, "(1, date '2024-03-01'), (2, date '2024-01-01')", "id, day").select("id", F.get(w, 0).alias("first_day"), F.get(w, 1).alias("last_day"))
-
-
 @query("SELECT p_partkey, array_to_string(list_filter(list_transform(range(len(w)), lambda i: CASE WHEN list_position(w, w[i + 1]) = i + 1 THEN w[i + 1] END), lambda x: x IS NOT NULL), '|') AS tokens FROM (SELECT p_partkey, list_filter(string_split(p_name || ' ' || p_type, ' '), lambda x: length(x) >= 2) AS w FROM part)")
 def significant_tokens(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(text.significant_tokens(F.concat("p_name", F.lit(" 및, 법률;a ("), "p_type", F.lit(")")), registry.LAW_STOP), "|").alias("tokens"))
 
 
-@query("SELECT id, CASE WHEN c LIKE '% - %' THEN split_part(c, ' - ', 1) WHEN c = '' THEN '기타' ELSE c END AS top, array_to_string(list_filter(list_transform(string_split(replace(k, '，', ','), ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS keywords FROM (VALUES (1, '환경 - 대기', 'a, b,,c'), (2, '교통', 'x，y'), (3, '', '')) AS t(id, c, k)")
-def top_categories(spark, d):
-    t = values(spark, "(1, '환경 - 대기', 'a, b,,c'), (2, '교통', 'x，y'), (3, '', '')", "id, c, k")
-    return t.select("id", text.top_category(F.col("c")).alias("top"), F.array_join(text.keywords(F.col("k")), "|").alias("keywords"))
-
-
 @query("SELECT p_brand, count(DISTINCT t) = 1 AND count(*) >= 2 AND min(t) <> '' AS shared, CASE WHEN count(DISTINCT t) = 1 AND count(*) >= 2 AND min(t) <> '' THEN min(t) END AS top FROM (SELECT p_brand, CASE WHEN p_brand LIKE '%1' THEN p_brand ELSE p_type END AS t FROM part) GROUP BY p_brand")
 def shared_category(spark, d):
     own = F.when(F.endswith("p_brand", F.lit("1")), F.col("p_brand")).otherwise(F.col("p_type"))
@@ -160,19 +118,6 @@ def progress_lines(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", web.progress(line).alias("p")).select("l_orderkey", "l_linenumber", "l_partkey", F.col("p.label").alias("label"), F.col("p.done").cast("bigint").alias("done"), F.col("p.total").cast("bigint").alias("total"), F.col("p.percent").alias("percent"))
 
 
-@query("SELECT * FROM (VALUES (1, 'https://api.x.kr/openapi/list?a=1&b=2|http://y.kr/v2/items')) AS t(id, urls)")
-def external_endpoints(spark, d):
-    page = "(1, 'see https://api.x.kr/openapi/list?a=1&amp;b=2, and HTTP://y.kr/v2/items#f. not https://www.data.go.kr/api/x nor https://z.kr/restaurants/1 nor https://q.data.go.kr/api/')"
-    return values(spark, page, "id, html").select("id", F.array_join(web.external_endpoints(F.col("html")), "|").alias("urls"))
-
-
-@query("SELECT * FROM (VALUES (1, '한 글.csv', '한 글.csv', 10), (2, 'a.zip', 'a.zip', 7), (3, 'b.xlsx', 'b.xlsx', NULL), (4, 'download.bin', 'download.bin', NULL), (5, 'x:y.csv', 'x_y.csv', NULL)) AS t(id, name, safe, size)")
-def response_names(spark, d):
-    t = values(spark, "(1, 'attachment; filename*=UTF-8''''%ED%95%9C%20%EA%B8%80.csv', 'https://h/x', 'bytes 0-1/10', '2'), (2, 'attachment; filename=\"a.zip\"', 'https://h/x', NULL, '7'), (3, '', 'https://h/p/b.xlsx?q=1', NULL, NULL), (4, '', 'https://h', NULL, 'x'), (5, 'filename=x:y.csv', '', NULL, NULL)", "id, cd, url, cr, cl")
-    name = web.response_filename(F.col("cd"), F.col("url"))
-    return t.select("id", name.alias("name"), web.safe_filename(name).alias("safe"), web.content_length(F.col("cr"), F.col("cl")).cast("int").alias("size"))
-
-
 @query("SELECT p_partkey, p_name AS v FROM part")
 def script_leak(spark, d):
     raw = F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit("` var x = 1; alert(x)"))).otherwise(F.col("p_name"))
@@ -394,13 +339,6 @@ def event_windows(spark, d):
     return streams.event_windows(table(spark, d, "events"), "ts", "event_type").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("SELECT * FROM (VALUES (1, 'Hello world', 1)) AS t(id, text, errors)")
-def token_stream(spark, d):
-    t = values(spark, "(1, '{\"response\": \"Hello\"}'), (2, '{\"response\": \" world\", \"done\": true}'), (3, 'broken')", "i, value")
-    r = streams.token_stream(t.select("value")).withColumn("i", F.monotonically_increasing_id())
-    return r.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "response"))), lambda x: x["response"]), "").alias("text"), F.count("error").cast("int").alias("errors")).select(F.lit(1).alias("id"), "text", "errors")
-
-
 @query("SELECT event_id, user_id::VARCHAR AS who, 'x' AS fixed, NULL::VARCHAR AS gone FROM events")
 def render_template(spark, d):
     template = F.create_map(*map(F.lit, ("who", "$user", "fixed", "x", "gone", "$none")))

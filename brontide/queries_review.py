@@ -4,9 +4,7 @@ from pyspark.sql import functions as F
 
 from brontide.operators import chunks, harvest, profile, registry, review
 from brontide.plans import flow
-from brontide.registry_of_queries import query, table, values
-
-_ONE = "SELECT * FROM (VALUES {rows}) AS t({columns})"
+from brontide.registry_of_queries import query, table
 
 
 @query()
@@ -21,75 +19,6 @@ def search_blob(spark, d):
     return table(spark, d, "documents").select("doc_id", chunks.search_blob(F.col("source"), F.col("lang"), F.col("text")).alias("blob"))
 
 
-_RESPONSES = """('a.kr', '/api/3/action/package_list', '{"success": true, "result": ["x", "y"]}'), ('a.kr', '/sitemap.xml', '<urlset><url><loc>http://a.kr/1</loc></url></urlset>'), ('b.kr', '/api/3/action/package_list', 'oops'), ('b.kr', '/openapi.json', '{"openapi": "3", "paths": {}, "info": {"title": "B"}}'), ('c.kr', '/sitemap.xml', '<urlset><url><loc> http://c.kr/p/1 </loc></url><url><loc>http://c.kr/q?a=1&amp;b=2</loc></url></urlset>'), ('d.kr', '/', '<html></html>'), ('e.kr', '/', '')"""
-
-
-@query(_ONE.format(rows="('a.kr', 'ckan', '/api/3/action/package_list'), ('b.kr', 'openapi', '/openapi.json'), ('c.kr', 'sitemap', '/sitemap.xml'), ('d.kr', 'generic', '/'), ('e.kr', 'none', NULL)", columns="host, protocol, path"))
-def portal_protocols(spark, d):
-    return harvest.harvest(values(spark, _RESPONSES, "host, path, body"))
-
-
-@query(_ONE.format(rows="('a.kr', 'x', 'http://a.kr/dataset/x'), ('a.kr', 'y', 'http://a.kr/dataset/y'), ('b.kr', 'B', 'http://b.kr'), ('c.kr', '1', 'http://c.kr/p/1'), ('c.kr', 'q?a=1&b=2', 'http://c.kr/q?a=1&b=2')", columns="host, name, url"))
-def portal_items(spark, d):
-    t = values(spark, _RESPONSES, "host, path, body")
-    best = harvest.harvest(t).filter("protocol in ('ckan', 'openapi', 'sitemap')").join(t, ["host", "path"])
-    base = F.concat(F.lit("http://"), F.col("host"))
-    every = F.when(F.col("protocol") == "ckan", harvest.items_of("ckan", F.col("body"), base)).when(F.col("protocol") == "openapi", harvest.items_of("openapi", F.col("body"), base)).otherwise(harvest.items_of("sitemap", F.col("body"), base))
-    return best.select("host", F.inline(every))
-
-
-_SCANS = """(1, 200, 'u', 'text/html', '<p>접속 대기실</p>'), (2, 200, 'u/WaitingRoom', '', 'x'), (3, 200, 'u', 'text/html', '{"대기실": "접속"}'), (4, 404, 'u', '', ''), (5, 0, 'u', '', ''), (6, 500, 'u', '', ''), (7, 200, 'u', 'text/html', '')"""
-
-
-@query(_ONE.format(rows="(1, 'waiting_room_timeout'), (2, 'waiting_room_timeout'), (3, 'success'), (4, 'not_found'), (5, 'timeout'), (6, 'error'), (7, 'error')", columns="id, status"))
-def landed_status(spark, d):
-    w = harvest.waiting_room(F.col("url"), F.col("kind"), F.col("body"))
-    return values(spark, _SCANS, "id, code, url, kind, body").select("id", harvest.scan_status(F.col("code"), F.col("body"), w).alias("status"))
-
-
-_TARGETS = "('http://127.0.0.1/x', 'loopback'), ('https://10.1.2.3', 'private'), ('http://169.254.1.1:80/', 'link_local'), ('http://[::1]/', 'loopback'), ('ftp://x.kr', 'scheme'), ('http://', 'host'), ('https://x.kr/a', NULL), ('http://8.8.8.8', NULL), ('http://224.0.0.1', 'special'), (NULL, 'scheme')"
-
-
-@query(_ONE.format(rows=_TARGETS, columns="url, why"))
-def fetch_targets(spark, d):
-    return values(spark, _TARGETS, "url, expected").select("url", harvest.rejection(F.col("url")).alias("why"))
-
-
-_ACCOUNTS = """<a href="#" onclick="fn_detail('A1', 3)">[승인] x</a><a onclick="fn_detail('A1', 3)">x</a><a onclick="fn_detail('B2', 4)">y</a>
-<a onclick="goPage(2)">2</a><a onclick="goPage(1)">1</a><p class="total-count">총 1,234건</p>"""
-
-
-@query(_ONE.format(rows="(1, 'A1/3|B2/4', '1,2', 1234)", columns="id, rows, pages, total"))
-def account_list(spark, d):
-    t = spark.createDataFrame([(1, _ACCOUNTS)], "id int, html string").select("id", harvest.account_page(F.col("html")).alias("p"))
-    return t.select("id", F.array_join(F.transform("p.rows", lambda r: F.array_join(r, "/")), "|").alias("rows"), F.array_join(F.transform("p.pages", lambda x: x.cast("string")), ",").alias("pages"), F.col("p.total").alias("total"))
-
-
-@query(_ONE.format(rows="(1, 'selected-subset-of-details', 'c'), (1, 'selected-in-search', 'b'), (1, 'relations-not-skipped', 'relations'), (1, 'plan-missing-reported', 'm2'), (1, 'contract-limits', 'too many'), (1, 'contract-limits', 'repeated'), (2, 'contract-limits', 'stage order')", columns="run, rule, subject"))
-def critic_findings(spark, d):
-    v = lambda rows, c: values(spark, rows, c)
-    return review.critic(
-        v("(1, 'a'), (1, 'b'), (1, 'c'), (1, 'a'), (2, 'a')", "run, id"),
-        v("(1, 'a'), (1, 'b'), (2, 'a')", "run, id"),
-        v("(1, 'a'), (1, 'c'), (2, 'a')", "run, id"),
-        v("(1, 1, 'search', 'ok'), (1, 2, 'relations', 'skipped'), (2, 1, 'detail', 'ok'), (2, 2, 'search', 'ok')", "run, ord, name, status"),
-        v("(1, 'm1'), (1, 'm2')", "run, item"),
-        v("(1, 'lost m1 here')", "run, text"),
-    )
-
-
-@query(_ONE.format(rows="(1, 'contradiction'), (2, 'evidence_gap')", columns="run, verdict"))
-def critic_verdicts(spark, d):
-    return review.verdict(critic_findings(spark, d), ("selected-in-search",))
-
-
-@query(_ONE.format(rows="('dangling-edge', '1>9'), ('support-cycle', '2>3'), ('support-cycle', '4'), ('unsupported-claim', '1'), ('unsupported-claim', '5'), ('unresolved-conflict', '1'), ('unresolved-conflict', '5')", columns="code, subject"))
-def argument_findings(spark, d):
-    nodes = values(spark, "(1, 'claim'), (2, 'claim'), (3, 'claim'), (4, 'claim'), (5, 'claim'), (6, 'premise')", "node, kind")
-    edges = values(spark, "(1, 9, 'support'), (2, 3, 'support'), (3, 2, 'support'), (4, 4, 'support'), (1, 5, 'attack'), (5, 1, 'attack'), (6, 3, 'support')", "src, dst, kind")
-    return review.judge_arguments(nodes, edges)
-
-
 @query("SELECT event_id, event_type <> 'error' AND user_id % 3 <> 0 AND event_id % 2 = 0 AS allowed FROM events")
 def connections(spark, d):
     e = table(spark, d, "events")
@@ -97,33 +26,6 @@ def connections(spark, d):
     return e.select("event_id", F.coalesce(review.connection_allowed(source, target, kind), F.lit(False)).alias("allowed"))
 
 
-def _process(spark):
-    nodes = values(spark, "('a', 'L1', 'S1', 'task', 0.9D), ('b', 'L1', 'S2', 'task', 0.5D), ('c', 'L1', 'S1', 'gate', 1.5D), ('d', 'L1', 'S2', 'task', 0.7D), ('e', 'L1', 'S2', 'odd', 0.7D), ('f', 'L1', 'S2', 'task', 0.7D)", "node, lane, stage, type, confidence")
-    edges = values(spark, "('a', 'b', 'sequence'), ('b', 'c', 'sequence'), ('e', 'f', 'sequence'), ('f', 'e', 'sequence'), ('a', 'z', 'sequence')", "src, dst, type")
-    return nodes, edges
-
-
-@query(_ONE.format(rows="('orphan-node', 'd'), ('unreachable-node', 'e'), ('unreachable-node', 'f'), ('backward-sequence', 'b>c'), ('empty-lane', 'L2'), ('empty-stage', 'S3')", columns="rule, subject"))
-def process_audit(spark, d):
-    return review.audit_process(*_process(spark), values(spark, "('L1'), ('L2')", "lane"), values(spark, "('S1', 1), ('S2', 2), ('S3', 3)", "stage, ord"))
-
-
-@query(_ONE.format(rows="('unknown-end', 'a>z'), ('type-not-allowed', 'e'), ('confidence-out-of-range', 'c')", columns="rule, subject"))
-def registry_validation(spark, d):
-    return review.validate_registry(*_process(spark), {"type": ("task", "gate")}, {"confidence": (0, 1)})
-
-
-@query(_ONE.format(rows="('repeated', 'a'), ('unknown', 'z'), ('own', 'b'), ('cycle', 'c'), ('cycle', 'd'), ('cycle', 'e')", columns="rule, subject"))
-def dag_validation(spark, d):
-    return review.validate_dag(values(spark, "('a'), ('a'), ('b'), ('c'), ('d'), ('e')", "node"), values(spark, "('z', 'a'), ('b', 'b'), ('c', 'd'), ('d', 'c'), ('d', 'e')", "src, dst"))
-
-
-@query(_ONE.format(rows="(1, 'u1'), (2, 'u2'), (3, 'u3')", columns="id, item"))
-def unresolved_sources(spark, d):
-    laws = values(spark, "(1, '「시설 안전 관리법」'), (2, '서울시 주차장 조례'), (3, '환경 오염 대응 매뉴얼 및 편람'), (4, '민법')", "id, law")
-    return review.unresolved_matches(laws, values(spark, "('u1', '시설안전관리법', 'internal-rule'), ('u2', '지역 조례', 'local-scope'), ('u3', '환경 업무', 'external-official-document'), ('u4', '다른 것', 'external-official-document')", "item, name, reason"))
-
-
 _ACTION = "CASE event_type WHEN 'signup' THEN '작성' WHEN 'view' THEN '제출' WHEN 'click' THEN '검토' WHEN 'error' THEN '보완' ELSE '반려' END"
 
 
@@ -169,14 +71,6 @@ def critic_relations(spark, d):
     return review.verified_relations(selected, rel.filter("l_returnflag = 'R'").select(*key).distinct(), rel.filter("l_returnflag <> 'R'").select(*key))
 
 
-@query(_ONE.format(rows="(1, 'u1'), (1, 'u2'), (2, 'u3'), (3, 'u1'), (3, 'u4'), (5, 'u2')", columns="id, url"))
-def law_source_sets(spark, d):
-    """Composites, aliases either way, and laws with what is below them."""
-    citations = values(spark, "(1, '난민법 및 행정소송법'), (2, '공정거래법'), (3, '난민법 및 하위법령'), (4, '없는법'), (5, '「행정 소송법」')", "id, law")
-    sources = values(spark, "('u1', '난민법', NULL), ('u2', '행정소송법', NULL), ('u3', '독점규제 및 공정거래에 관한 법률', NULL), ('u4', '시행 안내', '난민법 시행령')", "url, name, official")
-    return registry.find_sources(citations, sources, values(spark, "('공정거래법', '독점규제 및 공정거래에 관한 법률')", "alias, official"))
-
-
 _NATION_REL = "SELECT 'n' || s_suppkey AS id, s_nationkey AS source, (s_suppkey % 25) AS target, 'trades' AS type FROM supplier"
 
 

@@ -4,10 +4,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from brontide.functions import scalars, text
 from brontide.operators import index, profile, search
 from brontide.plans import flow
-from brontide.registry_of_queries import query, table, values
+from brontide.registry_of_queries import query, table
 from brontide.sources.stored import shared_folder
 
 _BM25 = """
@@ -60,20 +59,6 @@ def weighted_terms(spark, d):
     return search.term_frequencies(table(spark, d, "part"), "p_partkey", _WEIGHTS)
 
 
-_CJK = "(1, '미세먼지 API v2'), (2, '물 관리'), (3, 'Air-Quality 대기질'), (4, '')"
-
-
-@query(f"""WITH t AS (SELECT * FROM (VALUES {_CJK}) AS t(id, s)), r AS (SELECT id, regexp_extract_all(lower(s), '[a-z0-9]+') AS w, regexp_extract_all(s, '[가-힣]+') AS c FROM t)
-SELECT id, array_to_string(list_concat(w, flatten(list_transform(c, lambda x: CASE WHEN length(x) = 1 THEN [x] ELSE list_transform(range(1, length(x)), lambda i: substr(x, i, 2)) END))), ' ') AS tokens FROM r""")
-def tokenize_cjk(spark, d):
-    return values(spark, _CJK, "id, s").select("id", F.array_join(text.tokenize(F.col("s")), " ").alias("tokens"))
-
-
-@query()
-def split_intents(spark, d):
-    return values(spark, "(1, '미세먼지 및 날씨'), (2, '병원과 약국 위치, 주차장'), (3, 'a/b+cd')", "id, s").select("id", F.array_join(text.intents(F.col("s")), "|").alias("intents"))
-
-
 #: The stated query set: every vector whose id is divisible by 100.
 _VEC_SQL = """WITH q AS (SELECT vec_id AS intent, embedding::DOUBLE[] AS query FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT intent, vec_id, label, round(list_inner_product(embedding::DOUBLE[], query), 9) AS sim FROM embeddings, q),
@@ -266,35 +251,6 @@ def quality_dataset(spark, d):
     return profile.dataset_quality(table(spark, d, "customer"), ["c_nationkey", "c_mktsegment"])
 
 
-_SMALL = "(1, 'count', '1'), (2, 'count', 'oops'), (3, 'count', '3'), (4, 'count', ' '), (5, 'count', '4'), (6, 'count', '200'), (7, 'count', '2'), (8, 'count', '1,000'), (1, 'flag', 'Y'), (2, 'flag', 'no'), (1, 'when', '2024-01-02'), (2, 'when', '2024-01-02 03:04:05'), (1, 'code', '007'), (2, 'code', '12'), (1, 'amount', '1.5'), (2, 'amount', '2'), (1, 'empty', '-'), (2, 'empty', 'N/A')"
-_INFER = r"""CASE WHEN lower(v) IN ('true', 'false', 'yes', 'no', 'y', 'n') THEN 'boolean' WHEN regexp_matches(replace(v, ',', ''), '^[+-]?\d+$') THEN CASE WHEN regexp_matches(replace(v, ',', ''), '^[+-]?0\d+$') THEN 'string' ELSE 'integer' END
-WHEN regexp_matches(replace(v, ',', ''), '^[+-]?(\d+\.\d*|\d*\.\d+)([eE][+-]?\d+)?$') THEN 'number' WHEN regexp_matches(v, '^\d{4}-\d{2}-\d{2}$') AND try_cast(v AS DATE) IS NOT NULL THEN 'date'
-WHEN regexp_matches(v, '^\d{4}-\d{2}-\d{2}[T ]\d{2}(:\d{2}(:\d{2})?)?$') AND try_cast(substr(v, 1, 10) AS DATE) IS NOT NULL THEN 'datetime' ELSE 'string' END"""
-_SMALL_SQL = f"""WITH c AS (SELECT col, r, trim(v) AS v FROM (VALUES {_SMALL}) AS t(r, col, v)), p AS (SELECT col, r, v, CASE WHEN lower(v) NOT IN {_MISSING} THEN {_INFER} END AS k FROM c)"""
-
-
-def _small(spark):
-    return values(spark, _SMALL, "row, column, value")
-
-
-@query(_SMALL_SQL + """, g AS (SELECT col, list_sort(list(DISTINCT k) FILTER (k IS NOT NULL)) AS ks, count(*) AS n, count(k) AS m, array_to_string((list(v ORDER BY r) FILTER (k IS NOT NULL))[1:5], '|') AS s FROM p GROUP BY col)
-SELECT col AS "column", CASE WHEN coalesce(len(ks), 0) = 0 THEN 'null' WHEN ks = ['integer', 'number'] OR ks = ['number'] THEN 'number' WHEN ks = ['integer'] THEN 'integer' WHEN ks = ['date', 'datetime'] OR ks = ['datetime'] THEN 'datetime' WHEN len(ks) = 1 THEN ks[1] ELSE 'string' END AS inferred_type,
-round((n - m)::DOUBLE / n, 4) AS null_ratio, coalesce(s, '') AS samples FROM g""")
-def infer_types(spark, d):
-    return profile.infer_columns(_small(spark)).select("column", "inferred_type", "null_ratio", F.array_join("sample_values", "|").alias("samples"))
-
-
-@query(_SMALL_SQL + ' SELECT col AS "column", k AS observed_type, count(*) AS "count" FROM p WHERE k IS NOT NULL GROUP BY col, k')
-def observed_types(spark, d):
-    return profile.observed_types(_small(spark))
-
-
-@query(_SMALL_SQL + """, f AS (SELECT col, CASE col WHEN 'count' THEN k = 'integer' WHEN 'amount' THEN k IN ('integer', 'number') WHEN 'when' THEN k IN ('date', 'datetime') ELSE true END AS ok FROM p WHERE k IS NOT NULL)
-SELECT col AS "column", sum(ok::INT)::BIGINT AS matching_count, sum((NOT ok)::INT)::BIGINT AS mismatch_count, round(sum(ok::INT) / count(*), 4) AS ratio FROM f GROUP BY col""")
-def type_consistency(spark, d):
-    return profile.type_consistency(_small(spark), {"count": "integer", "amount": "number", "when": "datetime"})
-
-
 @query(f"""WITH n AS (SELECT 'value' AS col, event_id AS r, value AS x FROM events WHERE value IS NOT NULL), q AS (SELECT quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.75) AS b FROM n), f AS (SELECT a - 1.5 * (b - a) AS lo, b + 1.5 * (b - a) AS hi FROM q),
 o AS (SELECT *, row_number() OVER (ORDER BY least(x - lo, hi - x), r) AS k FROM n, f WHERE x < lo OR x > hi)
 SELECT col AS "column", k::INT AS rank, r AS row, round(x, 4) AS numeric_value, round(lo, 4) AS lower_fence, round(hi, 4) AS upper_fence FROM o WHERE k <= 20""")
@@ -302,57 +258,3 @@ def iqr_outliers(spark, d):
     return profile.iqr_outliers(profile.cells(table(spark, d, "events"), ["value"], F.col("event_id")))
 
 
-@query(f"SELECT v AS \"value\", CASE WHEN regexp_matches(v, '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$') THEN CAST(v AS DOUBLE) END AS number FROM (SELECT replace(v, ',', '') AS v FROM (VALUES ('1,000'), ('1e5'), ('1d'), ('nan'), ('-2.5'), ('x'), ('.5')) AS t(v))")
-def numeric_parse(spark, d):
-    t = values(spark, "('1,000'), ('1e5'), ('1d'), ('nan'), ('-2.5'), ('x'), ('.5')", "v")
-    return t.select(F.replace("v", F.lit(","), F.lit("")).alias("value"), scalars.number(F.col("v")).alias("number"))
-
-
-_ADDR = "('도로명주소', '서울특별시 중구 세종대로 110'), ('도로명주소', '부산광역시 해운대구 센텀중앙로 79'), ('도로명주소', '-'), ('지번주소', '서울특별시 중구 태평로1가 31'), ('지번주소', '대구 수성구 범어동 산 12-3'), ('우편번호', '04524'), ('우편번호', '135-080'), ('우편번호', '12'), ('비고', '메모'), ('곳', '경기도 수원시 효원로 1')"
-_KIND = r"CASE WHEN regexp_matches(v, '^(\d{5}|\d{3}-\d{3})$') THEN 'postal' WHEN regexp_matches(v, '(^|\s)([가-힣A-Za-z0-9·.-]+(대로|로|길))\s+\d{1,5}(-\d{1,5})?(\s|$)') THEN 'road' WHEN regexp_matches(v, '(^|\s)[가-힣A-Za-z0-9·.-]+(동|읍|면|리|가)\s+(산\s*)?\d{1,5}(-\d{1,5})?(\s|$)') THEN 'jibun' END"
-
-
-@query(f"SELECT c AS \"column\", v AS \"value\", CASE WHEN {_KIND} IS NULL THEN 'invalid' ELSE 'verified' END AS status, {_KIND} AS kind FROM (VALUES {_ADDR}) AS t(c, v)")
-def address_values(spark, d):
-    return values(spark, _ADDR, "column, value").select("column", "value", F.inline(F.array(scalars.validate_address(F.col("value")))))
-
-
-@query(f"""WITH k AS (SELECT c, v <> '-' AS p, CASE WHEN v <> '-' THEN {_KIND} END AS k FROM (VALUES {_ADDR}) AS t(c, v)), h AS (SELECT c, count(*) AS n, sum(p::INT) AS s, count(k) FILTER (k = 'road') AS road, count(k) FILTER (k = 'jibun') AS jibun, count(k) FILTER (k = 'postal') AS postal,
-CASE c WHEN '도로명주소' THEN 'road' WHEN '지번주소' THEN 'jibun' WHEN '우편번호' THEN 'postal' END AS hk FROM k GROUP BY c),
-v AS (SELECT *, CASE hk WHEN 'road' THEN road WHEN 'jibun' THEN jibun WHEN 'postal' THEN postal ELSE road + jibun + postal END AS ok FROM h WHERE hk IS NOT NULL OR road + jibun > 0)
-SELECT c AS "column", coalesce(hk, CASE WHEN road > 0 THEN 'road' ELSE 'jibun' END) AS kind, CASE WHEN ok::DOUBLE / s >= 0.6 THEN 'verified' WHEN ok = 0 AND hk IS NOT NULL THEN 'invalid' ELSE 'unverified' END AS status,
-round(least(1.0::DOUBLE, (CASE WHEN hk IS NOT NULL THEN 0.3::DOUBLE ELSE 0 END + 0.7::DOUBLE * ok / s) * (1 - 0.5::DOUBLE * (n - s) / n)), 3) AS quality_score, round(ok::DOUBLE / s, 3) AS valid_ratio, ok::BIGINT AS valid_samples FROM v""")
-def address_profile(spark, d):
-    return profile.address_profile(values(spark, _ADDR, "column, value"))
-
-
-_GEO = "(1, '37.56', '126.97'), (2, '40.1', '127.0'), (3, '', '127.0'), (4, '33.5', '126.5'), (5, 'x', 'y'), (6, '35.1', '135.0')"
-_GEO_STATUS = "CASE WHEN try_cast(la AS DOUBLE) IS NULL OR try_cast(lo AS DOUBLE) IS NULL THEN 'unverified' WHEN try_cast(la AS DOUBLE) BETWEEN 32 AND 39.5 AND try_cast(lo AS DOUBLE) BETWEEN 124 AND 132 THEN 'verified' ELSE 'invalid' END"
-
-
-@query(f"SELECT count(*) AS pairs, count(*) FILTER (s = 'verified') AS valid, round((count(*) FILTER (s = 'verified'))::DOUBLE / count(*), 3) AS ratio, CASE WHEN bool_or(s = 'invalid') THEN 'invalid' WHEN bool_or(s = 'unverified') THEN 'unverified' ELSE 'verified' END AS status FROM (SELECT {_GEO_STATUS} AS s FROM (VALUES {_GEO}) AS t(id, la, lo))")
-def coord_profile(spark, d):
-    return profile.coordinate_profile(values(spark, _GEO, "id, la, lo"), "la", "lo")
-
-
-@query(f"SELECT id, {_GEO_STATUS} AS status, CASE WHEN {_GEO_STATUS} = 'verified' THEN try_cast(lo AS DOUBLE) END AS lon, CASE WHEN {_GEO_STATUS} = 'verified' THEN try_cast(la AS DOUBLE) END AS lat FROM (VALUES {_GEO}) AS t(id, la, lo)")
-def geojson_features(spark, d):
-    f = values(spark, _GEO, "id, la, lo").select("id", scalars.geojson_feature(F.col("la"), F.col("lo"), F.struct("id")).alias("f"))
-    return f.select("id", F.col("f.coordinate_status").alias("status"), F.get("f.geometry.coordinates", 0).alias("lon"), F.get("f.geometry.coordinates", 1).alias("lat"))
-
-
-@query("SELECT c AS name, CASE WHEN c LIKE '%우편%' THEN 'postal' WHEN c LIKE '%도로명%' THEN 'road' WHEN c LIKE '%지번%' THEN 'jibun' WHEN c LIKE '%주소%' OR c LIKE '%addr%' THEN 'address' END AS kind, CASE lower(c) WHEN '위도' THEN 'lat' WHEN 'lng' THEN 'lon' END AS axis FROM (VALUES ('우편 번호'), ('도로명주소'), ('지번 주소'), ('주소'), ('home_addr'), ('위도'), ('LNG'), ('값')) AS t(c)")
-def header_kinds(spark, d):
-    return values(spark, "('우편 번호'), ('도로명주소'), ('지번 주소'), ('주소'), ('home_addr'), ('위도'), ('LNG'), ('값')", "name").select("name", scalars.header_kind(F.col("name")).alias("kind"), scalars.axis(F.col("name")).alias("axis"))
-
-
-@query("SELECT coalesce(id, 'row-' || r) AS record_id, trim(a) AS address FROM (VALUES (1, 'a', '서울 세종대로 110'), (2, NULL, ' 부산 중앙로 1 '), (3, 'c', ' ')) AS t(r, id, a) WHERE trim(a) <> ''")
-def geocode_requests(spark, d):
-    t = values(spark, "(1, 'a', '서울 세종대로 110'), (2, NULL, ' 부산 중앙로 1 '), (3, 'c', ' ')", "r, id, a")
-    return t.filter(text.trim(F.col("a")) != "").select(F.coalesce("id", F.concat(F.lit("row-"), F.col("r").cast("string"))).alias("record_id"), text.trim(F.col("a")).alias("address"))
-
-
-@query("SELECT p AS raw, f AS phone FROM (VALUES ('02)1234-5678', '02-1234-5678'), ('0311234567', '031-123-4567'), ('010 1234 5678', '010-1234-5678'), ('0000', NULL), ('없음', NULL), ('1588-0000', '15880000')) AS t(p, f)")
-def phone_format(spark, d):
-    t = values(spark, "('02)1234-5678'), ('0311234567'), ('010 1234 5678'), ('0000'), ('없음'), ('1588-0000')", "raw")
-    return t.select("raw", scalars.phone(F.col("raw")).alias("phone"))

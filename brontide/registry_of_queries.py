@@ -27,3 +27,19 @@ def table(spark, sf_dir: str, name: str):
 def values(spark, rows: str, columns: str):
     """A literal table; `rows` and `columns` are written the same way in every engine."""
     return spark.sql(f"SELECT * FROM (VALUES {rows}) AS t({columns})")
+
+
+class Derived:
+    """Columns worked out from a table's, by expressions that mean the same in every engine: the rows an operator meets, in Spark and in SQL."""
+
+    def __init__(self, base: str, **columns: str):
+        self.base, self.columns = base, columns
+        self.sql = "(SELECT " + ", ".join(f"{e} AS {c}" for c, e in columns.items()) + f" FROM {base})"
+
+    def __call__(self, spark, sf_dir: str):
+        return table(spark, sf_dir, self.base).selectExpr(*(f"{e} AS {c}" for c, e in self.columns.items()))
+
+
+def in_turn(key: str, *options: str) -> str:
+    """One of the options, by the key's remainder."""
+    return f"CASE {key} % {len(options)} " + " ".join(f"WHEN {i} THEN {o}" for i, o in enumerate(options)) + " END"

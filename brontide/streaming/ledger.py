@@ -28,3 +28,19 @@ def token_stream(lines: DataFrame, value: str = "value") -> DataFrame:
     """NDJSON lines as (response, done, error): error is set where a line is no JSON object."""
     v = F.from_json(value, "response string, done boolean")
     return lines.select(F.coalesce(v["response"], F.lit("")).alias("response"), F.coalesce(v["done"], F.lit(False)).alias("done"), F.when(F.try_parse_json(value).isNull(), F.lit("invalid line")).alias("error"))
+
+
+def concat_tokens(lines: DataFrame, key: str, number: str, value: str = "value") -> DataFrame:
+    """(key, text, errors): the responses of each stream of NDJSON lines put together in the order of their numbers.
+
+    errors: for each line that is no JSON object its number and what is wrong, in
+    order.  Blank lines say nothing.  A number is a line's place in its stream.
+    """
+    whole = lines.filter(F.trim(F.coalesce(F.col(value), F.lit(""))) != "")
+    parsed = F.try_parse_json(value)
+    wrong = F.when(parsed.isNull(), "no JSON").when(~F.ltrim(value).startswith("{"), "no JSON object")
+    said = F.when(wrong.isNull(), F.coalesce(F.get_json_object(value, "$.response"), F.lit("")))
+    part = F.struct(F.col(number).alias("at"), said.alias("said"), wrong.alias("wrong"))
+    ordered = whole.groupBy(key).agg(F.sort_array(F.collect_list(part)).alias("p"))
+    bad = F.transform(F.filter("p", lambda x: x["wrong"].isNotNull()), lambda x: F.struct(x["at"].cast("bigint").alias("line"), x["wrong"].alias("error")))
+    return ordered.select(key, F.array_join(F.transform("p", lambda x: x["said"]), "").alias("text"), bad.alias("errors"))
