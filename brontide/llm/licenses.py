@@ -1,10 +1,11 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of the text, a run of up to `span` lines that follow each
-other, or a run of words twice as long as the template, wherever its lines end:
-a template is found however it is wrapped, also with a mark or a number beside
-each of its words.  Lines without words don't count.  A block matches a template
-if it contains at least a share `least` of the template's tokens.
+A block is a line of the text; a run of up to `span` lines that follow each
+other, of which lines without words don't count; a run of words twice as long as
+the template, wherever its lines end; or all lines between two blank ones, of any
+number, so a paragraph or a comment is one block whatever stands between the
+template's words.  A block matches a template if it contains at least a share
+`least` of the template's tokens.
 
 The join is exact and driven by filters, in this order:
 
@@ -93,8 +94,17 @@ class Matcher:
             for w in t.prefix:
                 self.index.setdefault(w, []).append(i)
 
-    def best(self, lines: list[bytes]) -> dict[str, float]:
-        """For each template that some block contains enough of, the largest share contained.  lines: lowered, words apart."""
+    def best(self, lines: list[bytes], blank: list[bool] | None = None) -> dict[str, float]:
+        """For each template that some block contains enough of, the largest share contained.
+
+        lines: lowered, words apart.  blank: which of them are blank in the text;
+        others without words (rules, comment marks) part no block.
+        """
+        part, parts = 0, []
+        for i, line in enumerate(lines):
+            part += bool(blank and blank[i])
+            if line.strip():
+                parts.append(part)
         lines = [line for line in lines if line.strip()]
         keys = self.index.keys()
         hit: dict[int, set[int]] = {}
@@ -107,18 +117,23 @@ class Matcher:
                     for t in self.index[w]:
                         hit.setdefault(t, set()).add(i)
         out: dict[str, float] = {}
-        words = [w for line in lines for w in line.split()] if hit else []
+        if not hit:
+            return out
+        words = [w for line in lines for w in line.split()]
         present = set(words)
-        for t in hit:
+        whole: dict[int, set[bytes]] = {}
+        wanted = {parts[i] for at in hit.values() for i in at}
+        for i, line in enumerate(lines):
+            if parts[i] in wanted:
+                whole.setdefault(parts[i], set()).update(line.split())
+        for t, at in hit.items():
             share = self._share_of_words(t, words, present)
+            for k in {parts[i] for i in at}:
+                share = max(share, self._share_of(t, whole[k]))
+            for start in sorted({max(0, i - k) for i in at for k in range(self.span)}):
+                share = max(share, self._share(t, lines, sets, start))
             if share:
                 out[self.templates[t].label] = share
-        for t, at in hit.items():
-            for start in sorted({max(0, i - k) for i in at for k in range(self.span)}):
-                share = self._share(t, lines, sets, start)
-                if share:
-                    label = self.templates[t].label
-                    out[label] = max(out.get(label, 0.0), share)
         return out
 
     def _share_of_words(self, t: int, words: list[bytes], present: set[bytes]) -> float:
@@ -141,25 +156,28 @@ class Matcher:
         return best / len(place) if best >= template.need else 0.0
 
     def _share(self, t: int, lines: list[bytes], sets: dict[int, set[bytes]], start: int) -> float:
-        """The largest share of template t in the blocks that start at a line, 0 if none is enough."""
-        template, place = self.templates[t], self.places[t]
+        """The largest share of template t in the blocks of lines that start at a line, 0 if none is enough."""
         block: set[bytes] = set()
-        best = 0
+        best = 0.0
         for i in range(start, min(len(lines), start + self.span)):
             if i not in sets:
                 sets[i] = set(lines[i].split())
             block |= sets[i]
-            if len(block) < template.need:  # length filter
-                continue
-            seen, last = 0, len(template.order)
-            for p, w in enumerate(template.order):
-                if w in block:
-                    seen += 1
-                if seen + last - p - 1 < template.need:  # positional filter
-                    break
-            else:
-                best = max(best, seen)
-        return best / len(place) if best >= template.need else 0.0
+            best = max(best, self._share_of(t, block))
+        return best
+
+    def _share_of(self, t: int, block: set[bytes]) -> float:
+        """The share of template t in a block, 0 if it isn't enough."""
+        template = self.templates[t]
+        if len(block) < template.need:  # length filter
+            return 0.0
+        seen, last = 0, len(template.order)
+        for p, w in enumerate(template.order):
+            if w in block:
+                seen += 1
+            if seen + last - p - 1 < template.need:  # positional filter
+                return 0.0
+        return seen / last
 
 
 def base_places(words: list[bytes], phrases: dict[str, str]) -> tuple[list[int], set[str]]:
@@ -217,10 +235,11 @@ def license_scan(docs: DataFrame, text: str = "text", templates: dict[str, str]
     slim = table.slim(column)
 
     def judge(t: str | None) -> tuple:
-        raw = (t or "").encode("utf-8", "surrogatepass").lower().translate(_APART_IN_LINE)
+        low = (t or "").encode("utf-8", "surrogatepass").lower()
+        raw = low.translate(_APART_IN_LINE)
         words = raw.split()
         at, base = base_places(words, phrases)
-        found = matcher.best(raw.split(b"\n")) if words else {}
+        found = matcher.best(raw.split(b"\n"), [not x.strip() for x in low.split(b"\n")]) if words else {}
         score = 1.0 if base else max(found.values(), default=0.0)
         return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | found.keys())), score
 

@@ -260,6 +260,7 @@ def model_license(text, least=licenses.LEAST, span=licenses.SPAN):
         at += found
         base |= {label} if found else set()
     lines, labels, best = [set(re.findall(pattern, x)) for x in low.split("\n")], set(base), 0.0
+    whole = [set(re.findall(pattern, x)) for x in re.split(r"\n[ \t\r\x0b\f]*(?=\n)", low)]
     for name, t in licenses.TEMPLATES.items():
         want = set(re.findall(pattern, t.lower()))
         for i in range(len(lines)):
@@ -268,6 +269,10 @@ def model_license(text, least=licenses.LEAST, span=licenses.SPAN):
                 if share >= least - 1e-9:
                     labels.add(name)
                     best = max(best, share)
+        for block in whole:
+            if (share := len(want & block) / len(want)) >= least - 1e-9:
+                labels.add(name)
+                best = max(best, share)
     return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if base else best
 
 
@@ -295,9 +300,12 @@ def test_license_scan_however_lines_end(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     for r in licenses.license_scan(docs).collect():
         assert (r["labels"], r["score"], r["base_labels"]) == ("bsd" if r["doc_id"] % 6 < 3 else "mit-text", 1.0, ""), r["text"]
-    # Words that stand far from each other are no block.
-    apart = spark.createDataFrame([(1, "\n".join(f"{w} a b c d\ne f g" for w in bsd.split()))], "doc_id int, text string")
-    assert licenses.license_scan(apart).first()["labels"] == ""
+    # Words that stand far from each other are one block in a paragraph or a comment, and none across blank lines.
+    far = lambda gap: gap.join(f"{w} a b c d\ne f g" for w in bsd.split())
+    noted = "\n".join(" # " + " ".join(mit.split()[i : i + 4]) + " (a note that was put here by somebody)" for i in range(0, 40, 4))
+    one_a_line = "\n".join(f"// two more {w}" for w in mit.split())
+    apart = spark.createDataFrame([(1, far("\n \n")), (2, far("\n")), (3, "x\n\n" + noted + "\n\ny"), (4, one_a_line), (5, far("\n//\n"))], "doc_id int, text string")
+    assert [r["labels"] for r in licenses.license_scan(apart).orderBy("doc_id").collect()] == ["", "bsd", "mit-text", "mit-text", "bsd"]
 
 
 def test_windows_like_brute_force():
