@@ -314,4 +314,4 @@ def test_windows_like_brute_force():
         words = [rng.choice("abcdefgx").encode() for _ in range(rng.randrange(1, 40))]
         m = licenses.Matcher({"t": "a b c d a"}, {}, 0.75, 1)
         want = max(len(set(words[i : i + 10]) & {b"a", b"b", b"c", b"d"}) for i in range(len(words))) / 4
-        assert m.best(words) == ({"t": want} if want >= 0.75 else {})
+        assert m.best(words, [True] * len(words)) == ({"t": want} if want >= 0.75 else {})  # each word a part of its own
