@@ -98,7 +98,7 @@ def law_targets(citations: DataFrame, aliases: DataFrame, composites: dict[str,
     itself.  below: the citation also means every law whose name begins with the target's.
     """
     known = F.create_map(*(x for k, v in composites.items() for x in (compact_law(F.lit(k)), F.array(*map(F.lit, v)))))
-    official = aliases.select(compact_law(F.col("alias")).alias("law_key"), F.col("official").alias("law_official")).dropDuplicates(["law_key"])
+    official = aliases.groupBy(compact_law(F.col("alias")).alias("law_key")).agg(F.min("official").alias("law_official"))
     c = citations.withColumn("law_key", compact_law(F.col("law"))).withColumn("below", F.coalesce(F.col("law").rlike(_AND_BELOW), F.lit(False))).join(official, "law_key", "left")
     parts = F.coalesce(F.try_element_at(known, F.col("law_key")), F.array(F.coalesce("law_official", F.regexp_replace("law", _AND_BELOW, ""))))
     return c.withColumn("target", F.explode(parts)).drop("law_key", "law_official")
@@ -111,7 +111,7 @@ def find_sources(citations: DataFrame, sources: DataFrame, aliases: DataFrame, c
     target's alias counts for the target.  Names that begin with a target are
     found through all their beginnings, so this is an equi-join too.
     """
-    alias = aliases.select(compact_law(F.col("alias")).alias("key"), compact_law(F.col("official")).alias("other")).dropDuplicates(["key"])
+    alias = aliases.groupBy(compact_law(F.col("alias")).alias("key")).agg(F.min(compact_law(F.col("official"))).alias("other"))
     t = law_targets(citations, aliases, composites).withColumn("key", compact_law(F.col("target"))).join(alias, "key", "left")
     wanted = t.select("id", "below", F.explode(F.array_compact(F.array("key", "other"))).alias("key")).filter("key <> ''")
     names = sources.select("url", F.explode(F.array_compact(F.array("name", "official"))).alias("name")).select("url", compact_law(F.col("name")).alias("key")).filter("key <> ''")
@@ -127,7 +127,7 @@ def match_sources(citations: DataFrame, sources: DataFrame, aliases: DataFrame)
     Two equi-joins on compacted names; several sources of one name give the least.
     """
     named = sources.select(compact_law(F.col("name")).alias("k"), "name").groupBy("k").agg(F.min("name").alias("source"))
-    official = aliases.select(compact_law(F.col("alias")).alias("k"), compact_law(F.col("official")).alias("o")).dropDuplicates(["k"])
+    official = aliases.groupBy(compact_law(F.col("alias")).alias("k")).agg(F.min(compact_law(F.col("official"))).alias("o"))
     c = citations.withColumn("k", compact_law(F.col("law")))
     direct = c.join(named, "k", "left").join(official, "k", "left")
     via = named.select(F.col("k").alias("o"), F.col("source").alias("via"))

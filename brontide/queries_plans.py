@@ -1,9 +1,15 @@
 """Queries of portals, critics, argument and process graphs and law sources: inputs are worked out from tables by expressions that every engine reads alike."""
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from brontide.operators import harvest, ledger, registry, review
-from brontide.registry_of_queries import Derived, in_turn, query
+from brontide.plans import tables
+from brontide.registry_of_queries import Derived, in_turn, query, table
+from brontide.sources import csv_ranges, sinks
+from brontide.sources.stored import shared_folder
 
 # Portals.
 
@@ -138,8 +144,6 @@ SELECT 'unreachable-node', '' || node FROM n WHERE node NOT IN (SELECT node FROM
 SELECT 'backward-sequence', src || '>' || dst FROM q JOIN n a ON src = a.node JOIN n b ON dst = b.node JOIN t x ON a.stage = x.stage JOIN t y ON b.stage = y.stage WHERE y.ord < x.ord UNION ALL
 SELECT 'empty-lane', lane FROM {_LANES} WHERE lane NOT IN (SELECT lane FROM n) UNION ALL SELECT 'empty-stage', stage FROM t WHERE stage NOT IN (SELECT stage FROM n)""")
 def process_audit(spark, d):
-    from brontide.registry_of_queries import table
-
     lanes = table(spark, d, "customer").select(F.col("c_mktsegment").alias("lane")).union(table(spark, d, "nation").select("n_name")).distinct()
     return review.audit_process(_STEPS(spark, d), _FLOW(spark, d), lanes, _STAGED(spark, d).distinct())
 
@@ -206,3 +210,69 @@ c AS (SELECT id, law, CASE WHEN law LIKE '「%' THEN 'Law' || split_part(split_p
 SELECT DISTINCT id, url FROM c JOIN s ON n = k OR (below AND starts_with(n, k)) WHERE law NOT LIKE 'alias%' OR split_part(law, ' ', 2)::INT < 25""")
 def law_source_sets(spark, d):
     return registry.find_sources(_CITED(spark, d), _SOURCES(spark, d), _ALIASES(spark, d))
+
+
+# Flows: a customer's orders are the nodes; the i-th feeds the one at i // 2, and in some flows the first feeds the last.
+
+
+def _flow_nodes(spark, d):
+    at = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("flow"), F.col("o_orderkey").alias("node"), at.alias("at"))
+
+
+def _flow_edges(spark, d):
+    n = _flow_nodes(spark, d)
+    to = n.select("flow", F.col("node").alias("dst"), F.col("at").alias("half"))
+    tree = n.withColumn("half", F.floor(F.col("at") / 2).cast("int")).join(to, ["flow", "half"]).select("flow", F.col("node").alias("src"), "dst", "at")
+    ends = n.groupBy("flow").agg(F.min_by("node", "at").alias("src"), F.max_by("node", "at").alias("dst"), F.max("at").alias("at")).filter("flow % 5 = 0 and src <> dst")
+    return tree.unionByName(ends.select("flow", "src", "dst", (F.col("at") + 1).alias("at")))
+
+
+_FLOWS = "n AS (SELECT o_custkey AS flow, o_orderkey AS node, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS at, count(*) OVER (PARTITION BY o_custkey) AS size FROM orders)"
+
+
+@query(f"""WITH {_FLOWS}, h AS (SELECT *, CASE WHEN flow % 5 = 0 AND size > 1 THEN 0 ELSE list_max(list_filter(range(40), lambda k: at * (1::BIGINT << k) <= size)) END AS height FROM n)
+SELECT flow, node, row_number() OVER (PARTITION BY flow ORDER BY height, at) - 1 AS position FROM h""")
+def flow_order(spark, d):
+    """The order of all flows' nodes: a tree's by height and place, a cyclic flow's as it is listed."""
+    return tables.order_flows(_flow_nodes(spark, d), _flow_edges(spark, d))
+
+
+@query(f"""WITH RECURSIVE {_FLOWS}, e AS (SELECT a.flow, a.node AS src, b.node AS dst FROM n a JOIN n b ON a.flow = b.flow AND b.at = a.at // 2 UNION SELECT flow, min(node), max(node) FROM n WHERE flow % 5 = 0 AND size > 1 GROUP BY flow),
+r(flow, output, node) AS (SELECT flow, min(node), min(node) FROM n GROUP BY flow UNION SELECT r.flow, r.output, e.src FROM r JOIN e ON e.flow = r.flow AND e.dst = r.node) SELECT flow, output, node FROM r""")
+def flow_upstream(spark, d):
+    """What each flow's first node, the root of its tree, depends on."""
+    roots = _flow_nodes(spark, d).groupBy("flow").agg(F.min("node").alias("node"))
+    return tables.upstream_of(_flow_edges(spark, d), roots)
+
+
+# Files written from tables and read back.
+
+
+@query("SELECT 'euc-kr' AS encoding, o_orderkey + 15000000 AS number, o_orderpriority || chr(10) || 'said \"' || o_orderstatus || '\", and more' AS note FROM orders")
+def catalog_ranges(spark, d):
+    """The orders as a catalog of quoted CSV with line ends inside cells, read by ranges."""
+    path = f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
+    note = F.concat("o_orderpriority", F.lit("\n"), F.lit('said "'), "o_orderstatus", F.lit('", and more'))
+    rows = table(spark, d, "orders").select((F.col("o_orderkey") + 15_000_000).alias("key"), note.alias("note"))
+    rows.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    return csv_ranges.catalog_table(spark, path).select("encoding", "number", F.col("row.note").alias("note"))
+
+
+@query("SELECT event_type AS target, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events WHERE event_type IN ('click', 'view', 'error') GROUP BY 1")
+def committed_split(spark, d):
+    """Events in a folder for each of three types, put in place together, and read back."""
+    path = f"{shared_folder(spark)}/split-{uuid.uuid4().hex}"
+    sinks.write_split(table(spark, d, "events").select("event_id", "event_type"), path, "event_type", ["click", "view", "error"])
+    back = spark.read.schema("event_id bigint, event_type string").json([f"{path}/{t}" for t in ("click", "view", "error")])
+    return back.groupBy(F.col("event_type").alias("target")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("SELECT s_suppkey::VARCHAR AS api_id, s_name AS name, 'n' || s_nationkey AS folder FROM supplier")
+def committed_documents(spark, d):
+    """A file for each supplier, in a folder for each nation, put in place together, and read back."""
+    path = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    docs = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("api_id"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("api_type"), F.col("s_name").alias("name"))
+    sinks.write_documents(docs, path)
+    back = spark.read.schema("api_id string, name string").option("recursiveFileLookup", True).json(path)
+    return back.select("api_id", "name", F.regexp_extract(F.col("_metadata.file_path"), "/([^/]+)/[^/]+$", 1).alias("folder"))

@@ -14,9 +14,12 @@ def event_windows(events: DataFrame, ts: str, kind: str, size: str = "1 day", la
 
 
 def first_requests(requests: DataFrame, key: str, ts: str, late: str = "2 days") -> DataFrame:
-    """One row per idempotency key; a stream forgets keys older than the watermark."""
+    """One row per idempotency key, the first; a stream keeps the one that comes first and forgets keys older than the watermark."""
     timed = requests.withColumn("at", F.col(ts).cast("timestamp"))
-    return timed.withWatermark("at", late).dropDuplicatesWithinWatermark([key]) if requests.isStreaming else timed.dropDuplicates([key])
+    if requests.isStreaming:
+        return timed.withWatermark("at", late).dropDuplicatesWithinWatermark([key])
+    rest = [c for c in timed.columns if c not in (key, "at")]
+    return timed.groupBy(key).agg(F.min(F.struct("at", *rest)).alias("x")).select(key, "x.*").select(*timed.columns)
 
 
 def append_only(stream: DataFrame, path: str, checkpoint: str):
