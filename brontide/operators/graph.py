@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brontide.sources.stored import Log, discard, written
+from brontide.sources.stored import Log, discard, written, written_counting
 
 
 def _kind(df: DataFrame, column: str) -> str:
@@ -66,13 +66,12 @@ def strong_components(edges: DataFrame, rounds: list[int] | None = None) -> Data
         colours, n = _colours(left, turn)
         done += n + 1
         turn += 1
-        same = written(colours.filter("ahead = back").select("node", F.col("ahead").alias("root")))
-        found.append(same)
+        found.append(colours.filter("ahead = back").select("node", F.col("ahead").alias("root")))
         open_ = colours.filter("ahead <> back")
         end = lambda name: open_.select(F.col("node").alias(name), F.struct("ahead", "back").alias(f"{name}_c"))  # noqa: E731, B023
         rest = left.join(end("src"), "src").join(end("dst"), "dst").filter("src_c = dst_c").select("src", "dst")
         last, left = left, written(rest)
-        discard(last, colours)
+        discard(last)
     if rounds is not None:
         rounds.append(done)
     named = reduce(DataFrame.unionByName, found) if found else nodes.select("node", F.col("node").alias("root")).limit(0)
@@ -89,29 +88,27 @@ def _colours(edges: DataFrame, turn: int) -> tuple[DataFrame, int]:
     has the least colour on its pointer's path.  Phases go on until no edge moves
     a colour.
     """
-    both = written(edges.select(F.lit(0).alias("way"), F.col("src").alias("of"), F.col("dst").alias("to")).unionByName(edges.select(F.lit(1).alias("way"), F.col("dst").alias("of"), F.col("src").alias("to"))))
+    both = edges.select(F.lit(0).alias("way"), F.col("src").alias("of"), F.col("dst").alias("to")).unionByName(edges.select(F.lit(1).alias("way"), F.col("dst").alias("of"), F.col("src").alias("to")))
     colour = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("n"))
     state = written(both.select("way", F.col("of").alias("node")).distinct().select("way", "node", colour.alias("c")))
     rounds = 0
     while True:
         near = both.join(state.select("way", F.col("node").alias("to"), "c"), ["way", "to"]).groupBy("way", F.col("of").alias("node")).agg(F.min(F.struct("c", "to")).alias("best"))
         step = state.join(near, ["way", "node"], "left").select("way", "node", F.least("c", F.coalesce("best.c", "c")).alias("c"), F.coalesce("best.to", "node").alias("at"), F.coalesce(F.col("best.c") < F.col("c"), F.lit(False)).alias("moved"))
-        last, state = state, written(step)
+        last, (state, moving) = state, written_counting(step, "moved")
         discard(last)
         rounds += 1
-        if state.filter("moved").isEmpty():
+        if not moving:
             break
-        moving = True
         while moving:
             there = state.select("way", F.col("node").alias("at"), F.col("c").alias("far"), F.col("at").alias("next"))
             jump = state.select("way", "node", "c", "at").join(there, ["way", "at"]).select("way", "node", F.least("c", "far").alias("c"), F.col("next").alias("at"), (F.col("far") < F.col("c")).alias("moved"))
-            last, state = state, written(jump)
+            last, (state, moving) = state, written_counting(jump, "moved")
             discard(last)
             rounds += 1
-            moving = not state.filter("moved").isEmpty()
     way = lambda n, name: state.filter(F.col("way") == n).select("node", F.col("c.n").alias(name))
     out = written(way(0, "ahead").join(way(1, "back"), "node", "full").select("node", F.coalesce("ahead", "node").alias("ahead"), F.coalesce("back", "node").alias("back")))
-    discard(both, state)
+    discard(state)
     return out, rounds
 
 

@@ -228,17 +228,17 @@ def _flow_edges(spark, d):
     return tree.unionByName(ends.select("flow", "src", "dst", (F.col("at") + 1).alias("at")))
 
 
-_FLOWS = "n AS (SELECT o_custkey AS flow, o_orderkey AS node, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS at, count(*) OVER (PARTITION BY o_custkey) AS size FROM orders)"
+_FLOWS = "n AS (SELECT o_custkey AS flow, o_orderkey AS node, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS spot, count(*) OVER (PARTITION BY o_custkey) AS size FROM orders)"
 
 
-@query(f"""WITH {_FLOWS}, h AS (SELECT *, CASE WHEN flow % 5 = 0 AND size > 1 THEN 0 ELSE list_max(list_filter(range(40), lambda k: at * (1::BIGINT << k) <= size)) END AS height FROM n)
-SELECT flow, node, row_number() OVER (PARTITION BY flow ORDER BY height, at) - 1 AS position FROM h""")
+@query(f"""WITH {_FLOWS}, h AS (SELECT *, CASE WHEN flow % 5 = 0 AND size > 1 THEN 0 ELSE list_max(list_filter(range(40), lambda k: spot * (1::BIGINT << k) <= size)) END AS height FROM n)
+SELECT flow, node, row_number() OVER (PARTITION BY flow ORDER BY height, spot) - 1 AS position FROM h""")
 def flow_order(spark, d):
     """The order of all flows' nodes: a tree's by height and place, a cyclic flow's as it is listed."""
     return tables.order_flows(_flow_nodes(spark, d), _flow_edges(spark, d))
 
 
-@query(f"""WITH RECURSIVE {_FLOWS}, e AS (SELECT a.flow, a.node AS src, b.node AS dst FROM n a JOIN n b ON a.flow = b.flow AND b.at = a.at // 2 UNION SELECT flow, min(node), max(node) FROM n WHERE flow % 5 = 0 AND size > 1 GROUP BY flow),
+@query(f"""WITH RECURSIVE {_FLOWS}, e AS (SELECT a.flow, a.node AS src, b.node AS dst FROM n a JOIN n b ON a.flow = b.flow AND b.spot = a.spot // 2 UNION SELECT flow, min(node), max(node) FROM n WHERE flow % 5 = 0 AND size > 1 GROUP BY flow),
 r(flow, output, node) AS (SELECT flow, min(node), min(node) FROM n GROUP BY flow UNION SELECT r.flow, r.output, e.src FROM r JOIN e ON e.flow = r.flow AND e.dst = r.node) SELECT flow, output, node FROM r""")
 def flow_upstream(spark, d):
     """What each flow's first node, the root of its tree, depends on."""

@@ -10,7 +10,8 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _PLACES: dict[int, str] = {}
 
@@ -41,6 +42,13 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def written_counting(df: DataFrame, flag: str) -> tuple[DataFrame, int]:
+    """written, and how many of the rows have the flag: counted as they are written, so no further job reads them.  df has rows."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count_if(F.col(flag)).alias("n")))
+    return out, seen.get["n"]
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes the files of written tables that nothing reads any more."""
     for df in tables:
