@@ -97,10 +97,14 @@ def content_length(content_range: Column, length: Column) -> Column:
     return F.coalesce(F.when(total != "", total), length).try_cast("bigint")
 
 
-def sniff_format(path: Column, head: Column) -> Column:
-    """xlsx, zip, json, tsv, csv, text or unknown, by suffix and then by the first characters."""
+def sniff_format(path: Column, head: Column, mime: Column | None = None) -> Column:
+    """xlsx, zip, json, tsv, csv, text or unknown: by suffix, by the first characters, and by the MIME type where these say nothing."""
     p = F.lower(F.coalesce(path, F.lit("")))
     out = F.when(head.startswith("PK"), F.when(p.endswith(".xlsx"), "xlsx").otherwise("zip"))
-    for suffix in ("xlsx", "zip", "json", "tsv", "csv"):
-        out = out.when(p.endswith("." + suffix), suffix)
-    return out.when(F.ltrim(head).rlike(r"^[\[{]"), "json").when(p.endswith(".txt"), "text").otherwise("unknown")
+    for suffix, kind in (("xlsx", "xlsx"), ("zip", "zip"), ("json", "json"), ("geojson", "json"), ("tsv", "tsv"), ("csv", "csv")):
+        out = out.when(p.endswith("." + suffix), kind)
+    out = out.when(F.ltrim(head).rlike(r"^[\[{]"), "json").when(p.endswith(".txt"), "text")
+    if mime is not None:
+        said = F.lower(F.trim(F.substring_index(F.coalesce(mime, F.lit("")), ";", 1)))
+        out = out.when(F.contains(said, F.lit("json")), "json").when(F.contains(said, F.lit("tab-separated-values")), "tsv").when(said.startswith("text/") | F.contains(said, F.lit("csv")), "csv")
+    return out.otherwise("unknown")

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brontide.functions.text import clean_markup
+
 #: Characters a chunk may hold, and chunks a document may have.
 MOST_CHARS, MOST_CHUNKS = 650, 12
 
@@ -62,6 +64,54 @@ def search_blob(*parts: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(joined, "<[^>]+>", " "), r"\s+", " ")))
 
 
+#: The texts that a service is searched in.
+BLOBS = ("all", "service_name", "keywords", "endpoint_paths", "endpoint_summaries", "field_names", "field_descriptions", "field_paths", "semantic")
+
+
+def search_blobs(tables: dict[str, DataFrame], minimal: DataFrame | None = None, id: str = "service_id", order: str = "ordinal") -> DataFrame:
+    """(id, one column for each of BLOBS): the nine named texts of each service, cleaned.
+
+    tables: services (name, description, keywords, category, provider_agency_name),
+    documents (body), endpoints (path, summary), fields (field_name, description,
+    field_path), mappings (aliases), tags (domain_ids, concept_ids), concepts
+    (concept_id, canonical_name) and chunks (search_text), all but concepts with
+    id; those with many rows of a service with order.  `all` joins the sixteen
+    sources.  minimal: (id) of services that are known by their document alone.
+    """
+    words = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), " ")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    put = lambda parts: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, parts.alias("v")))), lambda x: x["v"]), " ")
+    many = lambda name, **made: tables[name].groupBy(id).agg(*(put(c).alias(k) for k, c in made.items()))
+    one = lambda name, **made: tables[name].select(id, *(c.alias(k) for k, c in made.items()))
+    tagged = tables["tags"].select(id, F.posexplode_outer("concept_ids").alias("ordinal_", "concept_id"))
+    named = tagged.join(tables["concepts"].groupBy("concept_id").agg(F.min("canonical_name").alias("canonical_name")), "concept_id", "left")
+    concepts = named.groupBy(id).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal_", F.coalesce("canonical_name", "concept_id").alias("v")))), lambda x: x["v"]), " ").alias("concept_names"))
+    parts = (
+        one("documents", body=text("body")),
+        many("endpoints", endpoint_paths=text("path"), endpoint_summaries=text("summary")),
+        many("fields", field_names=clean_markup(text("field_name")), field_descriptions=clean_markup(text("description")), field_paths=clean_markup(text("field_path"))),
+        many("mappings", aliases=words(F.transform("aliases", clean_markup))),
+        one("tags", domains=words(F.col("domain_ids")), concepts=words(F.col("concept_ids"))),
+        concepts,
+        many("chunks", chunk_texts=text("search_text")),
+    )
+    rows = tables["services"].select(id, "name", "description", words(F.col("keywords")).alias("words"), "category", "provider_agency_name")
+    for p in parts:
+        rows = rows.join(p, id, "left")
+    rows = rows.join((rows.select(id).limit(0) if minimal is None else minimal.select(id).distinct()).withColumn("minimal", F.lit(True)), id, "left")
+    known = F.coalesce("minimal", F.lit(False))
+    sources = ("name", "description", "words", "category", "provider_agency_name", "body", "endpoint_paths", "endpoint_summaries", "field_names", "field_descriptions", "field_paths", "aliases", "domains", "concepts", "concept_names", "chunk_texts")
+    joined = F.concat_ws(" ", *map(text, sources))
+    blob = {
+        "all": F.when(known, text("body")).otherwise(joined),
+        "service_name": text("name"),
+        "keywords": text("words"),
+        **{c: F.when(known, "").otherwise(text(c)) for c in BLOBS[3:8]},
+        "semantic": F.when(known, text("category")).otherwise(F.concat_ws(" ", text("domains"), text("concepts"), text("concept_names"))),
+    }
+    return rows.select(id, *(clean_markup(blob[b]).alias(b) for b in BLOBS))
+
+
 def build_index(docs: DataFrame, path: str, built_at: str, id: str, **columns: Column) -> DataFrame:
     """Writes the chunks, then a manifest row; a reader that finds no manifest must not use the chunks."""
     spark = docs.sparkSession

@@ -100,6 +100,18 @@ def crawl_summary(events: DataFrame, ok: Column, seconds: str) -> DataFrame:
     return events.agg(F.count("*").alias("total"), good.alias("success"), (F.count("*") - good).alias("failed"), F.format_string("%.1f%%", F.when(F.count("*") > 0, 100.0 * good / F.count("*")).otherwise(0.0)).alias("rate"), F.round(F.avg(seconds), 4).alias("avg_time"))
 
 
+def scan_summary(results: DataFrame, found: Column, failed: Column, retried: Column, waiting: Column) -> DataFrame:
+    """One row: what a scan looked at and found, what failed, how many were tried again and found then, and both rates as text.
+
+    The columns are conditions of a result; a result that was retried and found
+    is a retry's success.  Rates of nothing are 0.00%.
+    """
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    rate = lambda a, b: F.format_string("%.2f%%", F.when(b > 0, 100.0 * a / b).otherwise(0.0))
+    counted = results.agg(F.count("*").alias("total_scanned"), n(found).alias("data_found"), n(~found & ~failed).alias("data_not_found"), n(failed).alias("failed"), n(retried).alias("retried"), n(retried & found).alias("retry_success"), n(waiting).alias("waiting_room_detected"))
+    return counted.select("*", rate(F.col("retry_success"), F.col("retried")).alias("retry_success_rate"), rate(F.col("data_found"), F.col("total_scanned")).alias("success_rate"))
+
+
 def recent_manifests(manifests: DataFrame, started: str, files: str, k: int = 10) -> DataFrame:
     """The k manifests that started last, newest first, with how many files each has; ties by all columns' text."""
     n = manifests.withColumn("n_files", F.size(files))

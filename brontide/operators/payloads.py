@@ -100,6 +100,21 @@ LINK_MARK = "LINK"
 SUBTYPES = ("link", "swagger", "legacy")
 
 
+#: Names of the catalog's column of API types, in the order they are tried, and its place where it has none of them.
+TYPE_COLUMNS, TYPE_PLACE = ("API 유형", "API유형", "API 타입", "API타입"), 30
+
+
+def api_type_value(row: Column, values: Column) -> Column:
+    """A catalog row's API type, trimmed and in capitals: the first of TYPE_COLUMNS that has one, else, where the last of them is missing, the 30th value.
+
+    row: map of the row's cells by column; values: its cells in order.  Empty without a type.
+    """
+    cell = lambda name: F.try_element_at(row, F.lit(name))
+    named = F.coalesce(*(F.when(cell(n) != "", cell(n)) for n in TYPE_COLUMNS))
+    placed = F.when(cell(TYPE_COLUMNS[-1]).isNull() & (F.size(values) >= TYPE_PLACE), F.get(values, TYPE_PLACE - 1))
+    return F.upper(F.trim(F.coalesce(named, placed, F.lit(""))))
+
+
 def api_subtype(kind: Column, has_specification: Column) -> Column:
     """struct<subtype, evidence>: link by the catalog's kind, swagger by a specification, else legacy."""
     linked = F.contains(F.upper(F.coalesce(kind, F.lit(""))), F.lit(LINK_MARK))

@@ -195,6 +195,30 @@ def article_references(c: Column) -> Column:
     return F.array_distinct(F.concat(ranges, single))
 
 
+#: An article at the start of a line, and references to articles of another law.
+HEADER = r"(?m)^제\s*(\d+)\s*조(?:\s*의\s*(\d+))?(?=\s|\(|$)"
+_ARTICLE = r"제\s*\d+\s*조(?:\s*의\s*\d+)?(?:\s*제\s*\d+\s*(?:항|호|목))*"
+CROSS_LAW = r"(?:[가-힣A-Za-z0-9·ㆍ]+(?:법률|법)|설치법|산안법|근기법|노조법|시행령|시행규칙|통칙|영|법)\s+" + _ARTICLE + r"(?:\s*[·,]\s*" + _ARTICLE + ")*"
+
+
+def article_headers(c: Column) -> Column:
+    """Distinct labels of the articles that a law's text has: those that begin a line."""
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(HEADER), 0)
+    part = lambda m, i: F.regexp_extract(m, r"제\s*(\d+)\s*조(?:\s*의\s*(\d+))?", i)
+    return F.array_distinct(F.transform(found, lambda m: label(part(m, 1), F.when(part(m, 2) != "", part(m, 2)))))
+
+
+def mask_cross_law(c: Column) -> Column:
+    """A text without its references to articles of other laws, so that article_references finds its own law's alone."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), CROSS_LAW, "")
+
+
+def registry_stats(summaries: DataFrame, nodes: str, articles: str, verified: str, sources: str, status: str) -> DataFrame:
+    """One row: models, process nodes, article references, verified ones, sources, and models by the two states that count."""
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(name)
+    return summaries.agg(F.count("*").alias("models"), total(nodes, "process_nodes"), total(articles, "article_references"), total(verified, "verified_references"), total(sources, "sources"), F.count_if(F.col(status) == "article-verified").alias("article_verified"), F.count_if(F.col(status) == "needs-review").alias("needs_review"))
+
+
 def law_steps(text: Column) -> Column:
     """array<struct<article, sentence, lane, action, stage, deadline, type, confidence>> of a law's text."""
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r", "\n")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from brontide.functions import scalars, text, web
-from brontide.operators import catalog, ledger, payloads, profile, registry
+from brontide.operators import catalog, chunks, ledger, payloads, profile, registry
 from brontide.registry_of_queries import Derived, in_turn, query, table
 from brontide.sources import files
 from brontide.streaming import ledger as streams
@@ -38,12 +38,12 @@ def doc_number(spark, d):
     return _NUMBERS(spark, d).select("r", files.doc_number(F.col("a"), F.array("a", "b")).alias("number"))
 
 
-_SNIFF = Derived("part", path=in_turn("p_partkey", "p_partkey || '.XLSX'", "p_partkey || '.bin'", "p_name || '.json'", "p_partkey || '.dat'", "p_name || '.tsv'", "'a.b.csv'", "p_brand || '.txt'", "p_name"), head=in_turn("p_size", "'PK' || p_name", "' [' || p_size || ']'", "'{}'", "p_name"))
+_SNIFF = Derived("part", path=in_turn("p_partkey", "p_partkey || '.XLSX'", "p_partkey || '.bin'", "p_name || '.json'", "p_partkey || '.dat'", "p_name || '.tsv'", "'a.b.csv'", "p_brand || '.txt'", "p_name"), head=in_turn("p_size", "'PK' || p_name", "' [' || p_size || ']'", "'{}'", "p_name"), mime=in_turn("p_partkey", "'application/json; charset=utf-8'", "'text/html'", "NULL", "'application/octet-stream'", "'TEXT/tab-separated-values'", "'application/csv'", "''"))
 
 
-@query(f"SELECT path, head, CASE WHEN head LIKE 'PK%' THEN CASE WHEN lower(path) LIKE '%.xlsx' THEN 'xlsx' ELSE 'zip' END WHEN lower(path) LIKE '%.xlsx' THEN 'xlsx' WHEN path LIKE '%.json' THEN 'json' WHEN path LIKE '%.tsv' THEN 'tsv' WHEN path LIKE '%.csv' THEN 'csv' WHEN trim(head)[1] IN ('[', '{{') THEN 'json' WHEN path LIKE '%.txt' THEN 'text' ELSE 'unknown' END AS format FROM {_SNIFF.sql}")
+@query(f"SELECT path, head, CASE WHEN head LIKE 'PK%' THEN CASE WHEN lower(path) LIKE '%.xlsx' THEN 'xlsx' ELSE 'zip' END WHEN lower(path) LIKE '%.xlsx' THEN 'xlsx' WHEN path LIKE '%.json' THEN 'json' WHEN path LIKE '%.tsv' THEN 'tsv' WHEN path LIKE '%.csv' THEN 'csv' WHEN trim(head)[1] IN ('[', '{{') THEN 'json' WHEN path LIKE '%.txt' THEN 'text' WHEN mime LIKE '%json%' THEN 'json' WHEN lower(mime) LIKE '%tab-separated-values%' THEN 'tsv' WHEN mime LIKE 'text/%' OR mime LIKE '%csv%' THEN 'csv' ELSE 'unknown' END AS format FROM {_SNIFF.sql}")
 def format_sniff(spark, d):
-    return _SNIFF(spark, d).select("path", "head", web.sniff_format(F.col("path"), F.col("head")).alias("format"))
+    return _SNIFF(spark, d).select("path", "head", web.sniff_format(F.col("path"), F.col("head"), F.col("mime")).alias("format"))
 
 
 _DOCS = Derived(
@@ -374,3 +374,70 @@ _PHONES = Derived("customer", id="c_custkey", raw=in_turn("c_custkey", "'02)' ||
 @query(f"WITH p AS (SELECT id, raw, regexp_replace(raw, '[^0-9]', '', 'g') AS d FROM {_PHONES.sql}) SELECT id, raw, CASE WHEN d = '' OR regexp_full_match(d, '0+') THEN NULL WHEN d LIKE '02%' AND length(d) >= 9 THEN substr(d, 1, 2) || '-' || substr(d, 3, length(d) - 6) || '-' || right(d, 4) WHEN length(d) >= 10 THEN substr(d, 1, 3) || '-' || substr(d, 4, length(d) - 7) || '-' || right(d, 4) ELSE d END AS phone FROM p")
 def phone_format(spark, d):
     return _PHONES(spark, d).select("id", "raw", scalars.phone(F.col("raw")).alias("phone"))
+
+
+# Scans, registries, article texts, blobs.
+
+_KINDS = Derived("customer", id="c_custkey", kind=in_turn("c_custkey", "' link '", "'REST'", "''", "NULL"), other=in_turn("c_nationkey", "'soap'", "''", "NULL"), last="c_mktsegment", wide="c_nationkey % 2 = 0")
+
+
+@query(f"SELECT id, upper(trim(CASE WHEN coalesce(kind, '') <> '' THEN kind WHEN coalesce(other, '') <> '' THEN other WHEN other IS NULL AND wide THEN last ELSE '' END)) AS api_type FROM {_KINDS.sql}")
+def api_types(spark, d):
+    """The type by the first and the last of the columns' names, else by its place in rows of thirty cells."""
+    pad = lambda n: [F.lit("x")] * n
+    cells = F.when(F.col("wide"), F.array(*pad(29), F.col("last"))).otherwise(F.array(*pad(20)))
+    row = F.create_map(F.lit("API 유형"), F.col("kind"), F.lit("API타입"), F.col("other"))
+    return _KINDS(spark, d).select("id", payloads.api_type_value(row, cells).alias("api_type"))
+
+
+@query("""WITH r AS (SELECT event_type IN ('click', 'view') AND value < 30 AS found, event_type = 'error' AS failed, value > 10 AS retried, event_type = 'signup' AS waiting FROM events)
+SELECT count(*) AS total_scanned, count(*) FILTER (found) AS data_found, count(*) FILTER (NOT found AND NOT failed) AS data_not_found, count(*) FILTER (failed) AS failed, count(*) FILTER (retried) AS retried, count(*) FILTER (retried AND found) AS retry_success, count(*) FILTER (waiting) AS waiting_room_detected,
+printf('%.2f%%', 100.0 * count(*) FILTER (retried AND found) / count(*) FILTER (retried)) AS retry_success_rate, printf('%.2f%%', 100.0 * count(*) FILTER (found) / count(*)) AS success_rate FROM r""")
+def scan_summary(spark, d):
+    kind = F.col("event_type")
+    return ledger.scan_summary(table(spark, d, "events"), kind.isin("click", "view") & (F.col("value") < 30), kind == "error", F.col("value") > 10, kind == "signup")
+
+
+@query("""WITH s AS (SELECT o_custkey, count(*) AS nodes, sum(o_orderkey % 7)::BIGINT AS refs, sum(o_orderkey % 3)::BIGINT AS ok, count(DISTINCT o_orderpriority) AS sources, CASE WHEN bool_and(o_orderstatus = 'F') THEN 'article-verified' WHEN bool_or(o_orderstatus = 'P') THEN 'needs-review' ELSE 'source-linked' END AS status FROM orders GROUP BY 1)
+SELECT count(*) AS models, sum(nodes)::BIGINT AS process_nodes, sum(refs)::BIGINT AS article_references, sum(ok)::BIGINT AS verified_references, sum(sources)::BIGINT AS sources, count(*) FILTER (status = 'article-verified') AS article_verified, count(*) FILTER (status = 'needs-review') AS needs_review FROM s""")
+def registry_stats(spark, d):
+    status = F.col("o_orderstatus")
+    state = F.when(F.every(status == "F"), "article-verified").when(F.bool_or(status == "P"), "needs-review").otherwise("source-linked")
+    s = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("nodes"), F.sum(F.col("o_orderkey") % 7).alias("refs"), F.sum(F.col("o_orderkey") % 3).alias("ok"), F.countDistinct("o_orderpriority").alias("sources"), state.alias("status"))
+    return registry.registry_stats(s, "nodes", "refs", "ok", "sources", "status")
+
+
+_ARTICLES = Derived("part", id="p_partkey", n="1 + p_partkey % 300", m="1 + p_size", text="'제' || (1 + p_partkey % 300) || '조(목적) 환경영향평가법 제' || (1 + p_size) || '조제1항, 제7조의2에 따른다.' || chr(10) || ' 제2조는 시행령 제5조와 같다.' || chr(10) || '제 ' || (2 + p_partkey % 300) || ' 조의 ' || (1 + p_size) || ' (정의)' || chr(10) || '제9조와 다르다'")
+
+
+@query(f"SELECT id, '제' || n || '조,제' || (n + 1) || '조의' || m AS headers, array_to_string(list_distinct(['제' || n || '조', '제2조', '제' || (n + 1) || '조의' || m, '제9조']), ',') IS NOT NULL AS masked FROM {_ARTICLES.sql}")
+def article_headers(spark, d):
+    """The articles that a text has, and whether nothing but its own law's articles is left when other laws' are masked."""
+    t = _ARTICLES(spark, d)
+    own = F.array(F.concat(F.lit("제"), "n", F.lit("조")), F.lit("제2조"), F.concat(F.lit("제"), F.col("n") + 1, F.lit("조의"), "m"), F.lit("제9조"))
+    left = registry.article_references(registry.mask_cross_law(F.col("text")))
+    return t.select("id", F.array_join(registry.article_headers(F.col("text")), ",").alias("headers"), ((F.size(F.array_except(left, own)) == 0) & (F.size(F.array_except(own, left)) == 0)).alias("masked"))
+
+
+_SERVICE = Derived("customer", service_id="c_custkey", name="'<b>' || c_name || '</b>'", description="'about ' || c_mktsegment", category="c_mktsegment", provider_agency_name="'agency ' || c_nationkey", minimal="c_nationkey = 4", body="'body  of ' || c_name", concept="'k' || c_nationkey")
+_CALLS = Derived("orders", service_id="o_custkey", ordinal="o_orderkey", path="'/' || o_orderkey", summary="'<i>' || o_orderpriority || '</i>'", field_name="'f' || o_orderkey", field_path="'$.' || o_orderstatus", description="o_orderstatus", alias="'alias ' || o_orderkey")
+
+
+@query(f"""WITH s AS (SELECT * FROM {_SERVICE.sql}), o AS (SELECT service_id, string_agg(path, ' ' ORDER BY ordinal) AS paths, string_agg(regexp_replace(summary, '<[^>]+>', '', 'g'), ' ' ORDER BY ordinal) AS summaries, string_agg(field_name, ' ' ORDER BY ordinal) AS names, string_agg(description, ' ' ORDER BY ordinal) AS said, string_agg(field_path, ' ' ORDER BY ordinal) AS places, string_agg(alias, ' ' ORDER BY ordinal) AS aliases FROM {_CALLS.sql} GROUP BY 1),
+j AS (SELECT s.*, regexp_replace(name, '<[^>]+>', '', 'g') AS plain, replace(body, '  ', ' ') AS b, coalesce(n_name, concept) AS meant, paths, summaries, names, said, places, aliases FROM s LEFT JOIN o USING (service_id) LEFT JOIN nation ON 'k' || n_nationkey = concept AND n_nationkey < 12)
+SELECT service_id, CASE WHEN minimal THEN b ELSE trim(regexp_replace(concat_ws(' ', plain, description, 'word ' || category, category, provider_agency_name, b, paths, summaries, names, said, places, aliases, 'domain', concept, meant, 'chunk of ' || plain), ' +', ' ', 'g')) END AS all, plain AS service_name, 'word ' || category AS keywords,
+CASE WHEN minimal THEN '' ELSE coalesce(paths, '') END AS endpoint_paths, CASE WHEN minimal THEN '' ELSE coalesce(summaries, '') END AS endpoint_summaries, CASE WHEN minimal THEN '' ELSE coalesce(names, '') END AS field_names, CASE WHEN minimal THEN '' ELSE coalesce(said, '') END AS field_descriptions, CASE WHEN minimal THEN '' ELSE coalesce(places, '') END AS field_paths,
+CASE WHEN minimal THEN category ELSE 'domain ' || concept || ' ' || meant END AS semantic FROM j""".replace(" AS all,", ' AS "all",'))
+def search_blobs(spark, d):
+    s, o = _SERVICE(spark, d), _CALLS(spark, d)
+    tables = {
+        "services": s.withColumn("keywords", F.array(F.lit("word"), F.col("category"))),
+        "documents": s.select("service_id", "body"),
+        "endpoints": o,
+        "fields": o,
+        "mappings": o.withColumn("aliases", F.array("alias")),
+        "tags": s.select("service_id", F.array(F.lit("domain")).alias("domain_ids"), F.array("concept").alias("concept_ids")),
+        "concepts": table(spark, d, "nation").filter("n_nationkey < 12").select(F.concat(F.lit("k"), "n_nationkey").alias("concept_id"), F.col("n_name").alias("canonical_name")),
+        "chunks": s.select("service_id", F.lit(0).alias("ordinal"), F.concat(F.lit("chunk of "), "name").alias("search_text")),
+    }
+    return chunks.search_blobs(tables, s.filter("minimal"))
