@@ -27,7 +27,7 @@ n_links count_row root_row stay_id stay_h fp made n_tokens ids ids_sha256 decode
 def clashing(df):
     """df with columns named as all helpers, in upper case, unless df has such a column itself."""
     own = {c.lower() for c in df.columns}
-    return df.select("*", *(F.lit(f"mine {c}").alias(c.upper()) for c in CLASHES if c.lower() not in own))
+    return df.select("*", *(F.lit(f"mine {c}").alias(c.upper()) for c in dict.fromkeys(x.lower() for x in CLASHES) if c not in own))
 
 
 TEXTS = [None, "", " \n\t", "one", "The same text of some words. " * 9, "The same text of some words. " * 9, "Mit License\nidiot " * 3, "w " * 60_000, "é漢🙂" * 4000]
