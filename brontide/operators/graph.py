@@ -13,8 +13,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from brontide.operators.ordered import neighbour
 from brontide.sources.stored import Log, discard, written, written_counting
 
 
@@ -298,5 +298,5 @@ def run_order(steps: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def sequence_edges(nodes: DataFrame, group: str, *order: str) -> DataFrame:
-    """(src, dst): each node to the next of its group."""
-    return nodes.withColumn("dst", F.lead("node").over(Window.partitionBy(group).orderBy(*order))).filter("dst is not null").select(F.col("node").alias("src"), "dst")
+    """(src, dst): each node to the next of its group, which may be of any size."""
+    return neighbour(nodes, group, F.col("node"), "dst", *order, ahead=True).filter("dst is not null").select(F.col("node").alias("src"), "dst")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brontide.operators.ordered import neighbour, numbered
+
 #: The states a run may go to from each state.
 TRANSITIONS = {
     "draft": ("validating", "cancelled"),
@@ -25,15 +27,15 @@ TRANSITIONS = {
 
 
 def sequence(events: DataFrame, run: str, *order: str) -> DataFrame:
-    """events with sequence: gap-free numbers from 1 within each run."""
-    return events.withColumn("sequence", F.row_number().over(Window.partitionBy(run).orderBy(*order)))
+    """events with sequence: gap-free numbers from 1 within each run, of any length."""
+    return numbered(events, run, *order)
 
 
 def illegal_transitions(events: DataFrame, run: str, status: str, *order: str, allowed: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Steps of a run whose status may not follow the one before: events with previous appended."""
     table = TRANSITIONS if allowed is None else allowed
     known = F.create_map(*(x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))))
-    stepped = events.withColumn("previous", F.lag(status).over(Window.partitionBy(run).orderBy(*order)))
+    stepped = neighbour(events, run, F.col(status), "previous", *order)
     legal = F.array_contains(F.try_element_at(known, F.col("previous")), F.col(status))
     return stepped.filter(F.col("previous").isNotNull() & ~F.coalesce(legal, F.lit(False)))
 
