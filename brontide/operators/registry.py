@@ -219,8 +219,22 @@ def registry_stats(summaries: DataFrame, nodes: str, articles: str, verified: st
     return summaries.agg(F.count("*").alias("models"), total(nodes, "process_nodes"), total(articles, "article_references"), total(verified, "verified_references"), total(sources, "sources"), F.count_if(F.col(status) == "article-verified").alias("article_verified"), F.count_if(F.col(status) == "needs-review").alias("needs_review"))
 
 
+#: Names of documents in the order they are looked for, what else ends like one, who receives, and what a condition looks like.
+DOCUMENTS = ("평가준비서", "환경영향평가서", "평가서", "평가서 초안", "약식평가서", "보완서", "협의내용", "협의내용 통보서", "사업계획", "의견서", "의견반영표", "사후환경영향조사서", "관리대장", "공고문", "공람대장", "심의결과", "검토의견")
+DOCUMENT = r"([가-힣A-Za-z0-9·ㆍ\-]{2,20}(?:서|서류|계획|계획서|결과|의견|공문))"
+RECEIVER = r"([가-힣A-Za-z0-9·ㆍ\s]{2,25})(?:에게|에)\s*(?:제출|통보|요청|요구|송부)"
+CONDITIONS = (r"(.{0,25}경우)", r"(.{0,25}때)", r"(.{0,25}필요하다고 인정하는 경우)", r"(.{0,25}대통령령으로 정하는)")
+MOST_DOCUMENTS, NAME_CHARS = 6, 24
+
+
 def law_steps(text: Column) -> Column:
-    """array<struct<article, sentence, lane, action, stage, deadline, type, confidence>> of a law's text."""
+    """array<struct<article, sentence, lane, action, stage, deadline, type, confidence, documents, receiver, condition, name>> of a law's text.
+
+    documents: those of DOCUMENTS in the sentence, then other words that end like
+    one, MOST_DOCUMENTS at most.  receiver: who something is handed to, condition:
+    the words up to a condition's end, both null without one.  name: the first
+    document and the action, else the action, else the sentence's beginning.
+    """
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r", "\n")
     parts = F.split(plain, r"(?=제\d+조(?:의\d+)?(?:\([^\)]*\)))")
     tidy = lambda s: F.trim(F.regexp_replace(s, r"(?U)\s+", " "))
@@ -235,11 +249,31 @@ def law_steps(text: Column) -> Column:
         action, actor = first_match(s, ACTIONS), reduce(lambda a, b: a | b, (s.rlike(p) for p, _ in LANES))
         deadline = F.replace(F.regexp_extract(s, DEADLINE, 1), F.lit(" "), F.lit(""))
         fallback = F.when(action.isin("공고", "공람"), "G3 공고·공람").when(action.isin("검토", "보완", "반려"), "G5 협의검토·보완").when(action.isin("통보", "승인", "고시"), "G6 협의통보·승인").otherwise("G1 착수·스코핑")
-        kind = F.when(action.isin("보완", "반려"), "gateway").when(action.isin("공고", "공개") & ~s.rlike("경우|때|대통령령으로 정하는"), "notice").otherwise("task")
-        document = s.rlike("[가-힣A-Za-z0-9·ㆍ-]{2,20}(서|서류|계획|계획서|결과|의견|공문)")
+        some = lambda c: F.when(c != "", c)
+        known = F.array_compact(F.array(*(F.when(F.contains(s, F.lit(d)), d) for d in DOCUMENTS)))
+        other = F.filter(F.regexp_extract_all(s, F.lit(DOCUMENT), 1), lambda d: F.length(d) <= 20)
+        documents = F.slice(F.array_distinct(F.concat(known, other)), 1, MOST_DOCUMENTS)
+        receiver = some(tidy(F.regexp_extract(s, RECEIVER, 1)))
+        condition = F.coalesce(*(some(tidy(F.regexp_extract(s, c, 1))) for c in CONDITIONS))
+        kind = F.when(action.isin("보완", "반려"), "gateway").when(action.isin("공고", "공개") & condition.isNull(), "notice").otherwise("task")
         points = lambda cond, n: F.when(F.coalesce(cond, F.lit(False)), n).otherwise(0)
-        score = F.least(F.lit(95), F.lit(35) + points(action.isNotNull(), 25) + points(actor, 20) + points(document, 15) + points(deadline != "", 5)) / 100
-        return F.struct(x["article"].alias("article"), s.alias("sentence"), first_match(s, LANES, "사업자/시행자").alias("lane"), action.alias("action"), first_match(s, STAGES, fallback).alias("stage"), F.when(deadline != "", deadline).alias("deadline"), kind.alias("type"), score.alias("confidence"))
+        score = F.least(F.lit(95), F.lit(35) + points(action.isNotNull(), 25) + points(actor, 20) + points(F.size(documents) > 0, 15) + points(deadline != "", 5)) / 100
+        begins = F.concat(F.substring(s, 1, NAME_CHARS), F.when(F.length(s) > NAME_CHARS, "…").otherwise(""))
+        name = F.when((F.size(documents) > 0) & action.isNotNull(), F.concat(F.get(documents, 0), F.lit(" "), action)).when(action.isNotNull(), F.concat(action, F.lit(" 업무"))).otherwise(begins)
+        return F.struct(
+            x["article"].alias("article"),
+            s.alias("sentence"),
+            first_match(s, LANES, "사업자/시행자").alias("lane"),
+            action.alias("action"),
+            first_match(s, STAGES, fallback).alias("stage"),
+            some(deadline).alias("deadline"),
+            kind.alias("type"),
+            score.alias("confidence"),
+            documents.alias("documents"),
+            receiver.alias("receiver"),
+            condition.alias("condition"),
+            name.alias("name"),
+        )
 
     return F.transform(F.flatten(F.transform(F.filter(parts, lambda p: F.trim(p) != ""), sentences)), judged)
 

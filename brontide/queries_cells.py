@@ -233,12 +233,19 @@ def verification_queue(spark, d):
     return domain_classify(spark, d).groupBy("domain").agg(F.count("*").alias("n"))
 
 
-_LAW = Derived("customer", id="c_custkey", text="'제' || (1 + c_custkey % 90) || '조(협의) 사업자는 평가서를 ' || (10 + c_nationkey) || '일 이내 협의기관에 제출하여야 한다. 협의기관은 보완을 요청할 수 있다. 제' || (2 + c_custkey % 90) || '조(공고) 승인기관은 그 내용을 지체 없이 공고하여야 한다.'")
+_LAW = Derived("customer", id="c_custkey", a="'제' || (1 + c_custkey % 90) || '조(협의)'", b="'제' || (2 + c_custkey % 90) || '조(공고)'", days="(10 + c_nationkey) || '일'", who=in_turn("c_custkey", "'사업자'", "'승인기관'", "'주민'"))
 
 
-@query()
+@query(f"""WITH l AS (SELECT * FROM {_LAW.sql})
+SELECT id, a AS article, a || ' ' || who || '는 평가서를 ' || days || ' 이내 협의기관에 제출하여야 한다' AS sentence, CASE who WHEN '주민' THEN '협의기관' WHEN '사업자' THEN '사업자/시행자' ELSE who END AS lane, '제출' AS action, 'G1 착수·스코핑' AS stage, days || '이내' AS deadline, 'task' AS type, 0.95::DOUBLE AS confidence, '평가서' AS documents, who || '는 평가서를 ' || days || ' 이내 협의기관' AS receiver, NULL AS condition, '평가서 제출' AS name FROM l
+UNION ALL SELECT id, a, '협의기관은 보완을 요청할 수 있다', '협의기관', '요청', 'G5 협의검토·보완', NULL, 'task', 0.8, '', NULL, NULL, '요청 업무' FROM l
+UNION ALL SELECT id, b, b || ' 승인기관은 그 내용을 지체 없이 공고하여야 한다', '승인기관', '공고', 'G3 공고·공람', '지체없이', 'notice', 0.85, '', NULL, NULL, '공고 업무' FROM l
+UNION ALL SELECT id, b, '시장은 필요한 경우 ' || who || '에게 의견서를 통보하여야 한다', CASE who WHEN '사업자' THEN '사업자/시행자' WHEN '승인기관' THEN who ELSE '관할 지자체' END, '통보', 'G4 의견수렴·본안', NULL, 'task', 0.95, '의견서', NULL, '시장은 필요한 경우', '의견서 통보' FROM l
+UNION ALL SELECT id, b, '이 법은 ' || days || '부터 시행되는 것으로 한다', '사업자/시행자', NULL, 'G1 착수·스코핑', NULL, 'task', 0.35, '', NULL, NULL, '이 법은 ' || days || '부터 시행되는 것으로 한다' FROM l""")
 def law_steps(spark, d):
-    return _LAW(spark, d).select("id", F.inline(registry.law_steps(F.col("text"))))
+    say = lambda *x: F.concat(*(F.col(p) if p in ("a", "b", "who", "days") else F.lit(p) for p in x))
+    text_ = say("a", " ", "who", "는 평가서를 ", "days", " 이내 협의기관에 제출하여야 한다. 협의기관은 보완을 요청할 수 있다. ", "b", " 승인기관은 그 내용을 지체 없이 공고하여야 한다. 시장은 필요한 경우 ", "who", "에게 의견서를 통보하여야 한다. 이 법은 ", "days", "부터 시행되는 것으로 한다.")
+    return _LAW(spark, d).select("id", F.inline(registry.law_steps(text_))).withColumn("documents", F.array_join("documents", "|"))
 
 
 # Cells of a profile.
