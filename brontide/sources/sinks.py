@@ -3,7 +3,8 @@
 Tasks write below a folder of the job's own, `_staged`, and only the driver, when
 every task has ended, puts that in place: first it marks the folder as ready, then
 moves what is in it.  A job that fails is taken back by removing its folder, and
-old files stay as they were.  If the driver dies between the mark and the last
+old files stay as they were; a task that is still running then may stage a file
+more, which no reader takes for a document.  If the driver dies between the mark and the last
 move, `recover` finishes the moves, which may be repeated; what has no mark it
 removes.
 

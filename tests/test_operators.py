@@ -80,11 +80,10 @@ def test_strong_components_and_cycles_of_random_graphs(spark, seed):
     touched = {x for e in edges for x in e}
     want = {i: min(j for j in reach[i] if i in reach[j]) for i in touched}
     df = spark.createDataFrame(edges, "src int, dst int")
-    for small in (0, graph.SMALL) if seed == 5 else (graph.SMALL,):
-        got = graph.strong_components(df, small=small).collect()
-        assert {x["node"]: x["component"] for x in got} == want
-        assert all(x["size"] == list(want.values()).count(x["component"]) for x in got)
-        assert {x["component"]: x["path"] for x in graph.cycles(df, small=small).collect()} == shortest_cycles(set(edges), want)
+    got = graph.strong_components(df).collect()
+    assert {x["node"]: x["component"] for x in got} == want
+    assert all(x["size"] == list(want.values()).count(x["component"]) for x in got)
+    assert {x["component"]: x["path"] for x in graph.cycles(df).collect()} == shortest_cycles(set(edges), want)
     assert graph.strong_components(df.limit(0)).count() == 0 and graph.cycles(df.limit(0)).count() == 0
 
 
@@ -120,7 +119,7 @@ def test_graphs_of_the_tables_like_brute_force(spark):
     for n in sorted(set(out) | set(back)):
         if n not in want:
             want.update(dict.fromkeys(reached(n, out) & reached(n, back), n))
-    assert {r["node"]: r["component"] for r in graph.strong_components(q._edges(spark, DATA), small=0).collect()} == want
+    assert {r["node"]: r["component"] for r in graph.strong_components(q._edges(spark, DATA)).collect()} == want
     nodes = [r["node"] for r in q._nodes(spark, DATA).collect()]
     label = {}
     while True:
