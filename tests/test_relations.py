@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from brontide.operators import relate, review
+from brontide.operators import registry, relate, review
 from brontide.operators.registry import compact_law
 
 
@@ -58,3 +58,26 @@ def test_sources_match_without_a_cross_join(spark):
     want = {(i, u) for i, a in laws for u, b, _ in items if a == b or (min(len(a), len(b)) >= 6 and (a in b or b in a))}
     assert {tuple(x) for x in ours.collect()} == want
     assert spark.range(1).select(compact_law(__import__("pyspark.sql.functions", fromlist=["lit"]).lit("「가 나」"))).first()[0] == "가나"
+
+
+def test_each_pair_is_made_once_and_not_shuffled(spark):
+    """Copies of a law and of a source are classes: the pairs of their members are made last, by tasks dealt by what they make."""
+    laws = [(i, "도로 교통 조례") for i in range(50)] + [(3, "환경 편람")] + [(99, None)]
+    items = [(f"u{i}", "지역 조례", "local-scope") for i in range(40)] + [("u1", "환경편람", "none"), ("u1", "환경편람", "none"), ("v", None, None)]
+    ours = review.unresolved_matches(spark.createDataFrame(laws, "id long, law string"), spark.createDataFrame(items, "item string, name string, reason string"))
+    plan = ours._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan.split("Join")[0]
+    rows = [tuple(x) for x in ours.collect()]
+    assert len(rows) == len(set(rows)) == 50 * 40 + 1 and (99, "v") in rows
+
+
+def test_few_rows_that_make_many_pairs_are_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(relate, "TASK_PAIRS", 1000)
+    a = spark.createDataFrame([(i, "k") for i in range(100)], "id long, key string")
+    met = relate._met(a, a)
+    assert met.count() == 10_000 and met.rdd.getNumPartitions() == 10
+    cited = spark.createDataFrame([(i, "법") for i in range(30)] * 2, "id long, law string")
+    sources = spark.createDataFrame([(f"s{i}", "법", "법 령") for i in range(20)], "url string, name string, official string")
+    none = spark.createDataFrame([], "alias string, official string")
+    rows = [tuple(x) for x in registry.find_sources(cited, sources, none).collect()]
+    assert len(rows) == len(set(rows)) == 600
