@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +10,8 @@ from brontide.functions.text import clean_markup
 
 #: Characters a chunk may hold, and chunks a document may have.
 MOST_CHARS, MOST_CHUNKS = 650, 12
+#: Documents whose chunks a task holds at a time.
+DOCUMENTS = 256
 
 
 def pack(items: list[str], most: int = MOST_CHARS) -> list[str]:
@@ -43,12 +45,18 @@ def chunks_of(identity: str, description: str | None, endpoints: list[str], fiel
 def search_chunks(docs: DataFrame, id: str, identity: Column, description: Column, endpoints: Column, fields: Column) -> DataFrame:
     """(id, chunk_index, chunk_type, text)."""
 
-    @F.pandas_udf("array<struct<chunk_type:string,text:string>>")
-    def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        some = lambda v: [] if v is None else list(v)
-        return pd.Series([[{"chunk_type": k, "text": t} for k, t in chunks_of(w or "", x, some(y), some(z))] for w, x, y, z in zip(a, b, c, d, strict=True)])
+    chunk = pa.list_(pa.struct([("chunk_type", pa.string()), ("text", pa.string())]))
 
-    made = docs.select(id, run(identity, description, endpoints, fields).alias("chunks"))
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, DOCUMENTS):
+                key, *columns = b.slice(at, DOCUMENTS).columns
+                made = [[{"chunk_type": k, "text": t} for k, t in chunks_of(w or "", x, y or [], z or [])] for w, x, y, z in zip(*(c.to_pylist() for c in columns), strict=True)]
+                yield pa.RecordBatch.from_arrays([key, pa.array(made, chunk)], ["id", "chunks"])
+
+    kind = docs.schema[id].dataType.simpleString()
+    rows = docs.select(F.col(id).alias("id"), identity.alias("a"), description.alias("b"), endpoints.alias("c"), fields.alias("d"))
+    made = rows.mapInArrow(run, f"id {kind}, chunks array<struct<chunk_type:string,text:string>>").withColumnRenamed("id", id)
     return made.select(id, F.posexplode("chunks").alias("chunk_index", "c")).select(id, "chunk_index", "c.chunk_type", "c.text")
 
 

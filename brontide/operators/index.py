@@ -35,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from brontide.functions.text import let, tokenize
-from brontide.operators.search import K1, B, query_tokens
+from brontide.operators.search import K1, MOST_PRODUCTS, B, query_tokens
 from brontide.sources.stored import discard, written
 
 #: Postings of a block, and buckets that the tokens are dealt in.
@@ -266,7 +266,8 @@ def _centres(sample: np.ndarray, cells: int, rounds: int = 3) -> np.ndarray:
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    near = ((centres * centres).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1)
+    sizes, step = (centres * centres).sum(axis=1), max(1, MOST_PRODUCTS // max(1, len(centres)))
+    near = np.concatenate([(sizes - 2 * x[a : a + step] @ centres.T).argmin(axis=1) for a in range(0, len(x), step)]) if len(x) else np.zeros(0, np.int64)
     return near, np.linalg.norm(x - centres[near], axis=1)
 
 
@@ -416,9 +417,7 @@ class Vectors:
             for b in batches:
                 rows, cell, dim, dots, norms = [], [], [], [], []
                 bounds = b.column(2).to_numpy(zero_copy_only=False)  # null comes as nan
-                for d, at, q in _by_length(b.column(1)):
-                    if d not in sent.value:
-                        continue
+                for d, at, q in ((d, at[a : a + step], q[a : a + step]) for d, at, q in _by_length(b.column(1)) if d in sent.value for step in [max(1, MOST_PRODUCTS // len(sent.value[d][0]))] for a in range(0, len(at), step)):
                     names, centres, radius, n = sent.value[d]
                     dot, norm = q @ centres.T, np.linalg.norm(q, axis=1)
                     upper = dot + norm[:, None] * radius

@@ -97,6 +97,8 @@ def query_tokens(spark: SparkSession, query: str) -> list[str]:
 
 #: Queries of one block: a bound on what is held and broadcast at a time.
 QUERY_BLOCK = 4096
+#: Products that a task holds at a time: of a batch of vectors with so many queries of a block.
+MOST_PRODUCTS = 1 << 21
 
 
 def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, id: str, embedding: str = "embedding", intent: str = "intent", block: int = QUERY_BLOCK) -> DataFrame:
@@ -145,10 +147,12 @@ def _products(sent, k: int):
                 at = np.flatnonzero(lengths == d)
                 if not len(at):
                     continue
-                sims = np.round(flat[starts[at][:, None] + np.arange(d)] @ q, 9)
-                least = np.partition(sims, len(at) - k, axis=0)[len(at) - k] if len(at) > k else np.full(len(numbers), -np.inf)
-                row, col = np.nonzero(sims >= least)
-                yield pa.RecordBatch.from_arrays([pa.array(numbers[col]), ids.take(pa.array(at[row])), pa.array(sims[row, col])], ["i", "id", "similarity"])
+                x, step = flat[starts[at][:, None] + np.arange(d)], max(1, MOST_PRODUCTS // len(at))
+                for low in range(0, len(numbers), step):
+                    sims = np.round(x @ q[:, low : low + step], 9)
+                    least = np.partition(sims, len(at) - k, axis=0)[len(at) - k] if len(at) > k else np.full(sims.shape[1], -np.inf)
+                    row, col = np.nonzero(sims >= least)
+                    yield pa.RecordBatch.from_arrays([pa.array(numbers[low + col]), ids.take(pa.array(at[row])), pa.array(sims[row, col])], ["i", "id", "similarity"])
 
     return run
 

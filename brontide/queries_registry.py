@@ -7,6 +7,7 @@ from brontide.operators import catalog, harvest, html, payloads, registry, revie
 from brontide.plans import flow
 from brontide.registry_of_queries import query, table
 from brontide.sources import files
+from brontide.sources.stored import spread
 from brontide.streaming import ledger as streams
 
 
@@ -64,7 +65,8 @@ def article_references(spark, d):
     n = lambda k=0: (F.col("l_suppkey") + k).cast("string")
     say = lambda *x: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in x))
     text_ = F.when(F.col("l_returnflag") == "R", say("제", n(), "조~제", n(2), "조 및 제9999조의2, 제", n(1), "조")).when(F.col("l_returnflag") == "A", say("제", n(), "조의2 ~ 제", n(), "조의3")).otherwise(say("제1조 ~ 제", n(500), "조"))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(registry.article_references(text_), ",").alias("refs"), "l_partkey")
+    rows = spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"), "l_orderkey", 32_768)
+    return rows.select("l_orderkey", "l_linenumber", F.array_join(registry.article_references(text_), ",").alias("refs"), "l_partkey")
 
 
 @query("SELECT coalesce(n_nationkey, r) AS k, CASE WHEN p THEN coalesce(e, n_name) ELSE coalesce(n_name, e) END AS v, CASE WHEN n_name IS NULL THEN 'existing' WHEN p THEN 'pinned' ELSE 'generated' END AS origin FROM nation FULL JOIN (SELECT s_suppkey AS r, s_name AS e, s_acctbal > 0 AS p FROM supplier) ON n_nationkey = r")
@@ -191,7 +193,7 @@ def html_text(spark, d):
 
 def _page(spark, d):
     """A page for each part, made of its columns, so that SQL can say what must be read from it."""
-    t = table(spark, d, "part")
+    t = spread(table(spark, d, "part"), "p_partkey")
     say = lambda *parts: F.concat(*(F.col(x[1:]).cast("string") if x.startswith("$") else F.lit(x) for x in parts))
     return t.select(
         F.col("p_partkey").alias("id"),
@@ -242,8 +244,8 @@ def html_datasets(spark, d):
 
 @query("SELECT p_partkey AS id, p_name AS title, p_type AS keywords FROM part")
 def html_metadata(spark, d):
-    p = _page(spark, d).select("id", html.read_html(F.col("html"), "title").alias("title"), html.read_html(F.col("html"), "metadata").alias("m"))
-    return p.select("id", "title", F.col("m.keywords").alias("keywords"))
+    p = _page(spark, d).select("id", html.read_html(F.col("html"), "title", "metadata").alias("p"))
+    return p.select("id", F.col("p.title").alias("title"), F.col("p.metadata.keywords").alias("keywords"))
 
 
 @query("SELECT p_partkey AS id, 'GET' AS method, '/api/' || p_partkey AS path FROM part")

@@ -58,6 +58,16 @@ def discard(*tables: DataFrame) -> None:
             place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Rows of a task whose rows take long.
+TASK_ROWS = 4096
+
+
+def spread(df: DataFrame, key: str, rows: int = TASK_ROWS) -> DataFrame:
+    """df dealt by key into tasks of about `rows` rows each: a table of few bytes, one task as it is read, may take long to work on."""
+    tasks = -(-df.count() // rows)
+    return df.repartition(tasks, key) if tasks > 1 else df
+
+
 class Log:
     """A table that grows by appended rounds; each round writes its own rows and no others."""
 

@@ -395,3 +395,41 @@ def test_prompt_of_a_selection(spark):
     p = one(spark, text.analysis_prompt(F.array(F.expr(doc)), F.lit("왜?")))
     lines = p.split("\n")
     assert lines[0] == text.PROMPT_HEAD and lines[1] == "사용자 질문: 왜?" and lines[3] == "API 1. A" and "- f12: d" in lines and "- f13: d" not in lines and "- 엔드포인트 정보 없음" in lines and "키워드: k, l" in lines and lines[-1] == text.PROMPT_TAIL[-1]
+
+
+def test_small_tables_of_long_work_are_many_tasks(spark):
+    """A page of each part and a law of each customer are made in tasks of a bounded number of rows, however few bytes the tables have."""
+    from brontide.sources import stored
+
+    df = spark.range(0, 10_000, 1, 1)
+    assert stored.spread(df, "id").rdd.getNumPartitions() == 3 and stored.spread(df, "id").count() == 10_000
+    assert stored.spread(df.limit(10), "id").rdd.getNumPartitions() == 1
+
+
+def test_readings_of_one_parse(spark):
+    page = F.lit("<title>a</title><meta name=k content=v>")
+    assert one(spark, html.read_html(page, "title", "metadata")).asDict() == {"title": "a", "metadata": {"k": "v"}}
+
+
+def test_products_are_held_a_part_at_a_time(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(0)
+    vectors, asked = r.normal(size=(50, 4)), r.normal(size=(30, 4))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(vectors.tolist())], ["id", "vector"])
+    rows = lambda: sorted(tuple(x.values()) for b in search._products(SimpleNamespace(value=list(enumerate(asked.tolist()))), 3)([batch]) for x in b.to_pylist())
+    whole = rows()
+    held = []
+    part = np.partition
+    monkeypatch.setattr(search, "MOST_PRODUCTS", 200)
+    monkeypatch.setattr(np, "partition", lambda x, *a, **k: held.append(x.size) or part(x, *a, **k))
+    assert rows() == whole and len(whole) == 90 and max(held) <= 200
+
+
+def test_chunks_of_a_batch_are_made_a_part_at_a_time(spark, monkeypatch):
+    docs = spark.range(0, 700, 1, 1).withColumn("t", F.lit("x" * 700))
+    none = F.array().cast("array<string>")
+    assert chunks.search_chunks(docs, "id", F.lit("i"), F.col("t"), none, none).groupBy("id").count().filter("count = 2").count() == 700
+    assert chunks.DOCUMENTS < 700
