@@ -185,10 +185,10 @@ def label(article: Column, branch: Column) -> Column:
 def article_references(c: Column) -> Column:
     """Distinct article labels: ranges first, spelled out up to 200 articles or 100 branches, then single ones outside ranges."""
     text = F.regexp_replace(F.coalesce(c, F.lit("")), "[∼～〜–—]", "~")
-    number = lambda m, i: F.regexp_extract(m, RANGE, i).try_cast("int")
+    numbers = lambda m, shape, n: F.struct(*(F.regexp_extract(m, shape, i).try_cast("int").alias(f"n{i}") for i in range(1, n + 1)))
 
     def spelled(m: Column) -> Column:
-        a, ab, z, zb = (number(m, i) for i in (1, 2, 3, 4))
+        a, ab, z, zb = (m[f"n{i}"] for i in (1, 2, 3, 4))
         branches = (a == z) & ab.isNotNull() & zb.isNotNull() & (zb >= ab) & (zb - ab <= 100)
         articles = ab.isNull() & zb.isNull() & (z >= a) & (z - a <= 200)
         none = F.lit(None).cast("int")
@@ -198,9 +198,10 @@ def article_references(c: Column) -> Column:
             .otherwise(F.array(label(a, ab), label(z, zb)))
         )
 
-    ranges = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(RANGE), 0), spelled))
+    ranges = F.flatten(F.transform(F.transform(F.regexp_extract_all(text, F.lit(RANGE), 0), lambda m: numbers(m, RANGE, 4)), spelled))
     rest = F.regexp_replace(text, RANGE, " ")
-    single = F.transform(F.regexp_extract_all(rest, F.lit(SINGLE), 0), lambda m: label(F.regexp_extract(m, SINGLE, 1), F.when(F.regexp_extract(m, SINGLE, 2) != "", F.regexp_extract(m, SINGLE, 2))))
+    said = lambda m: F.struct(F.regexp_extract(m, SINGLE, 1).alias("a"), F.regexp_extract(m, SINGLE, 2).alias("b"))
+    single = F.transform(F.transform(F.regexp_extract_all(rest, F.lit(SINGLE), 0), said), lambda x: label(x["a"], F.when(x["b"] != "", x["b"])))
     return F.array_distinct(F.concat(ranges, single))
 
 
@@ -253,17 +254,28 @@ def law_steps(text: Column) -> Column:
         found = F.filter(F.transform(F.split(part, r"(?<=[다음임함있])\.\s*"), tidy), lambda s: F.length(s) >= 12)
         return F.transform(found, lambda s: F.struct(F.when(article == "", "조문 미상").otherwise(article).alias("article"), s.alias("sentence")))
 
-    def judged(x: Column) -> Column:
+    some = lambda c: F.when(c != "", c)
+
+    def read(x: Column) -> Column:
         s = x["sentence"]
-        action, actor = first_match(s, ACTIONS), reduce(lambda a, b: a | b, (s.rlike(p) for p, _ in LANES))
-        deadline = F.replace(F.regexp_extract(s, DEADLINE, 1), F.lit(" "), F.lit(""))
-        fallback = F.when(action.isin("공고", "공람"), "G3 공고·공람").when(action.isin("검토", "보완", "반려"), "G5 협의검토·보완").when(action.isin("통보", "승인", "고시"), "G6 협의통보·승인").otherwise("G1 착수·스코핑")
-        some = lambda c: F.when(c != "", c)
         known = F.array_compact(F.array(*(F.when(F.contains(s, F.lit(d)), d) for d in DOCUMENTS)))
         other = F.filter(F.regexp_extract_all(s, F.lit(DOCUMENT), 1), lambda d: F.length(d) <= 20)
-        documents = F.slice(F.array_distinct(F.concat(known, other)), 1, MOST_DOCUMENTS)
-        receiver = some(tidy(F.regexp_extract(s, RECEIVER, 1)))
-        condition = F.coalesce(*(some(tidy(F.regexp_extract(s, c, 1))) for c in CONDITIONS))
+        return F.struct(
+            x["article"].alias("article"),
+            s.alias("sentence"),
+            first_match(s, ACTIONS).alias("action"),
+            first_match(s, LANES).alias("lane"),
+            F.replace(F.regexp_extract(s, DEADLINE, 1), F.lit(" "), F.lit("")).alias("deadline"),
+            F.slice(F.array_distinct(F.concat(known, other)), 1, MOST_DOCUMENTS).alias("documents"),
+            tidy(F.regexp_extract(s, RECEIVER, 1)).alias("receiver"),
+            F.array(*(tidy(F.regexp_extract(s, c, 1)) for c in CONDITIONS)).alias("conditions"),
+        )
+
+    def judged(x: Column) -> Column:
+        s, action, deadline, documents, receiver = x["sentence"], x["action"], x["deadline"], x["documents"], some(x["receiver"])
+        actor = x["lane"].isNotNull()
+        fallback = F.when(action.isin("공고", "공람"), "G3 공고·공람").when(action.isin("검토", "보완", "반려"), "G5 협의검토·보완").when(action.isin("통보", "승인", "고시"), "G6 협의통보·승인").otherwise("G1 착수·스코핑")
+        condition = F.get(F.filter(x["conditions"], lambda c: c != ""), 0)
         kind = F.when(action.isin("보완", "반려"), "gateway").when(action.isin("공고", "공개") & condition.isNull(), "notice").otherwise("task")
         points = lambda cond, n: F.when(F.coalesce(cond, F.lit(False)), n).otherwise(0)
         score = F.least(F.lit(95), F.lit(35) + points(action.isNotNull(), 25) + points(actor, 20) + points(F.size(documents) > 0, 15) + points(deadline != "", 5)) / 100
@@ -272,7 +284,7 @@ def law_steps(text: Column) -> Column:
         return F.struct(
             x["article"].alias("article"),
             s.alias("sentence"),
-            first_match(s, LANES, "사업자/시행자").alias("lane"),
+            F.coalesce(x["lane"], F.lit("사업자/시행자")).alias("lane"),
             action.alias("action"),
             first_match(s, STAGES, fallback).alias("stage"),
             some(deadline).alias("deadline"),
@@ -284,7 +296,7 @@ def law_steps(text: Column) -> Column:
             name.alias("name"),
         )
 
-    return F.transform(F.flatten(F.transform(F.filter(parts, lambda p: F.trim(p) != ""), sentences)), judged)
+    return F.transform(F.transform(F.flatten(F.transform(F.filter(parts, lambda p: F.trim(p) != ""), sentences)), read), judged)
 
 
 def rank_news(items: DataFrame, signals: dict[str, tuple[str, ...]], existing: tuple[str, ...], sources: dict[str, int], k: int = 30) -> DataFrame:

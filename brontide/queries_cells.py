@@ -6,6 +6,7 @@ from brontide.functions import scalars, text, web
 from brontide.operators import catalog, chunks, ledger, payloads, profile, registry
 from brontide.registry_of_queries import Derived, in_turn, query, table
 from brontide.sources import files
+from brontide.sources.stored import spread
 from brontide.streaming import ledger as streams
 
 # Catalog rows.
@@ -245,7 +246,7 @@ UNION ALL SELECT id, b, '이 법은 ' || days || '부터 시행되는 것으로
 def law_steps(spark, d):
     say = lambda *x: F.concat(*(F.col(p) if p in ("a", "b", "who", "days") else F.lit(p) for p in x))
     text_ = say("a", " ", "who", "는 평가서를 ", "days", " 이내 협의기관에 제출하여야 한다. 협의기관은 보완을 요청할 수 있다. ", "b", " 승인기관은 그 내용을 지체 없이 공고하여야 한다. 시장은 필요한 경우 ", "who", "에게 의견서를 통보하여야 한다. 이 법은 ", "days", "부터 시행되는 것으로 한다.")
-    return _LAW(spark, d).select("id", F.inline(registry.law_steps(text_))).withColumn("documents", F.array_join("documents", "|"))
+    return spread(_LAW(spark, d), "id").select("id", F.inline(registry.law_steps(text_))).withColumn("documents", F.array_join("documents", "|"))
 
 
 # Cells of a profile.
