@@ -44,6 +44,10 @@ BLOCK, BUCKETS = 128, 64
 PIECE, ASKED, CELLS = 4096, 512, 4096
 #: Vectors that the centres are chosen from.
 SAMPLE = 65_536
+#: Bits of an impact that postings are put in order by.
+LEVEL_BITS = 24
+#: Documents that a task counts the tokens of at a time.
+COUNTED = 1024
 #: The most documents that a query looks up by id for its bound.
 LOOKED_UP = 1000
 _SLACK = 1e-7
@@ -87,66 +91,105 @@ def impact(tf: Column, dl: Column, average: float) -> Column:
 _BLOCKS = "bucket int, token string, top double, n int, ids array<{id}>, tfs array<int>, dls array<int>"
 
 
-def _blocks(kind: pa.DataType):
-    """Postings (bucket, token, id, tf, dl, impact) in order to blocks of at most BLOCK of one token."""
+def _counts(kind: pa.DataType, weights: list[int]):
+    """Rows (id, tokens of each field) to (id, dl, tokens): each document's distinct tokens with their weighted counts."""
+    empty = pa.array([], pa.string())
+
+    def counted(b: pa.RecordBatch) -> pa.RecordBatch:
+        fields = [b.column(1 + i) for i in range(len(weights))]
+        sizes = [f.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for f in fields]
+        coded = pa.concat_arrays([empty, *(f.flatten() for f in fields)]).dictionary_encode()
+        row = np.concatenate([np.repeat(np.arange(b.num_rows), n) for n in sizes])
+        w = np.concatenate([np.full(n.sum(), x, np.int64) for n, x in zip(sizes, weights, strict=True)])
+        words = max(1, len(coded.dictionary))
+        keys, at = np.unique(row * words + coded.indices.to_numpy(), return_inverse=True)
+        tf = np.bincount(at, w, len(keys)).astype(np.int32)
+        dl = sum((n * x for n, x in zip(sizes, weights, strict=True)), np.zeros(b.num_rows, np.int64)).astype(np.int32)
+        offsets = np.searchsorted(keys, np.arange(b.num_rows + 1) * words).astype(np.int32)
+        tokens = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(keys % words)), pa.array(tf)], ["token", "tf"])
+        return pa.RecordBatch.from_arrays([b.column(0).cast(kind), pa.array(dl), pa.ListArray.from_arrays(pa.array(offsets), tokens)], ["id", "dl", "tokens"])
 
     def run(batches):
-        last: tuple | None = None
-        ids, tfs, dls, tops = [], [], [], 0.0
-        rows: list[tuple] = []
+        for b in batches:
+            for at in range(0, b.num_rows, COUNTED):
+                yield counted(b.slice(at, COUNTED))
+
+    return run
 
-        def out():
-            columns = list(zip(*rows, strict=True))
-            kinds = (pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.list_(kind), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in _BLOCKS.split(", ")])
 
+def _blocks(kind: pa.DataType):
+    """Postings (bucket, token, id, tf, dl, impact) in order to blocks of at most BLOCK of one token."""
+    names = [f.split()[0] for f in _BLOCKS.split(", ")]
+
+    def cut(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        """The blocks that begin at starts; the last start is the end."""
+        bucket, token, ids, tfs, dls, tops = (c.combine_chunks() for c in t.slice(0, starts[-1]).columns)
+        heads, offsets = pa.array(starts[:-1]), pa.array(starts.astype(np.int32))
+        lists = (pa.ListArray.from_arrays(offsets, c) for c in (ids.cast(kind), tfs, dls))
+        tops = pa.array(np.maximum.reduceat(tops.to_numpy(), starts[:-1]))
+        return pa.RecordBatch.from_arrays([bucket.take(heads), token.take(heads), tops, pa.array(np.diff(starts).astype(np.int32)), *lists], names)
+
+    def starts(t: pa.Table) -> np.ndarray:
+        token = t.column(1).combine_chunks().dictionary_encode().indices.to_numpy()
+        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        within = np.arange(len(token)) - np.repeat(first, np.diff(np.r_[first, len(token)]))
+        return np.flatnonzero(within % BLOCK == 0)
+
+    def run(batches):
+        left = None  # the rows of the last block, which the next batch may go on with
         for b in batches:
-            for bucket, token, i, tf, dl, top in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (bucket, token) != last or len(ids) == BLOCK:
-                    if ids:
-                        rows.append((*last, tops, len(ids), ids, tfs, dls))
-                        if len(rows) >= 2048:
-                            yield out()
-                            rows = []
-                    last, ids, tfs, dls, tops = (bucket, token), [], [], [], top
-                ids.append(i)
-                tfs.append(tf)
-                dls.append(dl)
-        if ids:
-            rows.append((*last, tops, len(ids), ids, tfs, dls))
-        if rows:
-            yield out()
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = t if left is None else pa.concat_tables([left, t])
+            at = starts(t)
+            if len(at) > 1:
+                yield cut(t, at)
+            left = t.slice(at[-1]).combine_chunks()
+        if left is not None:
+            yield cut(left, np.array([0, left.num_rows]))
 
     return run
 
 
+def _order(buckets: int) -> Column:
+    """A long that puts postings (bucket, token, impact) in order of bucket, of the token's hash, and of falling impact.
+
+    Where tokens share a hash their postings mix, and their blocks are shorter.
+    """
+    spare = 63 - (buckets - 1).bit_length() - LEVEL_BITS
+    level = F.floor((1 - F.col("impact") / (K1 + 1)) * ((1 << LEVEL_BITS) - 1))
+    return (F.col("bucket").cast("bigint") * (1 << spare) + F.pmod(F.xxhash64(F.lit("order"), "token"), F.lit(1 << spare))) * (1 << LEVEL_BITS) + level
+
+
 def build_lexical(docs: DataFrame, path: str, id: str, weights: dict[str, int], built_at: str = "", buckets: int = BUCKETS) -> dict:
     """Writes the postings of docs' weighted fields and returns the manifest.
 
-    ids are unique.  The texts are tokenised once; what is shuffled are counts by
-    document and token.  The postings are dealt in ranges of (bucket, token,
+    ids are unique.  The texts are tokenised once and each document is counted
+    where it is read; what is shuffled are counts by document and token, once by
+    document and once by token.  The postings are dealt in ranges of (bucket, token,
     impact), so a token that every document has is spread over many tasks.
     Documents with a null id are counted but are in no posting.
     """
     spark = docs.sparkSession
     _remove(spark, f"{path}/manifest")
-    weighed = lambda w: lambda t: F.struct(t.alias("token"), F.lit(w).alias("w"))
-    tokens = F.concat(*(F.transform(tokenize(F.col(f)), weighed(w)) for f, w in weights.items()))
-    sized = let(tokens, lambda t: F.struct(F.aggregate(t, F.lit(0), lambda a, x: a + x["w"]).alias("dl"), t.alias("tokens")))
+    kind = docs.select(F.col(id).alias("id")).schema["id"].dataType
+    tokens = docs.select(F.col(id).alias("id"), *(tokenize(F.col(f)).alias(f"tokens{i}") for i, f in enumerate(weights)))
+    held = f"id {kind.simpleString()}, dl int, tokens array<struct<token:string,tf:int>>"
     seen = Observation()
-    rows = docs.select(F.col(id).alias("id"), F.inline(F.array(sized))).observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("average"))
-    counts = written(rows.filter("id is not null").select("id", "dl", F.inline("tokens")).groupBy("id", "dl", "token").agg(F.sum("w").cast("int").alias("tf")))
-    n, average = (0, 0.0) if docs.isEmpty() else (seen.get["n"], seen.get["average"])
+    counts = tokens.mapInArrow(_counts(to_arrow_type(kind), list(weights.values())), held).observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("average"))
     part = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("part")
-    forward = counts.groupBy(part, "id", "dl").agg(F.collect_list(F.struct("token", "tf")).alias("tokens"))
+    # A document without a token is in neither table.
+    forward = counts.filter("id is not null and size(tokens) > 0").select(part, "id", "dl", "tokens")
     forward.repartition("part").sortWithinPartitions("part", "id").write.mode("overwrite").partitionBy("part").parquet(f"{path}/forward")
+    n, average = (0, 0.0) if docs.isEmpty() else (seen.get["n"], seen.get["average"])
     bucket = F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int").alias("bucket")
-    order = ("bucket", "token", F.desc("impact"), "id")
-    postings = counts.select(bucket, "token", "id", "tf", "dl", impact(F.col("tf"), F.col("dl"), average).alias("impact")).repartitionByRange(*order).sortWithinPartitions(*order)
-    kind = counts.schema["id"].dataType
-    made = postings.mapInArrow(_blocks(to_arrow_type(kind)), _BLOCKS.format(id=kind.simpleString()))
+    rows = spark.read.schema(held).parquet(f"{path}/forward").select("id", "dl", F.inline("tokens"))
+    postings = rows.select(bucket, "token", "id", "tf", "dl", impact(F.col("tf"), F.col("dl"), average).alias("impact")).withColumn("place", _order(buckets))
+    # One long to sort by; the id only deals out the postings of equal documents.
+    dealt = postings.repartitionByRange("place", "id").sortWithinPartitions("place").drop("place")
+    made = dealt.mapInArrow(_blocks(to_arrow_type(kind)), _BLOCKS.format(id=kind.simpleString()))
     made.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    discard(counts)
     said = {"kind": "lexical", "built_at": built_at, "documents": n, "average_length": average, "buckets": buckets, "id": kind.simpleString(), "weights": weights}
     _finish(spark, path, said)
     return said

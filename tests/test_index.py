@@ -100,3 +100,26 @@ def test_empty_indexes(spark, tmp_path):
     index.build_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>"), str(tmp_path / "v"), "vec_id", "embedding")
     queries = spark.createDataFrame([(1, [1.0])], "intent long, query array<double>")
     assert index.Vectors(spark, str(tmp_path / "v")).topk(queries, 3, "vec_id").count() == 0
+
+
+def test_documents_are_counted_where_they_are_read(monkeypatch):
+    """Counts and blocks of Arrow batches against plain dictionaries, across the ends of batches."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(index, "COUNTED", 3)
+    monkeypatch.setattr(index, "BLOCK", 4)
+    r = random.Random(3)
+    docs = [(i, r.choices("abcdef", k=r.randrange(0, 9)), r.choices("cxyz", k=r.randrange(0, 3))) for i in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array([d[k] for d in docs], t) for k, t in enumerate((pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())))], ["id", "a", "b"])
+    got = [x for b in index._counts(pa.int64(), [1, 3])([batch.slice(0, 11), batch.slice(11, 0), batch.slice(11)]) for x in b.to_pylist()]
+    want = {i: Counter(a) + Counter({t: 3 * n for t, n in Counter(b).items()}) for i, a, b in docs}
+    assert [x["id"] for x in got] == list(range(20)) and all({t["token"]: t["tf"] for t in x["tokens"]} == want[x["id"]] and x["dl"] == want[x["id"]].total() for x in got)
+    rows = sorted((t["token"], x["id"], t["tf"], x["dl"], float(t["tf"])) for x in got for t in x["tokens"])
+    postings = pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int32()), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True))], ["bucket", "token", "id", "tf", "dl", "impact"])
+    blocks = [x for b in index._blocks(pa.int64())([postings.slice(a, 7) for a in range(0, len(rows), 7)]) for x in b.to_pylist()]
+    assert [(x["token"], *p) for x in blocks for p in zip(x["ids"], x["tfs"], x["dls"], strict=True)] == [p[:4] for p in rows]
+    assert all(x["n"] == len(x["ids"]) and x["top"] == max(x["tfs"]) for x in blocks)
+    df = Counter(p[0] for p in rows)
+    assert Counter(x["token"] for x in blocks) == {t: -(-n // 4) for t, n in df.items()}
