@@ -17,20 +17,46 @@ from pyspark.sql import functions as F
 from brontide.operators.ordered import neighbour
 from brontide.sources.stored import Log, discard, written, written_counting
 
+#: Edges, or nodes, that one task sorts or groups.
+TASK_EDGES = 1 << 20
+
 
 def _kind(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def _tasks(*tables: DataFrame) -> int:
+    """How many tasks the largest of some tables is dealt in."""
+    return -(-max(t.count() for t in tables) // TASK_EDGES)
+
+
+def _dealt(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """df dealt by its keys in so many tasks; a shuffle's own number stays where that is enough."""
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def _distinct(edges: DataFrame) -> DataFrame:
+    """The distinct edges, written."""
+    edges = edges.select("src", "dst")
+    return written(_dealt(edges, _tasks(edges), "src", "dst").distinct())
+
+
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(node): what is reached from any start.  A round joins the nodes that the last one found."""
-    edges = written(edges.select("src", "dst").distinct())
+    edges = _distinct(edges)
+    seen = _reached(edges, starts)
+    discard(edges)
+    return seen
+
+
+def _reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """reachable, of edges that are distinct and written."""
+    tasks = _tasks(edges)
     seen = Log(edges.sparkSession, f"node {_kind(starts, 'node')}")
     front = seen.append(starts.select("node").distinct())
     while not front.isEmpty():
-        new = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        front = seen.append(new.join(seen.rows().select("node"), "node", "left_anti"))
-    discard(edges)
+        new = _dealt(edges, tasks, "src").join(front.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        front = seen.append(_dealt(new, tasks, "node").join(seen.rows().select("node"), "node", "left_anti"))
     return seen.rows().select("node")
 
 
@@ -42,7 +68,7 @@ def strong_components(edges: DataFrame, rounds: list[int] | None = None) -> Data
     that is the component's; other nodes stay with those of their own two colours,
     edges between colours go, and what is left is coloured again.  A random order
     splits even a long path in two again and again, so that takes a logarithm of
-    repeats.
+    repeats.  Edges are dealt by their number, so a task has no more of a larger graph.
 
     Colours spread along edges and along pointers: each node points to the
     neighbour with the best colour, and pointers are doubled until no colour
@@ -50,7 +76,7 @@ def strong_components(edges: DataFrame, rounds: list[int] | None = None) -> Data
     in the same jobs.  Each round touches an edge once; no set of pairs is made.
     rounds: gets the number of rounds that were written.
     """
-    edges = written(edges.select("src", "dst").distinct())
+    edges = _distinct(edges)
     nodes = written(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
     left = written(edges.filter("src <> dst"))
     discard(edges)
@@ -58,7 +84,9 @@ def strong_components(edges: DataFrame, rounds: list[int] | None = None) -> Data
     turn = done = 0
     while not left.isEmpty():
         # A node without an edge in or out is a component of its own.
-        both = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        tasks = _tasks(left)
+        both = _dealt(left, tasks, "src").join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        both = _dealt(both, tasks, "dst").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
         last, left = left, written(both.select("src", "dst"))
         discard(last)
         if left.isEmpty():
@@ -69,7 +97,7 @@ def strong_components(edges: DataFrame, rounds: list[int] | None = None) -> Data
         found.append(colours.filter("ahead = back").select("node", F.col("ahead").alias("root")))
         open_ = colours.filter("ahead <> back")
         end = lambda name: open_.select(F.col("node").alias(name), F.struct("ahead", "back").alias(f"{name}_c"))  # noqa: E731, B023
-        rest = left.join(end("src"), "src").join(end("dst"), "dst").filter("src_c = dst_c").select("src", "dst")
+        rest = _dealt(_dealt(left, tasks, "src").join(end("src"), "src"), tasks, "dst").join(end("dst"), "dst").filter("src_c = dst_c").select("src", "dst")
         last, left = left, written(rest)
         discard(last)
     if rounds is not None:
@@ -89,11 +117,13 @@ def _colours(edges: DataFrame, turn: int) -> tuple[DataFrame, int]:
     a colour.
     """
     both = edges.select(F.lit(0).alias("way"), F.col("src").alias("of"), F.col("dst").alias("to")).unionByName(edges.select(F.lit(1).alias("way"), F.col("dst").alias("of"), F.col("src").alias("to")))
-    colour = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("n"))
-    state = written(both.select("way", F.col("of").alias("node")).distinct().select("way", "node", colour.alias("c")))
+    tasks = _tasks(edges)
+    colour = lambda of: F.struct(F.xxhash64(F.lit(turn), of).alias("h"), F.col(of).alias("n"))
+    state = written(both.select("way", F.col("of").alias("node")).distinct().select("way", "node", colour("node").alias("c")))
     rounds = 0
     while True:
-        near = both.join(state.select("way", F.col("node").alias("to"), "c"), ["way", "to"]).groupBy("way", F.col("of").alias("node")).agg(F.min(F.struct("c", "to")).alias("best"))
+        seen = _dealt(both, 2 * tasks, "way", "to").join(state.select("way", F.col("node").alias("to"), "c"), ["way", "to"]).select("way", F.col("of").alias("node"), F.col("c.n").alias("colour"), "to")
+        near = _dealt(seen, 2 * tasks, "way", "node").groupBy("way", "node").agg(F.min(F.struct(colour("colour").alias("c"), "to")).alias("best"))
         step = state.join(near, ["way", "node"], "left").select("way", "node", F.least("c", F.coalesce("best.c", "c")).alias("c"), F.coalesce("best.to", "node").alias("at"), F.coalesce(F.col("best.c") < F.col("c"), F.lit(False)).alias("moved"))
         last, (state, moving) = state, written_counting(step, "moved")
         discard(last)
@@ -102,7 +132,7 @@ def _colours(edges: DataFrame, turn: int) -> tuple[DataFrame, int]:
             break
         while moving:
             there = state.select("way", F.col("node").alias("at"), F.col("c").alias("far"), F.col("at").alias("next"))
-            jump = state.select("way", "node", "c", "at").join(there, ["way", "at"]).select("way", "node", F.least("c", "far").alias("c"), F.col("next").alias("at"), (F.col("far") < F.col("c")).alias("moved"))
+            jump = _dealt(state.select("way", "node", "c", "at"), tasks, "way", "at").join(there, ["way", "at"]).select("way", "node", F.least("c", "far").alias("c"), F.col("next").alias("at"), (F.col("far") < F.col("c")).alias("moved"))
             last, (state, moving) = state, written_counting(jump, "moved")
             discard(last)
             rounds += 1
@@ -210,16 +240,17 @@ def grounded(nodes: DataFrame, attacks: DataFrame) -> DataFrame:
     nodes that they attack in turn; who waits for none is accepted next.  Each
     attack is counted once in all, and only what a round settles is written.
     """
-    nodes, attacks = written(nodes.select("node").distinct()), written(attacks.select("src", "dst").distinct())
-    kind = _kind(nodes, "node")
-    attacks = written(attacks.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
+    nodes, attacks = written(nodes.select("node").distinct()), _distinct(attacks)
+    kind, tasks = _kind(nodes, "node"), _tasks(attacks)
+    attacks = written(_dealt(attacks, tasks, "dst").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
     waits = written(attacks.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")))
     settled, fallen = Log(nodes.sparkSession, f"node {kind}, label string"), Log(nodes.sparkSession, f"node {kind}, n bigint")
     front = settled.append(nodes.join(waits, "node", "left_anti").withColumn("label", F.lit("accepted")))
+    by_source = _dealt(attacks, tasks, "src")
     while not front.isEmpty():
-        hit = attacks.join(front.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        hit = by_source.join(front.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
         lost = settled.append(hit.join(settled.rows(), "node", "left_anti").withColumn("label", F.lit("rejected")))
-        counted = fallen.append(attacks.join(lost.select(F.col("node").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")))
+        counted = fallen.append(by_source.join(lost.select(F.col("node").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")))
         free = _free(fallen, counted, waits).join(settled.rows(), "node", "left_anti")
         front = settled.append(free.withColumn("label", F.lit("accepted")))
     fallen.discard()
@@ -238,19 +269,28 @@ def dag_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     A node waits for its edges in; a round counts down along the edges of the
     nodes that the last one settled, and writes those that it settles.
     """
-    nodes = written(nodes.select("node").distinct())
-    kind = _kind(nodes, "node")
-    edges = written(within(nodes, edges.select("src", "dst").distinct()))
+    nodes, edges = written(nodes.select("node").distinct()), _distinct(edges)
+    out = _levels(nodes, edges)
+    discard(edges)
+    return out
+
+
+def _levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """dag_levels, of nodes and edges that are distinct and written."""
+    kind, tasks = _kind(nodes, "node"), _tasks(nodes, edges)
+    known = lambda end: nodes.select(F.col("node").alias(end))
+    edges = written(_dealt(_dealt(edges, tasks, "src").join(known("src"), "src", "left_semi"), tasks, "dst").join(known("dst"), "dst", "left_semi").select("src", "dst"))
     waits = written(edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")))
     settled, fallen = Log(nodes.sparkSession, f"node {kind}, level int"), Log(nodes.sparkSession, f"node {kind}, n bigint")
-    front, level = settled.append(nodes.join(waits, "node", "left_anti").withColumn("level", F.lit(0))), 0
+    front, level = settled.append(_dealt(nodes, tasks, "node").join(waits, "node", "left_anti").withColumn("level", F.lit(0))), 0
+    by_source = _dealt(edges, tasks, "src")
     while not front.isEmpty():
         level += 1
-        counted = fallen.append(edges.join(front.select(F.col("node").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")))
+        counted = fallen.append(by_source.join(front.select(F.col("node").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")))
         front = settled.append(_free(fallen, counted, waits).withColumn("level", F.lit(level)))
     fallen.discard()
     discard(edges, waits)
-    return nodes.join(settled.rows().select("node", "level"), "node", "left")
+    return _dealt(nodes, tasks, "node").join(settled.rows().select("node", "level"), "node", "left")
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -286,15 +326,17 @@ def run_order(steps: DataFrame, edges: DataFrame) -> DataFrame:
     own outcome, and blocks those that depend on it; steps on or behind a cycle have no
     level and are blocked.  Every round settles one level of the plan.
     """
-    steps, edges = written(steps.select("node", "status")), written(edges.select("src", "dst").distinct())
-    levels = dag_levels(steps.select("node"), edges)
-    lost = dangling(steps.select("node"), edges).select(F.col("dst").alias("node")).distinct().withColumn("lost", F.lit(True))
-    base = steps.join(levels, "node").join(lost, "node", "left")
+    steps, edges = written(steps.select("node", "status")), _distinct(edges)
+    tasks = _tasks(steps, edges)
+    nodes = written(_dealt(steps.select("node"), tasks, "node").distinct())
+    levels = _levels(nodes, edges)
+    lost = _dealt(edges, tasks, "src").join(nodes.select(F.col("node").alias("src")), "src", "left_anti").select(F.col("dst").alias("node")).distinct().withColumn("lost", F.lit(True))
+    base = _dealt(steps, tasks, "node").join(levels, "node").join(lost, "node", "left")
     bad = F.coalesce("lost", F.lit(False)) | F.col("level").isNull()
     start = written(base.select("node", "level", F.when(bad, "blocked").otherwise(F.col("status")).alias("state")))
     failed = start.filter("state <> 'succeeded'").select(F.col("node").alias("src"))
-    hit = reachable(edges, edges.join(failed, "src", "left_semi").select(F.col("dst").alias("node")))
-    return start.join(hit.withColumn("hit", F.lit(True)), "node", "left").select("node", "level", F.when(F.col("hit"), "blocked").otherwise(F.col("state")).alias("state"))
+    hit = _reached(edges, _dealt(edges, tasks, "src").join(failed, "src", "left_semi").select(F.col("dst").alias("node")))
+    return _dealt(start, tasks, "node").join(hit.withColumn("hit", F.lit(True)), "node", "left").select("node", "level", F.when(F.col("hit"), "blocked").otherwise(F.col("state")).alias("state"))
 
 
 def sequence_edges(nodes: DataFrame, group: str, *order: str) -> DataFrame:

@@ -340,13 +340,22 @@ _NODES = "SELECT 4 * p_partkey + 1 AS node FROM part UNION ALL SELECT 4 * s_supp
 
 
 def _edges(spark, d):
+    return _links(spark, d).distinct()
+
+
+def _links(spark, d):
+    """The rows that edges come from, some more than once."""
     part, supp, back = F.expr(_PART), F.expr(_SUPP), F.col("l_returnflag") == "A"
-    return table(spark, d, "lineitem").select(F.when(back, supp).otherwise(part).alias("src"), F.when(back, part).otherwise(supp).alias("dst")).distinct()
+    return table(spark, d, "lineitem").select(F.when(back, supp).otherwise(part).alias("src"), F.when(back, part).otherwise(supp).alias("dst"))
 
 
 def _dag(spark, d):
+    return _dag_links(spark, d).distinct()
+
+
+def _dag_links(spark, d):
     rows = table(spark, d, "lineitem")
-    return rows.select(F.expr("4 * l_orderkey").alias("src"), F.expr(_PART).alias("dst")).unionByName(rows.select(F.expr(_PART).alias("src"), F.expr(_SUPP).alias("dst"))).distinct()
+    return rows.select(F.expr("4 * l_orderkey").alias("src"), F.expr(_PART).alias("dst")).unionByName(rows.select(F.expr(_PART).alias("src"), F.expr(_SUPP).alias("dst")))
 
 
 def _nodes(spark, d):
@@ -369,7 +378,7 @@ def _states(spark, d):
 
 @query(f"WITH RECURSIVE e AS ({_EDGES}), r(node) AS (SELECT 5::BIGINT UNION SELECT dst FROM r JOIN e ON node = src) SELECT node FROM r")
 def graph_reach(spark, d):
-    return graph.reachable(_edges(spark, d), _nodes(spark, d).filter("node = 5"))
+    return graph.reachable(_links(spark, d), _nodes(spark, d).filter("node = 5"))
 
 
 @query(f"WITH RECURSIVE e AS ({_STATES}), r(seed, node) AS (SELECT src, src FROM e UNION SELECT dst, dst FROM e UNION SELECT seed, dst FROM r JOIN e ON node = src) SELECT a.seed AS node, min(a.node) AS component, count(*) AS size FROM r a JOIN r b ON a.seed = b.node AND a.node = b.seed GROUP BY 1")
@@ -380,7 +389,7 @@ def graph_scc(spark, d):
 @query()
 def graph_scc_parts(spark, d):
     """Strong components of the whole graph of parts and suppliers; its closure is too large for SQL."""
-    return graph.strong_components(_edges(spark, d))
+    return graph.strong_components(_links(spark, d))
 
 
 @query(f"""WITH RECURSIVE e AS ({_STATES}), r(seed, node) AS (SELECT src, src FROM e UNION SELECT dst, dst FROM e UNION SELECT seed, dst FROM r JOIN e ON node = src),
@@ -423,12 +432,12 @@ def graph_connected(spark, d):
 
 @query(f"WITH RECURSIVE e AS ({_DAG}), l(node, level) AS (SELECT node, 0 FROM ({_NODES} UNION ALL SELECT 4 * o_orderkey FROM orders) UNION SELECT dst, level + 1 FROM l JOIN e ON node = src) SELECT node, max(level)::INT AS level FROM l GROUP BY node")
 def dag_levels(spark, d):
-    return graph.dag_levels(_steps(spark, d), _dag(spark, d))
+    return graph.dag_levels(_steps(spark, d), _dag_links(spark, d))
 
 
 @query()
 def grounded_labels(spark, d):
-    return graph.grounded(_nodes(spark, d), _edges(spark, d))
+    return graph.grounded(_nodes(spark, d), _links(spark, d))
 
 
 @query(f"WITH e AS ({_DAG}) SELECT dst AS node, array_to_string(list_sort(list(DISTINCT src)), ',') AS blockers FROM e WHERE src % 16 <> 0 GROUP BY dst")
@@ -444,7 +453,7 @@ UNION ALL SELECT node, CASE WHEN m > 0 THEN 2 WHEN k > 0 THEN 1 ELSE 0 END, CASE
 def run_order(spark, d):
     """Orders that are not pending have succeeded; parts and suppliers would, if nothing blocks them."""
     good = table(spark, d, "orders").select(F.expr("4 * o_orderkey").alias("node"), F.when(F.col("o_orderstatus") != "P", "succeeded").otherwise("failed").alias("status"))
-    return graph.run_order(good.unionByName(_nodes(spark, d).withColumn("status", F.lit("succeeded"))), _dag(spark, d))
+    return graph.run_order(good.unionByName(_nodes(spark, d).withColumn("status", F.lit("succeeded"))), _dag_links(spark, d))
 
 
 @query("SELECT user_id, CASE WHEN bool_or(event_type = 'click') THEN 'success' WHEN bool_or(event_type = 'view') THEN 'timeout' ELSE 'error' END AS status, count(*) AS attempts, NOT bool_or(event_type = 'click') AND count(*) < 40 AS retry FROM events GROUP BY user_id")

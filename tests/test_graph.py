@@ -153,3 +153,14 @@ def test_rounds_write_no_more_than_the_graph(spark, monkeypatch):
     got = {r["node"]: r["label"] for r in graph.grounded(nodes, frame(spark, [(i, i + 1) for i in range(15)])).collect()}
     assert got == {i: "accepted" if i % 2 == 0 else "rejected" for i in range(16)}
     assert logs[0].rows().count() == 16 and kept[0] <= 15
+
+
+def test_tasks_follow_the_number_of_edges(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_EDGES", 2)
+    edges = some_edges(1)
+    assert graph._dealt(frame(spark, edges), graph._tasks(frame(spark, edges)), "src").rdd.getNumPartitions() == -(-len(edges) // 2) > 4
+    assert {tuple(r) for r in graph.strong_components(frame(spark, edges)).collect()} == model_components(edges)
+    steps = spark.createDataFrame([(c, "failed" if c == "b" else "succeeded") for c in "abcdefgh"], "node string, status string")
+    plan = spark.createDataFrame([tuple(e) for e in ["ac", "bc", "cd", "ae", "fg", "gf", "zh", "hz", *["ac"] * 20]], "src string, dst string")
+    got = {r["node"]: (r["level"], r["state"]) for r in graph.run_order(steps, plan).collect()}
+    assert got == {"a": (0, "succeeded"), "b": (0, "failed"), "c": (1, "blocked"), "d": (2, "blocked"), "e": (1, "succeeded"), "f": (None, "blocked"), "g": (None, "blocked"), "h": (0, "blocked")}
