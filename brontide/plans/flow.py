@@ -224,10 +224,22 @@ def layout(nodes: DataFrame, ordinal: str, columns: int = 3, width: int = 320, h
 SUGGESTED, APPROVED = "#f59e0b", "#475569"
 
 
+#: Relations that one task puts in order.
+TASK_RELATIONS = 1 << 20
+
+
 def within_selection(relations: DataFrame, selected: DataFrame, group: str = "run") -> DataFrame:
-    """relations (run, source, target, ...) with both ends among selected (run, id)."""
-    ids = selected.select(group, "id").distinct()
-    return relations.join(ids.withColumnRenamed("id", "source"), [group, "source"], "left_semi").join(ids.withColumnRenamed("id", "target"), [group, "target"], "left_semi")
+    """relations (run, source, target, ...) with both ends among selected (run, id).
+
+    They are shuffled once, by run; what is grouped by run or by its ids afterwards
+    needs no shuffle more.
+    """
+    ids = selected.select(group, F.col("id").alias("source"), F.col("id").alias("target"), F.lit(True).alias("_is_id")).distinct()
+    rows = relations.withColumn("_is_id", F.lit(False)).unionByName(ids, allowMissingColumns=True).dropna(subset=[group, "source", "target"])
+    tasks = max(int(relations.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-relations.count() // TASK_RELATIONS))
+    known = lambda end: F.max("_is_id").over(Window.partitionBy(group, end))
+    rows = rows.repartition(tasks, group).withColumn("_from", known("source")).withColumn("_to", known("target"))
+    return rows.filter("_from and _to and not _is_id").select(*relations.columns)
 
 
 def flow_json(selected: DataFrame, relations: DataFrame, runs: DataFrame, fmt: str, exported_at: str, name_most: int = 60) -> DataFrame:

@@ -22,3 +22,13 @@ def test_all_flows_at_once(spark):
     firsts = nodes_.filter("at = 0").select("flow", "node")
     assert {tuple(x) for x in tables.upstream_of(edges_, firsts).collect()} == needs
     assert tables.order_flows(nodes_.limit(0), edges_).count() == 0
+
+
+def test_relations_of_a_selection_take_one_shuffle(spark):
+    from brontide.plans import flow
+
+    selected = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (2, None), (None, "a")], "run long, id string")
+    rows = [(1, "a", "b", "x"), (1, "a", "b", "x"), (1, "b", "b", None), (1, "a", "c", "x"), (2, "a", "b", "x"), (2, "a", "a", "y"), (2, "a", None, "x"), (2, None, "a", "x"), (None, "a", "a", "x"), (3, "a", "a", "x")]
+    found = flow.within_selection(spark.createDataFrame(rows, "run long, source string, target string, note string"), selected)
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, [rows[0], rows[1], rows[2], rows[5]]))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
