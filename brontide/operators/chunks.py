@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from itertools import batched
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brontide.functions.text import clean_markup
 
-#: Characters a chunk may hold, and chunks a document may have.
-MOST_CHARS, MOST_CHUNKS = 650, 12
-#: Documents whose chunks a task holds at a time.
-DOCUMENTS = 256
+#: Characters a chunk may hold.
+MOST_CHARS = 650
+#: Documents that a task reads, and chunks that it holds to hand on, at a time.
+DOCUMENTS, CHUNKS = 256, 4096
 
 
 def pack(items: list[str], most: int = MOST_CHARS) -> list[str]:
@@ -27,8 +29,8 @@ def pack(items: list[str], most: int = MOST_CHARS) -> list[str]:
     return out
 
 
-def chunks_of(identity: str, description: str | None, endpoints: list[str], fields: list[str], most: int = MOST_CHARS, n: int = MOST_CHUNKS) -> list[tuple[str, str]]:
-    """(kind, text): the identity before each group; overview, endpoints and fields in turn."""
+def chunks_of(identity: str, description: str | None, endpoints: list[str], fields: list[str], most: int = MOST_CHARS) -> list[tuple[str, str]]:
+    """(kind, text): the identity before each group; overview, endpoints and fields in turn, to the end of the longest."""
     groups = {"overview": pack([description], most) if description else [""], "endpoints": pack(endpoints, most), "response_fields": pack(fields, most)}
     heads = {"overview": "[설명]", "endpoints": "[엔드포인트]", "response_fields": "[응답필드]"}
     out = []
@@ -39,25 +41,25 @@ def chunks_of(identity: str, description: str | None, endpoints: list[str], fiel
                 text = "\n".join(x for x in (identity, body) if x)
                 if text:
                     out.append((kind, text))
-    return out[:n]
+    return out
 
 
 def search_chunks(docs: DataFrame, id: str, identity: Column, description: Column, endpoints: Column, fields: Column) -> DataFrame:
-    """(id, chunk_index, chunk_type, text)."""
-
-    chunk = pa.list_(pa.struct([("chunk_type", pa.string()), ("text", pa.string())]))
+    """(id, chunk_index, chunk_type, text): all chunks of each document."""
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, DOCUMENTS):
                 key, *columns = b.slice(at, DOCUMENTS).columns
-                made = [[{"chunk_type": k, "text": t} for k, t in chunks_of(w or "", x, y or [], z or [])] for w, x, y, z in zip(*(c.to_pylist() for c in columns), strict=True)]
-                yield pa.RecordBatch.from_arrays([key, pa.array(made, chunk)], ["id", "chunks"])
+                texts = zip(*(c.to_pylist() for c in columns), strict=True)
+                made = ((i, n, k, t) for i, (w, x, y, z) in enumerate(texts) for n, (k, t) in enumerate(chunks_of(w or "", x, y or [], z or [])))
+                for part in batched(made, CHUNKS):
+                    i, n, k, t = zip(*part, strict=True)
+                    yield pa.RecordBatch.from_arrays([key.take(pa.array(i)), pa.array(n, pa.int32()), pa.array(k), pa.array(t)], ["id", "chunk_index", "chunk_type", "text"])
 
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("id"), identity.alias("a"), description.alias("b"), endpoints.alias("c"), fields.alias("d"))
-    made = rows.mapInArrow(run, f"id {kind}, chunks array<struct<chunk_type:string,text:string>>").withColumnRenamed("id", id)
-    return made.select(id, F.posexplode("chunks").alias("chunk_index", "c")).select(id, "chunk_index", "c.chunk_type", "c.text")
+    return rows.mapInArrow(run, f"id {kind}, chunk_index int, chunk_type string, text string").withColumnRenamed("id", id)
 
 
 def identity_header(title: Column, provider: Column, category: Column, keywords: Column) -> Column:

@@ -433,3 +433,16 @@ def test_chunks_of_a_batch_are_made_a_part_at_a_time(spark, monkeypatch):
     none = F.array().cast("array<string>")
     assert chunks.search_chunks(docs, "id", F.lit("i"), F.col("t"), none, none).groupBy("id").count().filter("count = 2").count() == 700
     assert chunks.DOCUMENTS < 700
+
+
+def test_chunks_go_to_the_end_of_a_text(spark, monkeypatch):
+    words = [f"w{i}" for i in range(5000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "short")], "id bigint, t string")
+    none = F.array().cast("array<string>")
+    monkeypatch.setattr(chunks, "CHUNKS", 7)
+    got = sorted(map(tuple, chunks.search_chunks(docs, "id", F.lit(""), F.col("t"), F.array(F.lit("- GET /a")), none).collect()))
+    assert [r[:3] for r in got if r[0] == 2] == [(2, 0, "overview"), (2, 1, "endpoints")]
+    mine = [r for r in got if r[0] == 1]
+    assert [r[1] for r in mine] == list(range(len(mine))) and len(mine) > 12
+    assert "".join(r[3].removeprefix("[설명]\n") for r in mine if r[2] == "overview").replace(" ", "") == "".join(words)
+    assert len(chunks.chunks_of("", None, ["e" * 600] * 20, ["f" * 600] * 30)) == 50
