@@ -81,3 +81,21 @@ def test_few_rows_that_make_many_pairs_are_many_tasks(spark, monkeypatch):
     none = spark.createDataFrame([], "alias string, official string")
     rows = [tuple(x) for x in registry.find_sources(cited, sources, none).collect()]
     assert len(rows) == len(set(rows)) == 600
+
+
+def test_members_meet_whole_arrays(spark, monkeypatch):
+    """The join makes a row for each id and array, not for each pair; ids that are null are members too."""
+    left = {**{i: f"a{i % 3}" for i in range(40)}, None: "a0", 77: "unpaired"}
+    right = {**{f"u{i}": f"b{i % 4}" for i in range(50)}, None: "b1"}
+    pairs = [("a0", "b0"), ("a0", "b1"), ("a1", "b1"), ("a2", "b3"), ("nobody", "b2")]
+    df = lambda rows, columns: relate.classes(spark.createDataFrame(list(rows.items()), columns), "id")
+    struct = spark.createDataFrame(pairs, "a string, b string").selectExpr("array(struct(a as s)) as a", "array(struct(b as s)) as b")
+    monkeypatch.setattr(relate, "TASK_PAIRS", 100)
+    made = relate.members(struct, df(left, "id long, s string"), df(right, "id string, s string"), block=6)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "explode(ys" in plan.split("Join")[0]
+    got = [tuple(r) for r in made.collect()]
+    want = {(x, y) for x, a in left.items() for y, b in right.items() if (a, b) in pairs}
+    assert len(got) == len(set(got)) and set(got) == want
+    none = struct.limit(0)
+    assert relate.members(none, df(left, "id long, s string"), df(right, "id string, s string")).count() == 0
